@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -78,23 +79,31 @@ def rewrite_docs(docs: DataFrame, text_col: str, change: Callable[[list], list])
     return docs.mapInArrow(run, docs.schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir for tables that are written and read back."""
-    import uuid
-
+    """A fresh folder under the shared folder that the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Cut lineage: write the rows once as a table in the shared folder and read them back.
+
+    Survives lost executors like checkpoint(), without computing a map-only plan twice.
+    """
+    spark = df.sparkSession
+    path = path or scratch_dir(spark)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table made by saved() that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(id_col: str, modulus: int, remainder: int):
     """crc32 of the id as text; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))

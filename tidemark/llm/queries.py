@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate
+from . import bpe_replay, decontaminate, simhash_golay
 from .common import table
 
 
+def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_replay.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -26,7 +31,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_bpe_replay, op10_decontaminate)
+    f.__name__: f for f in (op4_simhash_golay, op7_bpe_replay, op10_decontaminate)
 }
 
 SQL: dict[str, str] = {}
