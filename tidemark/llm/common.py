@@ -20,14 +20,25 @@ def schema_of(ddl: str | StructType) -> StructType:
     return ddl if isinstance(ddl, StructType) else _parse_datatype_string(ddl)
 
 
-#: Rows handed to Python-side work at once; bounds the strings alive in a worker.
+#: Rows and bytes handed to Python-side work at once; bounds what is alive in a worker.
 SLICE_ROWS = 512
+SLICE_BYTES = 4 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut batches into parts of up to ``rows`` rows and SLICE_BYTES bytes, one row at least."""
+
+    def halves(part):
+        if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            half = part.num_rows // 2
+            yield from halves(part.slice(0, half))
+            yield from halves(part.slice(half))
+        else:
+            yield part
+
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            yield from halves(batch.slice(at, rows))
 
 
 def map_docs(

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, simhash_golay
-from .common import table
+from . import bpe_replay, decontaminate, langid_kn, simhash_golay
+from .common import held_out, table
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op7_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_langid_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid_kn.fit(docs.where(~held_out("doc_id", 4, 2)))
+    found = langid_kn.identify(docs, model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -31,7 +38,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_simhash_golay, op7_bpe_replay, op10_decontaminate)
+    f.__name__: f for f in (op4_simhash_golay, op7_bpe_replay, op8_langid_kn, op10_decontaminate)
 }
 
 SQL: dict[str, str] = {}
