@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_docs
 
 #: Pieces that a worker remembers; beyond it the memo starts afresh.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 1_000_000
 
 
 class MergeReplay:
@@ -37,46 +37,41 @@ class MergeReplay:
             raise ValueError("a byte has no rank")
         self.token = {i: t for t, i in ranks.items()}
         self.memo: dict[str, bytes] = {}
-        self.pair_rank: dict[tuple[int, int], int] = {}
-
-    def rank(self, a: int, b: int) -> int:
-        """Rank of the token that two neighbours join into, -1 if there is none."""
-        key = (a, b)
-        r = self.pair_rank.get(key)
-        if r is None:
-            if len(self.pair_rank) > 2_000_000:
-                self.pair_rank.clear()
-            r = self.pair_rank[key] = self.ranks.get(self.token[a] + self.token[b], -1)
+        self.pair_rank: dict[int, int] = {}
+
+    def rank(self, key: int) -> int:
+        """Rank of the token that two neighbours join into, -1 if there is none; key packs their ids."""
+        known = self.pair_rank
+        if len(known) > 2_000_000:
+            known.clear()
+        r = known[key] = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
         return r
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
+    def replay(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece, by replaying every merge in rank order over all of them at once."""
-        sym: list[int] = []
-        piece_of: list[int] = []
-        nxt: list[int] = []
-        bounds = [0]
-        byte_id, rank = self.byte_id, self.rank
-        index: dict[int, list[int]] = {}
-        for k, piece in enumerate(pieces):
-            at = len(sym)
-            sym += [byte_id[b] for b in piece]
-            n = len(sym)
-            piece_of += [k] * (n - at)
-            nxt += range(at + 1, n + 1)
-            bounds.append(n)
-            if n > at:
-                nxt[-1] = -1
-            for i in range(at, n - 1):
-                r = rank(sym[i], sym[i + 1])
-                if r >= 0:
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-        prv = [-1] * len(sym)
-        for i, j in enumerate(nxt):
-            if j >= 0:
-                prv[j] = i
+        rank, get = self.rank, self.pair_rank.get
+        data = b"\0".join(pieces) + b"\0"
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        ends = np.cumsum(sizes) - 1  # the gap after each piece, which no pair crosses
+        n = len(data)
+        gap = np.zeros(n, bool)
+        gap[ends] = True
+        codes = np.array(self.byte_id)[np.frombuffer(data, np.uint8)]
+        codes[gap] = -1
+        piece_of = np.repeat(np.arange(len(pieces)), sizes).tolist()
+        at = np.arange(n)
+        after = np.where(gap | np.append(gap[1:], True), -1, at + 1)
+        nxt = after.tolist()
+        prv = np.where(gap | np.append(True, gap[:-1]), -1, at - 1).tolist()
+        sym = codes.tolist()
+        # the first pairs of neighbours, sorted by rank into the inverted index
+        left = at[after >= 0]
+        pairs, which = np.unique(codes[left] << 32 | codes[left + 1], return_inverse=True)
+        first = np.array([rank(k) if (r := get(k)) is None else r for k in pairs.tolist()], np.int64)[which] if len(left) else np.zeros(0, np.int64)
+        left, first = left[first >= 0], first[first >= 0]
+        order = np.argsort(first, kind="stable")
+        found, starts = np.unique(first[order], return_index=True)
+        index = dict(zip(found.tolist(), (x.tolist() for x in np.split(left[order], starts[1:])))) if len(found) else {}
         heap = list(index)
         heapify(heap)
         while heap:
@@ -87,12 +82,15 @@ class MergeReplay:
             spots.sort()
             waiting: set[int] = set()
             back: list[int] = []
+            shifted = r << 32
             for p in spots:
                 a = sym[p]
-                if a < 0:
-                    continue
                 q = nxt[p]
-                if q < 0 or rank(a, sym[q]) != r:
+                if a < 0 or q < 0:
+                    continue
+                k = a << 32 | sym[q]
+                known = get(k)
+                if (rank(k) if known is None else known) != r:
                     continue
                 if waiting and piece_of[p] in waiting:
                     back.append(p)
@@ -101,30 +99,41 @@ class MergeReplay:
                 sym[q] = -1
                 after = nxt[p] = nxt[q]
                 before = prv[p]
-                for at, other in ((before, before), (p, after)):
-                    if other < 0:
-                        continue
-                    if at == p:
-                        prv[after] = p
-                        new = rank(r, sym[after])
-                    else:
-                        new = rank(sym[before], r)
-                    if new < 0:
-                        continue
-                    if new == r:
-                        back.append(at)
-                        continue
-                    if new in index:
-                        index[new].append(at)
-                    else:
-                        index[new] = [at]
-                        heappush(heap, new)
-                    if new < r:  # this piece has an earlier merge to do first
-                        waiting.add(piece_of[p])
+                low = False
+                if before >= 0:
+                    k = sym[before] << 32 | r
+                    new = get(k)
+                    if new is None:
+                        new = rank(k)
+                    if new >= 0:
+                        low = new < r
+                        if new in index:
+                            index[new].append(before)
+                        else:
+                            index[new] = [before]
+                            heappush(heap, new)
+                if after >= 0:
+                    prv[after] = p
+                    k = shifted | sym[after]
+                    new = get(k)
+                    if new is None:
+                        new = rank(k)
+                    if new >= 0:
+                        low = low or new < r
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heappush(heap, new)
+                if low:  # this piece has an earlier merge to do first
+                    waiting.add(piece_of[p])
             if back:
                 index.setdefault(r, []).extend(back)
                 heappush(heap, r)
-        return [[s for s in sym[a:b] if s >= 0] for a, b in zip(bounds, bounds[1:])]
+        out = np.array(sym, np.int64)
+        ids = out[out >= 0]
+        counts = np.add.reduceat(out >= 0, ends + 1 - sizes) if len(pieces) else np.zeros(0, np.int64)
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(pieces) else []
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -142,7 +151,7 @@ class MergeReplay:
             else:
                 memo[p] = whole.to_bytes(4, "little")
         for p, ids in zip(todo, self.replay([p.encode() for p in todo])):
-            memo[p] = np.array(ids, "<u4").tobytes()
+            memo[p] = ids.astype("<u4").tobytes()
         get = memo.__getitem__
         return [b"".join(map(get, ps)) for ps in split]
 
