@@ -8,10 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid_kn, simhash_golay
+from . import bpe_replay, decontaminate, langid_kn, secrets_crf, simhash_golay
 from .common import held_out, table
 
 
+def op2_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_crf.scan(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets_crf.digest("base"), 256).alias("base_sha256"), secrets_crf.digest("spans").alias("spans"),
+    )
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -38,7 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_simhash_golay, op7_bpe_replay, op8_langid_kn, op10_decontaminate)
+    f.__name__: f for f in (op2_secrets_crf, op4_simhash_golay, op7_bpe_replay, op8_langid_kn, op10_decontaminate)
 }
 
 SQL: dict[str, str] = {}
