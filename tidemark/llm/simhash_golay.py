@@ -3,10 +3,14 @@
 A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits, each padded to a word of the
 perfect [23,12,7] Golay code. A word decodes to the one codeword within distance 3; a word at
 distance exactly 3 also has five codewords at distance 4. If two words differ in at most one bit, the
-codeword of either is among the nearby codewords of the other. With at most three differing bits over
-three segments, two segments differ in at most one bit each (pigeonhole), so the pair meets in a key
-made of two segments: (codeword, nearby codeword) on one side, (nearby codeword, codeword) on the
-other. Every candidate is verified on the full 64 bits, and links are closed to components.
+codeword of either is among the nearby codewords of the other.
+
+At most three differing bits fall on three segments in one of two ways (pigeonhole). Either a segment
+is free of errors and one of the others has one at most: the key is the exact segment with a nearby
+codeword of the other. Or each segment has exactly one: the key is a nearby codeword of all three.
+One error flips a segment's parity, so parity tells which of the two fingerprints gives its own
+codeword and which the nearby ones. Keys have 33 bits and more, about 36 for a fingerprint. Every
+candidate is verified on the full 64 bits, and links are closed to components.
 
 Identical fingerprints are collapsed before anything is joined. A key that many fingerprints share is
 cut into blocks; a pair of blocks is compared in one bounded task that emits a spanning forest.
@@ -18,7 +22,7 @@ is the smallest non-null one. Extra columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,9 @@ BLOCK = 512
 #: Keys with up to so many fingerprints on a side emit their verified pairs by a plain join.
 FEW = 16
 #: Fingerprints whose keys one task makes.
-KEYED_ROWS = 50_000
+KEYED_ROWS = 20_000
+#: Keys of 16 bytes that are broadcast at most; more are joined by a shuffle.
+SENT_KEYS = 100_000
 SHINGLE = 3
 SEED = 42
 
@@ -108,22 +114,35 @@ class Golay:
 
 _GOLAY: list[Golay] = []
 
-KEYS = "key long, fp long, head boolean"
+KEYS = "key long, fp long, role byte"
+HEAD, TAIL = 1, 2
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (key, position in fps, side) of unsigned 64-bit fingerprints."""
+    """Keys (key, position in fps, role) of unsigned 64-bit fingerprints; heads meet tails."""
     if not _GOLAY:
         _GOLAY.append(Golay())
     segs = [((fps >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64) for low, size in SEGMENTS]
+    odd = [np.bitwise_count(s) & 1 for s in segs]
     codes = [_GOLAY[0].decode(s) for s in segs]
-    out = []
-    for c, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (own_i, near_i), (own_j, near_j) = codes[i], codes[j]
-        for side in (True, False):
-            key = (own_i[:, None] << 12 | near_j) if side else (near_i << 12 | own_j[:, None])
-            row, col = np.nonzero((near_j if side else near_i) >= 0)
-            out.append((c << 24 | key[row, col], row, np.full(len(row), side)))
+    out, every = [], np.arange(len(fps))
+    for c, (x, y) in enumerate(permutations(range(3), 2)):
+        own, near = codes[y]
+        head = (c << 40) | (segs[x] << 12)
+        out.append((head | own, every, np.full(len(fps), HEAD | TAIL, np.int8)))
+        # words whose codewords differ have one error between them: the one of odd parity gives the others
+        row, col = np.nonzero((near >= 0) & (near != own[:, None]) & (odd[y] == 1)[:, None])
+        out.append((head[row] | near[row, col], row, np.full(len(row), TAIL, np.int8)))
+    (own_a, near_a), (own_b, near_b), (own_c, near_c) = codes
+    base = (6 << 40) | ((odd[1] ^ odd[0]).astype(np.int64) << 37) | ((odd[2] ^ odd[0]).astype(np.int64) << 36)
+    at = np.nonzero(odd[0] == 0)[0]
+    row, col = np.nonzero(near_b[at] >= 0)
+    row = at[row]
+    out.append((base[row] | own_a[row] << 24 | near_b[row, col] << 12 | own_c[row], row, np.full(len(row), HEAD, np.int8)))
+    at = np.nonzero(odd[0] == 1)[0]
+    row, i, j = np.nonzero((near_a[at] >= 0)[:, :, None] & (near_c[at] >= 0)[:, None, :])
+    row = at[row]
+    out.append((base[row] | near_a[row, i] << 24 | own_b[row] << 12 | near_c[row, j], row, np.full(len(row), TAIL, np.int8)))
     return tuple(map(np.concatenate, zip(*out)))
 
 
@@ -135,8 +154,8 @@ def _keys(fps: DataFrame) -> DataFrame:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             if len(fp):
-                key, row, side = keys_of(fp.astype(np.int64).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(side)], schema=arrow)
+                key, row, role = keys_of(fp.astype(np.int64).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(role)], schema=arrow)
 
     return fps.select("fp").mapInArrow(run, schema)
 
@@ -151,33 +170,35 @@ def block_forest(left: np.ndarray, right: np.ndarray, bits: int = MAX_BITS) -> l
 def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(u, v) links between distinct fingerprints whose closure is that of all links within ``bits``."""
     keys = _keys(fps.repartition(1 + fps.count() // KEYED_ROWS))
-    sizes = (
-        keys.groupBy("key")
-        .agg(F.count_if("head").alias("heads"), F.count_if(~F.col("head")).alias("tails"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .where("heads > 0 and tails > 0 and a <> b")
-        .select("key", F.greatest("heads", "tails").alias("size"))
+    shared = saved(
+        keys.groupBy("key").agg(F.count("*").alias("size"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("u <> v")
     )
-    sized = saved(keys.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
+    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits
+    pairs = shared.where((F.col("size") == 2) & close).select("u", "v")
+    large = shared.where("size > 2").select("key", "size")
+    found = large.count()
+    if not found:
+        return pairs
+    sized = saved(keys.join(F.broadcast(large) if found <= SENT_KEYS else large, "key"))
+    heads, tails = F.col("role").bitwiseAND(HEAD) > 0, F.col("role").bitwiseAND(TAIL) > 0
     few = sized.where(F.col("size") <= FEW)
-    near = few.where("head").select("key", F.col("fp").alias("u")).join(
-        few.where(~F.col("head")).select("key", F.col("fp").alias("v")), "key"
-    )
-    cold = near.where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)).select("u", "v")
+    near = few.where(heads).select("key", F.col("fp").alias("u")).join(few.where(tails).select("key", F.col("fp").alias("v")), "key")
+    cold = near.where((F.col("u") != F.col("v")) & close).select("u", "v")
     # a side of a larger key is cut into blocks, each of which meets every block of the other side
-    many = sized.where(F.col("size") > FEW).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    many = sized.where(F.col("size") > FEW).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = many.withColumn("other", other).select(
-        "key", F.when(F.col("head"), F.col("own")).otherwise(F.col("other")).alias("i"),
-        F.when(F.col("head"), F.col("other")).otherwise(F.col("own")).alias("j"), "fp", "head",
+    met = many.where(heads).select("key", own.alias("i"), other.alias("j"), "fp", F.lit(True).alias("head")).unionByName(
+        many.where(tails).select("key", other.alias("i"), own.alias("j"), "fp", F.lit(False).alias("head"))
     )
 
     def compare(group: pa.Table) -> pa.Table:
         fp, head = group.column("fp").to_numpy(), group.column("head").to_numpy()
-        found = block_forest(fp[head], fp[~head], bits)
-        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+        tree = block_forest(fp[head], fp[~head], bits)
+        return pa.table({"u": pa.array([a for a, _ in tree], pa.int64()), "v": pa.array([b for _, b in tree], pa.int64())})
 
     hot = met.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
-    return cold.unionByName(hot)
+    return pairs.unionByName(cold).unionByName(hot)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
