@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid_kn, secrets_crf, simhash_golay
-from .common import held_out, table
+from . import bpe_replay, decontaminate, langid_kn, secrets_crf, simhash_golay, toxicity, wavelet_store
+from .common import held_out, map_docs, table
 
 
 def op2_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,16 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet_store.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+    def digests(doc_id, start, n_tokens, ids):
+        return {"doc_id": doc_id, "start": start, "n_tokens": n_tokens, "ids_crc32": [zlib.crc32(x) for x in ids]}
+
+    found = wavelet_store.read_documents(shards)
+    return map_docs(found, found.columns, digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def op7_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_replay.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -41,6 +52,14 @@ def op8_langid_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    lexicon = toxicity.fit(toxicity.labelled(docs, labels))
+    found = toxicity.score(docs, lexicon)
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -50,7 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secrets_crf, op4_simhash_golay, op7_bpe_replay, op8_langid_kn, op10_decontaminate)
+    f.__name__: f for f in (op2_secrets_crf, op4_simhash_golay, op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate)
 }
 
 SQL: dict[str, str] = {}
