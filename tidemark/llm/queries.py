@@ -9,10 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid_kn, secrets_crf, simhash_golay, toxicity, wavelet_store
+from . import bpe_replay, decontaminate, langid_kn, secrets_crf, simhash_golay, substring_dedup, toxicity, wavelet_store
 from .common import held_out, map_docs, table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets_crf.scan(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secrets_crf, op4_simhash_golay, op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate)
+    f.__name__: f for f in (op1_substring_dedup, op2_secrets_crf, op4_simhash_golay, op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate)
 }
 
 SQL: dict[str, str] = {}
