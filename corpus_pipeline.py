@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_replay, decontaminate
-from tidemark.llm.common import scratch_dir, table
+from tidemark.llm import bpe_replay, decontaminate, langid_kn, secrets_crf, simhash_golay
+from tidemark.llm.common import held_out, saved, table
+
+
+def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models tell; letterless and foreign texts go."""
+    return langid_kn.accepted(docs, langid_kn.fit(docs.where(~held_out("doc_id", 4, 2))))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return simhash_golay.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +25,21 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark and n_chars counted anew."""
+    return secrets_crf.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids) of every document that is left."""
     return bpe_replay.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
+    ("language_id", language_known),
+    ("near_dedup", one_of_each),
     ("decontamination", decontaminated),
+    ("secrets", redacted),
     ("byte_bpe", tokenised),
 ]
 
@@ -30,9 +49,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base = scratch_dir(spark)
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

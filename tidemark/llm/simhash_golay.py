@@ -44,6 +44,8 @@ FEW = 16
 KEYED_ROWS = 20_000
 #: Keys of 16 bytes that are broadcast at most; more are joined by a shuffle.
 SENT_KEYS = 100_000
+#: Ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
+SENT_IDS = 2_000_000
 SHINGLE = 3
 SEED = 42
 
@@ -228,12 +230,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes(prints, bits), "fp").select("doc_id", "fp", "component_id", "members")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, all columns kept: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
+    """One document of each group of near copies, all columns kept: the one with the smallest id.
 
-    Of rows that repeat that doc_id in a group one stays. Rows with a null id cannot be told apart by
-    id: one stays if no row of its group has an id.
+    Rows with the same id count as one document, of which one row stays. Rows with a null id stay.
+    Texts are not shuffled unless there are many documents to drop, or ids that repeat.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    firsts = docs.join(found.where("doc_id is not null"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return firsts
+    rows = near_duplicates(docs, id_col, text_col, bits).where("doc_id is not null")
+    found = saved(rows.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("leads"), F.count("*").alias("n")))
+    ids = F.col("doc_id").alias(id_col)
+    gone, again = found.where("not leads").select(ids), found.where("leads and n > 1").select(ids)
+    out = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, id_col, "left_anti")
+    if again.count():
+        once = out.join(again, id_col, "left_semi").dropDuplicates([id_col])
+        out = out.join(again, id_col, "left_anti").unionByName(once)
+    return out.select(docs.columns)
