@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid_kn, secrets_crf, simhash_golay, substring_dedup, toxicity, wavelet_store
+from . import bpe_replay, decontaminate, langid_kn, secrets_crf, simhash_golay, substring_dedup, toxicity, warc_merkle, wavelet_store
 from .common import held_out, map_docs, table
 
 
@@ -34,6 +34,16 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of all pages of which every hundredth record has rotted in place."""
+    pages = table(spark, sf_dir, "pages")
+    rotten = F.when(F.col("page_id") % 100 == 7, F.translate("html", "<", "#")).otherwise(F.col("html"))
+    found = warc_merkle.audit(warc_merkle.records(pages), warc_merkle.records(pages.withColumn("html", rotten)))
+    return found.select(
+        F.col("record_id").alias("page_id"), "volume", F.col("slot").cast("long").alias("slot"), "offset", "length", "digest", "other_digest", "kind"
+    )
+
+
 def op6_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet_store.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -73,7 +83,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_secrets_crf, op4_simhash_golay, op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate)
+    f.__name__: f for f in (op1_substring_dedup, op2_secrets_crf, op4_simhash_golay, op5_warc_merkle, op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate)
 }
 
-SQL: dict[str, str] = {}
+_RECORD = """'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n ||
+  'Content-Type: text/html' || n || 'Content-Length: ' || strlen(coalesce({html}, '')) || n || n || coalesce({html}, '') || n || n"""
+
+SQL: dict[str, str] = {
+    "op5_warc_merkle": f"""
+WITH laid AS (
+  SELECT page_id, html, {_RECORD.format(html="html")} AS record, {_RECORD.format(html="translate(html, '<', '#')")} AS rotten
+  FROM (SELECT *, chr(13) || chr(10) AS n FROM pages)
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY page_id, sha256(record)) - 1 AS k, strlen(record) AS size FROM laid
+), cut AS (
+  SELECT page_id, k // 4096 AS volume, k % 4096 AS slot, size AS length, sha256(record) AS digest, sha256(rotten) AS other_digest,
+    coalesce(sum(size) OVER (PARTITION BY k // 4096 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM placed
+)
+SELECT page_id, CAST(volume AS BIGINT) AS volume, CAST(slot AS BIGINT) AS slot, CAST("offset" AS BIGINT) AS "offset",
+  CAST(length AS BIGINT) AS length, digest, other_digest, 'changed' AS kind
+FROM cut WHERE page_id % 100 = 7 AND digest <> other_digest""",
+}
