@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid_kn, secrets_crf, simhash_golay, substring_dedup, toxicity, warc_merkle, wavelet_store
-from .common import held_out, map_docs, table
+from . import bpe_replay, decontaminate, langid_kn, media_copies, secrets_crf, simhash_golay, substring_dedup, toxicity, warc_merkle, wavelet_store
+from .common import held_out, map_docs, saved, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,30 @@ def op2_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all embeddings drawn as pictures, with a cropped and edited copy of every hundredth.
+
+    The tables have no media column, so each vector is drawn as a 64 x 64 grey picture.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+
+    def draw(ids, arrays):
+        plain = [media_copies.draw_vector(v) for v in arrays]
+        # the copy of picture k has the id -1 - k
+        edited = [(-1 - i, media_copies.cropped_copy(p)) for i, p in zip(ids, plain) if i is not None and i % 100 == 0]
+        return {"id": ids + [i for i, _ in edited], "content": plain + [p for _, p in edited]}
+
+    pictures = map_docs(vectors, ["vec_id", "embedding"], draw, "id long, content binary")
+    found = saved(media_copies.classes(pictures))
+    copies = found.where("id < 0").select((-1 - F.col("id")).alias("id"), F.col("class_id").alias("copy_class"))
+    # a class is named by the smallest id of a picture that is not a copy
+    names = found.where("id >= 0").groupBy("class_id").agg(F.min("id").alias("name"), F.count("*").alias("members"))
+    return found.where("id >= 0").select("id", "class_id", "n_corners").join(names, "class_id").join(copies, "id", "left").select(
+        F.col("id").alias("vec_id"), F.col("name").alias("class_id"), "members", "n_corners",
+        F.when(F.col("copy_class").isNotNull(), F.col("copy_class") == F.col("class_id")).alias("copy_found"),
+    )
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -83,7 +107,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_secrets_crf, op4_simhash_golay, op5_warc_merkle, op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate)
+    f.__name__: f for f in (op1_substring_dedup, op2_secrets_crf, op3_media_copies, op4_simhash_golay, op5_warc_merkle, op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate)
 }
 
 _RECORD = """'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n ||
