@@ -1,3 +1,213 @@
-"""Every registered query beside its DuckDB text."""
-QUERIES: dict = {}
-SQL: dict = {}
+"""Every registered query beside its DuckDB text. All run over the whole ``events`` table."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.buckets import bucket, calendar_bucket, exact_sum, json_number, parsed
+from .operators import timeseries as ts_ops
+from .plans.query import BucketQuery
+from .sources import measurements
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+_DEC = "CAST(value AS DECIMAL(18,2))"
+_TOTAL = f"CAST(sum({_DEC}) AS DECIMAL(38,2))"
+_AGGS = (
+    f"count(value) AS n, {_TOTAL} AS total, CAST(sum({_DEC}) AS DOUBLE) / nullif(count(value), 0) AS mean, "
+    "min(value) AS lo, max(value) AS hi"
+)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measurements.read(spark, f"{sf_dir}/events.parquet")
+
+
+def query(sql: str):
+    """Register a function of the events table under its name, with its DuckDB text."""
+
+    def register(build: Callable[[DataFrame], DataFrame]):
+        QUERIES[build.__name__] = lambda spark, sf_dir: build(events(spark, sf_dir))
+        SQL[build.__name__] = sql
+        return build
+
+    return register
+
+
+@query(f"""SELECT event_type, time_bucket(interval '1 hour', ts) AS bucket_start, {_AGGS} FROM events
+WHERE ts >= '2024-01-05' AND ts < '2024-01-12' GROUP BY 1, 2""")
+def hourly_by_type(rows: DataFrame) -> DataFrame:
+    return BucketQuery("1 hour").between("2024-01-05", "2024-01-12").by("event_type").run(rows)
+
+
+@query(f"SELECT time_bucket(interval '15 minutes', ts) AS bucket_start, {_AGGS} FROM events GROUP BY 1")
+def quarter_hours(rows: DataFrame) -> DataFrame:
+    return BucketQuery("15 minutes").run(rows)
+
+
+@query(f"SELECT user_id, time_bucket(interval '1 day', ts) AS bucket_start, {_AGGS} FROM events GROUP BY 1, 2")
+def daily_by_user(rows: DataFrame) -> DataFrame:
+    return BucketQuery("1 day").by("user_id").run(rows)
+
+
+@query(f"SELECT time_bucket(interval '7 days', ts) AS bucket_start, {_AGGS} FROM events GROUP BY 1")
+def weeks_from_monday(rows: DataFrame) -> DataFrame:
+    return BucketQuery("7 days", origin="4 days").run(rows)
+
+
+@query(f"SELECT time_bucket(interval '7 minutes', ts, timestamp '1970-01-01') AS bucket_start, {_AGGS} FROM events GROUP BY 1")
+def seven_minutes(rows: DataFrame) -> DataFrame:
+    return BucketQuery("7 minutes").run(rows)
+
+
+@query(f"""SELECT event_type, time_bucket(interval '1 day', ts) AS bucket_start, {_AGGS} FROM events
+WHERE event_type IN ('click', 'view') AND user_id = 7 GROUP BY 1, 2""")
+def daily_of_series(rows: DataFrame) -> DataFrame:
+    return BucketQuery("1 day").where("event_type", "click", "view").where("user_id", 7).by("event_type").run(rows)
+
+
+for _unit in ("hour", "day", "week", "month", "quarter", "year"):
+    QUERIES[f"calendar_{_unit}"] = lambda spark, sf_dir, unit=_unit: BucketQuery(unit=unit).run(events(spark, sf_dir))
+    SQL[f"calendar_{_unit}"] = f"SELECT CAST(date_trunc('{_unit}', ts) AS TIMESTAMP) AS bucket_start, {_AGGS} FROM events GROUP BY 1"
+
+
+@query(f"""SELECT CAST(date_trunc('day', ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') AS TIMESTAMP) AS bucket_start, {_AGGS}
+FROM events GROUP BY 1""")
+def days_in_new_york(rows: DataFrame) -> DataFrame:
+    return BucketQuery(unit="day", zone="America/New_York").run(rows)
+
+
+@query(f"SELECT time_bucket(interval '1 day', ts) AS bucket_start, {_AGGS} FROM events GROUP BY 1")
+def days_from_hours(rows: DataFrame) -> DataFrame:
+    return ts_ops.coarser(BucketQuery("1 hour").run(rows), bucket("bucket_start", "1 day"))
+
+
+@query("""SELECT CAST(NULL AS TIMESTAMP) AS bucket_start, CAST(0 AS BIGINT) AS n, CAST(0 AS DECIMAL(38,2)) AS total, '' AS side WHERE false""")
+def reconciliation(rows: DataFrame) -> DataFrame:
+    fine = ts_ops.coarser(BucketQuery("1 hour").run(rows), bucket("bucket_start", "1 day")).select("bucket_start", "n", "total")
+    return ts_ops.reconciled(fine, BucketQuery("1 day").run(rows).select("bucket_start", "n", "total"))
+
+
+@query(f"""SELECT c.bucket_start, coalesce(b.n, 0) AS n, b.total FROM
+(SELECT unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30 23:45:00', interval '15 minutes')) AS bucket_start) c
+LEFT JOIN (SELECT time_bucket(interval '15 minutes', ts) AS bucket_start, count(value) AS n, {_TOTAL} AS total FROM events GROUP BY 1) b
+ON c.bucket_start = b.bucket_start""")
+def gaps_filled(rows: DataFrame) -> DataFrame:
+    buckets = BucketQuery("15 minutes").run(rows).select("bucket_start", "n", "total")
+    return ts_ops.gap_filled(buckets, "2024-01-01 00:00:00", "2024-01-30 23:45:00", "15 minutes")
+
+
+@query(f"""SELECT c.event_type, c.bucket_start, coalesce(b.n, 0) AS n FROM
+(SELECT event_type, unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30 23:00:00', interval '1 hour')) AS bucket_start
+ FROM (SELECT DISTINCT event_type FROM events)) c
+LEFT JOIN (SELECT event_type, time_bucket(interval '1 hour', ts) AS bucket_start, count(value) AS n FROM events GROUP BY 1, 2) b
+ON c.event_type = b.event_type AND c.bucket_start = b.bucket_start""")
+def gaps_filled_by_type(rows: DataFrame) -> DataFrame:
+    buckets = BucketQuery("1 hour").by("event_type").run(rows).select("event_type", "bucket_start", "n")
+    return ts_ops.gap_filled(buckets, "2024-01-01 00:00:00", "2024-01-30 23:00:00", "1 hour", rows.select("event_type").distinct())
+
+
+@query(f"""SELECT bucket_start, {_AGGS} FROM
+(SELECT unnest([time_bucket(interval '1 hour', ts), time_bucket(interval '1 hour', ts) - interval '1 hour']) AS bucket_start, value FROM events)
+GROUP BY 1""")
+def sliding_two_hours(rows: DataFrame) -> DataFrame:
+    return ts_ops.sliding(rows, "2 hours", "1 hour")
+
+
+@query(f"""WITH gaps AS (
+  SELECT *, CASE WHEN ts < lag(ts) OVER w + interval '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM gaps)
+SELECT user_id, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS n, {_TOTAL} AS total FROM numbered GROUP BY user_id, s""")
+def sessions_of_users(rows: DataFrame) -> DataFrame:
+    return ts_ops.sessions(rows, "30 minutes", ["user_id"])
+
+
+@query("""SELECT event_type, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.9), 9) AS p90 FROM events GROUP BY 1""")
+def exact_quantiles(rows: DataFrame) -> DataFrame:
+    return ts_ops.quantiles(rows, "event_type", (0.5, 0.9))
+
+
+@query("""SELECT time_bucket(interval '1 day', ts) AS bucket_start, arg_min(value, row(ts, event_id)) AS first_value,
+arg_max(value, row(ts, event_id)) AS last_value FROM events GROUP BY 1""")
+def first_and_last(rows: DataFrame) -> DataFrame:
+    return ts_ops.first_last(rows, bucket("ts", "1 day"))
+
+
+@query("SELECT time_bucket(interval '1 day', ts) AS bucket_start, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def distinct_users(rows: DataFrame) -> DataFrame:
+    return ts_ops.bucketed(rows, bucket("ts", "1 day"), aggregates=[F.count_distinct("user_id").alias("users")])
+
+
+@query(f"""SELECT time_bucket(interval '1 day', ts) AS bucket_start, count(*) FILTER (WHERE event_type = 'error') AS errors,
+CAST(sum({_DEC}) FILTER (WHERE event_type = 'purchase') AS DECIMAL(38,2)) AS bought FROM events GROUP BY 1""")
+def filtered_counts(rows: DataFrame) -> DataFrame:
+    bought = exact_sum(F.when(F.col("event_type") == "purchase", F.col("value")))
+    return ts_ops.bucketed(rows, bucket("ts", "1 day"), aggregates=[F.count_if(F.col("event_type") == "error").alias("errors"), bought.alias("bought")])
+
+
+@query("""SELECT event_type, n, CASE WHEN n > 1 THEN (q - s * s / n) / (n - 1) END AS variance FROM (
+  SELECT event_type, count(value) AS n, CAST(sum(CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(18,4))) AS DOUBLE) AS s,
+    CAST(sum(CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(18,4)) * CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(18,4))) AS DOUBLE) AS q
+  FROM events GROUP BY 1)""")
+def variance_by_type(rows: DataFrame) -> DataFrame:
+    return ts_ops.spread(rows, "event_type")
+
+
+@query(f"""SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n, {_TOTAL} AS total,
+CAST(grouping_id(event_type, CAST(date_trunc('day', ts) AS TIMESTAMP)) AS BIGINT) AS level
+FROM events GROUP BY ROLLUP(event_type, CAST(date_trunc('day', ts) AS TIMESTAMP))""")
+def rollup_by_type_and_day(rows: DataFrame) -> DataFrame:
+    return ts_ops.rolled_up(rows.withColumn("day", calendar_bucket("ts", "day")), F.col("event_type"), F.col("day"))
+
+
+@query(f"""WITH daily AS (SELECT time_bucket(interval '1 day', ts) AS bucket_start, {_TOTAL} AS total FROM events GROUP BY 1)
+SELECT bucket_start, total, CAST(sum(total) OVER (ORDER BY bucket_start RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS DECIMAL(38,2)) AS moving_total FROM daily""")
+def seven_day_total(rows: DataFrame) -> DataFrame:
+    return ts_ops.moving_total(BucketQuery("1 day").run(rows).select("bucket_start", "total"), 6)
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
+def top_users(rows: DataFrame) -> DataFrame:
+    return ts_ops.top_k(rows, "user_id", 10)
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def replayed_rows_once(rows: DataFrame) -> DataFrame:
+    return measurements.deduplicated(rows.unionByName(rows))
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE NOT isnan(value) AND event_id IS NOT NULL AND ts IS NOT NULL")
+def good_rows(rows: DataFrame) -> DataFrame:
+    good, _ = measurements.checked(rows)
+    return good
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_id % 2 = 0")
+def json_lines_split(rows: DataFrame) -> DataFrame:
+    """Every other row as a JSON line, the others torn: the good ones come back."""
+    line = F.to_json(F.struct("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type", "value", "props"))
+    torn = F.when(F.col("event_id") % 2 == 0, line).otherwise(F.expr("substring(event_type, 1, 3)"))
+    good, _ = measurements.split_lines(rows.select(torn.alias("value")))
+    return good
+
+
+@query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
+def json_totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("event_type").agg(F.sum(json_number("props", "$.k")).alias("k"))
+
+
+@query("SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM events")
+def parsed_times(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", parsed(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts"))
+
+
+@query("""SELECT l.event_id, l.ts, l.user_id, r.ts AS r_ts, r.value AS r_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') l ASOF LEFT JOIN
+(SELECT user_id, ts, max_by(value, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2) r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def last_view_of_purchase(rows: DataFrame) -> DataFrame:
+    views = rows.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return ts_ops.as_of(rows.where("event_type = 'purchase'").select("event_id", "ts", "user_id"), views, "user_id", ["value"])
