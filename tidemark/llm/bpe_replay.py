@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_docs
 
 #: Pieces that a worker remembers; beyond it the memo starts afresh.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 500_000
 
 
 class MergeReplay:

@@ -22,7 +22,21 @@ def schema_of(ddl: str | StructType) -> StructType:
 
 #: Rows and bytes handed to Python-side work at once; bounds what is alive in a worker.
 SLICE_ROWS = 512
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches bounded in bytes, so that long texts do not pile up on either side.
+
+    Sets the session's bound on Arrow batches to BATCH_BYTES where it is larger; results do not depend on it.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_CONF, str(1 << 30)).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -61,7 +75,7 @@ def map_docs(
                 [v if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in arrow], schema=arrow
             )
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return arrow_map(docs.select(*columns), run, schema)
 
 
 def filter_docs(docs: DataFrame, text_col: str, keep: Callable[[list], list]) -> DataFrame:
@@ -73,7 +87,7 @@ def filter_docs(docs: DataFrame, text_col: str, keep: Callable[[list], list]) ->
         for part in slices(batches):
             yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def rewrite_docs(docs: DataFrame, text_col: str, change: Callable[[list], list]) -> DataFrame:
@@ -87,7 +101,7 @@ def rewrite_docs(docs: DataFrame, text_col: str, change: Callable[[list], list])
             cols[at] = pa.array(change(cols[at].to_pylist()), cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def scratch_dir(spark: SparkSession) -> str:

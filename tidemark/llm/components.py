@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, saved
+from .common import arrow_map, dropped, saved
 
 #: Edges that a task folds into a forest at once; bounds its memory.
 FOLD_EDGES = 500_000
@@ -56,7 +56,7 @@ def _fold(edges: DataFrame) -> DataFrame:
                 held = smaller
         yield rows(forest(held))
 
-    return edges.mapInArrow(run, "u long, v long")
+    return arrow_map(edges, run, "u long, v long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import filter_docs, map_docs, schema_of, slices
+from .common import arrow_map, filter_docs, map_docs, schema_of, slices
 
 WINDOW = 13
 #: Benchmark text up to this size is broadcast; a larger benchmark takes the join path.
@@ -181,7 +181,7 @@ def _scan_by_join(docs, benchmark, id_col, text_col, item_col, item_text_col, wi
     )
     copies = named.groupBy("row").count()
     patterns = map_docs(benchmark, [item_col, item_text_col], item_windows, "item string, digest binary").distinct()
-    grams = named.dropDuplicates(["row"]).mapInArrow(emit, schema)
+    grams = arrow_map(named.dropDuplicates(["row"]), emit, schema)
     hits = grams.join(patterns, "digest", "left").where((F.col("len") == 0) | F.col("item").isNotNull())
     spot = F.when(F.col("len") > 0, F.sequence(F.col("at"), F.col("at") + F.col("len") - 1))
     return (

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_docs, saved, schema_of
+from .common import arrow_map, map_docs, saved, schema_of
 from .components import components, forest
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -159,7 +159,7 @@ def _keys(fps: DataFrame) -> DataFrame:
                 key, row, role = keys_of(fp.astype(np.int64).view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(role)], schema=arrow)
 
-    return fps.select("fp").mapInArrow(run, schema)
+    return arrow_map(fps.select("fp"), run, schema)
 
 
 def block_forest(left: np.ndarray, right: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_docs, schema_of, slices
+from .common import arrow_map, map_docs, schema_of, slices
 
 #: A word enters the lexicon with so many toxic training rows, and this z-score of its log-odds.
 MIN_TOXIC_ROWS = 5
@@ -188,7 +188,7 @@ def _word_rows(train: DataFrame, text_col: str, label_col: str, terms_of) -> Dat
                 counts.clear()
         yield rows()
 
-    found = train.select(text_col, F.col(label_col).cast("int")).mapInArrow(run, schema)
+    found = arrow_map(train.select(text_col, F.col(label_col).cast("int")), run, schema)
     return found.groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.expr("bit_or(family)")).alias("families")
     )
