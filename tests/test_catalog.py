@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 def duck():
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
-    con.execute(f"create view events as select * from '{SF}/events.parquet'")
+    for name in "region nation customer supplier part orders lineitem events".split():
+        con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return con
 
 

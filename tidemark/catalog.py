@@ -1,4 +1,4 @@
-"""Every registered query beside its DuckDB text. All run over the whole ``events`` table."""
+"""Every registered query beside its DuckDB text. All run over whole tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import relational
 from .functions.buckets import bucket, calendar_bucket, exact_sum, json_number, parsed
 from .operators import timeseries as ts_ops
 from .plans.query import BucketQuery
@@ -211,3 +212,7 @@ FROM (SELECT * FROM events WHERE event_type = 'purchase') l ASOF LEFT JOIN
 def last_view_of_purchase(rows: DataFrame) -> DataFrame:
     views = rows.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
     return ts_ops.as_of(rows.where("event_type = 'purchase'").select("event_id", "ts", "user_id"), views, "user_id", ["value"])
+
+
+QUERIES |= relational.QUERIES
+SQL |= relational.SQL
