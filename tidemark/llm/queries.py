@@ -71,11 +71,7 @@ def op5_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet_store.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
-    def digests(doc_id, start, n_tokens, ids):
-        return {"doc_id": doc_id, "start": start, "n_tokens": n_tokens, "ids_crc32": [zlib.crc32(x) for x in ids]}
-
-    found = wavelet_store.read_documents(shards)
-    return map_docs(found, found.columns, digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return wavelet_store.read_documents(shards, zlib.crc32, "ids_crc32", "long")
 
 
 def op7_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ rebuilt for them. Payloads are rows of a Parquet table, one row a shard, so they
 store that Spark writes to and be read back from wherever they lie.
 
 Payload, little-endian: magic ``WVM1``; counts of tokens, documents and planes (three uint64); length of
-the compressed part (uint64); zlib of (doc ids int64, id-is-null uint8, lengths uint32, planes as packed
+the compressed part (uint64); zstd of (doc ids int64, id-is-null uint8, lengths uint32, planes as packed
 bits, highest first). The rank directory (a count for each 512 bits, under 7 % of the planes) is rebuilt
 when a payload is opened.
 
@@ -17,27 +17,31 @@ first, repeated ids in the order of their texts. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
-import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, saved, schema_of, slices
+from .common import SLICE_ROWS, arrow_map, saved, schema_of, slices
 
 MAGIC = b"WVM1"
 _HEAD = struct.Struct("<4sQQQQ")
 _BLOCK = 512
 #: Text bytes after which a shard is closed, and that a task's range is meant to hold.
-SHARD_BYTES = 6 << 20
-PART_BYTES = 32 << 20
+SHARD_BYTES = 2 << 20
+PART_BYTES = 16 << 20
+#: Shards, of 16 bytes, whose starts are broadcast at most; more are joined by a shuffle.
+SENT_SHARDS = 500_000
 #: Words whose ids a worker remembers; beyond it the memo starts afresh.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_500_000
 
 
 class WaveletMatrix:
@@ -58,9 +62,9 @@ class WaveletMatrix:
         bits = bits or max(1, int(ids.max()).bit_length() if len(ids) else 1)
         planes, now = [], ids
         for b in range(bits - 1, -1, -1):
-            bit = (now >> b & 1).astype(bool)
-            planes.append(np.packbits(bit, bitorder="little"))
-            now = np.concatenate([now[~bit], now[bit]])
+            one = (now & now.dtype.type(1 << b)) != 0
+            planes.append(np.packbits(one, bitorder="little"))
+            now = np.concatenate([now[np.flatnonzero(~one)], now[np.flatnonzero(one)]])
         return cls(planes, len(ids))
 
     def _bit(self, level: int, i: int) -> int:
@@ -127,19 +131,19 @@ class WaveletMatrix:
             zeros = self.zeros[level]
             value[zeros:] |= value.dtype.type(1 << (self.bits - 1 - level))
             before = np.empty_like(value)
-            before[~one] = value[:zeros]
-            before[one] = value[zeros:]
+            before[np.flatnonzero(~one)] = value[:zeros]
+            before[np.flatnonzero(one)] = value[zeros:]
             value = before
         return value
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     matrix = WaveletMatrix.build(ids)
-    body = zlib.compress(
+    body = zstandard.ZstdCompressor(level=1).compress(
         b"".join(
             [np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(),
              lengths.astype("<u4").tobytes(), *(p.tobytes() for p in matrix.planes)]
-        ), 1,
+        )
     )
     return _HEAD.pack(MAGIC, len(ids), len(doc_ids), matrix.bits, len(body)) + body
 
@@ -149,7 +153,7 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     magic, n, docs, bits, size = _HEAD.unpack_from(payload)
     if magic != MAGIC:
         raise ValueError("not a shard payload")
-    body = zlib.decompress(payload[_HEAD.size : _HEAD.size + size])
+    body = zstandard.ZstdDecompressor().decompress(payload[_HEAD.size : _HEAD.size + size])
     ids = np.frombuffer(body, "<i8", docs)
     null = np.frombuffer(body, np.uint8, docs, 8 * docs)
     lengths = np.frombuffer(body, "<u4", docs, 9 * docs)
@@ -158,35 +162,63 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return [None if x else int(d) for d, x in zip(ids, null)], lengths, WaveletMatrix(planes, n)
 
 
-class WordEncoder:
-    """The library's encoding of a text, word by word with a bounded memo.
+#: Words that the tokenizer's normaliser and splitter leave as they are but for case, and marks behind
+#: them that its splitter cuts off.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?|#$%&*()]*)")
+
+
+class WordEncoder(dict):
+    """The library's encoding of a text, word by word with a bounded memo: a dict of words' ids.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its parts
-    between ASCII white space in turn.
+    between ASCII white space in turn; and its splitter cuts letters from the marks behind them, so a
+    word's ids are those of its letters and of its marks. Latin letters alone go straight to the library's
+    model, in the byte symbols that its steps before the model would make of them.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.size = self.library.get_vocab_size()
-        self.memo: dict[bytes, bytes] = {}
+        self.model = self.library.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.symbols = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.tails: dict[str, bytes] = {}
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        split = [t.encode().split() if t else [] for t in texts]
-        every = {w for ws in split for w in ws}
-        if len(memo) + len(every) > MEMO_WORDS:
-            memo.clear()
-        new = [w for w in every if w not in memo]
-        for at in range(0, len(new), 10_000):
-            cut = new[at : at + 10_000]
-            for w, found in zip(cut, self.library.encode_batch_fast([w.decode() for w in cut], add_special_tokens=False)):
-                memo[w] = np.array(found.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.encode().split())) if t else b"" for t in texts]
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        m = _SIMPLE.fullmatch(text)
+        if m:
+            letters = m[1].lower()
+            ids = struct_ids([t.id for t in self.model.tokenize(letters if letters.isascii() else letters.translate(self.symbols))])
+            if m[2]:
+                ids += self._tail(m[2])
+        else:
+            ids = self._whole(text)
+        self[word] = ids
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        return struct_ids(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks] = self._whole(marks)
+        return self.tails[marks]
+
+
+def struct_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -240,7 +272,7 @@ def write_shards(
     total = docs.agg(F.sum(F.octet_length(text_col) + 16)).first()[0] or 0
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(int(1 + total // part_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(ordered.mapInArrow(run, schema), path)
+    return saved(arrow_map(ordered, run, schema), path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -254,29 +286,32 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return counts.select("part", "seq", inner.alias("first")).join(parts, "part").select("part", "seq", (F.col("base") + F.col("first")).alias("first"))
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) of every document, from the payloads alone.
+def read_documents(shards: DataFrame, value: Callable[[bytes], object] = bytes, name: str = "ids", kind: str = "binary") -> DataFrame:
+    """(doc_id, start, n_tokens, value) of every document, from the payloads alone.
 
-    ``ids`` are little-endian unsigned 32-bit integers; ``start`` counts from the first shard.
+    ``value`` is made of a document's ids as little-endian unsigned 32-bit integers, by default these
+    bytes; ``start`` counts from the first shard.
     """
-    schema = schema_of("doc_id long, start long, n_tokens long, ids binary")
+    schema = schema_of(f"doc_id long, start long, n_tokens long, {name} {kind}")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for part in slices(batches, 1):
             payload, first = (c[0].as_py() for c in part.columns)
             doc_ids, lengths, matrix = unpack(payload)
-            flat, ends = matrix.decode().astype("<u4"), np.cumsum(lengths.astype(np.int64))
+            flat, ends = memoryview(matrix.decode().astype("<u4").tobytes()), np.cumsum(lengths.astype(np.int64))
             starts = ends - lengths
             for low in range(0, len(doc_ids), SLICE_ROWS):
                 cut = slice(low, low + SLICE_ROWS)
+                values = [value(flat[4 * a : 4 * b]) for a, b in zip(starts[cut].tolist(), ends[cut].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids[cut], pa.int64()), pa.array(starts[cut] + first), pa.array(lengths[cut].astype(np.int64)),
-                     pa.array([flat[a:b].tobytes() for a, b in zip(starts[cut], ends[cut])], pa.binary())],
+                    [pa.array(doc_ids[cut], pa.int64()), pa.array(starts[cut] + first), pa.array(lengths[cut].astype(np.int64)), pa.array(values, arrow[3].type)],
                     schema=arrow,
                 )
 
-    return shards.join(shard_starts(shards), ["part", "seq"]).select("payload", "first").mapInArrow(run, schema)
+    starts = saved(shard_starts(shards))
+    few = starts.count() <= SENT_SHARDS
+    return arrow_map(shards.join(F.broadcast(starts) if few else starts, ["part", "seq"]).select("payload", "first"), run, schema)
 
 
 def occurrences(shards: DataFrame, token_id: int) -> DataFrame:
@@ -295,4 +330,4 @@ def occurrences(shards: DataFrame, token_id: int) -> DataFrame:
                 [pa.array([doc_ids[k] for k in keep], pa.int64()), pa.array(per[keep].astype(np.int64))], schema=arrow
             )
 
-    return shards.select("payload").mapInArrow(run, schema)
+    return arrow_map(shards.select("payload"), run, schema)
