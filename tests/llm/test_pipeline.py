@@ -1,4 +1,9 @@
 """The pipeline against plain code, stage by stage."""
+import os
+import pathlib
+import subprocess
+import sys
+
 import public_tokenizers
 import tiktoken
 
@@ -39,6 +44,22 @@ def test_stages(spark):
     assert {i: r["token_ids"] for i, r in tables["byte_bpe"].items()} == {i: library.encode_ordinary(r["text"]) for i, r in tables["secrets"].items()}
 
 
+def test_executors_need_no_installed_package(tmp_path):
+    """Elsewhere than in the repository, the package reaches the Python workers by itself."""
+    repo = pathlib.Path(c.__file__).parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', {str(tmp_path)!r}).getOrCreate()
+from tidemark.llm import queries
+print('rows', queries.op2_secrets_crf(spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
+
+
 def test_empty_and_odd_documents(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for _, stage in c.STAGES:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +31,28 @@ BATCH_BYTES = 2 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if sc.applicationId not in _SHIPPED and package.is_dir():
+        path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for f in sorted(package.rglob("*.py")):
+                out.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow with batches bounded in bytes, so that long texts do not pile up on either side.
 
     Sets the session's bound on Arrow batches to BATCH_BYTES where it is larger; results do not depend on it.
     """
+    shipped(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get(_BATCH_CONF, str(1 << 30)).rstrip("b")) > BATCH_BYTES:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
