@@ -63,9 +63,8 @@ def op5_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rotten = F.when(F.col("page_id") % 100 == 7, F.translate("html", "<", "#")).otherwise(F.col("html"))
     found = warc_merkle.audit(warc_merkle.records(pages), warc_merkle.records(pages.withColumn("html", rotten)))
-    return found.select(
-        F.col("record_id").alias("page_id"), "volume", F.col("slot").cast("long").alias("slot"), "offset", "length", "digest", "other_digest", "kind"
-    )
+    place = [F.col("record_id").alias("page_id"), "volume", F.col("slot").cast("long").alias("slot"), "offset", "length"]
+    return found.select(*place, "digest", "other_digest", "kind")
 
 
 def op6_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +102,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_secrets_crf, op3_media_copies, op4_simhash_golay, op5_warc_merkle, op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_secrets_crf, op3_media_copies, op4_simhash_golay, op5_warc_merkle,
+        op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate,
+    )
 }
 
 _RECORD = """'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n ||

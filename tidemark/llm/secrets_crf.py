@@ -80,13 +80,11 @@ def shape(token: str) -> list[str]:
     if digit and (lower or upper):
         out.append("alnum" + ("16" if n >= 16 else "8" if n >= 8 else ""))
         turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-        out.append(f"turns{min(turns, 6) if turns < 6 else 6}")
+        out.append(f"turns{min(turns, 6)}")
     if digit == n:
         out.append("number")
     if not digit and not sym:
         out.append("word")
-    if n == 1 and not token.isalnum():
-        out.append("mark")
     if "." in token and digit + token.count(".") == n:
         out.append("dotted")
     if n >= 12:
@@ -97,8 +95,6 @@ def shape(token: str) -> list[str]:
         out.append("link")
     if _CUES.search(token):
         out.append("cue")
-    if token in ":=\"'":
-        out.append("is" + token)
     return out
 
 
@@ -128,9 +124,9 @@ def features(tokens: list[str], k: int, file: list[str]) -> list[str]:
 
     own = shape(tokens[k])
     solid = "solid" if len(tokens[k]) >= 8 and ("word" not in own or len(tokens[k]) > 24) else "light"
-    return own + [f"p1{near(at(k - 1))}", f"n1{near(at(k + 1))}", f"p2{near(at(k - 2))}", f"p3{near(at(k - 3))}"] + [
-        f"{solid}|p1{near(at(k - 1))}", f"{solid}|p2{near(at(k - 2))}"
-    ] + [f"{f}|{solid}" for f in file]
+    one, two = near(at(k - 1)), near(at(k - 2))
+    beside = [f"p1{one}", f"p2{two}", f"p3{near(at(k - 3))}", f"n1{near(at(k + 1))}", f"{solid}|p1{one}", f"{solid}|p2{two}"]
+    return own + beside + [f"{f}|{solid}" for f in file]
 
 
 def training_texts(count: int = TRAINING_TEXTS, seed: int = 7):

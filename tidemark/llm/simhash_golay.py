@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_map, map_docs, saved, schema_of
+from .common import arrow_map, map_docs, parts, saved, schema_of
 from .components import components, forest
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -171,7 +171,7 @@ def block_forest(left: np.ndarray, right: np.ndarray, bits: int = MAX_BITS) -> l
 
 def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(u, v) links between distinct fingerprints whose closure is that of all links within ``bits``."""
-    keys = _keys(fps.repartition(1 + fps.count() // KEYED_ROWS))
+    keys = _keys(fps.repartition(parts(fps.count(), KEYED_ROWS)))
     shared = saved(
         keys.groupBy("key").agg(F.count("*").alias("size"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("u <> v")
     )

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import parts, saved
 
 FANOUT = 16
 #: Records of a volume; its tree has two levels of nodes above 256 records, then a root.
@@ -48,8 +48,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     whole = record_bytes(F.col(url_col), F.col(html_col))
     rows = pages.select(F.col(id_col).alias("record_id"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("digest"))
     rows = saved(rows)  # the texts are read once; what follows handles a hundred bytes a record
-    parts = max(1, rows.count() // 200_000)
-    ordered = rows.repartitionByRange(parts, "record_id", "digest").sortWithinPartitions("record_id", "digest")
+    ordered = rows.repartitionByRange(parts(rows.count(), 200_000), "record_id", "digest").sortWithinPartitions("record_id", "digest")
     inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's place in its partition
     ordered = saved(ordered.select("*", F.spark_partition_id().alias("part"), inside.alias("_n")))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)

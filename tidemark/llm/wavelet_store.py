@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, arrow_map, saved, schema_of, slices
+from .common import SLICE_ROWS, arrow_map, parts, saved, schema_of, slices
 
 MAGIC = b"WVM1"
 _HEAD = struct.Struct("<4sQQQQ")
@@ -271,7 +271,7 @@ def write_shards(
 
     total = docs.agg(F.sum(F.octet_length(text_col) + 16)).first()[0] or 0
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(int(1 + total // part_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(parts(total, part_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
     return saved(arrow_map(ordered, run, schema), path)
 
 
@@ -279,11 +279,11 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     """(part, seq, first): ids in all shards before each. One task adds up one row a part."""
     counts = shards.select("part", "seq", "n_tokens")
     before = W.rowsBetween(W.unboundedPreceding, -1)
-    parts = counts.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(
+    sums = counts.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(
         "part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("base")
     )
     inner = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("part", "seq", inner.alias("first")).join(parts, "part").select("part", "seq", (F.col("base") + F.col("first")).alias("first"))
+    return counts.select("part", "seq", inner.alias("first")).join(sums, "part").select("part", "seq", (F.col("base") + F.col("first")).alias("first"))
 
 
 def read_documents(shards: DataFrame, value: Callable[[bytes], object] = bytes, name: str = "ids", kind: str = "binary") -> DataFrame:
