@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import map_docs
 
+#: Pairs of ids whose rank a worker remembers.
+PAIRS = 500_000
 #: Pieces that a worker remembers; beyond it the memo starts afresh.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 400_000
 
 
 class MergeReplay:
@@ -42,7 +44,7 @@ class MergeReplay:
     def rank(self, key: int) -> int:
         """Rank of the token that two neighbours join into, -1 if there is none; key packs their ids."""
         known = self.pair_rank
-        if len(known) > 2_000_000:
+        if len(known) > PAIRS:
             known.clear()
         r = known[key] = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
         return r

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -31,6 +32,15 @@ BATCH_BYTES = 2 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+#: Partitions of a shuffle at most; beyond, partitions grow, are sorted with spills and streamed.
+MOST_PARTS = 20_000
+
+
+def parts(amount: int, each: int) -> int:
+    """Partitions for an amount of rows or bytes of which a task is meant to take ``each``."""
+    return int(min(MOST_PARTS, 1 + amount // each))
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -47,6 +57,14 @@ def shipped(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def _release() -> None:
+    """Give freed memory back: a Python worker lives on through many tasks of many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow with batches bounded in bytes, so that long texts do not pile up on either side.
 
@@ -56,7 +74,14 @@ def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
     conf = df.sparkSession.conf
     if int(conf.get(_BATCH_CONF, str(1 << 30)).rstrip("b")) > BATCH_BYTES:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(task, schema)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
