@@ -94,3 +94,22 @@ def test_media_query(spark):
     assert len(rows) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
     copies = [r["copy_found"] for r in rows if r["copy_found"] is not None]
     assert len(copies) == 5 and all(copies)
+
+
+def test_pairs_beside_the_first_of_a_bucket(spark):
+    """Pictures 20 and 30 match in four corners, each in buckets headed by other pictures of smaller ids."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(4):
+        d1, d2 = rng.integers(-(1 << 62), 1 << 62, 2).tolist()
+        x, y = 20.0 + 40 * k, 30.0 + 25 * k
+        rows += [(i, m._pack(x, y, 1.0, 0.0), d1, d2) for i in (20, 30)]
+        for first in range(2):  # far off, so no agreement on the shift
+            rows.append((2 * k + first, m._pack(300.0 + 90 * k, 500.0 * first + 70 * k * k, 1.0, 0.5 * k), d1, d2))
+    found = spark.createDataFrame(rows, m.CORNER)
+    for few, block in ((64, 512), (2, 2)):
+        m.FEW = few
+        try:
+            assert [tuple(r) for r in m.links(found, block=block).collect()] == [(20, 30)]
+        finally:
+            m.FEW = 64

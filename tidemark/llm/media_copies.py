@@ -4,12 +4,13 @@ Pictures (PGM, PPM or PNG bytes in a binary column) become grey pyramids. Corner
 response at several scales; each gets an orientation from the centroid of its neighbourhood and 128
 binary tests of smoothed pixels, turned by that orientation. Descriptors meet in Hamming tables: a band
 of 32 of the 128 bits is a key, so that two descriptors with at most three differing bits share one for
-certain and most with a few more do. In a bucket every picture is compared with the one of smallest id
-only; what that leaves unlinked is compared again with the smallest of the rest, for ``ROUNDS`` rounds. A
-pair of pictures is linked by geometric consensus: matched corners vote for scale, turn and shift, and
-enough different corners must agree. Links are closed to classes.
+certain and most with a few more do. A pair of pictures is linked by geometric consensus: matched corners
+vote for scale, turn and shift, and enough different corners must agree. Links are closed to classes.
 
-A bucket so costs rows in proportion to its size, however many pictures share it.
+In a bucket every picture is first compared with the one of smallest id, for ``ROUNDS`` rounds, which joins
+most copies at linear cost. Then every pair of pictures of a bucket that are not joined yet is compared, in
+tasks of at most two blocks, and votes anew with all its matches. So the classes are those of all pairs; a
+bucket of pictures that stay apart costs the square of its size in comparisons, and rows only for matches.
 
 Defined results: null or unreadable content has no corners and is a class of its own, as is a picture
 without corners; equal pictures are one class even so; repeated ids count as one picture for each
@@ -42,7 +43,10 @@ MAX_BITS = 20
 MIN_VOTES = 4
 #: Pixels within which the shifts of agreeing corners lie, or half of it.
 CELL = 12
+#: Rounds of comparison with the first picture of a bucket, before all pairs that these leave.
 ROUNDS = 2
+#: Buckets of more corners are compared in blocks of about so many.
+FEW, BLOCK = 64, 512
 _TURNS = 30
 _SEED = 31
 
@@ -233,28 +237,31 @@ def _tables(found: DataFrame) -> DataFrame:
     return found.select(F.explode(keys).alias("key"), "*")
 
 
-def _votes(matches: DataFrame) -> DataFrame:
-    """(a, b) pairs of pictures of which MIN_VOTES corners agree on scale, turn and shift."""
+def _part(col, shift, bits):
+    return F.shiftright(F.col(col), shift).bitwiseAND((1 << bits) - 1)
+
+
+def _place(col):
+    octaves = _part(col, 8, 8)
+    return _part(col, 36, 20) / 4, _part(col, 16, 20) / 4, F.when(octaves > 127, octaves - 256).otherwise(octaves) / 8.0, _part(col, 0, 8)
 
-    def part(col, shift, bits):
-        return F.shiftright(F.col(col), shift).bitwiseAND((1 << bits) - 1)
 
-    def signed(c):
-        return F.when(c > 127, c - 256).otherwise(c)
+def _grow_and_turn():
+    """Steps of scale and turn between the corners of a match."""
+    (_, _, sa, ta), (_, _, sb, tb) = _place("geo_a"), _place("geo_b")
+    turn = F.pmod(F.round(F.pmod(ta - tb, F.lit(256)) / 16), F.lit(16))
+    return F.round((sa - sb) * 2).cast("int").alias("grow"), turn.cast("int").alias("turn")
 
-    def place(col):
-        return part(col, 36, 20) / 4, part(col, 16, 20) / 4, signed(part(col, 8, 8)) / 8.0, part(col, 0, 8)
 
-    (xa, ya, sa, ta), (xb, yb, sb, tb) = place("geo_a"), place("geo_b")
-    grow, turn = sa - sb, F.pmod(ta - tb, F.lit(256))
-    angle, ratio = turn * (2 * np.pi / 256), F.pow(F.lit(2.0), grow)
+def _votes(matches: DataFrame) -> DataFrame:
+    """(a, b) pairs of pictures of which MIN_VOTES corners agree on scale, turn and shift."""
+    (xa, ya, sa, ta), (xb, yb, sb, tb) = _place("geo_a"), _place("geo_b")
+    angle, ratio = F.pmod(ta - tb, F.lit(256)) * (2 * np.pi / 256), F.pow(F.lit(2.0), sa - sb)
     shift_x = xa - ratio * (F.cos(angle) * xb - F.sin(angle) * yb)
     shift_y = ya - ratio * (F.sin(angle) * xb + F.cos(angle) * yb)
     # two grids for each coordinate, half a cell apart, so that no cell border splits an agreement
-    named = matches.select(
-        "a", "b", "geo_a", F.round(grow * 2).cast("int").alias("grow"), F.pmod(F.round(turn / 16), F.lit(16)).cast("int").alias("turn"),
-        shift_x.alias("sx"), shift_y.alias("sy"),
-    )
+    named = matches.select("a", "b", "geo_a", *_grow_and_turn(), shift_x.alias("sx"), shift_y.alias("sy"))
+
     def cell(i, j):
         across, down = F.floor(F.col("sx") / CELL + i / 2), F.floor(F.col("sy") / CELL + j / 2)
         return F.struct(F.lit(i * 2 + j).alias("grid"), across.alias("cx"), down.alias("cy"))
@@ -265,9 +272,8 @@ def _votes(matches: DataFrame) -> DataFrame:
     return cells.groupBy("a", "b", "grow", "turn", "grid", "cx", "cy").count().where(F.col("count") >= MIN_VOTES).select("a", "b").distinct()
 
 
-def links(found: DataFrame, max_bits: int = MAX_BITS, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v) pairs of pictures with geometric consensus, a bounded number for each corner."""
-    entries = _tables(found)
+def _first_links(entries: DataFrame, max_bits: int, rounds: int) -> DataFrame:
+    """(a, b) links of pictures with the first picture of their buckets: some of all links, at linear cost."""
     out = None
     for _ in range(rounds):
         firsts = saved(
@@ -275,13 +281,65 @@ def links(found: DataFrame, max_bits: int = MAX_BITS, rounds: int = ROUNDS) -> D
             .where("r.id < last").select("key", F.col("r.id").alias("a"), F.col("r.geo").alias("geo_a"), F.col("r.d1").alias("e1"), F.col("r.d2").alias("e2"))
         )
         met = entries.join(firsts, "key").where("id > a")
-        apart = F.bit_count(F.col("d1").bitwiseXOR(F.col("e1"))) + F.bit_count(F.col("d2").bitwiseXOR(F.col("e2")))
-        met = saved(met.select("key", "id", "geo", "d1", "d2", "a", "geo_a", apart.alias("apart")))
+        met = saved(met.select("key", "id", "geo", "d1", "d2", "a", "geo_a", _apart().alias("apart")))
         matches = met.where(F.col("apart") <= max_bits).select("a", F.col("id").alias("b"), "geo_a", F.col("geo").alias("geo_b")).distinct()
         linked = saved(_votes(matches))
         out = linked if out is None else out.unionByName(linked)
         entries = met.join(linked.select("a", F.col("b").alias("id")), ["a", "id"], "left_anti").select("key", "id", "geo", "d1", "d2")
-    return out.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return out
+
+
+def _apart():
+    return F.bit_count(F.col("d1").bitwiseXOR(F.col("e1"))) + F.bit_count(F.col("d2").bitwiseXOR(F.col("e2")))
+
+
+def _block_matches(group: pa.Table, max_bits: int) -> pa.Table:
+    """Matches between two blocks of a bucket, or within one, of pictures that are not linked yet."""
+    key, root, geo, d1, d2 = (group.column(n).to_numpy() for n in ("id", "root", "geo", "d1", "d2"))
+    i, j, own = (group.column(n).to_numpy() for n in ("i", "j", "own"))
+    u, v = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+    bits = sum(np.bitwise_count((d[u][:, None] ^ d[v][None, :]).view(np.uint64)).astype(np.int16) for d in (d1, d2))
+    x, y = np.nonzero((bits <= max_bits) & (root[u][:, None] != root[v][None, :]))
+    x, y = u[x], v[y]
+    x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
+    return pa.table({"a": key[x], "b": key[y], "geo_a": geo[x], "geo_b": geo[y]})
+
+
+def _rest_matches(entries: DataFrame, linked: DataFrame, max_bits: int, block: int) -> DataFrame:
+    """(a, b, geo_a, geo_b) of every pair in a bucket whose pictures ``linked`` does not join already."""
+    roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = entries.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "geo", "d1", "d2", F.coalesce("root", "id").alias("root"))
+    rooted = saved(rooted)
+    shared = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    sized = saved(rooted.join(shared.select("key", "size"), "key"))
+    few = sized.where(F.col("size") <= FEW)
+    left = few.select("key", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("geo").alias("geo_a"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    right = few.select(F.col("key").alias("_key"), F.col("id").alias("b"), "root", F.col("geo").alias("geo_b"), "d1", "d2")
+    met = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root")) & (_apart() <= max_bits)
+    cold = left.join(right, met).select("a", "b", "geo_a", "geo_b")
+    # a larger bucket is cut into blocks, each of which meets itself and every other block once
+    many = sized.where(F.col("size") > FEW).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("id", "geo"), F.col("blocks")).cast("int"))
+    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "geo", "d1", "d2"
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        return _block_matches(group, max_bits)
+
+    hot = dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, geo_a long, geo_b long")
+    # what cannot reach MIN_VOTES at its scale and turn goes before shifts are voted on
+    met = F.collect_set(F.struct("geo_a", "geo_b")).alias("met")
+    agreed = cold.unionByName(hot).groupBy("a", "b", *_grow_and_turn()).agg(met).where(F.size("met") >= MIN_VOTES)
+    return agreed.select("a", "b", F.inline("met"))
+
+
+def links(found: DataFrame, max_bits: int = MAX_BITS, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """(u, v) links whose closure is that of all pairs of pictures with geometric consensus."""
+    entries = saved(_tables(found))
+    linked = saved(_first_links(entries, max_bits, rounds))
+    rest = _votes(_rest_matches(entries, linked, max_bits, block))
+    return linked.unionByName(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def classes(pictures: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:

@@ -38,16 +38,17 @@ def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def draw(ids, arrays):
         plain = [media_copies.draw_vector(v) for v in arrays]
-        # the copy of picture k has the id -1 - k
-        edited = [(-1 - i, media_copies.cropped_copy(p)) for i, p in zip(ids, plain) if i is not None and i % 100 == 0]
-        return {"id": ids + [i for i, _ in edited], "content": plain + [p for _, p in edited]}
+        # picture k has the id 2 k and its copy 2 k + 1, so that copies come first in no bucket by their ids alone
+        edited = [(2 * i + 1, media_copies.cropped_copy(p)) for i, p in zip(ids, plain) if i is not None and i % 100 == 0]
+        return {"id": [None if i is None else 2 * i for i in ids] + [i for i, _ in edited], "content": plain + [p for _, p in edited]}
 
     pictures = map_docs(vectors, ["vec_id", "embedding"], draw, "id long, content binary")
     found = saved(media_copies.classes(pictures))
-    copies = found.where("id < 0").select((-1 - F.col("id")).alias("id"), F.col("class_id").alias("copy_class"))
+    is_copy, plain_id = F.col("id").bitwiseAND(1) == 1, F.shiftright("id", 1).alias("id")
+    copies = found.where(is_copy).select(plain_id, F.col("class_id").alias("copy_class"))
     # a class is named by the smallest id of a picture that is not a copy
-    names = found.where("id >= 0").groupBy("class_id").agg(F.min("id").alias("name"), F.count("*").alias("members"))
-    return found.where("id >= 0").select("id", "class_id", "n_corners").join(names, "class_id").join(copies, "id", "left").select(
+    names = found.where(~is_copy).groupBy("class_id").agg(F.min(plain_id).alias("name"), F.count("*").alias("members"))
+    return found.where(~is_copy).select(plain_id, "class_id", "n_corners").join(names, "class_id").join(copies, "id", "left").select(
         F.col("id").alias("vec_id"), F.col("name").alias("class_id"), "members", "n_corners",
         F.when(F.col("copy_class").isNotNull(), F.col("copy_class") == F.col("class_id")).alias("copy_found"),
     )
