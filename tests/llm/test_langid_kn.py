@@ -77,3 +77,12 @@ def test_operator_on_odd_rows(spark, model, odd_docs, no_docs):
     assert k.identify(no_docs, model).count() == 0
     empty = k.fit(no_docs)
     assert {r["lang_pred"] for r in k.identify(odd_docs, empty).collect()} == {"und"}
+
+
+def test_unseen_grams_have_no_counts():
+    """A million n-grams that the model has not seen find nothing beside a million that it has."""
+    rnd = np.random.default_rng(2)
+    keys = np.unique(rnd.integers(1, 1 << 62, 2_000_000, dtype=np.uint64))
+    seen, unseen = keys[::2], keys[1::2]
+    slots = np.unique(k.slot(seen))
+    assert len(slots) == len(seen) and not np.isin(k.slot(unseen), slots).any()

@@ -2,11 +2,10 @@
 
 Training counts all character 4-grams of all training rows: each task adds up its own share, Spark
 sums the shares by (language, 4-gram). Lower orders use continuation counts, which follow from the
-distinct higher-order types. The counts of each order are folded by hash into at most 2**SLOT_BITS
-slots a language, so what comes to the driver and what is sent to the tasks have bounds that the corpus
-cannot move: orders x 2 x 2**SLOT_BITS x 16 bytes a language (67 MB), and orders x 2**SLOT_BITS x (8 + 12 x
-languages) bytes (117 MB for four); far less for natural text. A model is a sorted array of slots for each
-order with a column of discounted counts for each language.
+distinct higher-order types. N-grams are kept exactly, packed in a long, so no two share a count and what
+was never seen has none. A model has, for each language and order, the sorted n-grams with their discounted
+counts (12 bytes each) and the sorted contexts (16 bytes each). It is gathered by the driver and sent to the
+tasks, and grows with the distinct n-grams of the corpus, not with its rows.
 
 A text is scored by its cross-entropy per character under every language; the lowest wins. The
 confidence is a calibrated logistic of how far the text lies from the winner's own training texts.
@@ -32,7 +31,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import arrow_map, filter_docs, map_docs, saved, schema_of, slices
 
 ORDER = 4
-SLOT_BITS = 19
 #: Characters are counted 16 bits each, so a 4-gram is one long; code points beyond are folded.
 _CHAR = 16
 UND = "und"
@@ -63,11 +61,8 @@ def grams(sym: np.ndarray, order: int) -> np.ndarray:
 
 
 def slot(packed: np.ndarray) -> np.ndarray:
-    """Hash of packed n-grams into 2**SLOT_BITS slots."""
-    h = packed * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    """Key of packed n-grams in a model: the n-gram itself, as a signed long."""
+    return packed.view(np.int64)
 
 
 def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -106,8 +101,8 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def folded_counts(counts: DataFrame) -> DataFrame:
-    """(lang, ord, kind, slot, n, types, once, twice): of n-grams (kind true) and of their contexts, in slots."""
-    schema = schema_of("lang string, ord int, kind boolean, slot int, n long")
+    """(lang, ord, kind, slot, n, types, once, twice): of n-grams (kind true) and of their contexts."""
+    schema = schema_of("lang string, ord int, kind boolean, slot long, n long")
     arrow = to_arrow_schema(schema)
 
     def slots(order):
@@ -117,7 +112,7 @@ def folded_counts(counts: DataFrame) -> DataFrame:
                 for kind, cut in ((True, packed), (False, packed >> np.uint64(_CHAR))):
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0), pa.array(np.full(len(cut), order, np.int32)), pa.array(np.full(len(cut), kind)),
-                         pa.array(slot(cut).astype(np.int32)), b.column(2)],
+                         pa.array(slot(cut)), b.column(2)],
                         schema=arrow,
                     )
 
@@ -137,48 +132,47 @@ def folded_counts(counts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Counts of every language in sorted slot arrays, one for each order, and probabilities made of them."""
+    """Counts of every language in sorted n-gram arrays, one for each order, and probabilities made of them."""
 
     def __init__(self, langs: list[str], table: dict[str, np.ndarray], ones: dict[tuple[str, int], tuple[int, int]]):
         """``table`` has lang (a place in ``langs``), ord, kind, slot, n and types of folded_counts; ``ones``
         how many n-grams of a language and order were counted once and twice."""
         self.langs = langs
-        self.keys, self.prob, self.context, self.back = {}, {}, {}, {}
-        n_langs = len(langs)
-        col = table["lang"]
+        self.grams, self.contexts = {}, {}
         for order in range(1, ORDER + 1):
-            of = (table["ord"] == order) & table["kind"]
-            keys = np.unique(table["slot"][of])
-            n = np.zeros((len(keys), n_langs))
-            n[np.searchsorted(keys, table["slot"][of]), col[of]] = table["n"][of]
-            ctx = (table["ord"] == order) & ~table["kind"]
-            ckeys = np.unique(table["slot"][ctx])
-            total, kinds = np.zeros((len(ckeys), n_langs)), np.zeros((len(ckeys), n_langs))
-            at = np.searchsorted(ckeys, table["slot"][ctx])
-            total[at, col[ctx]], kinds[at, col[ctx]] = table["n"][ctx], table["types"][ctx]
-            once, twice = np.array([ones.get((x, order), (0, 0)) for x in langs], float).reshape(-1, 2).T
-            discount = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9)
-            # the weight left for the lower order; all of it where the context is new
-            self.back[order] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0).astype(np.float32)
-            self.keys[order], self.context[order] = keys, (ckeys, total.astype(np.float32))
-            self.prob[order] = np.maximum(n - discount, 0).astype(np.float32)
+            for k, lang in enumerate(langs):
+                of = (table["ord"] == order) & (table["lang"] == k)
+                once, twice = ones.get((lang, order), (0, 0))
+                discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9))
+                keys, n, _ = self._sorted(table, of & table["kind"])
+                ckeys, total, kinds = self._sorted(table, of & ~table["kind"])
+                # what is not found has place -1: no count, and all weight for the lower order
+                self.grams[order, k] = keys, np.append(np.maximum(n - discount, 0), 0).astype(np.float32)
+                back = np.append(discount * kinds / np.maximum(total, 1), 1).astype(np.float32)
+                self.contexts[order, k] = ckeys, np.append(total, 0).astype(np.float32), back
+
+    def _sorted(self, table, of):
+        keys = table["slot"][of]
+        by = np.argsort(keys)
+        return keys[by], table["n"][of][by].astype(float), table["types"][of][by].astype(float)
 
     def _find(self, keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
         return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
 
-    def probability(self, packed: np.ndarray, order: int) -> np.ndarray:
-        """P(last character | the characters before) of packed n-grams, a column for each language."""
+    def probability(self, packed: np.ndarray, order: int, of: list[int] | None = None) -> np.ndarray:
+        """P(last character | the characters before) of packed n-grams, a column for each language, or those in ``of``."""
+        of = range(len(self.langs)) if of is None else of
         if order == 0:
-            return np.full((len(packed), len(self.langs)), 1.0 / (1 << _CHAR))
-        lower = self.probability(packed & np.uint64((1 << (_CHAR * (order - 1))) - 1), order - 1)
-        at = self._find(self.keys[order], slot(packed))
-        ckeys, total = self.context[order]
-        ctx = self._find(ckeys, slot(packed >> np.uint64(_CHAR)))
-        seen = np.where(ctx[:, None] >= 0, total[ctx], 0.0)
-        own = np.where(at[:, None] >= 0, self.prob[order][at], 0.0) / np.maximum(seen, 1.0)
-        back = np.where(ctx[:, None] >= 0, self.back[order][ctx], 1.0)
-        return np.where(seen > 0, own, 0.0) + back * lower
+            return np.full((len(packed), len(of)), 1.0 / (1 << _CHAR))
+        out = self.probability(packed & np.uint64((1 << (_CHAR * (order - 1))) - 1), order - 1, of)
+        wanted, before = slot(packed), slot(packed >> np.uint64(_CHAR))
+        for col, k in enumerate(of):
+            keys, count = self.grams[order, k]
+            ckeys, total, back = self.contexts[order, k]
+            ctx = self._find(ckeys, before)
+            out[:, col] = count[self._find(keys, wanted)] / np.maximum(total[ctx], 1.0) + back[ctx] * out[:, col]
+        return out
 
     def cross_entropies(self, texts: list[np.ndarray]) -> np.ndarray:
         """A row for each text; equal 4-grams of all texts are looked up once."""
@@ -233,7 +227,7 @@ class Identifier:
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
-    """Count all of ``train``, fold, and calibrate on up to ``calibration_rows`` rows spread over the ids.
+    """Count all of ``train`` and calibrate on up to ``calibration_rows`` rows spread over the ids.
 
     The calibration sample only places the rejection threshold; it does not touch the counts.
     """
