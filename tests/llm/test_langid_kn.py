@@ -86,3 +86,15 @@ def test_unseen_grams_have_no_counts():
     seen, unseen = keys[::2], keys[1::2]
     slots = np.unique(k.slot(seen))
     assert len(slots) == len(seen) and not np.isin(k.slot(unseen), slots).any()
+
+
+def test_calibration_is_on_all_rows(spark):
+    """5,000 rows of one language and 7 of another: the threshold of each is that of all its rows."""
+    rnd = random.Random(4)
+    words = {"x": "stone water light under garden river often seldom".split(), "y": "haus baum wolke nicht garten immer fluss selten".split()}
+    rows = [(i, " ".join(rnd.choices(words[lang], k=rnd.randint(1, 12))), lang) for i, lang in enumerate("x" * 5_000 + "y" * 7)]
+    found = k.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for place, lang in enumerate("xy"):
+        ce = found.model.cross_entropies([k.symbols(t) for _, t, x in rows if x == lang])[:, place]
+        assert abs(found.mean[place] - np.median(ce)) < 0.002
+        assert abs(found.spread[place] - max(0.1, np.percentile(ce, 95) - np.median(ce))) < 0.003

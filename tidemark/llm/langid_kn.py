@@ -34,8 +34,8 @@ ORDER = 4
 #: Characters are counted 16 bits each, so a 4-gram is one long; code points beyond are folded.
 _CHAR = 16
 UND = "und"
-#: Training rows, spread over the ids by hash, on which the rejection is calibrated.
-CALIBRATION_ROWS = 2_000
+#: Steps of a nat in which the cross-entropies of training rows are counted to calibrate the rejection.
+CALIBRATION_STEPS = 1_000
 #: Texts whose score is lower are rejected.
 REJECT = 0.02
 
@@ -174,23 +174,31 @@ class Model:
             out[:, col] = count[self._find(keys, wanted)] / np.maximum(total[ctx], 1.0) + back[ctx] * out[:, col]
         return out
 
-    def cross_entropies(self, texts: list[np.ndarray]) -> np.ndarray:
-        """A row for each text; equal 4-grams of all texts are looked up once."""
+    def cross_entropies(self, texts: list[np.ndarray], of: list[int] | None = None) -> np.ndarray:
+        """A row for each text, a column for each language or those in ``of``; equal 4-grams of all texts are looked up once."""
         packed = [grams(s, min(ORDER, len(s))) for s in texts]
-        out = np.zeros((len(texts), len(self.langs)))
+        out = np.zeros((len(texts), len(self.langs if of is None else of)))
         whole = [k for k, s in enumerate(texts) if len(s) >= ORDER]
         if whole:
             flat, at = np.unique(np.concatenate([packed[k] for k in whole]), return_inverse=True)
-            logs = -np.log(self.probability(flat, ORDER))
+            logs = -np.log(self.probability(flat, ORDER, of))
             ends = np.cumsum([0] + [len(packed[k]) for k in whole])
             for k, a, b in zip(whole, ends, ends[1:]):
                 out[k] = logs[at[a:b]].sum(axis=0) / (b - a)
         for k, s in enumerate(texts):
             if 0 < len(s) < ORDER:
-                out[k] = -np.log(self.probability(grams(s, len(s)), len(s)))[0]
+                out[k] = -np.log(self.probability(grams(s, len(s)), len(s), of))[0]
         return out
 
 
+def _quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """Of sorted values with their counts, between ranks as numpy's percentile."""
+    ends = np.cumsum(counts)
+    rank = q * (ends[-1] - 1)
+    low, high = (values[np.searchsorted(ends, r, side="right")] for r in (np.floor(rank), np.ceil(rank)))
+    return float(low + (high - low) * (rank % 1))
+
+
 class Identifier:
     """A model with its calibration: per language the mean and spread of its own texts' cross-entropy."""
 
@@ -199,13 +207,14 @@ class Identifier:
         self.mean = np.zeros(len(model.langs))
         self.spread = np.ones(len(model.langs))
 
-    def calibrate(self, rows: list[tuple[str, str]]) -> None:
-        for k, lang in enumerate(self.model.langs):
-            own = [s for t, x in rows if x == lang and len(s := symbols(t))]
-            if own:
-                ce = self.model.cross_entropies(own)[:, k]
-                self.mean[k] = np.median(ce)
-                self.spread[k] = max(0.1, np.percentile(ce, 95) - np.median(ce))
+    def calibrate(self, cells: list[tuple[int, int, int]]) -> None:
+        """``cells`` are (place of the language, cross-entropy in CALIBRATION_STEPS, rows) over all training rows."""
+        for k in range(len(self.model.langs)):
+            own = np.array(sorted((step, n) for lang, step, n in cells if lang == k), np.int64).reshape(-1, 2)
+            if len(own):
+                middle, high = (_quantile(own[:, 0], own[:, 1], q) / CALIBRATION_STEPS for q in (0.5, 0.95))
+                self.mean[k] = middle
+                self.spread[k] = max(0.1, high - middle)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         syms = [symbols(t) for t in texts]
@@ -226,11 +235,29 @@ class Identifier:
         return langs, scores
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
-    """Count all of ``train`` and calibrate on up to ``calibration_rows`` rows spread over the ids.
+def _calibration(rows: DataFrame, model: Model, text_col: str, lang_col: str) -> list[tuple[int, int, int]]:
+    """Rows of each language by the cross-entropy under their own language, a few thousand cells a language."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def own(texts, labels):
+        model, out = shared.value, [None] * len(texts)
+        places = {lang: k for k, lang in enumerate(model.langs)}
+        by_lang: dict = {}
+        for at, (text, label) in enumerate(zip(texts, labels)):
+            if label in places and len(s := symbols(text)):
+                by_lang.setdefault(places[label], []).append((at, s))
+        for k, found in by_lang.items():
+            ce = model.cross_entropies([s for _, s in found], [k])[:, 0]
+            for (at, _), step in zip(found, np.rint(ce * CALIBRATION_STEPS).astype(int).tolist()):
+                out[at] = step
+        return {"lang": [places.get(x) for x in labels], "step": out}
+
+    cells = map_docs(rows, [text_col, lang_col], own, "lang int, step int").where("step is not null")
+    return [tuple(r) for r in cells.groupBy("lang", "step").count().collect()]
+
 
-    The calibration sample only places the rejection threshold; it does not touch the counts.
-    """
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
+    """Count all rows of ``train``, then calibrate the rejection on all of them."""
     folded = saved(folded_counts(saved(gram_counts(train, text_col, lang_col))))
     sums = folded.where("kind").groupBy("lang", "ord").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).collect()
     langs = sorted({r["lang"] for r in sums})
@@ -242,10 +269,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     table = {n: small.column(n).to_numpy(zero_copy_only=False) for n in small.column_names}
     found = Identifier(Model(langs, table, {(r["lang"], r["ord"]): (r["once"], r["twice"]) for r in sums}))
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = rows.count()
-    step = max(1, total // max(1, calibration_rows))
-    sample = rows.where(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0).select(text_col, lang_col).limit(calibration_rows)
-    found.calibrate([tuple(r) for r in sample.toLocalIterator()])
+    found.calibrate(_calibration(rows, found.model, text_col, lang_col))
     return found
 
 
