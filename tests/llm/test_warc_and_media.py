@@ -39,6 +39,13 @@ def test_audit_of_other_lengths_and_odd_rows(spark):
     assert wm.audit(none, none).count() == 0
 
 
+def test_audit_of_lost_added_and_lengthened_records(spark):
+    one = wm.records(pages(spark, 60, skip=(20,)), volume_records=16)
+    other = wm.records(pages(spark, 60, lambda k, h: h + "more" if h and k == 33 else h, skip=(7,)), volume_records=16)
+    found = {(r["record_id"], r["other_record_id"], r["kind"], r["volume"], r["slot"]) for r in wm.audit(one, other).collect()}
+    assert found == {(7, None, "missing", 0, 7), (None, 20, "added", 1, 3), (33, 33, "changed", 2, 0)}
+
+
 def test_warc_query_against_duckdb(spark):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{SF}/pages.parquet'")

@@ -3,15 +3,18 @@
 A table of pages is laid out as WARC/1.1 response records, in order of page_id, over volumes of a set
 number of records. Each record has an offset and a length in its volume. A volume's tree has the digests of
 its records as leaves; a node covers an ordered range of ``FANOUT`` children and hashes their digests in
-order. The roots of two replicas are compared, and only the children of nodes that differ are compared
+order. For an audit the other replica is laid out on the places of the reference, record by record_id and
+repeat number, so a lost, added or lengthened record shifts no other. The roots of the two are compared, and only the children of nodes that differ are compared
 further, level by level down to the records.
 
 Everything is DataFrame work: a node gathers at most FANOUT digests, a volume is addressed by its
 number, and positions come from range partitions and their counts, so nothing is sorted in one task.
 
 Defined results: null url or html are empty; repeated page_ids are ordered by record digest; null page_ids
-come first; an empty table has no volumes and audits clean; a record that one replica lacks, or has in
-addition, is located like a changed one. Extra columns are ignored.
+come first; an empty table has no volumes and audits clean; a record that the other replica lacks is
+located at its place in the reference, one that it has in addition at its place in the other replica. Repeats
+of an id are paired in order of digest, so damage to one of them may show at others of the same id. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,9 +68,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 def tree(layout: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """(volume, level, node, digest): level 0 are the records, the highest level of a volume is its root.
 
-    A leaf hashes the offset range and the record's digest, so moved records show as well.
+    A leaf hashes the record's length and digest, not its offset, which any longer record before it moves.
     """
-    leaf = F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest"), 256)
+    leaf = F.sha2(F.concat_ws(":", F.col("length").cast("string"), "digest"), 256)
     level = layout.select("volume", F.lit(0).alias("level"), F.col("slot").alias("node"), leaf.alias("digest"))
     levels, size, k = [level], VOLUME_RECORDS, 0
     while size > 1:
@@ -109,19 +112,37 @@ def differing(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFra
     return bad.select("volume", F.col("node").alias("slot"))
 
 
+def _repeats(layout: DataFrame) -> DataFrame:
+    """The layout with each record's number among those of the same id, as ``repeat``."""
+    per = (layout.agg(F.max("slot")).first()[0] or 0) + 1
+    row = F.col("volume") * per + F.col("slot")
+    firsts = layout.groupBy(F.col("record_id").alias("_id")).agg(F.min(row).alias("_first"))
+    return layout.join(firsts, F.col("record_id").eqNullSafe(F.col("_id"))).withColumn("repeat", row - F.col("_first")).drop("_id", "_first")
+
+
+def aligned(one: DataFrame, other: DataFrame) -> DataFrame:
+    """``other`` on the places of ``one``; records that ``one`` lacks keep their slot, in volume -1 - their own."""
+    places = _repeats(one).select(
+        F.col("record_id").alias("_id"), F.col("repeat").alias("_repeat"), F.col("volume").alias("_volume"), F.col("slot").alias("_slot")
+    )
+    met = F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("repeat") == F.col("_repeat"))
+    return _repeats(other).join(places, met, "left").select(
+        "record_id", F.coalesce("_volume", -1 - F.col("volume")).alias("volume"), F.coalesce("_slot", "slot").alias("slot"), "offset", "length", "digest"
+    )
+
+
 def audit(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Located differences of two layouts: (volume, slot, record_id, offset, length, digest, and the other's).
 
-    A slot that both hold with another offset alone is reported as moved.
+    ``one`` is the reference, on whose layout the other is compared.
     """
-    one, other = saved(one), saved(other)
+    one = saved(one)
+    other = saved(aligned(one, saved(other)))
     bad = differing(saved(tree(one, fanout)), saved(tree(other, fanout)), fanout)
     names = ["record_id", "offset", "length", "digest"]
     found = bad.join(one, ["volume", "slot"], "left").join(
         other.select("volume", "slot", *(F.col(n).alias(f"other_{n}") for n in names)), ["volume", "slot"], "left"
     )
-    kind = (
-        F.when(F.col("other_digest").isNull(), "missing").when(F.col("digest").isNull(), "added")
-        .when(F.col("digest") != F.col("other_digest"), "changed").otherwise("moved")
-    )
-    return found.select("volume", "slot", *names, *(f"other_{n}" for n in names), kind.alias("kind"))
+    kind = F.when(F.col("other_digest").isNull(), "missing").when(F.col("digest").isNull(), "added").otherwise("changed")
+    volume = F.when(F.col("volume") < 0, -1 - F.col("volume")).otherwise(F.col("volume")).alias("volume")
+    return found.select(volume, "slot", *names, *(f"other_{n}" for n in names), kind.alias("kind"))
