@@ -23,13 +23,17 @@ def test_matrix_against_a_list():
             at = np.nonzero(ids == v)[0]
             assert m.count(v) == len(at) and m.count(v, n // 4, n // 2) == ((at >= n // 4) & (at < n // 2)).sum()
             assert [m.find(v, k) for k in range(min(30, len(at)))] == at[:30].tolist()
+            assert m.find_all(v).tolist() == at.tolist()
+        rare = ids.copy()
+        rare[::97] = min(n + 50_000, 65_000)
+        assert w.unpack(w.pack([1], np.array([n]), rare))[2].find_all(int(rare[0])).tolist() == list(range(0, n, 97))
 
 
 def test_encoder_like_the_library():
     rnd = random.Random(1)
     texts = ["".join(rnd.choice("aB'sé \n\t\x01\x85 ﬁ1!~İΣ́a<|endoftext|>À×÷ÿß.,-µ") for _ in range(rnd.randint(0, 60))) for _ in range(2000)]
+    texts += [f"{a}<|endoftext|>{b}<|startoftext|> {a}" for a, b in zip(texts[:200], texts[200:400])] + ["<|endoftext|>", "x <|ENDOFTEXT|> y", "a" * 200]
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in w.WordEncoder(PATH).encode_texts(texts)] == want
 

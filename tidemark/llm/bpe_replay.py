@@ -26,8 +26,10 @@ from .common import map_docs
 
 #: Pairs of ids whose rank a worker remembers.
 PAIRS = 500_000
-#: Pieces that a worker remembers; beyond it the memo starts afresh.
-MEMO_PIECES = 400_000
+#: Pieces that a worker remembers, and the characters of one at most; beyond them the memo starts afresh,
+#: and longer pieces are forgotten after their slice. So a memo has at most some 150 bytes a piece and
+#: 5 bytes a character of them.
+MEMO_PIECES, MEMO_PIECE = 400_000, 128
 
 
 class MergeReplay:
@@ -155,7 +157,11 @@ class MergeReplay:
         for p, ids in zip(todo, self.replay([p.encode() for p in todo])):
             memo[p] = ids.astype("<u4").tobytes()
         get = memo.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
+        out = [b"".join(map(get, ps)) for ps in split]
+        for p in new:
+            if len(p) > MEMO_PIECE:
+                del memo[p]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))

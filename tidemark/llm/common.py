@@ -68,11 +68,12 @@ def _release() -> None:
 def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow with batches bounded in bytes, so that long texts do not pile up on either side.
 
-    Sets the session's bound on Arrow batches to BATCH_BYTES where it is larger; results do not depend on it.
+    Where the session has no bound on Arrow batches it gets BATCH_BYTES; a bound that is set, in whatever
+    unit, stays as it is. Results do not depend on it.
     """
     shipped(df.sparkSession)
     conf = df.sparkSession.conf
-    if int(conf.get(_BATCH_CONF, str(1 << 30)).rstrip("b")) > BATCH_BYTES:
+    if conf.get(_BATCH_CONF, None) is None:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
     def task(batches):
@@ -149,20 +150,41 @@ def rewrite_docs(docs: DataFrame, text_col: str, change: Callable[[list], list])
     return arrow_map(docs, run, docs.schema)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under the shared folder that the cluster names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+_LEAVING: set[str] = set()
+
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder for a table under the shared folder that the cluster names in spark.checkpoint.dir.
 
-def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    All tables of an application lie in one folder, which the driver's JVM deletes when it ends. Where the
+    setting is missing, a local master takes /tmp/checkpoints; a cluster has no shared folder then and raises.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "/tmp/checkpoints"
+    app = spark.sparkContext.applicationId
+    top = f"{base.rstrip('/')}/tables/{app}"
+    if top not in _LEAVING:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _LEAVING.add(top)
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
     """Cut lineage: write the rows once as a table in the shared folder and read them back.
 
-    Survives lost executors like checkpoint(), without computing a map-only plan twice.
+    Survives lost executors like checkpoint(), without computing a map-only plan twice. ``by`` names a
+    column of few values that splits the table into folders, so that a filter on it reads its own alone.
     """
     spark = df.sparkSession
     path = path or scratch_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    out = df.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,10 +6,11 @@ rank directory. Access, counting and finding occurrences work on the planes alon
 rebuilt for them. Payloads are rows of a Parquet table, one row a shard, so they can live in any
 store that Spark writes to and be read back from wherever they lie.
 
-Payload, little-endian: magic ``WVM1``; counts of tokens, documents and planes (three uint64); length of
+Payload, little-endian: magic ``WVM2``; counts of tokens, documents and planes (three uint64); length of
 the compressed part (uint64); zstd of (doc ids int64, id-is-null uint8, lengths uint32, planes as packed
-bits, highest first). The rank directory (a count for each 512 bits, under 7 % of the planes) is rebuilt
-when a payload is opened.
+bits, highest first, then for each plane its rank directory: uint32 ones before each 512 bits and in all).
+
+Ids are those of the tokenizer as its file has it: the text of a special token is that token.
 
 Defined results: null or empty text has the end id alone; rows come in ascending doc_id order, null ids
 first, repeated ids in the order of their texts. Extra columns are ignored.
@@ -32,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import SLICE_ROWS, arrow_map, parts, saved, schema_of, slices
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 _HEAD = struct.Struct("<4sQQQQ")
 _BLOCK = 512
 #: Text bytes after which a shard is closed, and that a task's range is meant to hold.
@@ -40,22 +41,26 @@ SHARD_BYTES = 2 << 20
 PART_BYTES = 16 << 20
 #: Shards, of 16 bytes, whose starts are broadcast at most; more are joined by a shuffle.
 SENT_SHARDS = 500_000
-#: Words whose ids a worker remembers; beyond it the memo starts afresh.
-MEMO_WORDS = 1_500_000
+#: Words whose ids a worker remembers, and the bytes of one at most; beyond them the memo starts afresh, and
+#: longer words are not remembered. Words are 7 bytes on average, so a memo has some 300 MB at most.
+MEMO_WORDS, MEMO_WORD = 1_500_000, 64
 
 
 class WaveletMatrix:
-    def __init__(self, planes: list[np.ndarray], n: int):
-        """``planes``: packed bits of each level, highest bit first."""
+    def __init__(self, planes: list[np.ndarray], n: int, ranks: list[np.ndarray] | None = None):
+        """``planes``: packed bits of each level, highest bit first; ``ranks``: their directories, counted if not given."""
         self.n, self.planes = n, planes
         self.bits = len(planes)
-        self.ranks, self.zeros = [], []
-        for plane in planes:
-            ones = np.bitwise_count(plane).astype(np.int64)
-            padded = np.zeros(-(-len(ones) // (_BLOCK // 8)) * (_BLOCK // 8), np.int64)
-            padded[: len(ones)] = ones
-            self.ranks.append(np.concatenate([[0], np.cumsum(padded.reshape(-1, _BLOCK // 8).sum(axis=1))]))
-            self.zeros.append(n - int(ones.sum()))
+        self.ranks = [self.directory(p) for p in planes] if ranks is None else ranks
+        self.zeros = [n - int(r[-1]) for r in self.ranks]
+
+    @staticmethod
+    def directory(plane: np.ndarray) -> np.ndarray:
+        """Ones before each block of a plane, and at last in all."""
+        ones = np.bitwise_count(plane)
+        padded = np.zeros(-(-len(ones) // (_BLOCK // 8)) * (_BLOCK // 8), np.uint8)
+        padded[: len(ones)] = ones
+        return np.append(0, np.cumsum(padded.reshape(-1, _BLOCK // 8).sum(axis=1, dtype=np.int64)))
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
@@ -123,6 +128,28 @@ class WaveletMatrix:
             i = self._select(level, 1, i - self.zeros[level]) if bit else self._select(level, 0, i)
         return i
 
+    def find_all(self, value: int) -> np.ndarray:
+        """Positions of all occurrences of a value, ascending: each level is gone up for all of them at once."""
+        if value >> self.bits:
+            return np.zeros(0, np.int64)
+        at = np.arange(*self._range(value, 0, self.n), dtype=np.int64)
+        for level in range(self.bits - 1, -1, -1):
+            bit = value >> (self.bits - 1 - level) & 1
+            at = self._select_all(level, bit, at - self.zeros[level] if bit else at)
+        return np.sort(at)
+
+    def _select_all(self, level: int, bit: int, ks: np.ndarray) -> np.ndarray:
+        plane, ranks = self.planes[level], self.ranks[level]
+        if len(ks) * _BLOCK > self.n:  # so many that the whole plane is read but once
+            return np.flatnonzero(np.unpackbits(plane, count=self.n, bitorder="little") == bit)[ks]
+        counts = ranks if bit else np.minimum(np.arange(len(ranks)) * _BLOCK, self.n) - ranks
+        block = np.searchsorted(counts, ks, side="right") - 1
+        width = _BLOCK // 8
+        cells = np.pad(plane, (0, width))[(block * width)[:, None] + np.arange(width)]
+        same = np.unpackbits(cells, axis=1, bitorder="little") == bit
+        order = np.cumsum(same, axis=1, dtype=np.int32) == (ks - counts[block] + 1)[:, None]
+        return block * _BLOCK + (order & same).argmax(axis=1)
+
     def decode(self) -> np.ndarray:
         """All values in order: each level's partition is undone, the lowest first."""
         value = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
@@ -142,7 +169,7 @@ def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> byt
     body = zstandard.ZstdCompressor(level=1).compress(
         b"".join(
             [np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(),
-             lengths.astype("<u4").tobytes(), *(p.tobytes() for p in matrix.planes)]
+             lengths.astype("<u4").tobytes(), *(p.tobytes() for p in matrix.planes), *(r.astype("<u4").tobytes() for r in matrix.ranks)]
         )
     )
     return _HEAD.pack(MAGIC, len(ids), len(doc_ids), matrix.bits, len(body)) + body
@@ -159,7 +186,9 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     lengths = np.frombuffer(body, "<u4", docs, 9 * docs)
     at, width = 13 * docs, -(-n // 8)
     planes = [np.frombuffer(body, np.uint8, width, at + k * width) for k in range(bits)]
-    return [None if x else int(d) for d, x in zip(ids, null)], lengths, WaveletMatrix(planes, n)
+    at, entries = at + bits * width, -(-width // (_BLOCK // 8)) + 1
+    ranks = [np.frombuffer(body, "<u4", entries, at + 4 * entries * k).astype(np.int64) for k in range(bits)]
+    return [None if x else int(d) for d, x in zip(ids, null)], lengths, WaveletMatrix(planes, n, ranks)
 
 
 #: Words that the tokenizer's normaliser and splitter leave as they are but for case, and marks behind
@@ -180,7 +209,6 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.symbols = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
@@ -203,7 +231,8 @@ class WordEncoder(dict):
                 ids += self._tail(m[2])
         else:
             ids = self._whole(text)
-        self[word] = ids
+        if len(word) <= MEMO_WORD:
+            self[word] = ids
         return ids
 
     def _whole(self, text: str) -> bytes:
@@ -323,8 +352,7 @@ def occurrences(shards: DataFrame, token_id: int) -> DataFrame:
         for part in slices(batches, 1):
             doc_ids, lengths, matrix = unpack(part.column(0)[0].as_py())
             ends = np.cumsum(lengths.astype(np.int64))
-            places = np.array([matrix.find(token_id, k) for k in range(matrix.count(token_id))], np.int64)
-            per = np.bincount(np.searchsorted(ends, places, side="right"), minlength=len(doc_ids))
+            per = np.bincount(np.searchsorted(ends, matrix.find_all(token_id), side="right"), minlength=len(doc_ids))
             keep = np.nonzero(per)[0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([doc_ids[k] for k in keep], pa.int64()), pa.array(per[keep].astype(np.int64))], schema=arrow
