@@ -35,17 +35,82 @@ def test_spans_hold_the_same_words(spark):
         words = " ".join(texts[r["doc_id"]].split()[r["start"] : r["stop"]])
         assert words in " ".join(texts[r["first_doc"]].split()) or r["keep"]
         assert words in p or words in q
+        assert r["n_words"] >= 50
+    assert {(r["doc_id"], r["n_words"]) for r in rows} == {(1, 60), (2, 60), (2, 80), (3, 80), (5, 60)}  # edges are exact
     clean = {r["doc_id"]: r["text"] for r in s.without_repeats(docs).collect()}
     assert clean[1] == texts[1] and clean[4] == texts[4]
     assert len(clean[2].split()) < len(texts[2].split()) and len(clean[3].split()) < 60
 
 
+def brute(docs):
+    """For each document the words that lie in a run of MIN_SPAN words or more that another document has."""
+    runs: dict = {}
+    for doc, text in docs:
+        w = text.split()
+        for k in range(len(w) - s.MIN_SPAN + 1):
+            runs.setdefault(tuple(w[k : k + s.MIN_SPAN]), []).append((doc, k))
+    out: dict = {}
+    for places in runs.values():
+        if len({d for d, _ in places}) > 1:
+            for d, k in places:
+                out.setdefault(d, set()).update(range(k, k + s.MIN_SPAN))
+    return out
+
+
+def test_query_against_brute_force(spark):
+    """Every word that the query reports is in a run that others have; all but a few in a thousand of those are reported."""
+    from tidemark.llm import queries
+
+    from .conftest import SF
+
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    want, got = brute(texts.items()), {}
+    rows = queries.op1_substring_dedup(spark, SF).collect()
+    for r in rows:
+        assert r["stop"] - r["start"] == r["n_words"] >= s.MIN_SPAN
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["stop"]))
+    assert want and set(got) == set(want)
+    assert all(got[d] <= want[d] for d in got)
+    assert sum(map(len, got.values())) > 0.99 * sum(map(len, want.values()))
+    for r in rows:
+        assert r["first_doc"] == r["doc_id"] if r["keep"] else r["first_doc"] < r["doc_id"]
+
+
+def test_shared_runs_below_the_shortest_span_are_left_alone(spark):
+    rnd = random.Random(9)
+    p, q = prose(rnd, 49), prose(rnd, 51)
+    docs = spark.createDataFrame([(k, f"{prose(rnd, 60)} {p if k < 5 else q} {prose(rnd, 60)}") for k in range(10)], "doc_id long, text string")
+    rows = s.repeated_spans(docs).collect()
+    assert {(r["doc_id"], r["n_words"]) for r in rows} == {(k, 51) for k in range(5, 10)}
+
+
+def test_runs_of_few_words_are_cut_too(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 100), (2, "x y " + "a b c " * 90), (3, "same " * 80), (4, "same " * 70)], "doc_id long, text string")
+    assert {r["doc_id"] for r in s.repeated_spans(docs).collect()} == {1, 2, 3, 4}
+
+
+def test_texts_of_one_id_and_clashing_columns(spark):
+    """One id with several texts: positions do not mix, and a text that shares nothing stays as it is."""
+    rnd = random.Random(10)
+    shared, apart = prose(rnd, 80), prose(rnd, 120)
+    rows = [(1, f"{shared} {prose(rnd, 30)}"), (2, f"{prose(rnd, 10)} {shared}"), (2, apart), (3, f"{prose(rnd, 20)} {shared}"), (3, f"{shared} {prose(rnd, 5)}"), (None, f"{shared} x")]
+    docs = spark.createDataFrame([(k, t, "_id", "t", 1) for k, t in rows], "number long, body string, _id string, t string, start int")
+    out = s.without_repeats(docs, id_col="number", text_col="body")
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    texts = [(r["number"], r["body"]) for r in out.collect()]
+    assert (2, apart) in texts and rows[0] in texts and rows[-1] in texts
+    assert sorted(len(t.split()) for k, t in texts if k == 3) == [5, 20] and (2, " ".join(rows[1][1].split()[:10])) in texts
+    one = spark.createDataFrame([(7, f"{shared} {prose(rnd, 9)}"), (7, f"{prose(rnd, 9)} {shared}")], "doc_id long, text string")
+    assert len(s.repeated_spans(one).collect()) == 2
+
+
 def test_both_joins_agree_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     rnd = random.Random(7)
     hot = prose(rnd, 90)
     docs = spark.createDataFrame([(k, f"{prose(rnd, 10)} {hot if k % 3 == 0 else prose(rnd, 90)}") for k in range(200)], "doc_id long, text string")
     one = sorted(map(tuple, s.repeated_spans(docs).collect()))
     monkeypatch.setattr(s, "SENT_DIGESTS", -1)
+    monkeypatch.setattr(s, "SENT_DOCS", -1)
     assert one == sorted(map(tuple, s.repeated_spans(docs).collect()))
     assert {r[0] for r in one} == set(range(0, 200, 3))
     assert s.repeated_spans(odd_docs).count() == 0 and s.repeated_spans(no_docs).count() == 0

@@ -14,7 +14,7 @@ from .common import held_out, map_docs, saved, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("t")
 
 
 def op2_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

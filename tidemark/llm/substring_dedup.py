@@ -7,12 +7,19 @@ come back into step right after an insertion. From every cut a chunk runs to the
 ``MIN_WORDS`` words further; chunks are variable and overlap, so that a passage of over 50 words holds a
 whole one wherever its edges fall. Chunks are deduplicated by a 128-bit digest of their words.
 
-Chunks that other documents hold too are merged into spans. Each span has the smallest doc_id that holds
-one of its chunks, which keeps its copy; the others may drop theirs.
+Chunks that other documents hold too are merged into stretches, those with the same first holder by
+themselves. Chunks end inside what is shared, so the
+edges are found by exact comparison: every window of ``MIN_SPAN`` words that contains the first or the last
+MIN_WORDS words of a stretch, or in the first holder any such part of it, is digested too, and those that another document holds widen it. A span is what then has MIN_SPAN words or more;
+shorter stretches are no repeats. Each span has the smallest doc_id that holds one of its parts, which keeps
+its copy; the others may drop theirs.
+
+A document is an id with a text: rows with the same id and other texts are other documents, rows with equal
+id and text are one.
 
 Defined results: null or empty text has no spans; repeats inside one document alone are not reported; rows
-with equal id and text count as one document; rows with a null id are not compared. Extra columns are
-ignored.
+with a null id are not compared; words are runs without ASCII white space, so a text without it has one word.
+Extra columns are ignored, and stay where rows are returned.
 """
 
 from __future__ import annotations
@@ -29,12 +36,16 @@ from .common import SLICE_ROWS, arrow_map, saved, schema_of, slices
 
 MIN_WORDS = 12
 REACH = 4
+#: Words of the shortest span that is a repeat.
+MIN_SPAN = 50
+#: Documents, of some 100 bytes, whose stretches are broadcast at most; more are joined by a shuffle.
+SENT_DOCS = 100_000
 #: Digests of 24 bytes that are broadcast at most; more are joined by a shuffle.
 SENT_DIGESTS = 200_000
 WINDOW = 16
 _GEAR_SEED = 20_240_607
 
-CHUNKS = "doc_id long, start int, stop int, d1 long, d2 long"
+CHUNKS = "doc_id long, t long, start int, stop int, d1 long, d2 long"
 
 
 def _gear() -> np.ndarray:
@@ -57,95 +68,165 @@ def gear_hash(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Positions whose hash is below all to the left, and not above any to the right, within reach."""
+    """Positions whose hash is not above any within reach, so that runs of few different words are cut too."""
     n = len(hashes)
     ok = np.ones(n, bool)
     for k in range(1, reach + 1):
-        ok[k:] &= hashes[k:] < hashes[:-k]
+        ok[k:] &= hashes[k:] <= hashes[:-k]
         ok[:-k] &= hashes[:-k] <= hashes[k:]
-    ok[:reach] = False  # what stands before decides, so the edges cut nothing
+    ok[:reach] = False  # what stands before decides, so nothing near the edges is cut
     ok[n - reach :] = False
     return np.nonzero(ok)[0]
 
 
-def chunks(text: str | None, min_words: int = MIN_WORDS, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word behind the last, 16-byte digests) of the chunks of a text."""
-    none = np.zeros(0, np.int64)
+def _laid(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Words joined by single spaces, and where each begins and ends."""
     words = text.encode().split() if text else []
-    if len(words) < min_words:
-        return none, none, np.zeros((0, 2), np.int64)
-    joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    # the hash before a word is that of the bytes up to the space in front of it
-    at = cuts(gear_hash(np.frombuffer(joined, np.uint8))[starts[1:] - 1], reach) + 1
-    to = np.searchsorted(at, at + min_words)
-    first, last = at[to < len(at)], at[to[to < len(at)]]
+    return b" ".join(words), ends - size, ends
+
+
+def _digests(joined: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     digest = xxhash.xxh3_128_digest
     found = b"".join(digest(joined[a:b]) for a, b in zip(starts[first].tolist(), ends[last - 1].tolist()))
-    return first, last, np.frombuffer(found, "<i8").reshape(-1, 2)
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
-    """(doc_id, start, stop, d1, d2) of every chunk of every document with an id; words are counted from 0."""
+def chunks(text: str | None, min_words: int = MIN_WORDS, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word behind the last, 16-byte digests) of the chunks of a text; its edges are cuts too."""
+    joined, starts, ends = _laid(text)
+    n = len(starts)
+    if n < min_words:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros((0, 2), np.int64)
+    # the hash before a word is that of the bytes up to the space in front of it
+    inner = cuts(gear_hash(np.frombuffer(joined, np.uint8))[starts[1:] - 1], reach) + 1
+    at = np.concatenate([[0], inner, [n]])
+    to = np.searchsorted(at, at + min_words)
+    first, last = at[to < len(at)], at[to[to < len(at)]]
+    return first, last, _digests(joined, starts, ends, first, last)
+
+
+def windows(text: str | None, stretches: list[tuple[int, int, bool]], min_words: int = MIN_WORDS, span: int = MIN_SPAN):
+    """(first word, word behind the last, digests) of windows of ``span`` words: of a stretch (first word, word
+    behind the last, whether all) those that contain its first or last words, or any ``min_words`` of it."""
+    joined, starts, ends = _laid(text)
+    n, chosen = len(starts), []
+    for a, b, every in stretches:
+        for x, y in ((a, b),) if every or b - a < span else ((a, a + min_words), (b - min_words, b)):
+            chosen.append(np.arange(max(0, x + min_words - span), min(y - min_words, n - span) + 1))
+    first = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+    digest = xxhash.xxh3_64_digest  # within what is shared already, so half the bytes are enough
+    found = b"".join(digest(joined[a:b]) for a, b in zip(starts[first].tolist(), ends[first + (span - 1)].tolist()))
+    half = np.frombuffer(found, "<i8")
+    return first, first + span, np.stack([half, np.zeros_like(half)], axis=1)
+
+
+def _digested(rows: DataFrame, find) -> DataFrame:
+    """CHUNKS of (doc_id, t, text, ...) rows; ``find`` gets the text and what else there is."""
     schema = schema_of(CHUNKS)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for part in slices(batches, SLICE_ROWS):
-            ids, rows = [], []
-            for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
-                found = chunks(text, min_words, reach)
+            names, out = [], []
+            for doc_id, t, *rest in zip(*(c.to_pylist() for c in part.columns)):
+                found = find(*rest)
                 if len(found[0]):
-                    ids.append(np.full(len(found[0]), doc_id, np.int64))
-                    rows.append(found)
-            if rows:
-                first, last, digests = (np.concatenate(x) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
-                     pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1]))],
-                    schema=arrow,
-                )
+                    names.append(np.broadcast_to(np.array([[doc_id], [t]], np.int64), (2, len(found[0]))))
+                    out.append(found)
+            if out:
+                ids, texts = np.concatenate(names, axis=1)
+                first, last, digests = (np.concatenate(x) for x in zip(*out))
+                cols = [ids, texts, first.astype(np.int32), last.astype(np.int32), *np.ascontiguousarray(digests.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=arrow)
+
+    return arrow_map(rows, run, schema)
+
 
-    return arrow_map(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_col), run, schema)
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    return rows.where("doc_id is not null and text is not null")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
-    """(doc_id, start, stop, n_words, first_doc, keep): spans that other documents hold too.
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
+    """(doc_id, t, start, stop, d1, d2) of every chunk of every document with an id; words are counted from 0.
 
-    ``keep`` is true where the document is the first holder of every chunk of the span.
+    ``t`` is a hash of the whole text, which tells apart the documents of one id.
     """
-    rows = chunk_table(docs, id_col, text_col, min_words, reach)
+    return _digested(_named(docs, id_col, text_col), lambda text: chunks(text, min_words, reach))
+
+
+def _pieces(rows: DataFrame, whole: bool) -> DataFrame:
+    """(doc_id, t, start, stop, first_doc, keep, partner, whole) of the rows whose digest another document has too."""
+    document = F.struct("doc_id", "t")
     # written, so that the join below has two shuffles of its own and can split a hot digest
     shared = saved(
-        rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    ).select("d1", "d2", "first_doc")
+        rows.groupBy("d1", "d2").agg(F.min(document).alias("first"), F.max(document).alias("last")).where("first < last").select("d1", "d2", "first")
+    )
     if shared.count() <= SENT_DIGESTS:
         shared = F.broadcast(shared)
-    hits = rows.join(shared, ["d1", "d2"]).select("doc_id", "start", "stop", "first_doc", (F.col("doc_id") == F.col("first_doc")).alias("keep"))
-    w = W.partitionBy("doc_id", "keep").orderBy("start", "stop")
+    keep = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    return rows.join(shared, ["d1", "d2"]).select(
+        "doc_id", "t", "start", "stop", F.col("first.doc_id").alias("first_doc"), keep.alias("keep"),
+        F.when(~keep, F.col("first")).alias("partner"), F.lit(whole).alias("whole"),
+    )
+
+
+def _merged(pieces: DataFrame, *of: str) -> DataFrame:
+    """Pieces of a document that touch become one, those of each kind and of each value of ``of`` by themselves."""
+    w = W.partitionBy("doc_id", "t", "keep", *of).orderBy("start", "stop")
     apart = F.col("start") > F.coalesce(F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
-    islands = hits.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(w))
-    return islands.groupBy("doc_id", "keep", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc").alias("first_doc")
-    ).select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).cast("long").alias("n_words"), "first_doc", "keep")
+    islands = pieces.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(w))
+    return islands.groupBy("doc_id", "t", "keep", *of, "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc").alias("first_doc"), F.max("whole").alias("whole")
+    ).drop("island", *of)
+
 
+def _widened(docs: DataFrame, stretches: DataFrame, min_words: int, span: int) -> DataFrame:
+    """CHUNKS of the windows around the ends of each document's stretches; texts are shuffled only if many have some."""
+    ends = saved(stretches.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stop", "keep")).alias("ends")))
+    rows = docs.join(F.broadcast(ends) if ends.count() <= SENT_DOCS else ends, ["doc_id", "t"])
+    return _digested(rows, lambda text, ends: windows(text, [(e["start"], e["stop"], e["keep"]) for e in ends], min_words, span))
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
+
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, reach: int = REACH, min_span: int = MIN_SPAN
+) -> DataFrame:
+    """(doc_id, t, start, stop, n_words, first_doc, keep): spans that other documents hold too.
+
+    ``keep`` is true where the document is the first holder of every part of the span.
+    """
+    rows = _named(docs, id_col, text_col)
+    stretches = saved(_merged(_pieces(chunk_table(docs, id_col, text_col, min_words, reach), False), "partner"))
+    around = saved(_widened(rows, stretches, min_words, min_span))
+    certain = stretches.where(F.col("stop") - F.col("start") >= min_span)
+    # a stretch may hold the parts of what its partner has in another order, each of them too short: it needs a whole window
+    spans = _merged(certain.unionByName(_pieces(around, True).drop("partner"))).where("whole")
+    # windows are made near the ends of stretches alone, so one may seem first-held inside what an earlier document has
+    w = W.partitionBy("doc_id", "t").orderBy("start", "keep").rowsBetween(W.unboundedPreceding, 0)
+    held = F.max(F.when(~F.col("keep"), F.col("stop"))).over(w)
+    spans = spans.withColumn("held", held).where(~F.col("keep") | F.col("held").isNull() | (F.col("held") < F.col("stop")))
+    return spans.select("doc_id", "t", "start", "stop", (F.col("stop") - F.col("start")).cast("long").alias("n_words"), "first_doc", "keep")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Documents with the spans cut that an earlier document holds; all columns kept.
 
-    Cut texts have single spaces between words; a text without such a span is untouched.
+    Cut texts have single spaces between words; a text without such a span is untouched, as is a row without id.
     """
-    spans = repeated_spans(docs, **options).where("not keep")
-    per_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    names = docs.columns
+    spans = repeated_spans(docs, id_col, text_col, **options).where("not keep")
+    cut = saved(spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"))
+    few = cut.count() <= SENT_DOCS
+    joined = rows.join(F.broadcast(cut) if few else cut, ["doc_id", "t"], "left").select("row.*", F.col("spans").alias("_"))
+    at = docs.columns.index(text_col)
+    arrow = to_arrow_schema(docs.schema)
 
     def run(batches):
         for part in slices(batches):
-            cols = list(part.columns)
-            at = names.index("text")
-            out = []
+            cols, out = list(part.columns), []
             for text, spans_ in zip(cols[at].to_pylist(), cols[-1].to_pylist()):
                 if spans_:
                     words = text.encode().split()
@@ -155,7 +236,6 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
                     text = b" ".join(w for w, k in zip(words, keep) if k).decode()
                 out.append(text)
             cols[at] = pa.array(out, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols[:-1], names=names)
+            yield pa.RecordBatch.from_arrays(cols[:-1], names=arrow.names)
 
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "_id"), docs.doc_id == F.col("_id"), "left").drop("_id")
     return arrow_map(joined, run, docs.schema)
