@@ -81,9 +81,37 @@ def test_dense_and_hot_groups(spark, monkeypatch):
     fps += [rng.getrandbits(63) for _ in range(100)]
     rows = list(enumerate(fps))
     table = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(fps)), "fp": np.array(fps, np.uint64).view(np.int64)}))
-    monkeypatch.setattr(s.links, "__defaults__", (s.MAX_BITS, 64))
-    found = {r["fp"] & (2**64 - 1): r["component_id"] for r in s.classes(table).collect()}
-    check([{"doc_id": i, "component_id": found[f]} for i, f in rows], rows)
+    for refined in (64, 2048):  # by refined keys and by blocks alone
+        monkeypatch.setattr(s.links, "__defaults__", (s.MAX_BITS, 64, refined))
+        found = {r["fp"] & (2**64 - 1): r["component_id"] for r in s.classes(table).collect()}
+        check([{"doc_id": i, "component_id": found[f]} for i, f in rows], rows)
+
+
+def test_three_errors_leave_two_parts():
+    """The parts cover all bits once, and any three errors leave two of them alone."""
+    assert sorted(b for low, size in s.PARTS for b in range(low, low + size)) == list(range(64))
+    assert len(s.PARTS) - s.MAX_BITS >= 2
+
+
+def test_hot_components_can_be_split(spark):
+    """Joins with what a component has in common read written tables on both sides, so that a hot root is split."""
+    near = spark.range(20_000).selectExpr("id fp", "id % 3 - 3 root")
+    from tidemark.llm.common import saved
+
+    tops = saved(near.groupBy("root").agg({"fp": "min"}))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = saved(near.repartition(4)).join(tops, "root")
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_components_of_paths_and_stars(spark):
@@ -104,3 +132,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({r["component_id"] for r in out}) and ids.count(None) == 2
     assert s.near_duplicates(no_docs).count() == 0 and s.keep_one(no_docs).count() == 0
+
+
+def test_one_id_with_two_texts_keeps_the_same_row(spark):
+    rows = [(1, "some words of one text here"), (1, "quite another text by the same id"), (2, "a third one alone")]
+    kept = set()
+    for order in (rows, rows[::-1]):
+        out = s.keep_one(spark.createDataFrame(order, "doc_id long, text string").repartition(2)).collect()
+        assert sorted(r["doc_id"] for r in out) == [1, 2]
+        kept.add(next(r["text"] for r in out if r["doc_id"] == 1))
+    assert len(kept) == 1

@@ -62,8 +62,9 @@ def _fold(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node that it reaches.
 
-    ``edges`` has long columns u and v. Every join key may be hot: joins are splittable and
-    aggregations are pre-aggregated. Each round's edges are written to the shared folder, so a lost executor
+    ``edges`` has long columns u and v. Every join key may be hot: aggregations are pre-aggregated and
+    written before they are joined, so that both sides of a join have a shuffle of their own and adaptive
+    execution can split a hot key. Each round's edges are written to the shared folder, so a lost executor
     costs one round at most. Empty edges give an empty table.
     """
 
@@ -73,7 +74,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = saved(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        helpers.append(least)
         joined = near.join(least, "u")
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if larger else joined.select(
             F.col("v").alias("u"), F.col("m").alias("v")
@@ -83,13 +85,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def state(edges):
         return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
+    helpers: list[DataFrame] = []
     edges = saved(_fold(edges.where("u != v")))
     seen = state(edges)
     for _ in range(rounds):
         if not seen[0]:
             break
         old, edges = edges, saved(star(star(edges, True), False))
-        dropped(old)
+        for done in (old, *helpers):
+            dropped(done)
+        helpers.clear()
         before, seen = seen, state(edges)
         if before == seen:
             break

@@ -13,15 +13,19 @@ codeword and which the nearby ones. Keys have 33 bits and more, about 36 for a f
 candidate is verified on the full 64 bits, and links are closed to components.
 
 Identical fingerprints are collapsed before anything is joined. A key that many fingerprints share is
-cut into blocks; a pair of blocks is compared in one bounded task that emits a spanning forest.
+refined: of five parts of the 64 bits at most three hold errors, so a pair agrees on two parts at least, and
+each pair of parts is a key by its values. What is large even then is cut into blocks; a pair of blocks is
+compared in one bounded task that emits a spanning forest.
 
 Defined results: null or empty text has fingerprint zero and links like any other; repeated rows give
 one row each; a row with a null id gets its fingerprint and the component of its fingerprint, whose id
-is the smallest non-null one. Extra columns are ignored.
+is the smallest non-null one. A document that is kept is an id: of rows with the same id but other texts the one
+whose text hashes lowest stays. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, permutations
 
 import numpy as np
@@ -37,7 +41,11 @@ from .components import components, forest
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 3
 #: Fingerprints of one side of a key that are compared in one block.
-BLOCK = 512
+BLOCK = 2048
+#: Keys with more fingerprints on a side are refined before they are cut into blocks.
+REFINED = 2048
+#: Parts of a fingerprint by which large keys are refined.
+PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Keys with up to so many fingerprints on a side emit their verified pairs by a plain join.
 FEW = 16
 #: Fingerprints whose keys one task makes.
@@ -163,44 +171,70 @@ def _keys(fps: DataFrame) -> DataFrame:
 
 
 def block_forest(left: np.ndarray, right: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks; at most BLOCK x BLOCK comparisons."""
-    apart = np.bitwise_count((left[:, None] ^ right[None, :]).view(np.uint64))
-    a, b = np.nonzero(apart <= bits)
-    return forest(zip(left[a].tolist(), right[b].tolist()))
+    """A spanning forest of the links between two blocks; at most BLOCK x BLOCK comparisons, 256 rows at once."""
+    tree: list[tuple[int, int]] = []
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        a, b = np.nonzero(np.bitwise_count((rows[:, None] ^ right[None, :]).view(np.uint64)) <= bits)
+        tree = forest([*tree, *zip(rows[a].tolist(), right[b].tolist())])
+    return tree
 
 
-def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(u, v) links between distinct fingerprints whose closure is that of all links within ``bits``."""
-    keys = _keys(fps.repartition(parts(fps.count(), KEYED_ROWS)))
+def _sized(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(links of the keys with two fingerprints, rows of larger keys with their ``size`` or None if there are none)."""
     shared = saved(
         keys.groupBy("key").agg(F.count("*").alias("size"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("u <> v")
     )
-    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits
-    pairs = shared.where((F.col("size") == 2) & close).select("u", "v")
+    pairs = shared.where("size = 2").select("u", "v")
     large = shared.where("size > 2").select("key", "size")
     found = large.count()
-    if not found:
-        return pairs
-    sized = saved(keys.join(F.broadcast(large) if found <= SENT_KEYS else large, "key"))
+    return pairs, saved(keys.join(F.broadcast(large) if found <= SENT_KEYS else large, "key")) if found else None
+
+
+def _refined(rows: DataFrame) -> DataFrame:
+    """Rows of large keys under keys of their own: the old key with the values of two of the five parts.
+
+    Keys are hashed, so unlike ones may meet by chance; every pair is verified anyway.
+    """
+    values = [F.shiftrightunsigned("fp", low).bitwiseAND((1 << size) - 1) for low, size in PARTS]
+    named = F.array(*(F.xxhash64(F.col("key"), F.lit(i), F.lit(j), values[i], values[j]) for i, j in combinations(range(len(PARTS)), 2)))
+    return rows.select(F.explode(named).alias("key"), "fp", "role")
+
+
+def links(fps: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, refined: int = REFINED) -> DataFrame:
+    """(u, v) links between distinct fingerprints whose closure is that of all links within ``bits`` (up to MAX_BITS)."""
+    close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits
     heads, tails = F.col("role").bitwiseAND(HEAD) > 0, F.col("role").bitwiseAND(TAIL) > 0
-    few = sized.where(F.col("size") <= FEW)
-    near = few.where(heads).select("key", F.col("fp").alias("u")).join(few.where(tails).select("key", F.col("fp").alias("v")), "key")
-    cold = near.where((F.col("u") != F.col("v")) & close).select("u", "v")
-    # a side of a larger key is cut into blocks, each of which meets every block of the other side
-    many = sized.where(F.col("size") > FEW).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = many.where(heads).select("key", own.alias("i"), other.alias("j"), "fp", F.lit(True).alias("head")).unionByName(
-        many.where(tails).select("key", other.alias("i"), own.alias("j"), "fp", F.lit(False).alias("head"))
-    )
+    found, rows = _sized(_keys(fps.repartition(parts(fps.count(), KEYED_ROWS))))
+    found = [found.where(close)]
 
     def compare(group: pa.Table) -> pa.Table:
         fp, head = group.column("fp").to_numpy(), group.column("head").to_numpy()
         tree = block_forest(fp[head], fp[~head], bits)
         return pa.table({"u": pa.array([a for a, _ in tree], pa.int64()), "v": pa.array([b for _, b in tree], pa.int64())})
 
-    hot = met.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
-    return pairs.unionByName(cold).unionByName(hot)
+    for last in (False, True):
+        if rows is None:
+            break
+        few = rows.where(F.col("size") <= FEW)
+        near = few.where(heads).select("key", F.col("fp").alias("u")).join(few.where(tails).select("key", F.col("fp").alias("v")), "key")
+        found.append(near.where((F.col("u") != F.col("v")) & close).select("u", "v"))
+        # a side of a larger key is cut into blocks, each of which meets every block of the other side
+        many = rows.where((F.col("size") > FEW) & (F.lit(last) | (F.col("size") <= refined)))
+        many = many.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        met = many.where(heads).select("key", own.alias("i"), other.alias("j"), "fp", F.lit(True).alias("head")).unionByName(
+            many.where(tails).select("key", other.alias("i"), own.alias("j"), "fp", F.lit(False).alias("head"))
+        )
+        found.append(met.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long"))
+        if not last:
+            large = rows.where(F.col("size") > refined)
+            if large.isEmpty():
+                break
+            pairs, rows = _sized(_refined(large))
+            found.append(pairs.where(close))
+    return reduce(DataFrame.unionByName, found)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,21 +254,23 @@ def classes(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least", "rows", F.coalesce("root", "fp").alias("root")
     )
-    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members"))
+    rooted = saved(rooted)
+    # written, so that the join has two shuffles of its own and a large component can be split
+    tops = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members")))
     return rooted.select("fp", "root").join(tops, "root").select("fp", "component_id", "members")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id, members) of every row."""
     prints = saved(fingerprints(docs, id_col, text_col))
-    return prints.join(classes(prints, bits), "fp").select("doc_id", "fp", "component_id", "members")
+    return prints.join(saved(classes(prints, bits)), "fp").select("doc_id", "fp", "component_id", "members")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """One document of each group of near copies, all columns kept: the one with the smallest id.
 
-    Rows with the same id count as one document, of which one row stays. Rows with a null id stay.
-    Texts are not shuffled unless there are many documents to drop, or ids that repeat.
+    Rows with the same id count as one document, of which one row stays: the one whose text hashes lowest.
+    Rows with a null id stay. Texts are not shuffled unless there are many documents to drop, or ids that repeat.
     """
     rows = near_duplicates(docs, id_col, text_col, bits).where("doc_id is not null")
     found = saved(rows.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("leads"), F.count("*").alias("n")))
@@ -242,6 +278,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     gone, again = found.where("not leads").select(ids), found.where("leads and n > 1").select(ids)
     out = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, id_col, "left_anti")
     if again.count():
-        once = out.join(again, id_col, "left_semi").dropDuplicates([id_col])
+        repeated = out.join(again, id_col, "left_semi").select(F.col(id_col).alias("key"), F.struct(*docs.columns).alias("row"), F.xxhash64(text_col).alias("order"))
+        once = repeated.groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")
         out = out.join(again, id_col, "left_anti").unionByName(once)
     return out.select(docs.columns)
