@@ -47,17 +47,69 @@ def test_query_against_brute_force(spark):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0 and 20 * hit >= n)
 
 
-def test_both_ways_agree_and_odd_rows(spark, odd_docs, no_docs):
+KEY = lambda r: (str(r["doc_id"]), r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"])
+
+
+def test_any_number_of_parts_and_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame(
         [(1, "the quick brown fox"), (1, "the quick brown fox"), (2, "jumps over the lazy dog"), (None, "naïve"), (3, None), (4, "")], "item_id long, text string"
     )
-    key = lambda r: (str(r["doc_id"]), r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"])
-    one = sorted(map(key, d.scan_documents(odd_docs, bench).collect()))
-    other = sorted(map(key, d.scan_documents(odd_docs, bench, broadcast_bytes=0).collect()))
-    assert one == other and len(one) == odd_docs.count()
-    assert ("8", 4, 1, ("null",), True) in one
+    one = sorted(map(KEY, d.scan_documents(odd_docs, bench).collect()))
+    for size in (100, 200):
+        assert one == sorted(map(KEY, d.scan_documents(odd_docs, bench, part_bytes=size).collect()))
+    assert len(one) == odd_docs.count() and ("8", 4, 1, ("null",), True) in one
     assert d.scan_documents(no_docs, bench).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r["n_hit"] == 0 for r in d.scan_documents(odd_docs, none).collect())
-    kept = d.drop_contaminated(odd_docs, bench)
-    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [2, 3, 4, 5, 6, 7]
+    for size in (100, 1 << 20):
+        kept = d.drop_contaminated(odd_docs, bench, part_bytes=size)
+        assert kept.columns == odd_docs.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [2, 3, 4, 5, 6, 7]
+        assert kept.where("doc_id is null").count() == 1
+
+
+def test_rows_are_judged_by_themselves(spark):
+    """Rows without an id, and rows that share one, go or stay by their own texts, in one pass or in several."""
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame(
+        [(1, f"x {item}", "a"), (None, f"{item} y", "b"), (2, "nothing of it", "c"), (2, f"{item}", "d"), (None, "clean", "e"), (3, None, "f")], "n long, body string, found string"
+    )
+    bench = spark.createDataFrame([(5, item), (6, "something else that is not there")], "key long, passage string")
+    for size in (60, 1 << 20):
+        kept = d.drop_contaminated(docs, bench, text_col="body", item_col="key", item_text_col="passage", part_bytes=size)
+        assert kept.columns == docs.columns and sorted(r["found"] for r in kept.collect()) == ["c", "e", "f"]
+        short = d.drop_contaminated(docs, bench, text_col="body", item_col="key", item_text_col="passage", window=3, part_bytes=size)
+        assert sorted(r["found"] for r in short.collect()) == ["c", "e", "f"]
+
+
+def test_long_items_are_cut_without_loss(spark, monkeypatch):
+    rnd = random.Random(6)
+    words_ = [f"w{rnd.randint(0, 400)}" for _ in range(900)]
+    bench = spark.createDataFrame([(1, " ".join(words_)), (2, "same " * 300), (3, " ".join(words_[100:140]))], "item_id long, text string")
+    texts = [" ".join(words_[k : k + 40]) for k in range(0, 860, 13)] + ["same " * 60, "w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = [tuple(r) for r in bench.collect()]
+    whole = d.Scanner(items)
+    want = []
+    for k, t in enumerate(texts):
+        hit, found = whole.scan(d.words_of(t))
+        want.append((str(k), len(words(t)), hit.count(1) if hit else 0, tuple(sorted(found))))
+    monkeypatch.setattr(d, "PIECE_WORDS", 50)
+    for size in (1 << 20, 9000):
+        assert sorted(want) == sorted(KEY(r)[:4] for r in d.scan_documents(docs, bench, part_bytes=size).collect())
+    n, hit, found = brute(texts[3], items)
+    assert want[3][1:] == (n, hit, tuple(found))
+
+
+def test_compiled_size_is_bounded():
+    """A part takes less than fifty times its text."""
+    import tracemalloc
+
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(20_000)]
+    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(200))) for k in range(400)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    held = d.Scanner(items)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held.searchers and used < 50 * size, used / size

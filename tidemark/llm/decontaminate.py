@@ -2,12 +2,18 @@
 
 A pattern is a window of 13 consecutive benchmark words (an item of 1 to 12 words is one window).
 Words are the symbols: a block is two words, the shift table says how far the search may jump when
-a block ends at the current word, a block with shift zero picks a bucket by suffix block and first
-word, and every candidate of the bucket is compared word by word.
+a block ends at the current word, a block with shift zero picks a bucket by suffix block, and every
+candidate of the bucket is compared word by word.
+
+The benchmark is cut into pieces of bounded length that overlap by a window less a word, so that each
+window lies in one, and the pieces are dealt out to parts of ``PART_BYTES`` of text. A part is compiled once
+a process: patterns are places in its text, not copies. A benchmark of one part takes one pass over the
+documents; a larger one takes a pass for each part by the same search, and each row carries what earlier
+passes have found, so no row has to be recognised and results do not depend on the number of parts.
 
 Defined results: null or empty text has no words (all counts 0, digest of the empty string);
 repeated documents give one row each; repeated item ids count once; a null item_id is listed as
-``null``; an empty benchmark hits nothing. Extra columns are ignored.
+``null``; an empty benchmark hits nothing. Extra columns are ignored, and stay where rows are returned.
 """
 
 from __future__ import annotations
@@ -15,23 +21,27 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import arrow_map, filter_docs, map_docs, schema_of, slices
+from .common import arrow_map, map_docs, saved, schema_of, slices
 
 WINDOW = 13
-#: Benchmark text up to this size is broadcast; a larger benchmark takes the join path.
-BROADCAST_BYTES = 32 << 20
+#: Benchmark text that is searched for in one pass; compiled it takes some thirty times as much in a worker.
+PART_BYTES = 4 << 20
+#: Words of the longest piece of an item.
+PIECE_WORDS = 20_000
+#: Compiled parts that a worker holds.
+HELD = 1
 
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
 
-OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
@@ -44,72 +54,166 @@ def windows_of(words: list[bytes], window: int = WINDOW):
 
 
 class WuManber:
-    """Search for patterns that all have ``length`` words."""
+    """Search for patterns that all have ``length`` words, given as first places in ``text``."""
 
-    def __init__(self, patterns, length: int):
-        self.m = length
+    def __init__(self, text: list[bytes], places: list[int], length: int):
+        self.text, self.m = text, length
         self.block = min(2, length)
         self.jump = length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = defaultdict(lambda: defaultdict(list))
-        for p in patterns:
-            for end in range(self.block, length + 1):
-                key = p[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.jump), length - end)
-            self.bucket[p[-self.block :]][p[0]].append(p)
-        self.bucket = {k: dict(v) for k, v in self.bucket.items()}
+        #: A block's shift, or the places of the patterns that it ends.
+        self.table: dict = {}
+        table, ends = self.table, defaultdict(list)
+        for p in places:
+            if self.block == 1:
+                ends[text[p]].append(p)
+                continue
+            for k in range(1, length - 1):
+                key = text[p + k - 1], text[p + k]
+                if table.get(key, self.jump) > length - 1 - k:
+                    table[key] = length - 1 - k
+            ends[text[p + length - 2], text[p + length - 1]].append(p)
+        for key, found in ends.items():
+            # a block that ends many patterns picks by their first word too
+            by_first = defaultdict(list)
+            for p in found:
+                by_first[text[p]].append(p)
+            table[key] = {w: tuple(ps) for w, ps in by_first.items()} if len(by_first) > 4 else tuple(found)
 
     def search(self, words: list[bytes]):
-        """Yield (start, pattern) of every occurrence."""
-        m, block, jump, shift, n = self.m, self.block, self.jump, self.shift.get, len(words)
-        i = m - 1
+        """Yield (start, place of the pattern) of every occurrence."""
+        m, jump, get, text, n = self.m, self.jump, self.table.get, self.text, len(words)
+        two, i = self.block == 2, self.m - 1
         while i < n:
-            key = (words[i - 1], words[i]) if block == 2 else (words[i],)
-            s = shift(key, jump)
-            if s:
-                i += s
+            found = get((words[i - 1], words[i]) if two else words[i], jump)
+            if type(found) is int:
+                i += found
                 continue
             start = i - m + 1
-            for p in self.bucket[key].get(words[start], ()):
-                if all(map(bytes.__eq__, p, words[start : i + 1])):
+            if type(found) is dict:
+                found = found.get(words[start], ())
+            for p in found:
+                if text[p] == words[start] and text[p : p + m] == words[start : i + 1]:
                     yield start, p
             i += 1
 
 
 class Scanner:
-    """Benchmark items compiled into one searcher for each window length."""
+    """Benchmark items compiled into one searcher for each window length; equal windows are one pattern."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        self.items_of: dict = defaultdict(set)
-        for item_id, text in items:
+        intern: dict[bytes, bytes] = {}
+        text: list[bytes] = []
+        by_length, self.items_of = defaultdict(list), {}
+        known: dict[tuple, list[int]] = defaultdict(list)
+        for item_id, item_text in items:
             name = "null" if item_id is None else str(item_id)
-            for p in windows_of(words_of(text), window):
-                self.items_of[p].add(name)
-        by_length = defaultdict(list)
-        for p in self.items_of:
-            by_length[len(p)].append(p)
-        self.searchers = [WuManber(ps, m) for m, ps in sorted(by_length.items())]
+            words = [intern.setdefault(w, w) for w in words_of(item_text)]
+            base, m = len(text), min(len(words), window)
+            text += words
+            for k in range(len(words) - m + 1 if words else 0):
+                pattern = words[k : k + m]
+                same = known[m, hash(tuple(pattern))]
+                place = next((p for p in same if text[p : p + m] == pattern), None)
+                if place is None:
+                    place = base + k
+                    same.append(place)
+                    by_length[m].append(place)
+                    self.items_of[place] = name
+                elif isinstance(held := self.items_of[place], set):
+                    held.add(name)
+                elif held != name:
+                    self.items_of[place] = {held, name}
+        self.searchers = [WuManber(text, places, m) for m, places in sorted(by_length.items())]
 
     def scan(self, words: list[bytes]) -> tuple[bytearray | None, set]:
+        """(a byte for each word, 1 where it is hit, or None; names of the items with occurring windows)."""
         hit, found = None, set()
         for s in self.searchers:
+            seen = set()
             for start, p in s.search(words):
                 hit = bytearray(len(words)) if hit is None else hit
                 hit[start : start + s.m] = b"\1" * s.m
-                found |= self.items_of[p]
+                seen.add(p)
+            for p in seen:
+                names = self.items_of[p]
+                found |= {names} if isinstance(names, str) else names
         return hit, found
 
 
-def is_contaminated(n_hit: int, n_words: int) -> bool:
-    return n_hit > 0 and 20 * n_hit >= n_words
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, text, bytes) of pieces that hold each window of an item once, words joined by spaces."""
+
+    def cut(ids, texts):
+        out = {"item": [], "text": [], "bytes": []}
+        for name, text in zip(ids, texts):
+            words = words_of(text)
+            for at in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
+                piece = b" ".join(words[at : at + PIECE_WORDS + window - 1])
+                if piece:
+                    out["item"].append(name)
+                    out["text"].append(piece.decode())
+                    out["bytes"].append(len(piece) + 64)
+        return out
 
+    return map_docs(benchmark, [F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")], cut, "item string, text string, bytes long")
 
-def _small(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list | None:
-    """The items if their text is within ``limit`` bytes, else None."""
-    size = benchmark.agg(F.sum(F.octet_length(text_col) + 64)).first()[0] or 0
-    if size > limit:
-        return None
-    return [tuple(r) for r in benchmark.select(id_col, text_col).collect()]
+
+_BUILT: dict[str, Scanner] = {}
+
+
+def _compiled(name: str, items: list[tuple], window: int) -> Scanner:
+    """The searcher of a part, built once a process; HELD parts at once."""
+    if name not in _BUILT:
+        while len(_BUILT) >= HELD:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name] = Scanner(items, window)
+    return _BUILT[name]
+
+
+def _searched(rows: DataFrame, text_at: int, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, part_bytes: int) -> tuple[DataFrame, str]:
+    """``rows`` with a last column of what all parts find, and its name: n_words, n_hit, the spans of hit words
+    (firsts and behind the lasts in turn), the sorted items and whether that is contamination."""
+    spark = rows.sparkSession
+    pieces = saved(_pieces(benchmark, item_col, item_text_col, window))
+    count = 1 + int(pieces.agg(F.sum("bytes")).first()[0] or 0) // part_bytes
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(count))
+    width, name = len(rows.columns), "found"
+    while name in rows.columns:
+        name += "_"
+    kind = "struct<n_words: long, n_hit: long, spans: array<int>, items: array<string>, contaminated: boolean>"
+    schema = StructType([*rows.schema.fields, *schema_of(f"{name} {kind}").fields])
+    arrow = to_arrow_schema(schema)
+    for k in range(count):
+        items = [tuple(r) for r in pieces.where(part == k).select("item", "text").collect()]  # about part_bytes
+        digest = hashlib.sha256(repr((window, sorted(map(repr, items)))).encode()).hexdigest()
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared, digest=digest, first=k == 0):
+            for batch in slices(batches):
+                texts = batch.column(text_at).to_pylist()
+                before = [None] * len(texts) if first else batch.column(width).to_pylist()
+                scanner, out = _compiled(digest, shared.value, window), []
+                for text, held in zip(texts, before):
+                    words = words_of(text)
+                    hit, found = scanner.scan(words)
+                    spans = _spans(hit, held["spans"] if held else [])
+                    n, n_hit = len(words), sum(spans[1::2]) - sum(spans[::2])
+                    items = sorted(found.union(held["items"]) if held else found)
+                    out.append({"n_words": n, "n_hit": n_hit, "spans": spans, "items": items, "contaminated": n_hit > 0 and 20 * n_hit >= n})
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, arrow[width].type)], names=arrow.names)
+
+        rows = arrow_map(saved(rows) if k else rows, run, schema)
+    return rows, name
+
+
+def _spans(hit: bytearray | None, held: list[int]) -> list[int]:
+    """Starts and ends of the runs of hit words, joined with those of ``held``."""
+    if hit is None:
+        return held
+    for a, b in zip(held[::2], held[1::2]):
+        hit[a:b] = b"\1" * (b - a)
+    edges = np.flatnonzero(np.diff(np.frombuffer(bytes(1) + bytes(hit) + bytes(1), np.int8)))
+    return edges.tolist()
 
 
 def scan_documents(
@@ -120,96 +224,18 @@ def scan_documents(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Per document: words, hit words, the items hit (sorted array) and the contamination verdict."""
-    items = _small(benchmark, item_col, item_text_col, broadcast_bytes)
-    if items is None:
-        return _scan_by_join(docs, benchmark, id_col, text_col, item_col, item_text_col, window)
-    built: list = []
-
-    def run(ids, texts):
-        if not built:
-            built.append(Scanner(items, window))
-        out = {"doc_id": ids, "n_words": [], "n_hit": [], "items": []}
-        for text in texts:
-            words = words_of(text)
-            hit, found = built[0].scan(words)
-            out["n_words"].append(len(words))
-            out["n_hit"].append(hit.count(1) if hit else 0)
-            out["items"].append(sorted(found))
-        return out
-
-    return map_docs(
-        docs, [F.col(id_col).alias("doc_id"), text_col], run, "doc_id long, n_words long, n_hit long, items array<string>"
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out, found = _searched(rows, 1, benchmark, item_col, item_text_col, window, part_bytes)
+    return out.select("doc_id", *(f"{found}.{c}" for c in ("n_words", "n_hit", "items", "contaminated")))
 
-def _scan_by_join(docs, benchmark, id_col, text_col, item_col, item_text_col, window):
-    """The same result for a benchmark too large to broadcast: windows meet in an equi-join on digests."""
-    schema = schema_of("row string, doc_id long, n_words long, at long, len int, digest binary")
-    arrow = to_arrow_schema(schema)
 
-    def digest(p):
-        return hashlib.blake2b(b" ".join(p), digest_size=16).digest()
-
-    lengths = map_docs(
-        benchmark, [item_text_col], lambda texts: {"len": [min(len(words_of(t)), window) for t in texts]}, "len int"
-    )
-    sizes = sorted(r[0] for r in lengths.distinct().collect() if r[0])  # at most `window` values
-
-    def emit(batches):
-        for part in slices(batches, 16):
-            for row, doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                words = words_of(text)
-                rows = [(0, 0, b"")] + [(i, m, digest(words[i : i + m])) for m in sizes for i in range(len(words) - m + 1)]
-                for at in range(0, len(rows), 20_000):
-                    cut = rows[at : at + 20_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, f.type) for v, f in zip(([row] * len(cut), [doc_id] * len(cut), [len(words)] * len(cut), *zip(*cut)), arrow)],
-                        schema=arrow,
-                    )
-
-    def item_windows(ids, texts):
-        rows = [("null" if i is None else str(i), digest(p)) for i, t in zip(ids, texts) for p in windows_of(words_of(t), window)]
-        return {"item": [r[0] for r in rows], "digest": [r[1] for r in rows]}
-
-    # a row is named by its id and whole text, with the number of such rows kept aside
-    named = docs.select(
-        F.concat_ws(":", F.col(id_col).cast("string"), F.sha2(F.coalesce(text_col, F.lit("")), 256), F.isnull(id_col).cast("string")).alias("row"),
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-    )
-    copies = named.groupBy("row").count()
-    patterns = map_docs(benchmark, [item_col, item_text_col], item_windows, "item string, digest binary").distinct()
-    grams = arrow_map(named.dropDuplicates(["row"]), emit, schema)
-    hits = grams.join(patterns, "digest", "left").where((F.col("len") == 0) | F.col("item").isNotNull())
-    spot = F.when(F.col("len") > 0, F.sequence(F.col("at"), F.col("at") + F.col("len") - 1))
-    return (
-        hits.groupBy("row", "doc_id", "n_words")
-        .agg(F.array_distinct(F.flatten(F.collect_set(spot))).alias("spots"), F.sort_array(F.collect_set("item")).alias("items"))
-        .join(copies, "row")
-        .select("doc_id", "n_words", F.size("spots").cast("long").alias("n_hit"), "items", F.explode(F.array_repeat(F.lit(1), F.col("count").cast("int"))).alias("_"))
-        .drop("_")
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    )
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Documents that the benchmark does not contaminate, all columns kept."""
-    items = _small(benchmark, "item_id", "text", BROADCAST_BYTES)
-    if items is None:
-        verdict = scan_documents(docs, benchmark).where("contaminated").select("doc_id").distinct()
-        return docs.join(verdict, "doc_id", "left_anti").select(docs.columns)
-    built: list = []
-
-    def keep(texts):
-        if not built:
-            built.append(Scanner(items, window))
-        out = []
-        for text in texts:
-            words = words_of(text)
-            hit, _ = built[0].scan(words)
-            out.append(not is_contaminated(hit.count(1) if hit else 0, len(words)))
-        return out
-
-    return filter_docs(docs, text_col, keep)
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """Rows that the benchmark does not contaminate, each judged by its own text, all columns kept."""
+    out, found = _searched(docs, docs.columns.index(text_col), benchmark, item_col, item_text_col, window, part_bytes)
+    return out.where(~F.col(f"{found}.contaminated")).select(docs.columns)
