@@ -35,25 +35,27 @@ def test_spans_hold_the_same_words(spark):
         words = " ".join(texts[r["doc_id"]].split()[r["start"] : r["stop"]])
         assert words in " ".join(texts[r["first_doc"]].split()) or r["keep"]
         assert words in p or words in q
-        assert r["n_words"] >= 50
-    assert {(r["doc_id"], r["n_words"]) for r in rows} == {(1, 60), (2, 60), (2, 80), (3, 80), (5, 60)}  # edges are exact
+        assert r["n_words"] >= s.SPAN
+    sizes = sorted((r["doc_id"], r["n_words"]) for r in rows)
+    for (doc, n), want in zip(sizes, [(1, 60), (2, 60), (2, 80), (3, 80), (5, 60), (5, 60)], strict=True):
+        assert doc == want[0] and want[1] - 2 * (s.NEIGHBOURS - 1) <= n <= want[1]  # edges are within six words
     clean = {r["doc_id"]: r["text"] for r in s.without_repeats(docs).collect()}
     assert clean[1] == texts[1] and clean[4] == texts[4]
     assert len(clean[2].split()) < len(texts[2].split()) and len(clean[3].split()) < 60
 
 
-def brute(docs):
-    """For each document the words that lie in a run of MIN_SPAN words or more that another document has."""
+def brute(docs, span):
+    """For each document the words that lie in a run of ``span`` words or more that another document has."""
     runs: dict = {}
     for doc, text in docs:
         w = text.split()
-        for k in range(len(w) - s.MIN_SPAN + 1):
-            runs.setdefault(tuple(w[k : k + s.MIN_SPAN]), []).append((doc, k))
+        for k in range(len(w) - span + 1):
+            runs.setdefault(tuple(w[k : k + span]), []).append((doc, k))
     out: dict = {}
     for places in runs.values():
         if len({d for d, _ in places}) > 1:
             for d, k in places:
-                out.setdefault(d, set()).update(range(k, k + s.MIN_SPAN))
+                out.setdefault(d, set()).update(range(k, k + span))
     return out
 
 
@@ -64,24 +66,32 @@ def test_query_against_brute_force(spark):
     from .conftest import SF
 
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
-    want, got = brute(texts.items()), {}
+    sure, most, got = brute(texts.items(), s.SPAN + s.NEIGHBOURS - 1), brute(texts.items(), s.SPAN), {}
     rows = queries.op1_substring_dedup(spark, SF).collect()
     for r in rows:
-        assert r["stop"] - r["start"] == r["n_words"] >= s.MIN_SPAN
+        assert r["stop"] - r["start"] == r["n_words"] >= s.SPAN
         got.setdefault(r["doc_id"], set()).update(range(r["start"], r["stop"]))
-    assert want and set(got) == set(want)
-    assert all(got[d] <= want[d] for d in got)
-    assert sum(map(len, got.values())) > 0.99 * sum(map(len, want.values()))
+    assert sure and set(sure) <= set(got) <= set(most)
+    assert sum(len(got[d] - most[d]) for d in got) < 0.002 * sum(map(len, got.values()))
+    assert sum(len(got[d] & sure[d]) for d in sure) > 0.98 * sum(map(len, sure.values()))
     for r in rows:
         assert r["first_doc"] == r["doc_id"] if r["keep"] else r["first_doc"] < r["doc_id"]
 
 
 def test_shared_runs_below_the_shortest_span_are_left_alone(spark):
     rnd = random.Random(9)
-    p, q = prose(rnd, 49), prose(rnd, 51)
+    p, q = prose(rnd, s.SPAN - 1), prose(rnd, 51)
     docs = spark.createDataFrame([(k, f"{prose(rnd, 60)} {p if k < 5 else q} {prose(rnd, 60)}") for k in range(10)], "doc_id long, text string")
     rows = s.repeated_spans(docs).collect()
-    assert {(r["doc_id"], r["n_words"]) for r in rows} == {(k, 51) for k in range(5, 10)}
+    assert {r["doc_id"] for r in rows} == set(range(5, 10)) and all(s.SPAN <= r["n_words"] <= 51 for r in rows)
+
+
+def test_every_run_of_51_words_keeps_a_window(spark):
+    """Whatever stands around it, all of 300 passages of 51 words are found in both their documents."""
+    rnd = random.Random(12)
+    passages = [prose(rnd, 51) for _ in range(300)]
+    docs = spark.createDataFrame([(k, f"{prose(rnd, rnd.randint(0, 70))} {passages[k // 2]} {prose(rnd, rnd.randint(0, 70))}") for k in range(600)], "doc_id long, text string")
+    assert {r["doc_id"] for r in s.repeated_spans(docs).collect()} == set(range(600))
 
 
 def test_runs_of_few_words_are_cut_too(spark):
@@ -99,7 +109,8 @@ def test_texts_of_one_id_and_clashing_columns(spark):
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
     texts = [(r["number"], r["body"]) for r in out.collect()]
     assert (2, apart) in texts and rows[0] in texts and rows[-1] in texts
-    assert sorted(len(t.split()) for k, t in texts if k == 3) == [5, 20] and (2, " ".join(rows[1][1].split()[:10])) in texts
+    sizes = sorted(len(t.split()) for k, t in texts if k == 3)
+    assert 5 <= sizes[0] <= 17 and 20 <= sizes[1] <= 32 and any(k == 2 and len(t.split()) <= 22 for k, t in texts)
     one = spark.createDataFrame([(7, f"{shared} {prose(rnd, 9)}"), (7, f"{prose(rnd, 9)} {shared}")], "doc_id long, text string")
     assert len(s.repeated_spans(one).collect()) == 2
 
@@ -110,7 +121,7 @@ def test_both_joins_agree_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     docs = spark.createDataFrame([(k, f"{prose(rnd, 10)} {hot if k % 3 == 0 else prose(rnd, 90)}") for k in range(200)], "doc_id long, text string")
     one = sorted(map(tuple, s.repeated_spans(docs).collect()))
     monkeypatch.setattr(s, "SENT_DIGESTS", -1)
-    monkeypatch.setattr(s, "SENT_DOCS", -1)
+    monkeypatch.setattr(s, "SENT_STRETCHES", -1)
     assert one == sorted(map(tuple, s.repeated_spans(docs).collect()))
     assert {r[0] for r in one} == set(range(0, 200, 3))
     assert s.repeated_spans(odd_docs).count() == 0 and s.repeated_spans(no_docs).count() == 0

@@ -9,13 +9,15 @@ whole one wherever its edges fall. Chunks are deduplicated by a 128-bit digest o
 
 Chunks that other documents hold too are merged into stretches, those with the same first holder by
 themselves. Chunks end inside what is shared, so the
-edges are found by exact comparison: every window of ``MIN_SPAN`` words that contains the first or the last
-MIN_WORDS words of a stretch, or in the first holder any such part of it, is digested too, and those that another document holds widen it. A span is what then has MIN_SPAN words or more;
-shorter stretches are no repeats. Each span has the smallest doc_id that holds one of its parts, which keeps
+edges are found by comparison of windows of ``SPAN`` words that overlap the first or the last words of a
+stretch, or in the first holder any part of it; of NEIGHBOURS windows in a row the one of least digest is kept.
+Windows that another document holds widen a stretch, and a stretch without one is no repeat. So a run of 51
+words or more that two documents share is found, and none of less than 45. Each span has the smallest doc_id that holds one of its parts, which keeps
 its copy; the others may drop theirs.
 
 A document is an id with a text: rows with the same id and other texts are other documents, rows with equal
-id and text are one.
+id and text are one. Where the smallest id that holds something has several texts with it, all of them keep
+their copy if other ids hold it too, else the one whose text hashes lowest.
 
 Defined results: null or empty text has no spans; repeats inside one document alone are not reported; rows
 with a null id are not compared; words are runs without ASCII white space, so a text without it has one word.
@@ -36,12 +38,13 @@ from .common import SLICE_ROWS, arrow_map, saved, schema_of, slices
 
 MIN_WORDS = 12
 REACH = 4
-#: Words of the shortest span that is a repeat.
-MIN_SPAN = 50
-#: Documents, of some 100 bytes, whose stretches are broadcast at most; more are joined by a shuffle.
-SENT_DOCS = 100_000
-#: Digests of 24 bytes that are broadcast at most; more are joined by a shuffle.
-SENT_DIGESTS = 200_000
+#: Words of a window, which is the shortest span; of NEIGHBOURS windows in a row the least digest is kept, so
+#: every run of SPAN + NEIGHBOURS - 1 = 51 words has a kept window, and the same one wherever it stands.
+SPAN, NEIGHBOURS = 45, 7
+#: Stretches, of some 30 bytes, that are broadcast at most to the texts; more are joined by a shuffle.
+SENT_STRETCHES = 1_000_000
+#: Digests of 40 bytes that are broadcast at most; more are joined by a shuffle.
+SENT_DIGESTS = 20_000
 WINDOW = 16
 _GEAR_SEED = 20_240_607
 
@@ -108,18 +111,41 @@ def chunks(text: str | None, min_words: int = MIN_WORDS, reach: int = REACH) ->
     return first, last, _digests(joined, starts, ends, first, last)
 
 
-def windows(text: str | None, stretches: list[tuple[int, int, bool]], min_words: int = MIN_WORDS, span: int = MIN_SPAN):
-    """(first word, word behind the last, digests) of windows of ``span`` words: of a stretch (first word, word
-    behind the last, whether all) those that contain its first or last words, or any ``min_words`` of it."""
+def least_of(digests: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
+    """Places that are the least of some ``neighbours`` in a row, all of them where they tie; of fewer the least."""
+    n = len(digests) - neighbours + 1
+    if n < 1:
+        return np.nonzero(digests == digests.min())[0] if len(digests) else np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(digests, neighbours).min(axis=1)
+    ok = np.zeros(len(digests), bool)
+    for k in range(neighbours):
+        ok[k : k + n] |= digests[k : k + n] == least
+    return np.nonzero(ok)[0]
+
+
+def windows(text: str | None, stretches: list[tuple[int, int, bool]], min_words: int = MIN_WORDS, span: int = SPAN):
+    """(first word, word behind the last, digests) of kept windows of ``span`` words: of a stretch (first word,
+    word behind the last, whether all) those that overlap its first or last ``min_words`` words, or any."""
     joined, starts, ends = _laid(text)
-    n, chosen = len(starts), []
+    n, ranges = len(starts), []
     for a, b, every in stretches:
         for x, y in ((a, b),) if every or b - a < span else ((a, a + min_words), (b - min_words, b)):
-            chosen.append(np.arange(max(0, x + min_words - span), min(y - min_words, n - span) + 1))
-    first = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
-    digest = xxhash.xxh3_64_digest  # within what is shared already, so half the bytes are enough
-    found = b"".join(digest(joined[a:b]) for a, b in zip(starts[first].tolist(), ends[first + (span - 1)].tolist()))
-    half = np.frombuffer(found, "<i8")
+            ranges.append((max(0, x + 1 - span), min(y - 1, n - span) + 1))
+    runs: list[list[int]] = []
+    for x, y in sorted(r for r in ranges if r[0] < r[1]):
+        if runs and x <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], y)
+        else:
+            runs.append([x, y])
+    digest = xxhash.xxh3_64_intdigest  # within what is shared already, so half the bytes are enough
+    first, found = [], []
+    for x, y in runs:
+        d = np.array([digest(joined[a:b]) for a, b in zip(starts[x:y].tolist(), ends[x + span - 1 : y + span - 1].tolist())], np.uint64)
+        kept = least_of(d)
+        first.append(kept + x)
+        found.append(d[kept])
+    first, half = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((first, np.int64), (found, np.uint64)))
+    half = half.view(np.int64)
     return first, first + span, np.stack([half, np.zeros_like(half)], axis=1)
 
 
@@ -160,17 +186,17 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _pieces(rows: DataFrame, whole: bool) -> DataFrame:
     """(doc_id, t, start, stop, first_doc, keep, partner, whole) of the rows whose digest another document has too."""
-    document = F.struct("doc_id", "t")
     # written, so that the join below has two shuffles of its own and can split a hot digest
     shared = saved(
-        rows.groupBy("d1", "d2").agg(F.min(document).alias("first"), F.max(document).alias("last")).where("first < last").select("d1", "d2", "first")
+        rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last"), F.min("t").alias("least"), F.max("t").alias("most"))
+        .where("first_doc < last or least < most")
+        .select("d1", "d2", "first_doc", F.when(F.col("first_doc") == F.col("last"), F.col("least")).alias("only"))
     )
     if shared.count() <= SENT_DIGESTS:
         shared = F.broadcast(shared)
-    keep = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    keep = (F.col("doc_id") == F.col("first_doc")) & F.coalesce(F.col("t") == F.col("only"), F.lit(True))
     return rows.join(shared, ["d1", "d2"]).select(
-        "doc_id", "t", "start", "stop", F.col("first.doc_id").alias("first_doc"), keep.alias("keep"),
-        F.when(~keep, F.col("first")).alias("partner"), F.lit(whole).alias("whole"),
+        "doc_id", "t", "start", "stop", "first_doc", keep.alias("keep"), F.when(~keep, F.col("first_doc")).alias("partner"), F.lit(whole).alias("whole")
     )
 
 
@@ -187,12 +213,12 @@ def _merged(pieces: DataFrame, *of: str) -> DataFrame:
 def _widened(docs: DataFrame, stretches: DataFrame, min_words: int, span: int) -> DataFrame:
     """CHUNKS of the windows around the ends of each document's stretches; texts are shuffled only if many have some."""
     ends = saved(stretches.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stop", "keep")).alias("ends")))
-    rows = docs.join(F.broadcast(ends) if ends.count() <= SENT_DOCS else ends, ["doc_id", "t"])
+    rows = docs.join(F.broadcast(ends) if stretches.count() <= SENT_STRETCHES else ends, ["doc_id", "t"])
     return _digested(rows, lambda text, ends: windows(text, [(e["start"], e["stop"], e["keep"]) for e in ends], min_words, span))
 
 
 def repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, reach: int = REACH, min_span: int = MIN_SPAN
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, reach: int = REACH, span: int = SPAN
 ) -> DataFrame:
     """(doc_id, t, start, stop, n_words, first_doc, keep): spans that other documents hold too.
 
@@ -200,8 +226,8 @@ def repeated_spans(
     """
     rows = _named(docs, id_col, text_col)
     stretches = saved(_merged(_pieces(chunk_table(docs, id_col, text_col, min_words, reach), False), "partner"))
-    around = saved(_widened(rows, stretches, min_words, min_span))
-    certain = stretches.where(F.col("stop") - F.col("start") >= min_span)
+    around = saved(_widened(rows, stretches, min_words, span))
+    certain = stretches.where(F.col("stop") - F.col("start") >= span)
     # a stretch may hold the parts of what its partner has in another order, each of them too short: it needs a whole window
     spans = _merged(certain.unionByName(_pieces(around, True).drop("partner"))).where("whole")
     # windows are made near the ends of stretches alone, so one may seem first-held inside what an earlier document has
@@ -219,7 +245,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = repeated_spans(docs, id_col, text_col, **options).where("not keep")
     cut = saved(spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"))
-    few = cut.count() <= SENT_DOCS
+    few = (cut.agg(F.sum(F.size("spans"))).first()[0] or 0) <= SENT_STRETCHES
     joined = rows.join(F.broadcast(cut) if few else cut, ["doc_id", "t"], "left").select("row.*", F.col("spans").alias("_"))
     at = docs.columns.index(text_col)
     arrow = to_arrow_schema(docs.schema)
