@@ -4,8 +4,10 @@ Folding lower-cases, strips accents, maps homoglyphs of other scripts and full-w
 letter they look like, and reads digits and symbols inside words as the letters they stand for. The
 lexicon is learnt: words and stems (beginnings of longer words) whose document frequency in toxic
 training rows is far above that in the others get their shrunken log-odds as weight; of a stem and its
-extensions the one that tells most is taken. Exception phrases are learnt beside it: a lexicon word with
-its neighbour that training rows show to be harmless cancels the hit. A text's weighted hits, as they are
+extensions the one that tells most is taken. Rows must come from several families of copies, so that what
+merely stands in one much copied text is no entry. Exception phrases are learnt beside it: a lexicon word with
+its neighbour, from several families too, whose rows are toxic far less often than the lexicon's cancels the
+hit. A text's weighted hits, as they are
 and normalised by its length, go through a logistic fitted to the training rows.
 
 Training reads every labelled training row: words are counted by Spark, and the logistic is fitted on
@@ -30,17 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_map, map_docs, schema_of, slices
+from .common import arrow_map, map_docs, saved, schema_of, slices
 
-#: A word enters the lexicon with so many toxic training rows, and this z-score of its log-odds.
+#: A word enters the lexicon with so many toxic training rows, so unlikely by chance that among all words
+#: tried exp(-MIN_GAIN) such are to be expected,
 MIN_TOXIC_ROWS = 5
-MIN_Z = 4.0
+MIN_GAIN = 3.0
 #: and this share of its training rows toxic.
 MIN_SHARE = 0.5
 #: Toxic rows must come from many families of copies: a quarter of the rows, within these limits.
 MIN_FAMILIES, ENOUGH_FAMILIES = 5, 24
-#: Lexicon entries that are broadcast at most: the heaviest by z-score, about 100 bytes each.
-LEXICON_WORDS = 50_000
+#: An exception's share of toxic rows is at most this part of the lexicon's own, by this z-score at least.
+EXEMPT_SHARE, EXEMPT_Z = 0.25, 3.0
+#: A lexicon and its exceptions go to every worker, some 200 bytes an entry. No entry is dropped: beyond so
+#: many, which no labelled corpus should come to, fitting stops with an error.
+MOST_ENTRIES = 2_000_000
 THRESHOLD = 0.7
 #: Hits count by this many words of text; texts shorter than the second number count as that long.
 PER_WORDS, SHORT_TEXT = 200, 60
@@ -134,15 +140,27 @@ class Lexicon:
         return self._automaton
 
     def hits(self, folded: str) -> list[float]:
-        """Weights of the matches at word edges that no exception phrase covers."""
+        """Weights of the matches at word edges that no exception phrase covers, found in one sweep."""
         if not len(self.automaton):
             return []
         found, spared, n = [], [], len(folded)
         for end, (size, weight, stem, exempt) in self.automaton.iter(folded):
             start = end - size + 1
-            if (start == 0 or not folded[start - 1].isalpha()) and (end + 1 == n or folded[end + 1].isalpha() == stem):
+            if (start == 0 or not folded[start - 1].isalpha()) and (end + 1 < n and folded[end + 1].isalpha()) == stem:
                 (spared if exempt else found).append((start, end, weight))
-        return [x for a, b, x in found if not any(c <= a and b <= d for c, d, _ in spared)]
+        if spared:
+            # a match is covered if of the exceptions that begin at or before it the farthest end is not before its own
+            spared.sort()
+            found.sort()
+            kept, at, reach = [], 0, -1
+            for match in found:
+                while at < len(spared) and spared[at][0] <= match[0]:
+                    reach = max(reach, spared[at][1])
+                    at += 1
+                if match[1] > reach:
+                    kept.append(match)
+            found = kept
+        return [x for _, _, x in found]
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Weighted hits normalised by length, and as they are, both on a log scale."""
@@ -160,29 +178,25 @@ class Lexicon:
 
 
 def _word_rows(train: DataFrame, text_col: str, label_col: str, terms_of) -> DataFrame:
-    """(term, toxic, clean, families): training rows of either label that hold each term, and about how
-    many families of copies the toxic ones are, up to 63. Shares are pre-added."""
-    schema = schema_of("term string, toxic long, clean long, family long")
+    """(term, toxic, clean, families, clean_families): training rows of either label that hold each term, and
+    about how many families of copies they are, up to 63. Shares are pre-added."""
+    schema = schema_of("term string, clean long, toxic long, clean_family long, family long")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         counts: dict[str, list[int]] = {}
 
         def rows():
-            cols = list(zip(*counts.values())) or [(), (), ()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[2], pa.int64())],
-                schema=arrow,
-            )
+            cols = list(zip(*counts.values())) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], schema=arrow)
 
         for part in slices(batches):
             for text, label in zip(*(c.to_pylist() for c in part.columns)):
-                found = set(terms_of(text))
-                family = _family(text) if label else 0
-                for term in found:
-                    held = counts.setdefault(term, [0, 0, 0])
+                family = _family(text)
+                for term in set(terms_of(text)):
+                    held = counts.setdefault(term, [0, 0, 0, 0])
                     held[label] += 1
-                    held[2] |= family
+                    held[2 + label] |= family
             if len(counts) > 500_000:
                 yield rows()
                 counts.clear()
@@ -190,7 +204,8 @@ def _word_rows(train: DataFrame, text_col: str, label_col: str, terms_of) -> Dat
 
     found = arrow_map(train.select(text_col, F.col(label_col).cast("int")), run, schema)
     return found.groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.expr("bit_or(family)")).alias("families")
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.expr("bit_or(family)")).alias("families"),
+        F.bit_count(F.expr("bit_or(clean_family)")).alias("clean_families"),
     )
 
 
@@ -206,6 +221,27 @@ def _z(toxic: str, clean: str, n_toxic: int, n_clean: int):
     return odds, odds / F.sqrt(1 / (F.col(toxic) + 0.5) + 1 / (F.col(clean) + 0.5))
 
 
+def _gathered(rows: DataFrame) -> list:
+    """All rows of a lexicon table; none is left out."""
+    out = rows.limit(MOST_ENTRIES + 1).collect()
+    if len(out) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} lexicon entries")
+    return out
+
+
+def _pruned(chosen: list) -> list:
+    """Of a stem and its extensions the one that tells most, strongest first."""
+    kept, taken, begun = [], set(), set()
+    for r in sorted(chosen, key=lambda r: (-r["gain"], r["term"][-1] == "*", -len(r["term"]), r["term"])):
+        bare = r["term"].rstrip("*")
+        begins = {bare[:k] for k in range(1, len(bare) + 1)}
+        if bare not in taken and not begins & begun:
+            kept.append(r)
+            begun.add(bare)
+            taken |= begins
+    return kept
+
+
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learn lexicon, exceptions and logistic from all labelled rows of ``train``."""
     train = train.where(F.col(label_col).isin(0, 1))
@@ -213,42 +249,43 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "toxic") -> L
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon({}, [])
+
+    counted = saved(_word_rows(train, text_col, label_col, terms))
+    k, n, base = F.col("toxic"), F.col("toxic") + F.col("clean"), n_toxic / (n_toxic + n_clean)
+    families = F.greatest(F.lit(MIN_FAMILIES), F.least(F.lit(ENOUGH_FAMILIES), k / 4))
+    enough = (k >= MIN_TOXIC_ROWS) & (F.col("families") >= families) & (k >= MIN_SHARE * n) & (k > base * n)
+    # Chernoff's bound on the chance of so many toxic rows among so many: -log of it, as nats
+    gain = k * F.log(k / n / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - base))).otherwise(0.0)
     odds, z = _z("toxic", "clean", n_toxic, n_clean)
-    counted = _word_rows(train, text_col, label_col, terms)
-    families = F.greatest(F.lit(MIN_FAMILIES), F.least(F.lit(ENOUGH_FAMILIES), F.col("toxic") / 4))
-    enough = (F.col("toxic") >= MIN_TOXIC_ROWS) & (F.col("families") >= families)
-    share = F.col("toxic") >= MIN_SHARE * (F.col("toxic") + F.col("clean"))
-    chosen = (
-        counted.where(enough & share).withColumn("odds", odds).withColumn("z", z)
-        .where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(LEXICON_WORDS).collect()
-    )
-    weights: dict[str, float] = {}
-    taken: set[str] = set()
-    for r in sorted(chosen, key=lambda r: (-r["z"], r["term"][-1] == "*", -len(r["term"]), r["term"])):
-        bare = r["term"].rstrip("*")
-        begins = {bare[:k] for k in range(1, len(bare) + 1)}
-        if bare not in taken and not begins & weights.keys() and not any(b + "*" in weights for b in begins):
-            # a log-odds is shrunk by its own uncertainty
-            weights[r["term"]] = float(max(0.1, r["odds"] - 2 * r["odds"] / r["z"]))
-            taken |= begins
-    lexicon = Lexicon(weights, _exceptions(train, text_col, label_col, weights.keys(), n_toxic, n_clean))
+    telling = counted.where(enough).withColumn("gain", gain).where(F.col("gain") >= math.log(max(1, counted.count())) + MIN_GAIN)
+    chosen = _pruned(_gathered(telling.withColumn("odds", odds).withColumn("z", z)))
+    # a log-odds is shrunk by its own uncertainty
+    weights = {r["term"]: float(max(0.1, r["odds"] - 2 * r["odds"] / r["z"])) for r in chosen}
+    lexicon = Lexicon(weights, _exceptions(train, text_col, label_col, weights.keys()))
     _fit_logistic(lexicon, train, text_col, label_col)
     return lexicon
 
 
-def _exceptions(train, text_col, label_col, lexicon, n_toxic: int, n_clean: int) -> list[str]:
-    """Phrases of a lexicon word and a neighbour that clean rows use and toxic rows do not."""
+def _exceptions(train, text_col, label_col, lexicon) -> list[str]:
+    """Phrases of a lexicon word and a neighbour whose rows are toxic far less often than the lexicon's."""
     whole, stems = {w for w in lexicon if w[-1] != "*"}, {w[:-1] for w in lexicon if w[-1] == "*"}
 
     def phrases(text):
+        """The entries' pairs with their neighbours, and the empty phrase of every text with an entry."""
         ws = words(text)
         listed = [w in whole or any(w[:k] in stems for k in STEMS if k < len(w)) for w in ws]
-        return [f"{a} {b}" for a, b, x, y in zip(ws, ws[1:], listed, listed[1:]) if x or y]
-
-    found = _word_rows(train, text_col, label_col, phrases)
-    _, z = _z("toxic", "clean", n_toxic, n_clean)
-    harmless = found.where((F.col("clean") >= MIN_TOXIC_ROWS) & (F.col("toxic") == 0)).withColumn("z", z)
-    return [r["term"] for r in harmless.orderBy("z", "term").limit(LEXICON_WORDS).collect()]
+        pairs = {f"{a} {b}" for a, b, x, y in zip(ws, ws[1:], listed, listed[1:]) if x or y}
+        return pairs | {""} if any(listed) else pairs
+
+    found = saved(_word_rows(train, text_col, label_col, phrases))
+    every = found.where("term = ''").first()
+    if not every:
+        return []
+    rows = F.col("toxic") + F.col("clean")
+    usual = every["toxic"] / (every["toxic"] + every["clean"])
+    below = (usual - F.col("toxic") / rows) / F.sqrt(F.lit(max(usual * (1 - usual), 0.01)) / rows)
+    harmless = found.where((F.col("term") != "") & (F.col("clean_families") >= MIN_FAMILIES) & (F.col("toxic") <= EXEMPT_SHARE * usual * rows) & (below >= EXEMPT_Z))
+    return sorted(r["term"] for r in _gathered(harmless))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
