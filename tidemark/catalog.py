@@ -11,7 +11,9 @@ from . import relational
 from .functions.buckets import bucket, calendar_bucket, exact_sum, json_number, parsed
 from .operators import timeseries as ts_ops
 from .plans.query import BucketQuery
+from .session import scratch
 from .sources import measurements
+from .streaming import landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,12 +89,23 @@ def days_from_hours(rows: DataFrame) -> DataFrame:
     return ts_ops.coarser(BucketQuery("1 hour").run(rows), bucket("bucket_start", "1 day"))
 
 
-@query("""SELECT CAST(NULL AS TIMESTAMP) AS bucket_start, CAST(0 AS BIGINT) AS n, CAST(0 AS DECIMAL(38,2)) AS total, '' AS side WHERE false""")
+@query(f"""WITH hours AS (SELECT time_bucket(interval '1 hour', ts) AS h, count(value) AS n, {_TOTAL} AS total FROM events WHERE event_id % 4000 <> 17 GROUP BY 1),
+one AS (SELECT time_bucket(interval '1 day', h) AS bucket_start, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS DECIMAL(38,2)) AS total FROM hours GROUP BY 1),
+other AS (SELECT time_bucket(interval '1 day', ts) AS bucket_start, count(value) AS n, {_TOTAL} AS total FROM events GROUP BY 1)
+SELECT *, 'one' AS side FROM (SELECT * FROM one EXCEPT ALL SELECT * FROM other) UNION ALL
+SELECT *, 'other' AS side FROM (SELECT * FROM other EXCEPT ALL SELECT * FROM one)""")
 def reconciliation(rows: DataFrame) -> DataFrame:
-    fine = ts_ops.coarser(BucketQuery("1 hour").run(rows), bucket("bucket_start", "1 day")).select("bucket_start", "n", "total")
+    """Days rolled up from hours that lack some rows, against days from all rows: the days that differ show on both sides."""
+    lost = rows.where("event_id % 4000 <> 17")
+    fine = ts_ops.coarser(BucketQuery("1 hour").run(lost), bucket("bucket_start", "1 day")).select("bucket_start", "n", "total")
     return ts_ops.reconciled(fine, BucketQuery("1 day").run(rows).select("bucket_start", "n", "total"))
 
 
+@query(f"SELECT event_type, time_bucket(interval '6 hours', ts) AS bucket_start, {_AGGS} FROM events GROUP BY 1, 2 ORDER BY bucket_start, event_type")
+def quarter_days_in_order(rows: DataFrame) -> DataFrame:
+    return BucketQuery("6 hours").by("event_type").in_order().run(rows)
+
+
 @query(f"""SELECT c.bucket_start, coalesce(b.n, 0) AS n, b.total FROM
 (SELECT unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30 23:45:00', interval '15 minutes')) AS bucket_start) c
 LEFT JOIN (SELECT time_bucket(interval '15 minutes', ts) AS bucket_start, count(value) AS n, {_TOTAL} AS total FROM events GROUP BY 1) b
@@ -150,10 +163,7 @@ def filtered_counts(rows: DataFrame) -> DataFrame:
     return ts_ops.bucketed(rows, bucket("ts", "1 day"), aggregates=[F.count_if(F.col("event_type") == "error").alias("errors"), bought.alias("bought")])
 
 
-@query("""SELECT event_type, n, CASE WHEN n > 1 THEN (q - s * s / n) / (n - 1) END AS variance FROM (
-  SELECT event_type, count(value) AS n, CAST(sum(CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(18,4))) AS DOUBLE) AS s,
-    CAST(sum(CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(18,4)) * CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(18,4))) AS DOUBLE) AS q
-  FROM events GROUP BY 1)""")
+@query("""SELECT event_type, count(value) AS n, round(var_samp(value), 6) AS variance, round(stddev_samp(value), 6) AS deviation FROM events GROUP BY 1""")
 def variance_by_type(rows: DataFrame) -> DataFrame:
     return ts_ops.spread(rows, "event_type")
 
@@ -181,12 +191,102 @@ def replayed_rows_once(rows: DataFrame) -> DataFrame:
     return measurements.deduplicated(rows.unionByName(rows))
 
 
-@query("SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE NOT isnan(value) AND event_id IS NOT NULL AND ts IS NOT NULL")
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_id % 10 NOT IN (3, 5, 7, 9)")
 def good_rows(rows: DataFrame) -> DataFrame:
-    good, _ = measurements.checked(rows)
+    """Of rows of which four in ten are made bad, the others."""
+    good, _ = measurements.checked(_spoilt(rows))
     return good
 
 
+@query("""SELECT CASE event_id % 10 WHEN 3 THEN 'no id' WHEN 5 THEN 'not a number' WHEN 7 THEN 'no time' ELSE 'too many decimals' END AS fault, count(*) AS n
+FROM events WHERE event_id % 10 IN (3, 5, 7, 9) GROUP BY 1""")
+def faults(rows: DataFrame) -> DataFrame:
+    _, bad = measurements.checked(_spoilt(rows))
+    return bad.groupBy(F.col("_fault").alias("fault")).agg(F.count("*").alias("n"))
+
+
+def _spoilt(rows: DataFrame) -> DataFrame:
+    kind = F.col("event_id") % 10
+    odd = F.when(kind == 5, F.lit(float("nan"))).when(kind == 9, F.lit(0.125)).otherwise(F.col("value"))
+    return rows.select(F.when(kind != 3, F.col("event_id")).alias("event_id"), F.when(kind != 7, F.col("ts")).alias("ts"), "user_id", "event_type", odd.alias("value"), "props")
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(sum(CAST(event_id % 1000 AS DECIMAL(18,3)) / 1000) AS DECIMAL(38,3)) AS total,
+count(*) FILTER (WHERE event_id % 10 <> 0) AS refused FROM events GROUP BY 1""")
+def three_decimals(rows: DataFrame) -> DataFrame:
+    """Values with three decimals: kept exactly where they are asked for, refused where sums have two."""
+    fine = rows.withColumn("value", (F.col("event_id") % 1000 / 1000).cast("double"))
+    _, bad = measurements.checked(fine)
+    refused = bad.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("refused"))
+    kept = fine.groupBy("event_type").agg(F.count("value").alias("n"), exact_sum("value", 3).alias("total"))
+    return kept.join(refused, F.col("event_type") == F.col("kind"), "left").select("event_type", "n", "total", F.coalesce("refused", F.lit(0)).alias("refused"))
+
+
+@query("""SELECT 'whole' AS batch_id, event_id, ts, value FROM events WHERE event_id % 3 = 0 AND ts < '2024-01-08'
+UNION ALL SELECT '007', event_id, ts, value FROM events WHERE event_id % 3 = 1""")
+def replayed_batch(rows: DataFrame) -> DataFrame:
+    """A batch of a month, written again with its first week alone, beside another one: nothing of its later days stays."""
+    path = scratch(rows.sparkSession)
+    mine = rows.where("event_id % 3 = 0")
+    measurements.write_batch(mine, path, "whole")
+    measurements.write_batch(rows.where("event_id % 3 = 1"), path, "007")
+    measurements.write_batch(mine.where("ts < timestamp_ntz '2024-01-08'"), path, "whole")
+    return measurements.read_table(rows.sparkSession, path).select("batch_id", "event_id", "ts", "value")
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def two_streams(rows: DataFrame) -> DataFrame:
+    """Two streams into one table, and the first once more with nothing new: each row once."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    for k in (0, 1):
+        rows.where(F.col("event_id") % 2 == k).write.parquet(f"{path}/source-{k}")
+    for k in (0, 1, 0):
+        source = landing.stream(spark, f"{path}/source-{k}")
+        landing.land(source, f"{path}/table", f"{path}/rejects", f"{path}/checkpoint-{k}").awaitTermination()
+    return measurements.read_table(spark, f"{path}/table").drop("batch_id", "dt")
+
+
+@query("""SELECT CAST(date_trunc('day', timestamp '2024-01-01' + to_seconds(i * 30)) AS TIMESTAMP) AS bucket_start, count(*) AS n
+FROM range(100000) t(i) GROUP BY 1""")
+def generated_load(rows: DataFrame) -> DataFrame:
+    """A hundred thousand generated measurements through the custom source, counted by day."""
+    from .sources import generator
+
+    made = generator.load(rows.sparkSession, 100_000)
+    return ts_ops.bucketed(made, bucket("ts", "1 day"), aggregates=[F.count("*").alias("n")])
+
+
+@query("SELECT 2 AS copies, event_id, ts, value FROM events WHERE event_id % 5 = 0")
+def file_formats(rows: DataFrame) -> DataFrame:
+    """Rows written as CSV, JSON and ORC and read back by the schema; the three agree row by row."""
+    path, mine = scratch(rows.sparkSession), rows.where("event_id % 5 = 0")
+    back = []
+    for fmt in ("csv", "json", "orc"):
+        micros = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}  # text formats write milliseconds otherwise
+        mine.write.format(fmt).options(**micros).save(f"{path}/{fmt}")
+        back.append(measurements.read(rows.sparkSession, f"{path}/{fmt}", fmt, **micros))
+    first, *others = back
+    same = others[0].unionByName(others[1]).groupBy(*first.columns).agg(F.count("*").alias("copies"))
+    return first.join(same, first.columns).select(F.col("copies").cast("int").alias("copies"), "event_id", "ts", "value")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, value, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch_id FROM events WHERE event_id % 2 = 1 OR event_id < 500")
+def database_round_trip(rows: DataFrame) -> DataFrame:
+    """Two batches in a database in memory, one of them written again with fewer rows; read back in four ranges.
+
+    An embedded database lives in one JVM, so this query is for a local master; the operators are not.
+    """
+    url, driver = "jdbc:derby:memory:tidemark;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    name = f"events_{abs(hash(scratch(rows.sparkSession))) % 10**9}"
+    mine = rows.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "user_id", "value").coalesce(2)
+    even = mine.where("event_id % 2 = 0")
+    measurements.write_jdbc(even, url, name, "even", **driver)
+    measurements.write_jdbc(mine.where("event_id % 2 = 1"), url, name, "odd", **driver)
+    measurements.write_jdbc(even.where("event_id < 500"), url, name, "even", **driver)
+    back = measurements.read_jdbc(rows.sparkSession, url, name, "event_id", (0, 10_000), 4, **driver)
+    return back.select("event_id", F.col("ts").cast("string").alias("ts"), "user_id", "value", F.col("batch_id").cast("string").alias("batch_id"))
+
+
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_id % 2 = 0")
 def json_lines_split(rows: DataFrame) -> DataFrame:
     """Every other row as a JSON line, the others torn: the good ones come back."""

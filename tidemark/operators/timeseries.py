@@ -1,20 +1,30 @@
-"""Aggregates over time buckets and what goes with them. Every operator takes and returns DataFrames."""
+"""Aggregates over time buckets and what goes with them. Every operator takes and returns DataFrames.
+
+Unless an operator says otherwise: keys may be null, and null is a key like any other; rows with a null time
+are in no bucket; rows with a null value count nothing and add nothing; repeated rows count as often as they
+come; an empty table gives an empty result; columns that an operator does not name are ignored. Columns that
+operators add for themselves get names that the rows do not have.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.buckets import TOTAL, exact, exact_mean, exact_sum
+from ..functions.buckets import SCALE, TOTAL, exact, exact_mean, exact_sum
+from ..session import unused
 
 
-def exact_aggregates(value: str = "value") -> list[Column]:
+def exact_aggregates(value: str = "value", scale: int = SCALE) -> list[Column]:
     """n, total, mean, lo and hi of a column, the same for any partitioning."""
     return [
-        F.count(value).alias("n"), exact_sum(value).alias("total"), exact_mean(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+        F.count(value).alias("n"), exact_sum(value, scale).alias("total"), exact_mean(value, scale).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"),
     ]
 
 
@@ -25,91 +35,185 @@ def bucketed(rows: DataFrame, start: Column, keys: Sequence[str] = (), aggregate
 
 def coarser(fine: DataFrame, start: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Coarser buckets from finer ones: counts and totals add up, the mean is made anew, never averaged."""
-    out = fine.groupBy(*keys, start.alias("_start")).agg(
-        F.sum("n").alias("n"), F.sum("total").cast(TOTAL).alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    name = unused(fine, "start")
+    out = fine.groupBy(*keys, start.alias(name)).agg(
+        F.sum("n").alias("n"), F.sum("total").cast(fine.schema["total"].dataType).alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     mean = (F.col("total").cast("double") / F.nullif(F.col("n"), F.lit(0))).alias("mean")
-    return out.select(*keys, F.col("_start").alias("bucket_start"), "n", "total", mean, "lo", "hi")
+    return out.select(*keys, F.col(name).alias("bucket_start"), "n", "total", mean, "lo", "hi")
 
 
 def reconciled(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Rows that only one side has, with the side; empty where both agree."""
+    """Rows that only one side has, as often as it has them more, with the side; empty where both agree."""
     return one.exceptAll(other).withColumn("side", F.lit("one")).unionByName(other.exceptAll(one).withColumn("side", F.lit("other")))
 
 
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+
+
+def seconds_of(width: str) -> int:
+    """Seconds of a width such as ``15 minutes``; months have no fixed number and are refused."""
+    m = re.fullmatch(r"\s*(\d+)\s+(second|minute|hour|day|week)s?\s*", width)
+    if not m or not int(m[1]):
+        raise ValueError(f"no fixed width: {width}")
+    return int(m[1]) * _SECONDS[m[2]]
+
+
+def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    """Equality that takes null for a value."""
+    return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in zip(left, right)))
+
+
 def gap_filled(buckets: DataFrame, first: str, last: str, width: str, keys: DataFrame | None = None) -> DataFrame:
     """Every bucket from ``first`` to ``last``, for each row of ``keys`` where given; n is 0 where nothing was.
 
-    The calendar is made by the executors; ``keys`` is crossed with the calendar alone, as its rows ask for.
+    The calendar is made by the executors, in runs of 4,096 buckets, and ``keys`` is multiplied by the calendar
+    alone, as its rows ask for. A null key is filled like any other.
     """
-    spark = buckets.sparkSession
-    calendar = spark.range(1).select(
-        F.explode(F.sequence(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), F.expr(f"interval '{width}'"))).alias("bucket_start")
-    )
-    names = ["bucket_start"]
-    if keys is not None:
-        steps = F.sequence(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), F.expr(f"interval '{width}'"))
-        calendar, names = keys.withColumn("bucket_start", F.explode(steps)), [*keys.columns, "bucket_start"]
-    return calendar.join(buckets, names, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    step = seconds_of(width)
+    begin, end = (dt.datetime.fromisoformat(t) for t in (first, last))
+    count = int((end - begin).total_seconds()) // step + 1 if end >= begin else 0
+    names = [] if keys is None else keys.columns
+    run = 4096
+    if keys is None:
+        steps = buckets.sparkSession.range(count).select(F.col("id").alias("at"))
+    else:
+        at = unused(keys, "at")
+        runs = keys.where(F.lit(count > 0)).withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(max(count - 1, 0) // run))))
+        inside = F.sequence(F.col(at) * run, F.least(F.col(at) * run + run - 1, F.lit(max(count - 1, 0))))
+        steps = runs.select(*names, F.explode(inside).alias("at"))
+    start = F.lit(first).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("at").cast("bigint") * step).cast("decimal(18,6)"))
+    calendar = steps.select(*names, start.alias("bucket_start"))
+    on = [*names, "bucket_start"]
+    rest = [c for c in buckets.columns if c not in on]
+    met = calendar.alias("c").join(buckets.alias("b"), _same([F.col(f"c.{n}") for n in on], [F.col(f"b.{n}") for n in on]), "left")
+    return met.select(*(F.col(f"c.{n}") for n in on), *(F.coalesce("b.n", F.lit(0)).alias("n") if c == "n" else F.col(f"b.{c}") for c in rest))
 
 
 def sliding(rows: DataFrame, width: str, step: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Aggregates of windows of ``width`` that begin at every ``step``."""
     return bucketed(rows, F.window("ts", width, step).start, keys)
 
 
 def sessions(rows: DataFrame, gap: str, keys: Sequence[str]) -> DataFrame:
-    """Rows of a key with less than ``gap`` between neighbours: one row a session."""
+    """Rows of a key with less than ``gap`` between neighbours: one row a session. Null keys are one key."""
     w = F.session_window("ts", gap)
     out = rows.groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n"), exact_sum("value").alias("total"), F.max("ts").alias("last_ts"))
     return out.select(*keys, F.col("w.start").alias("session_start"), "last_ts", "n", "total")
 
 
 def first_last(rows: DataFrame, start: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """First and last value of each bucket by time, then id."""
-    order = F.struct("ts", "event_id")
+    """First and last value of each bucket by time, then id, then value; a null value may be first or last."""
+    order = F.struct("ts", "event_id", "value")
     return rows.groupBy(*keys, start.alias("bucket_start")).agg(F.min_by("value", order).alias("first_value"), F.max_by("value", order).alias("last_value"))
 
 
 def moving_total(buckets: DataFrame, days_before: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Total over each bucket and the days before it, by time and not by rows. Buckets are few beside rows."""
-    frame = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    days = F.unix_date(F.col("bucket_start").cast("date"))
-    total = F.sum("total").over(frame.orderBy(days).rangeBetween(-days_before, 0)).cast(TOTAL)
-    return buckets.withColumn("moving_total", total)
+    """Total over each bucket's day and the days before it, by time and not by rows.
+
+    Each day adds to the days that it counts for, and their sums meet the buckets again: a partial sum and a join
+    by key and day, so no key is sorted in one task. A bucket without a time has no moving total.
+    """
+    day, to, moving = (unused(buckets, n) for n in ("day", "to", "moving_total"))
+    dated = buckets.withColumn(day, F.unix_date(F.col("bucket_start").cast("date")))
+    daily = dated.groupBy(*keys, day).agg(F.sum("total").alias("total"))
+    reach = daily.withColumn(to, F.explode(F.sequence(F.col(day), F.col(day) + days_before)))
+    sums = reach.groupBy(*keys, to).agg(F.sum("total").cast(TOTAL).alias(moving))
+    on = _same([F.col(f"b.{k}") for k in (*keys, day)], [F.col(f"s.{k}") for k in (*keys, to)])
+    return dated.alias("b").join(sums.alias("s"), on, "left").select(*(F.col(f"b.{c}") for c in buckets.columns), F.col(f"s.{moving}"))
 
 
 def top_k(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """The ``k`` keys with most rows; ties go to the smaller key."""
+    """The ``k`` keys with most rows; ties go to the smaller key, null before all."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
 
 
 def rolled_up(rows: DataFrame, *keys: Column) -> DataFrame:
+    """Counts and totals of the keys and of each shorter list of them; ``level`` tells a null key from none."""
     return rows.rollup(*keys).agg(F.count("*").alias("n"), exact_sum("value").alias("total"), F.grouping_id().cast("bigint").alias("level"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, values: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Each left row with the latest right row of its key at or before its time.
+def as_of(left: DataFrame, right: DataFrame, key: str, values: Sequence[str], ts: str = "ts", prefix: str = "r_") -> DataFrame:
+    """Each left row with the latest right row of its key at or before its time, as ``prefix`` and its columns.
 
-    Both sides share one shuffle by key and one sort by time; the last right values are carried forward.
+    A key is cut by days: each day of a key that left rows have gets the last right row of the days before, and
+    is a task's share by itself, so a hot key is no single task. Of right rows at one time the one with the largest
+    values counts. A null key or time matches nothing. A left column that is called like a result is an error.
     """
-    pad = [F.lit(None).cast(right.schema[v].dataType).alias(f"r_{v}") for v in values]
-    a = left.select(*left.columns, *pad, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[ts].dataType).alias("r_ts"))
-    other = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (key, ts)]
-    b = right.select(key, ts, *other, *(F.col(v).alias(f"r_{v}") for v in values), F.lit(0).alias("_side"), F.col(ts).alias("r_ts"))
-    w = W.partitionBy(key).orderBy(ts, "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = a.unionByName(b)
-    held = F.last(F.when(F.col("_side") == 0, F.struct("r_ts", *(f"r_{v}" for v in values))), ignorenulls=True).over(w)
-    return both.withColumn("_r", held).where("_side = 1").select(*left.columns, "_r.r_ts", *(F.col(f"_r.r_{v}") for v in values))
-
+    results = [f"{prefix}{c}" for c in (ts, *values)]
+    if clash := set(results) & set(left.columns):
+        raise ValueError(f"left side has {sorted(clash)} already")
+    last = F.struct(F.col(ts).alias("t"), *(F.col(v).alias(f"v{i}") for i, v in enumerate(values)))
+
+    def day(c):
+        return F.unix_date(F.col(c).cast("date"))
+
+    known = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("k"), day(ts).alias("d"), F.col(ts).alias("t"), last.alias("r"))
+    asking = left.select(F.col(key).alias("k"), day(ts).alias("d"), F.col(ts).alias("t"), F.struct(*left.columns).alias("row"))
+    # what each day of a key hands on, carried to the days that are asked for: a row for each key and day
+    days = known.groupBy("k", "d").agg(F.max("r").alias("r")).withColumn("asked", F.lit(False))
+    asked = asking.where("k is not null and d is not null").select("k", "d").distinct().select("k", "d", F.lit(None).cast(days.schema["r"].dataType).alias("r"), F.lit(True).alias("asked"))
+    daily = days.unionByName(asked).groupBy("k", "d").agg(F.max("r").alias("r"), F.max("asked").alias("asked"))
+    before = W.partitionBy("k").orderBy("d").rowsBetween(W.unboundedPreceding, -1)
+    carried = daily.withColumn("r", F.last("r", ignorenulls=True).over(before)).where("asked and r is not null")
+    no_row = F.lit(None).cast(asking.schema["row"].dataType).alias("row")
+    both = (
+        carried.select("k", "d", F.col("r.t").alias("t"), F.lit(0).alias("side"), "r", no_row)
+        .unionByName(known.select("k", "d", "t", F.lit(1).alias("side"), "r", no_row))
+        .unionByName(asking.select("k", "d", "t", F.lit(2).alias("side"), F.lit(None).cast(known.schema["r"].dataType).alias("r"), "row"))
+    )
+    # null keys are spread, they match nothing
+    spread = F.when(F.col("k").isNull(), F.xxhash64("t"))
+    w = W.partitionBy("k", "d", spread).orderBy("t", "side", "r").rowsBetween(W.unboundedPreceding, 0)
+    held = both.withColumn("r", F.last("r", ignorenulls=True).over(w)).where("side = 2")
+    return held.select("row.*", *(F.col(f"r.{c}").alias(n) for c, n in zip(("t", *(f"v{i}" for i in range(len(values)))), results)))
 
-def quantiles(rows: DataFrame, key: str, shares: Sequence[float]) -> DataFrame:
-    """Exact quantiles, between neighbours where the share falls between them, to nine digits."""
-    return rows.groupBy(key).agg(*(F.round(F.percentile("value", p), 9).alias(f"p{round(p * 100)}") for p in shares))
 
+def quantiles(rows: DataFrame, key: str, shares: Sequence[float], value: str = "value") -> DataFrame:
+    """Exact quantiles, between neighbours where the share falls between them, to nine digits.
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Sample deviation and variance from exact sums of the decimals and their squares."""
-    v = exact("value").cast("decimal(18,4)")
-    sums = rows.groupBy(key).agg(F.count("value").alias("n"), F.sum(v).alias("s"), F.sum((v * v).cast("decimal(38,8)")).alias("q"))
+    Values are counted, then counted by cells (256 for each doubling); running sums over a key's cells tell which
+    of them hold the ranks asked for, and the values of these alone are put in order. Null values do not count; a
+    key without a value has nulls; NaN is the largest value.
+    """
+    counts = rows.groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).where("v is not null")
+    size = F.floor(F.log2(1 + F.abs("v") * 100) * 256)
+    cell = F.when(F.isnan("v"), F.lit(1 << 40)).when(F.col("v") < 0, -1 - size).otherwise(F.least(size, F.lit(1 << 39))).cast("bigint")
+    counts = counts.withColumn("cell", F.greatest(cell, F.lit(-(1 << 39)).cast("bigint")))
+    up = W.partitionBy("k").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = counts.groupBy("k", "cell").agg(F.sum("n").alias("n"))
+    cells = cells.select("k", "cell", "n", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("first"), F.sum("n").over(W.partitionBy("k")).alias("all"))
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), ((F.col("all") - 1).cast("double") * float(p)).alias("rank")) for i, p in enumerate(shares)))
+    wanted = cells.select("k", "cell", "n", "first", F.explode(ranks).alias("w")).select("k", "cell", "n", "first", "w.*")
+    ends = F.array(F.struct(F.lit(0).alias("e"), F.floor("rank").alias("at")), F.struct(F.lit(1).alias("e"), F.ceil("rank").alias("at")))
+    wanted = wanted.select("k", "cell", "n", "first", "i", "rank", F.explode(ends).alias("w")).select("k", "cell", "n", "first", "i", "rank", "w.*")
+    wanted = wanted.where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("n"))).drop("n")
+    here = wanted.select(F.col("k").alias("hk"), F.col("cell").alias("hc")).distinct()
+    inner = counts.join(here, _same([F.col("k"), F.col("cell")], [F.col("hk"), F.col("hc")]), "left_semi")
+    sums = F.coalesce(F.sum("n").over(W.partitionBy("k", "cell").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = inner.select(F.col("k").alias("pk"), F.col("cell").alias("pc"), "v", F.col("n").alias("pn"), sums.alias("before"))
+    on = _same([F.col("k"), F.col("cell")], [F.col("pk"), F.col("pc")]) & (F.col("at") - F.col("first") >= F.col("before")) & (F.col("at") - F.col("first") < F.col("before") + F.col("pn"))
+    picked = wanted.join(placed, on).groupBy("k", "i").agg(
+        F.max(F.when(F.col("e") == 0, F.col("v"))).alias("low"), F.max(F.when(F.col("e") == 1, F.col("v"))).alias("high"), F.max(F.col("rank") - F.floor("rank")).alias("part")
+    )
+    found = picked.groupBy("k").agg(*(
+        F.round(F.max(F.when(F.col("i") == i, F.col("low") + F.when(F.col("part") > 0, (F.col("high") - F.col("low")) * F.col("part")).otherwise(0.0))), 9).alias(f"p{round(p * 100)}")
+        for i, p in enumerate(shares)
+    ))
+    every = rows.select(F.col(key).alias("key")).distinct()
+    return every.join(found, F.col("key").eqNullSafe(F.col("k")), "left").select(F.col("key").alias(key), *(f"p{round(p * 100)}" for p in shares))
+
+
+def spread(rows: DataFrame, key: str, scale: int = SCALE) -> DataFrame:
+    """n, sample variance and deviation, to six digits, from exact sums: each value's distance from its key's
+    mean (rounded to the scale) is a decimal, so large values lose nothing to small differences."""
+    kind = f"decimal({16 + scale},{scale})"
+    rows = rows.select(F.col(key).alias("key"), exact("value", scale).alias("v"))
+    n = F.count("v").alias("n")
+    means = rows.groupBy(F.col("key").alias("k")).agg(F.round(F.sum("v") / F.nullif(F.count("v"), F.lit(0)), scale).cast(kind).alias("centre"))
+    apart = (F.col("v") - F.col("centre")).cast(kind)
+    placed = rows.join(means, F.col("key").eqNullSafe(F.col("k")))
+    sums = placed.groupBy("key").agg(n, F.sum(apart).alias("s"), F.sum(apart * apart).alias("q"))
     s, q, n = F.col("s").cast("double"), F.col("q").cast("double"), F.col("n")
-    return sums.select(key, "n", F.when(n > 1, (q - s * s / n) / (n - 1)).alias("variance"))
+    variance = F.when(n > 1, (q - s * s / n) / (n - 1))
+    return sums.select(F.col("key").alias(key), "n", F.round(variance, 6).alias("variance"), F.round(F.sqrt(variance), 6).alias("deviation"))

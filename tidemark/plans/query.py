@@ -7,8 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.buckets import bucket, calendar_bucket
-from ..operators.timeseries import bucketed
+from ..functions.buckets import SCALE, bucket, calendar_bucket
+from ..operators.timeseries import bucketed, exact_aggregates
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,8 @@ class BucketQuery:
     until: str | None = None
     keys: tuple[str, ...] = ()
     only: tuple[tuple[str, tuple], ...] = ()
+    scale: int = SCALE
+    ordered: bool = False
 
     def between(self, since: str | None, until: str | None) -> BucketQuery:
         return replace(self, since=since, until=until)
@@ -37,6 +39,14 @@ class BucketQuery:
     def where(self, column: str, *values) -> BucketQuery:
         return replace(self, only=(*self.only, (column, values)))
 
+    def decimals(self, scale: int) -> BucketQuery:
+        """Sums keep so many decimals; a value with more is an error."""
+        return replace(self, scale=scale)
+
+    def in_order(self) -> BucketQuery:
+        """The result is sorted by bucket, then keys: a range shuffle of the few aggregated rows."""
+        return replace(self, ordered=True)
+
     def filters(self, columns: list[str]) -> list[Column]:
         out = []
         for edge, sign in ((self.since, ">="), (self.until, "<")):
@@ -54,4 +64,5 @@ class BucketQuery:
 
     def run(self, rows: DataFrame) -> DataFrame:
         start = calendar_bucket("ts", self.unit, self.zone) if self.unit else bucket("ts", self.width, self.origin)
-        return bucketed(self.selected(rows), start, self.keys)
+        out = bucketed(self.selected(rows), start, self.keys, exact_aggregates(scale=self.scale))
+        return out.orderBy("bucket_start", *self.keys) if self.ordered else out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.buckets import TOTAL, exact, exact_sum
+from .functions.buckets import TOTAL, calendar_bucket, exact, exact_sum, hour_number
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,9 +79,9 @@ def semi_join(t: Tables) -> DataFrame:
     return t.customer.join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("""SELECT a.event_id, count(b.event_id) AS within FROM (SELECT * FROM events WHERE event_type = 'error') a JOIN events b
@@ -89,18 +89,13 @@ ON a.user_id = b.user_id AND b.ts >= a.ts - INTERVAL 1 HOUR AND b.ts < a.ts GROU
 def range_join(t: Tables) -> DataFrame:
     """Rows of the hour before each error: hours meet as equal buckets, and the exact range is checked there."""
     errors = t.events.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), "user_id", F.col("ts").alias("at"))
-    hour = bucket_number("at")
+    hour = hour_number("at")
     probes = errors.withColumn("h", F.explode(F.array(hour, hour - 1)))
-    met = probes.join(t.events.select("user_id", "ts").withColumn("h", bucket_number("ts")), ["user_id", "h"])
+    met = probes.join(t.events.select("user_id", "ts").withColumn("h", hour_number("ts")), ["user_id", "h"])
     before = met.where((F.col("ts") >= F.col("at") - F.expr("interval 1 hour")) & (F.col("ts") < F.col("at")))
     return before.groupBy(F.col("error_id").alias("event_id")).agg(F.count("*").alias("within"))
 
 
-def bucket_number(ts: str):
-    """Hours since 1970 of a timestamp_ntz."""
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000)
-
-
 @query("""SELECT n_nationkey, c_custkey, c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey
 ORDER BY c_acctbal DESC, c_custkey LIMIT 3)""")
 def lateral_top(t: Tables) -> DataFrame:
@@ -130,7 +125,7 @@ def having(t: Tables) -> DataFrame:
 @query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) FILTER (WHERE event_type = 'click') AS click,
 count(*) FILTER (WHERE event_type = 'view') AS "view" FROM events GROUP BY 1""")
 def pivoted(t: Tables) -> DataFrame:
-    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    day = calendar_bucket("ts", "day").alias("day")
     return t.events.groupBy(day).pivot("event_type", ["click", "view"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
@@ -202,3 +197,37 @@ def array_functions(t: Tables) -> DataFrame:
     lists = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"), F.collect_set("o_orderstatus").alias("statuses"))
     three = F.aggregate(F.slice("keys", 1, 3), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return lists.select("o_custkey", F.size("keys").cast("bigint").alias("n"), three.alias("first_three"), F.array_contains("statuses", "F").alias("has_f"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS urgent FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') RIGHT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def right_join(t: Tables) -> DataFrame:
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.count("*").alias("urgent"))
+    return urgent.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", F.coalesce("urgent", F.lit(0)).alias("urgent"))
+
+
+@query("""SELECT band, count(*) AS parts, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS worth
+FROM part JOIN (VALUES ('small', 0, 10), ('middle', 8, 30), ('large', 25, 1000)) AS b(band, low, high) ON p_size >= low AND p_size < high GROUP BY 1""")
+def theta_join(t: Tables) -> DataFrame:
+    """Bands that overlap, met by inequality alone: a nested loop over three rows that go to every task."""
+    bands = t._spark.createDataFrame([("small", 0, 10), ("middle", 8, 30), ("large", 25, 1000)], "band string, low int, high int")
+    met = t.part.join(F.broadcast(bands), (F.col("p_size") >= F.col("low")) & (F.col("p_size") < F.col("high")))
+    return met.groupBy("band").agg(F.count("*").alias("parts"), exact_sum("p_retailprice").alias("worth"))
+
+
+@query("SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_acctbal < 0")
+def union_distinct(t: Tables) -> DataFrame:
+    return t.supplier.select(F.col("s_nationkey").alias("k")).union(t.customer.where("c_acctbal < 0").select("c_nationkey")).distinct()
+
+
+@query("""SELECT user_id, CAST(coalesce(m['click'], 0) AS BIGINT) AS clicks, CAST(len(map_keys(m)) AS BIGINT) AS kinds, list_sort(map_keys(m)) AS names,
+CAST(list_sum(map_values(m)) AS BIGINT) AS events
+FROM (SELECT user_id, map_from_entries(list((event_type, n))) AS m FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1)""")
+def map_functions(t: Tables) -> DataFrame:
+    """A user's counts by kind as a map; kinds are few."""
+    counts = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return maps.select(
+        "user_id", F.coalesce(F.element_at("m", "click"), F.lit(0).cast("bigint")).alias("clicks"), F.size(F.map_keys("m")).cast("bigint").alias("kinds"),
+        F.sort_array(F.map_keys("m")).alias("names"), total.alias("events"),
+    )

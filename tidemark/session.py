@@ -1,8 +1,10 @@
-"""A session with the settings that exact results rely on."""
+"""A session with the settings that exact results rely on, and folders for tables of one application."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,3 +20,24 @@ def session(app: str = "tidemark", **extra: str) -> SparkSession:
     for name, value in extra.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, deleted when the application ends.
+
+    It lies in spark.checkpoint.dir, or else in the warehouse, which a cluster shares too.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def unused(rows: DataFrame, name: str, *others: str) -> str:
+    """``name``, or it with underscores behind that no column of ``rows`` has."""
+    while name in rows.columns or name in others:
+        name += "_"
+    return name

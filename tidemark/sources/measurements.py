@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.buckets import SCALE, fits
+from ..session import unused
+
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 KEY = ["event_id"]
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = SCHEMA, **options) -> DataFrame:
-    """A batch in Parquet, ORC, JSON or CSV, by an explicit schema: nothing is inferred from the data."""
+    """A batch in Parquet, ORC, JSON or CSV (or Avro, where its package is on the class path), by an explicit
+    schema: nothing is inferred from the data."""
     return spark.read.schema(schema).options(**options).format(fmt).load(path)
 
 
@@ -20,55 +27,133 @@ def read_lines(spark: SparkSession, path: str, schema: str = SCHEMA) -> tuple[Da
     return split_lines(spark.read.text(path), schema)
 
 
-def split_lines(lines: DataFrame, schema: str = SCHEMA, column: str = "value") -> tuple[DataFrame, DataFrame]:
+def split_lines(lines: DataFrame, schema: str = SCHEMA, column: str = "value", scale: int = SCALE) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of a column of JSON lines; a null line is no record."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    rows = lines.select(F.col(column).alias("_line"), F.from_json(column, f"{schema}, _corrupt string", options).alias("r")).select("_line", "r.*")
-    rows = rows.withColumn("_fault", F.when(F.col("_corrupt").isNotNull(), "not a record").otherwise(fault()))
+    record = F.from_json(column, f"{schema}, _corrupt string", options)
+    # an exploded list of one is a barrier: filters and fields above it do not parse the line again
+    rows = lines.select(F.col(column).alias("_line"), F.explode_outer(F.array(record)).alias("r"))
+    torn = F.col("_line").isNull() | F.col("r._corrupt").isNotNull()
+    rows = rows.select("_line", "r.*", F.when(torn, "not a record").otherwise(fault(scale, "r.")).alias("_fault"))
     return rows.where("_fault is null").drop("_line", "_corrupt", "_fault"), rows.where("_fault is not null").select("_line", "_fault")
 
 
-def fault() -> Column:
-    """What is wrong with a measurement, null if nothing is: null keys and times, and numbers that are none."""
-    value = F.col("value")
+def fault(scale: int = SCALE, prefix: str = "") -> Column:
+    """What is wrong with a measurement, null if nothing is: null keys and times, numbers that are none, and
+    numbers with more decimals than exact sums keep."""
+    value = F.col(f"{prefix}value")
     return (
-        F.when(F.col("event_id").isNull(), "no id").when(F.col("ts").isNull(), "no time")
+        F.when(F.col(f"{prefix}event_id").isNull(), "no id").when(F.col(f"{prefix}ts").isNull(), "no time")
         .when(F.isnan(value) | value.isin(float("inf"), float("-inf")), "not a number")
-        .when(F.abs(value) >= 1e16, "out of range")
+        .when(F.abs(value) >= 1e15, "out of range").when(~fits(value, scale), "too many decimals")
     )
 
 
-def checked(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows of a batch; a null value is a measurement without a number and is good."""
-    rows = batch.withColumn("_fault", fault())
-    return rows.where("_fault is null").drop("_fault"), rows.where("_fault is not null")
+def checked(batch: DataFrame, scale: int = SCALE) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows of a batch; a null value is a measurement without a number and is good.
+
+    ``bad`` has a column ``_fault`` more; a column of that name is replaced.
+    """
+    rows = batch.withColumn("_fault", fault(scale))
+    return rows.where("_fault is null").select(*(c for c in batch.columns if c != "_fault")), rows.where("_fault is not null")
 
 
 def deduplicated(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """One row for each key, the same one in any order of arrival: the latest time, then the largest rest."""
+    """One row for each key, the same one in any order of arrival: the latest time, then the largest rest.
+
+    Rows with a null in their key are not known to be the same and all stay.
+    """
     rest = sorted(c for c in rows.columns if c not in key and c != "ts")
-    w = W.partitionBy(*key).orderBy(F.desc_nulls_last("ts"), *(F.desc_nulls_last(c) for c in rest))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    keyless = F.greatest(*(F.col(k).isNull() for k in key)) if len(key) > 1 else F.col(key[0]).isNull()
+    spread = F.when(keyless, F.xxhash64(*rows.columns))  # else all rows without a key would be one task
+    n = unused(rows, "_n")
+    w = W.partitionBy(*key, spread).orderBy(F.desc_nulls_last("ts"), *(F.desc_nulls_last(c) for c in rest))
+    return rows.withColumn(n, F.row_number().over(w)).where((F.col(n) == 1) | keyless).drop(n)
+
+
+def _replaced(out: DataFrame, path: str, batch_id: str, by: list[str]) -> None:
+    """Write a batch's folder of a table beside it, then put it in place of what the folder held before."""
+    if not batch_id:
+        raise ValueError("a batch needs an id")
+    spark = out.sparkSession
+    fresh, old = (f"{path.rstrip('/')}/_{kind}-{uuid.uuid4().hex}" for kind in ("fresh", "old"))
+    writer = out.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(fresh)
+    at, staged, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path.rstrip('/')}/batch_id={quote(batch_id, safe='')}", fresh, old))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = fs.exists(at)
+    if before and not fs.rename(at, aside):
+        raise OSError(f"{at} could not be moved")
+    if not fs.rename(staged, at):
+        if before:
+            fs.rename(aside, at)
+        raise OSError(f"{staged} could not be moved")
+    if before:
+        fs.delete(aside, True)
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: str) -> None:
-    """Write a batch as its own partition, split by day; writing it again replaces it.
+    """Write a batch as its own folder of a table, split by day; writing it again replaces all of it.
 
-    Rows are sorted by time in each file, so that row groups tell their range. One job, one commit: a
-    failed write leaves the batch as it was. Writers of one batch must not overlap.
+    The rows are written under a hidden name first, so a failed write leaves the batch as it was, and put in
+    place by a rename. Writers of one batch must not overlap. Days are rebalanced by size: a large day is several
+    tasks and files, small ones share a task. Each file is sorted by time, so that row groups tell their range.
     """
-    out = rows.withColumn("dt", F.to_date("ts")).withColumn("batch_id", F.lit(batch_id))
-    out = out.repartition("dt").sortWithinPartitions("dt", "ts")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "dt").parquet(path)
+    out = rows.drop("dt", "batch_id").withColumn("dt", F.to_date("ts"))
+    _replaced(out.hint("rebalance", "dt").sortWithinPartitions("dt", "ts"), path, batch_id, ["dt"])
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """All batches of a table; ``dt`` and ``batch_id`` are partition columns."""
-    return spark.read.parquet(path)
+def write_rejects(rows: DataFrame, path: str, batch_id: str) -> None:
+    """Keep the bad rows of a batch beside the table; writing them again replaces them."""
+    _replaced(rows, path, batch_id, [])
 
 
-def write_jdbc(rows: DataFrame, url: str, dbtable: str, **properties: str) -> None:
-    """Append to a database table; the driver's jar has to be on the class path."""
-    rows.write.format("jdbc").options(url=url, dbtable=dbtable, **properties).mode("append").save()
+def read_table(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
+    """All batches of a table; ``dt`` and ``batch_id`` are partition columns, and an id stays the text it is."""
+    return spark.read.schema(f"{schema}, batch_id string, dt date").parquet(path)
+
+
+def _connection(spark: SparkSession, url: str, properties: dict[str, str]):
+    jvm = spark._jvm
+    if "driver" in properties:
+        jvm.java.lang.Class.forName(properties["driver"])
+    known = jvm.java.util.Properties()
+    for name, value in properties.items():
+        if name != "driver":
+            known.setProperty(name, value)
+    return jvm.java.sql.DriverManager.getConnection(url, known)
+
+
+def write_jdbc(rows: DataFrame, url: str, dbtable: str, batch_id: str, **properties: str) -> None:
+    """Write a batch to a database table with a column ``batch_id``; writing it again replaces it.
+
+    Executors fill a table of the batch's own, ``<dbtable>_fresh``; then one transaction on the driver takes the
+    batch's old rows out and the new ones in, so readers see either. The table is made if there is none. The
+    driver's jar has to be on the class path; writers to one table must not overlap.
+    """
+    out = rows.drop("batch_id").withColumn("batch_id", F.lit(batch_id))
+    fresh = f"{dbtable}_fresh"
+    out.write.format("jdbc").options(url=url, dbtable=fresh, **properties).mode("overwrite").save()
+    probe = rows.sparkSession.read.format("jdbc").options(url=url, **properties)
+    try:
+        probe.option("dbtable", dbtable).load()
+    except Exception:  # there is none
+        out.limit(0).write.format("jdbc").options(url=url, dbtable=dbtable, **properties).mode("append").save()
+    names = ", ".join(f'"{c}"' for c in out.columns)
+    link = _connection(rows.sparkSession, url, properties)
+    try:
+        link.setAutoCommit(False)
+        gone = link.prepareStatement(f'DELETE FROM {dbtable} WHERE CAST("batch_id" AS VARCHAR(4000)) = ?')
+        gone.setString(1, batch_id)
+        gone.executeUpdate()
+        link.createStatement().executeUpdate(f"INSERT INTO {dbtable} ({names}) SELECT {names} FROM {fresh}")
+        link.createStatement().executeUpdate(f"DROP TABLE {fresh}")
+        link.commit()
+    except Exception:
+        link.rollback()
+        raise
+    finally:
+        link.close()
 
 
 def read_jdbc(spark: SparkSession, url: str, dbtable: str, column: str | None = None, bounds: tuple | None = None, parts: int = 16, **properties) -> DataFrame:

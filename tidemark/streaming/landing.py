@@ -5,29 +5,44 @@ A watermark would drop late rows; here none is set, and a late row shows in the
 
 from __future__ import annotations
 
+import json
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.measurements import SCHEMA, checked, write_batch
+from ..functions.buckets import SCALE, exact_sum
+from ..sources.measurements import SCHEMA, checked, write_batch, write_rejects
 
 
 def stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = SCHEMA, files_at_once: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).format(fmt).load(path)
 
 
-def land(rows: DataFrame, table: str, rejects: str, checkpoint: str):
-    """Write what has arrived and stop. A micro-batch is a batch of the table, so a retried one replaces itself."""
+def land(rows: DataFrame, table: str, rejects: str, checkpoint: str, scale: int = SCALE):
+    """Write what has arrived and stop. A micro-batch is a batch of the table, so a retried one replaces itself.
+
+    Batches are named by the id that the checkpoint gives the stream and by their number: streams with
+    checkpoints of their own, be they over one source, never replace each other's batches.
+    """
+    spark = rows.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        good, bad = checked(batch)
-        write_batch(good, table, f"stream-{number}")
-        bad.withColumn("batch_id", F.lit(f"stream-{number}")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(rejects)
+        about = "".join(r.value for r in spark.read.text(f"{checkpoint.rstrip('/')}/metadata").collect())
+        name = f"stream-{json.loads(about)['id']}-{number}"
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # good and bad rows of one reading
+        try:
+            good, bad = checked(batch, scale)
+            write_batch(good, table, name)
+            write_rejects(bad, rejects, name)
+        finally:
+            batch.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_counts(rows: DataFrame, width: str, keys=()):
+def running_counts(rows: DataFrame, width: str, keys=(), scale: int = SCALE):
     """Counts and exact totals of all that a stream has brought, for a sink in complete mode."""
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", width).alias("w"), *keys).agg(
-        F.count("value").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total")
+    return rows.groupBy(F.window("ts", width).alias("w"), *keys).agg(
+        F.count("value").alias("n"), exact_sum("value", scale).alias("total")
     ).select(F.col("w.start").alias("bucket_start"), *keys, "n", "total")
