@@ -60,12 +60,19 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of all pages of which every hundredth record has rotted in place."""
-    pages = table(spark, sf_dir, "pages")
-    rotten = F.when(F.col("page_id") % 100 == 7, F.translate("html", "<", "#")).otherwise(F.col("html"))
-    found = warc_merkle.audit(warc_merkle.records(pages), warc_merkle.records(pages.withColumn("html", rotten)))
-    place = [F.col("record_id").alias("page_id"), "volume", F.col("slot").cast("long").alias("slot"), "offset", "length"]
-    return found.select(*place, "digest", "other_digest", "kind")
+    """Audits a replica of all pages in which of every hundred records one has rotted in place, one is lost, one has
+    grown, one has been added, and two have changed places."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind = F.col("page_id") % 100
+    moved = F.when(kind == 55, F.col("page_id") + 1).when(kind == 56, F.col("page_id") - 1).otherwise(F.col("page_id"))
+    html = F.when(kind == 7, F.translate("html", "<", "#")).when(kind == 21, F.concat("html", F.lit("<!-- more -->"))).otherwise(F.col("html"))
+    replica = pages.where(kind != 13).select(moved.alias("page_id"), "url", html.alias("html"))
+    replica = replica.unionByName(pages.where(kind == 34).withColumn("page_id", F.col("page_id") + 10_000_000))
+    found = warc_merkle.audit(warc_merkle.records(pages), warc_merkle.records(replica))
+    return found.select(
+        F.coalesce("record_id", "other_record_id").alias("page_id"), "volume", F.col("slot").cast("long").alias("slot"), "offset", "length",
+        "digest", "other_length", "other_digest", "kind",
+    )
 
 
 def op6_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,20 +118,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _RECORD = """'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Target-URI: ' || coalesce(url, '') || n ||
-  'Content-Type: text/html' || n || 'Content-Length: ' || strlen(coalesce({html}, '')) || n || n || coalesce({html}, '') || n || n"""
+  'Content-Type: text/html' || n || 'Content-Length: ' || strlen(coalesce(html, '')) || n || n || coalesce(html, '') || n || n"""
+
+#: Records of a table of pages with their places, as ``warc_merkle.records`` lays them out.
+_LAID = f"""(SELECT *, coalesce(sum(size) OVER (PARTITION BY k // 4096 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first,
+    row_number() OVER (PARTITION BY page_id ORDER BY k) AS again
+  FROM (SELECT page_id, strlen(record) AS size, sha256(record) AS digest, row_number() OVER (ORDER BY page_id, sha256(record)) - 1 AS k
+    FROM (SELECT page_id, {_RECORD} AS record FROM (SELECT *, chr(13) || chr(10) AS n FROM {{pages}}))))"""
 
 SQL: dict[str, str] = {
     "op5_warc_merkle": f"""
-WITH laid AS (
-  SELECT page_id, html, {_RECORD.format(html="html")} AS record, {_RECORD.format(html="translate(html, '<', '#')")} AS rotten
-  FROM (SELECT *, chr(13) || chr(10) AS n FROM pages)
-), placed AS (
-  SELECT *, row_number() OVER (ORDER BY page_id, sha256(record)) - 1 AS k, strlen(record) AS size FROM laid
-), cut AS (
-  SELECT page_id, k // 4096 AS volume, k % 4096 AS slot, size AS length, sha256(record) AS digest, sha256(rotten) AS other_digest,
-    coalesce(sum(size) OVER (PARTITION BY k // 4096 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM placed
+WITH replica AS (
+  SELECT CASE page_id % 100 WHEN 55 THEN page_id + 1 WHEN 56 THEN page_id - 1 ELSE page_id END AS page_id, url,
+    CASE page_id % 100 WHEN 7 THEN translate(html, '<', '#') WHEN 21 THEN html || '<!-- more -->' ELSE html END AS html
+  FROM pages WHERE page_id % 100 <> 13
+  UNION ALL SELECT page_id + 10000000, url, html FROM pages WHERE page_id % 100 = 34
 )
-SELECT page_id, CAST(volume AS BIGINT) AS volume, CAST(slot AS BIGINT) AS slot, CAST("offset" AS BIGINT) AS "offset",
-  CAST(length AS BIGINT) AS length, digest, other_digest, 'changed' AS kind
-FROM cut WHERE page_id % 100 = 7 AND digest <> other_digest""",
+SELECT CAST(coalesce(a.page_id, b.page_id) AS BIGINT) AS page_id, CAST(coalesce(a.k, b.k) // 4096 AS BIGINT) AS volume,
+  CAST(coalesce(a.k, b.k) % 4096 AS BIGINT) AS slot, CAST(a.first AS BIGINT) AS "offset", CAST(a.size AS BIGINT) AS length, a.digest AS digest,
+  CAST(b.size AS BIGINT) AS other_length, b.digest AS other_digest,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'added' ELSE 'changed' END AS kind
+FROM {_LAID.format(pages="pages")} a FULL JOIN {_LAID.format(pages="replica")} b ON a.page_id = b.page_id AND a.again = b.again
+WHERE a.digest IS DISTINCT FROM b.digest""",
 }

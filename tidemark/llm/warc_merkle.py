@@ -4,8 +4,9 @@ A table of pages is laid out as WARC/1.1 response records, in order of page_id,
 number of records. Each record has an offset and a length in its volume. A volume's tree has the digests of
 its records as leaves; a node covers an ordered range of ``FANOUT`` children and hashes their digests in
 order. For an audit the other replica is laid out on the places of the reference, record by record_id and
-repeat number, so a lost, added or lengthened record shifts no other. The roots of the two are compared, and only the children of nodes that differ are compared
-further, level by level down to the records.
+repeat number, so a lost, added or lengthened record shifts no other. The roots of the two are compared, and
+only the children of nodes that differ are compared further, level by level down to the records; each level of
+a tree is a folder of its own, so no other level is read for it.
 
 Everything is DataFrame work: a node gathers at most FANOUT digests, a volume is addressed by its
 number, and positions come from range partitions and their counts, so nothing is sorted in one task.
@@ -138,7 +139,7 @@ def audit(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """
     one = saved(one)
     other = saved(aligned(one, saved(other)))
-    bad = differing(saved(tree(one, fanout)), saved(tree(other, fanout)), fanout)
+    bad = saved(differing(saved(tree(one, fanout), by="level"), saved(tree(other, fanout), by="level"), fanout))
     names = ["record_id", "offset", "length", "digest"]
     found = bad.join(one, ["volume", "slot"], "left").join(
         other.select("volume", "slot", *(F.col(n).alias(f"other_{n}") for n in names)), ["volume", "slot"], "left"
