@@ -1,20 +1,23 @@
 """Copies of pictures, cropped or edited, found by local image descriptors.
 
-Pictures (PGM, PPM or PNG bytes in a binary column) become grey pyramids. Corners are maxima of the Harris
-response at several scales; each gets an orientation from the centroid of its neighbourhood and 128
-binary tests of smoothed pixels, turned by that orientation. Descriptors meet in Hamming tables: a band
-of 32 of the 128 bits is a key, so that two descriptors with at most three differing bits share one for
-certain and most with a few more do. A pair of pictures is linked by geometric consensus: matched corners
-vote for scale, turn and shift, and enough different corners must agree. Links are closed to classes.
-
-In a bucket every picture is first compared with the one of smallest id, for ``ROUNDS`` rounds, which joins
-most copies at linear cost. Then every pair of pictures of a bucket that are not joined yet is compared, in
-tasks of at most two blocks, and votes anew with all its matches. So the classes are those of all pairs; a
+Pictures (PGM, PPM or PNG bytes in a binary column) become grey pyramids. Corners are all maxima of the
+Harris response over a floor of noise, at five scales; each gets an orientation from the centroid of its
+neighbourhood and 128 binary tests of smoothed pixels, turned by that orientation. A corner and each of its
+nearest corners of the same level make a doublet. Doublets meet in Hamming tables: a key is a choice of bits of
+both descriptors, so that one which flips few bits is met in some of its doublets, and descriptors that are
+common in pictures that have nothing else in common rarely meet. Two doublets match if the growth and turn
+of the line between their corners are those of the corners themselves. A pair of pictures is linked by geometric
+consensus: matched doublets vote for growth, turn and shift, and enough different corners must agree. Links
+are closed to classes.
+
+In a bucket every picture is first compared with the one of smallest number, which joins most copies at linear
+cost. Then every pair of pictures of a bucket that are not joined yet is compared, in tasks of at most two
+blocks, and votes anew with all its matches. So the classes are those of all pairs that meet in a bucket; a
 bucket of pictures that stay apart costs the square of its size in comparisons, and rows only for matches.
 
-Defined results: null or unreadable content has no corners and is a class of its own, as is a picture
-without corners; equal pictures are one class even so; repeated ids count as one picture for each
-content; rows with a null id are left out. Extra columns are ignored.
+Defined results: null or unreadable content (JPEG bytes among them, see from_files) has no corners and is a
+class of its own, as is a picture without corners; equal pictures are one class even so; repeated ids count as
+one picture for each content; rows with a null id are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,31 +27,38 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_map, saved, schema_of, slices
+from .common import arrow_map, map_docs, saved, schema_of, slices
 from .components import components
 
-#: Corners of a picture that are described: the strongest, over all scales.
-CORNERS = 16
 #: Sizes of the pyramid's levels by that of the picture.
-SCALES = (1.0, 0.7071, 0.5)
+SCALES = (1.0, 0.8409, 0.7071, 0.5946, 0.5)
 RADIUS = 9
 MARGIN = 3
-#: Differing bits of 128 up to which two corners match.
-MAX_BITS = 20
-#: Matched corners that must agree on scale, turn and shift.
-MIN_VOTES = 4
-#: Pixels within which the shifts of agreeing corners lie, or half of it.
-CELL = 12
-#: Rounds of comparison with the first picture of a bucket, before all pairs that these leave.
-ROUNDS = 2
-#: Buckets of more corners are compared in blocks of about so many.
+#: Harris response, in grey levels to the fourth power, below which nothing is a corner but noise.
+FLOOR = 4.0
+#: Pixels of a side of the tiles in which a level is searched.
+TILE = 1024
+#: Corners that a corner is paired with, and the pixels of its level that they are apart at least.
+NEIGHBOURS, NEAREST = 4, 3
+#: Bits of each of the two descriptors in a key, and ways to choose them.
+KEY_BITS, TABLES = 24, 1
+#: Contents, of some 100 bytes, that are broadcast at most; more are joined by a shuffle.
+SENT_CONTENTS = 100_000
+#: Differences of growth (log2) and turn (radians) of a doublet and its corners up to which they agree.
+MAX_GROW, MAX_TURN = 0.4, 0.3
+#: Matched corners that must agree on growth, turn and shift.
+MIN_VOTES = 5
+#: Pixels within which the shifts of agreeing corners lie, or half of it; cells of a whole turn.
+CELL, TURN_CELLS = 12, 16
+#: Buckets of more entries are compared in blocks of about so many.
 FEW, BLOCK = 64, 512
-_TURNS = 30
+_TURNS = 32
 _SEED = 31
+_KEY_BITS = [np.random.default_rng(_SEED + t).permutation(128)[: 2 * KEY_BITS].reshape(2, KEY_BITS) for t in range(TABLES)]
 
 
 def read_picture(content: bytes | None) -> np.ndarray | None:
@@ -82,49 +92,77 @@ def read_picture(content: bytes | None) -> np.ndarray | None:
 
 
 def _png(content: bytes) -> np.ndarray | None:
-    at, packed, head = 8, [], None
+    at, packed, head, palette = 8, [], None, None
     while at + 8 <= len(content):
         size, kind = struct.unpack_from(">I4s", content, at)
         body = content[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             packed.append(body)
         at += 12 + size
     width, height, depth, colour, _, _, interlace = head
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
-    if depth != 8 or interlace or channels is None:
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if interlace or channels is None or depth not in (8, 16) and not (channels == 1 and depth in (1, 2, 4)) or (colour == 3) != (palette is not None and colour == 3):
         return None
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height + 1, width + 1, channels), np.int64)  # a row above and a column to the left of zeros
-    for y in range(height):
-        line, up = raw[y, 1:].reshape(width, channels).astype(np.int64), out[y, 1:]
-        kind = raw[y, 0]
-        if kind == 2:
-            out[y + 1, 1:] = (line + up) & 255
-        elif kind == 0:
-            out[y + 1, 1:] = line
-        elif kind == 1:
-            out[y + 1, 1:] = np.cumsum(line, axis=0) & 255
-        else:
-            for x in range(width):
-                left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
-                if kind == 3:
-                    guess = (left + above) // 2
-                else:
-                    p = left + above - corner
-                    near = np.stack([abs(p - left), abs(p - above), abs(p - corner)])
-                    guess = np.choose(near.argmin(axis=0), [left, above, corner])
-                out[y + 1, x + 1] = (line[x] + guess) & 255
-    grey = out[1:, 1:]
-    return grey[:, :, : 1 if channels < 3 else 3].astype(np.uint8)
+    step = max(1, channels * depth // 8)  # bytes from a pixel to the next
+    row = -(-width * channels * depth // 8)
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)[: height * (1 + row)].reshape(height, 1 + row)
+    cells = -(-row // step)
+    lines = np.zeros((height, cells * step), np.uint8)
+    lines[:, :row] = raw[:, 1:]
+    out = _unfiltered(lines.reshape(height, cells, step), raw[:, 0]).reshape(height, -1)[:, :row]
+    if depth == 16:
+        out = out[:, ::2]  # the high bytes
+    elif depth < 8:
+        out = np.unpackbits(out, axis=1).reshape(height, -1, depth) @ (1 << np.arange(depth - 1, -1, -1))
+        out = out[:, :width] * (1 if colour == 3 else 255 // ((1 << depth) - 1))
+    if colour == 3:
+        return palette[out[:, :width]]
+    return out.reshape(height, width, channels)[:, :, : 1 if channels < 3 else 3].astype(np.uint8)
+
+
+def _unfiltered(lines: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Bytes of a PNG before its filters. Rows without a filter of two directions are undone at once, others along
+    diagonals: all pixels of one need only the two diagonals before it."""
+    height, width, step = lines.shape
+    out = np.zeros((height + 1, width + 1, step), np.int16)  # a row above and a column to the left of zeros
+    if not (kinds > 2).any():
+        for y in range(height):
+            line = lines[y].astype(np.int64)
+            if kinds[y] == 1:
+                line = np.cumsum(line, axis=0)
+            elif kinds[y] == 2:
+                line = line + out[y, 1:]
+            out[y + 1, 1:] = line & 255
+        return out[1:, 1:].astype(np.uint8)
+    kind = kinds[:, None]
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        k = kind[y]
+        p = left + above - corner
+        to_left, to_above, to_corner = abs(p - left), abs(p - above), abs(p - corner)
+        paeth = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+        guess = np.where(k == 1, left, np.where(k == 2, above, np.where(k == 3, (left + above) >> 1, np.where(k == 4, paeth, 0))))
+        out[y + 1, x + 1] = (lines[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Mean over (2r+1) x (2r+1) of a stack of pictures, edges repeated."""
+    """Mean over (2r+1) x (2r+1) of a stack of pictures, edges repeated; sums run along one line only, in doubles."""
     n = 2 * r + 1
-    p = np.pad(a, ((0, 0), (r + 1, r), (r + 1, r)), mode="edge").cumsum(axis=1).cumsum(axis=2)
-    return (p[:, n:, n:] - p[:, :-n, n:] - p[:, n:, :-n] + p[:, :-n, :-n]) / (n * n)
+    for axis in (1, 2):
+        pad = [(0, 0)] * 3
+        pad[axis] = (r + 1, r)
+        p = np.pad(a, pad, mode="edge").cumsum(axis=axis, dtype=np.float64)
+        high, low = [slice(None)] * 3, [slice(None)] * 3
+        high[axis], low[axis] = slice(n, None), slice(None, -n)
+        a = ((p[tuple(high)] - p[tuple(low)]) / n).astype(np.float32)
+    return a
 
 
 def _resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -158,205 +196,292 @@ _TESTS = _tests()
 _DISC = np.array([(y, x) for y in range(-7, 8) for x in range(-7, 8) if x * x + y * y <= 49])
 
 
-def describe(stack: np.ndarray, corners: int = CORNERS) -> list[np.ndarray]:
-    """Corners of pictures of one size: for each an array of rows x, y, scale, turn, and 16 descriptor bytes."""
+def _corners(level: np.ndarray, core: tuple[int, int, int, int]) -> tuple[np.ndarray, ...]:
+    """(which picture, y, x, turn, code) of the corners of a stack of smoothed pictures, within ``core`` alone."""
+    h, w = level.shape[1:]
+    edge = RADIUS + 1
+    gy, gx = np.gradient(level, axis=(1, 2))
+    a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+    strength = a * b - c * c - 0.05 * (a + b) ** 2
+    inner = strength[:, edge:-edge, edge:-edge]
+    peak = inner > FLOOR
+    for dy in range(-MARGIN, MARGIN + 1):
+        for dx in range(-MARGIN, MARGIN + 1):
+            if dy or dx:
+                other = strength[:, edge + dy : h - edge + dy, edge + dx : w - edge + dx]
+                peak &= inner > other if (dy, dx) < (0, 0) else inner >= other
+    which, ys, xs = np.nonzero(peak)
+    ys, xs = ys + edge, xs + edge
+    y0, y1, x0, x1 = core
+    own = (ys >= y0) & (ys < y1) & (xs >= x0) & (xs < x1)
+    which, ys, xs = which[own], ys[own], xs[own]
+    around = level[which[:, None], ys[:, None] + _DISC[:, 0], xs[:, None] + _DISC[:, 1]]
+    turn = np.arctan2(around @ _DISC[:, 0], around @ _DISC[:, 1])
+    step = np.rint(turn / (2 * np.pi) * _TURNS).astype(int) % _TURNS
+    soft = _box(level, 1)
+    ends = _TESTS[step]
+    value = soft[which[:, None, None], ys[:, None, None] + ends[..., 0], xs[:, None, None] + ends[..., 1]]
+    return which, ys, xs, turn, np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
+
+
+def describe(stack: np.ndarray, tile: int = TILE) -> list[list[tuple[np.ndarray, ...]]]:
+    """Corners of pictures of one size: for each picture and level, arrays x, y (in the picture's pixels), turn and
+    16 descriptor bytes, and the level's scale. Large levels are gone through in tiles, so memory is bounded by the
+    picture itself."""
     n, height, width = stack.shape
-    found: list[list] = [[] for _ in range(n)]
+    out: list[list] = [[] for _ in range(n)]
     for scale in SCALES:
         h, w = round(height * scale), round(width * scale)
         edge = RADIUS + 1
         if min(h, w) < 2 * edge + 4:
             continue
         level = _box(_resize(stack, h, w) if scale != 1 else stack, 1)
-        gy, gx = np.gradient(level, axis=(1, 2))
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        strength = a * b - c * c - 0.05 * (a + b) ** 2
-        inner = strength[:, edge:-edge, edge:-edge]
-        peak = inner > 1e-3 * np.maximum(strength.max(axis=(1, 2), keepdims=True), 1e-9)
-        for dy in range(-MARGIN, MARGIN + 1):
-            for dx in range(-MARGIN, MARGIN + 1):
-                if dy or dx:
-                    other = strength[:, edge + dy : h - edge + dy, edge + dx : w - edge + dx]
-                    peak &= inner > other if (dy, dx) < (0, 0) else inner >= other
-        which, ys, xs = np.nonzero(peak)
-        if not len(which):
-            continue
-        power = inner[which, ys, xs]
-        ys, xs = ys + edge, xs + edge
-        around = level[which[:, None], ys[:, None] + _DISC[:, 0], xs[:, None] + _DISC[:, 1]]
-        turn = np.arctan2(around @ _DISC[:, 0], around @ _DISC[:, 1])
-        step = np.rint(turn / (2 * np.pi) * _TURNS).astype(int) % _TURNS
-        soft = _box(level, 1)
-        ends = _TESTS[step]
-        value = soft[which[:, None, None], ys[:, None, None] + ends[..., 0], xs[:, None, None] + ends[..., 1]]
-        code = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
-        for k, p, y, x, t, d in zip(which.tolist(), power.tolist(), ys / scale, xs / scale, turn, code):
-            found[k].append((-p, float(x), float(y), 1 / scale, float(t), d.tobytes()))
-    return [sorted(f)[:corners] for f in found]
-
+        halo = edge + MARGIN + 4
+        parts = []
+        for y in range(0, h, tile):
+            for x in range(0, w, tile):
+                y0, x0 = max(0, y - halo), max(0, x - halo)
+                y1, x1 = min(h, y + tile + halo), min(w, x + tile + halo)
+                if min(y1 - y0, x1 - x0) > 2 * edge + 2:
+                    which, ys, xs, turn, code = _corners(level[:, y0:y1, x0:x1], (y - y0, y + tile - y0, x - x0, x + tile - x0))
+                    parts.append((which, ys + y0, xs + x0, turn, code))
+        if parts:
+            which, ys, xs, turn, code = (np.concatenate(v) for v in zip(*parts))
+            for k in range(n):
+                own = which == k
+                if own.any():
+                    out[k].append((xs[own] / scale, ys[own] / scale, turn[own], code[own], 1 / scale))
+    return out
 
-CORNER = "id long, geo long, d1 long, d2 long"
 
+def doublets(levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(keys, first corner, second corner, number of corners) of a picture: each corner with its nearest ones of the same level.
 
-def _pack(x: float, y: float, scale: float, turn: float) -> int:
+    A key holds some bits of both descriptors, in TABLES ways; corners are packed places, scales and turns.
+    """
+    keys, first, second, count = [], [], [], 0
+    for x, y, turn, code, scale in levels:
+        n = len(x)
+        count += n
+        if n < 2:
+            continue
+        at = np.stack([x, y], axis=1)
+        near = []
+        for low in range(0, n, 512):  # rows of the distance table at once
+            apart = ((at[low : low + 512, None] - at[None]) ** 2).sum(axis=2)
+            apart[apart < (NEAREST * scale) ** 2] = np.inf
+            k = min(NEIGHBOURS, n - 1)
+            best = np.argpartition(apart, k - 1, axis=1)[:, :k]
+            best[np.take_along_axis(apart, best, axis=1) == np.inf] = -1
+            near.append(best)
+        i, col = np.nonzero((near := np.concatenate(near)) >= 0)
+        j = near[i, col]
+        packed = _pack(x, y, scale, turn)
+        bits = np.unpackbits(code, axis=1)
+        for t, (one, two) in enumerate(_KEY_BITS):
+            keys.append((bits[i][:, one] @ (1 << np.arange(KEY_BITS, dtype=np.int64))) << KEY_BITS | bits[j][:, two] @ (1 << np.arange(KEY_BITS, dtype=np.int64)) | t << 2 * KEY_BITS)
+            first.append(packed[i])
+            second.append(packed[j])
+    if not keys:
+        none = np.zeros(0, np.int64)
+        return none, none, none, count
+    return np.concatenate(keys), np.concatenate(first), np.concatenate(second), count
+
+
+def _pack(x: np.ndarray, y: np.ndarray, scale: float, turn: np.ndarray) -> np.ndarray:
     """Place in quarter pixels (20 bits each), log2 of the scale in eighths, turn in 256ths."""
-    t = int(round(turn / (2 * np.pi) * 256)) % 256
-    return int(x * 4) << 36 | int(y * 4) << 16 | (int(round(np.log2(scale) * 8)) & 0xFF) << 8 | t
+    t = np.rint(turn / (2 * np.pi) * 256).astype(np.int64) % 256
+    return (x * 4).astype(np.int64) << 36 | (y * 4).astype(np.int64) << 16 | (int(round(np.log2(scale) * 8)) & 0xFF) << 8 | t
 
 
-def corners(pictures: DataFrame, id_col: str = "id", content_col: str = "content", count: int = CORNERS) -> DataFrame:
-    """(id, geo, d1, d2) of each picture's corners; ``geo`` packs place, scale and turn."""
-    schema = schema_of(CORNER)
+ENTRY = "id long, key long, ga long, gb long"
+
+
+def corners(pictures: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
+    """(id, key, ga, gb) of each picture's doublets, and one row with a null key whose ``ga`` counts its corners."""
+    schema = schema_of(ENTRY)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for part in slices(batches, 256):
             by_size: dict = {}
-            for key, content in zip(*(c.to_pylist() for c in part.columns)):
+            for name, content in zip(*(c.to_pylist() for c in part.columns)):
                 grey = read_picture(content)
                 if grey is not None:
-                    by_size.setdefault(grey.shape, []).append((key, grey))
-            rows = []
+                    by_size.setdefault(grey.shape, []).append((name, grey))
             for same in by_size.values():
                 room = max(1, (1 << 20) // same[0][1].size)
                 for at in range(0, len(same), room):
                     cut = same[at : at + room]
-                    for (key, _), found in zip(cut, describe(np.stack([g for _, g in cut]), count)):
-                        rows += [(key, _pack(*f[1:5]), *struct.unpack("<qq", f[5])) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+                    for (name, _), levels in zip(cut, describe(np.stack([g for _, g in cut]))):
+                        keys, ga, gb, count = doublets(levels)
+                        for low in range(0, len(keys) + 1, 100_000):
+                            cols = [v[low : low + 100_000] for v in (keys, ga, gb)]
+                            if not low:
+                                cols = [np.append(v, x) for v, x in zip(cols, (0, count, 0))]
+                            null = np.zeros(len(cols[0]), bool)
+                            null[len(null) - 1 :] = not low
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(len(null), name)), pa.array(cols[0], pa.int64(), mask=null), pa.array(cols[1]), pa.array(cols[2])], schema=arrow
+                            )
 
     kept = pictures.where(F.col(id_col).isNotNull() & F.col(content_col).isNotNull())
     return arrow_map(kept.select(F.col(id_col).alias("id"), content_col), run, schema)
 
 
-def _tables(found: DataFrame) -> DataFrame:
-    """Every corner four times, under the key of each band of 32 bits."""
-    low = (1 << 32) - 1
-    bands = [F.col(d).bitwiseAND(low) if half else F.shiftrightunsigned(d, 32) for d in ("d1", "d2") for half in (0, 1)]
-    keys = F.array(*(b.bitwiseOR(k << 33) for k, b in enumerate(bands)))
-    return found.select(F.explode(keys).alias("key"), "*")
+def unpacked(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, log2 of the scale and turn (in radians) of packed corners."""
+    octaves = (g >> 8 & 0xFF).astype(np.int8)
+    return (g >> 36) / 4.0, (g >> 16 & 0xFFFFF) / 4.0, octaves / 8.0, (g & 0xFF) * (2 * np.pi / 256)
+
+
+def agreeing(ga: np.ndarray, gb: np.ndarray, ha: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(whether they agree, log2 of the growth, turn, shift x, shift y) of doublets (ga, gb) and (ha, hb).
+
+    The line between the corners gives growth and turn; both corners' own scales and turns have to say the same.
+    """
+    (xa, ya, sa, ta), (xb, yb, sb, tb) = unpacked(ga), unpacked(gb)
+    (ua, va, ra, pa_), (ub, vb, rb, pb) = unpacked(ha), unpacked(hb)
+    dx, dy, ex, ey = xb - xa, yb - ya, ub - ua, vb - va
+    with np.errstate(divide="ignore", invalid="ignore"):
+        grow = np.log2(np.hypot(dx, dy) / np.hypot(ex, ey))
+    turn = np.arctan2(dy, dx) - np.arctan2(ey, ex)
 
+    def off(angle):
+        return np.abs((angle + np.pi) % (2 * np.pi) - np.pi)
 
-def _part(col, shift, bits):
-    return F.shiftright(F.col(col), shift).bitwiseAND((1 << bits) - 1)
+    ok = (np.abs(grow - (sa - ra)) <= MAX_GROW) & (off(turn - (ta - pa_)) <= MAX_TURN) & (off(turn - (tb - pb)) <= MAX_TURN)
+    ratio = np.exp2(np.where(ok, grow, 0))
+    mx, my, nx, ny = (xa + xb) / 2, (ya + yb) / 2, (ua + ub) / 2, (va + vb) / 2
+    shift_x = mx - ratio * (np.cos(turn) * nx - np.sin(turn) * ny)
+    shift_y = my - ratio * (np.sin(turn) * nx + np.cos(turn) * ny)
+    return ok, grow, turn, shift_x, shift_y
 
 
-def _place(col):
-    octaves = _part(col, 8, 8)
-    return _part(col, 36, 20) / 4, _part(col, 16, 20) / 4, F.when(octaves > 127, octaves - 256).otherwise(octaves) / 8.0, _part(col, 0, 8)
+MATCH = "a long, b long, ga long, gb long, grow float, turn float, sx float, sy float"
+_MATCH = pa.schema([(n, pa.int64()) for n in ("a", "b", "ga", "gb")] + [(n, pa.float32()) for n in ("grow", "turn", "sx", "sy")])
 
 
-def _grow_and_turn():
-    """Steps of scale and turn between the corners of a match."""
-    (_, _, sa, ta), (_, _, sb, tb) = _place("geo_a"), _place("geo_b")
-    turn = F.pmod(F.round(F.pmod(ta - tb, F.lit(256)) / 16), F.lit(16))
-    return F.round((sa - sb) * 2).cast("int").alias("grow"), turn.cast("int").alias("turn")
+def _matches(a, b, ga, gb, ha, hb) -> pa.Table:
+    """MATCH rows of candidate doublets of pictures a and b that agree."""
+    ok, *found = agreeing(ga, gb, ha, hb)
+    cols = [c[ok] for c in (a, b, ga, gb)] + [f[ok].astype(np.float32) for f in found]
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _MATCH)], schema=_MATCH)
 
 
 def _votes(matches: DataFrame) -> DataFrame:
-    """(a, b) pairs of pictures of which MIN_VOTES corners agree on scale, turn and shift."""
-    (xa, ya, sa, ta), (xb, yb, sb, tb) = _place("geo_a"), _place("geo_b")
-    angle, ratio = F.pmod(ta - tb, F.lit(256)) * (2 * np.pi / 256), F.pow(F.lit(2.0), sa - sb)
-    shift_x = xa - ratio * (F.cos(angle) * xb - F.sin(angle) * yb)
-    shift_y = ya - ratio * (F.sin(angle) * xb + F.cos(angle) * yb)
-    # two grids for each coordinate, half a cell apart, so that no cell border splits an agreement
-    named = matches.select("a", "b", "geo_a", *_grow_and_turn(), shift_x.alias("sx"), shift_y.alias("sy"))
-
-    def cell(i, j):
-        across, down = F.floor(F.col("sx") / CELL + i / 2), F.floor(F.col("sy") / CELL + j / 2)
-        return F.struct(F.lit(i * 2 + j).alias("grid"), across.alias("cx"), down.alias("cy"))
-
-    grids = F.explode(F.array(*(cell(i, j) for i in (0, 1) for j in (0, 1)))).alias("g")
-    cells = named.select("a", "b", F.shiftright("geo_a", 16).alias("corner"), "grow", "turn", grids)
-    cells = cells.select("a", "b", "corner", "grow", "turn", "g.*").distinct()
-    return cells.groupBy("a", "b", "grow", "turn", "grid", "cx", "cy").count().where(F.col("count") >= MIN_VOTES).select("a", "b").distinct()
-
-
-def _first_links(entries: DataFrame, max_bits: int, rounds: int) -> DataFrame:
-    """(a, b) links of pictures with the first picture of their buckets: some of all links, at linear cost."""
-    out = None
-    for _ in range(rounds):
-        firsts = saved(
-            entries.groupBy("key").agg(F.min(F.struct("id", "geo", "d1", "d2")).alias("r"), F.max("id").alias("last"))
-            .where("r.id < last").select("key", F.col("r.id").alias("a"), F.col("r.geo").alias("geo_a"), F.col("r.d1").alias("e1"), F.col("r.d2").alias("e2"))
+    """(a, b) pairs of pictures of which MIN_VOTES corners agree on growth, turn and shift."""
+    # two grids for each number, half a cell apart, so that no cell border splits an agreement
+    turns = F.pmod(F.col("turn") / (2 * np.pi), F.lit(1.0)) * TURN_CELLS
+
+    def cell(bits):
+        up, t, i, j = (bits >> k & 1 for k in range(4))
+        return F.struct(
+            F.lit(bits).alias("grid"), F.floor(F.col("grow") * 2 + up / 2).alias("cg"), F.pmod(F.floor(turns + t / 2), F.lit(TURN_CELLS)).alias("ct"),
+            F.floor(F.col("sx") / CELL + i / 2).alias("cx"), F.floor(F.col("sy") / CELL + j / 2).alias("cy"),
         )
-        met = entries.join(firsts, "key").where("id > a")
-        met = saved(met.select("key", "id", "geo", "d1", "d2", "a", "geo_a", _apart().alias("apart")))
-        matches = met.where(F.col("apart") <= max_bits).select("a", F.col("id").alias("b"), "geo_a", F.col("geo").alias("geo_b")).distinct()
-        linked = saved(_votes(matches))
-        out = linked if out is None else out.unionByName(linked)
-        entries = met.join(linked.select("a", F.col("b").alias("id")), ["a", "id"], "left_anti").select("key", "id", "geo", "d1", "d2")
-    return out
 
+    # a pair of pictures with fewer corners than have to agree is let go before its matches are multiplied
+    ends = F.explode(F.array("ga", "gb")).alias("corner")
+    rough = matches.select("a", "b", ends).groupBy("a", "b").agg(F.count_distinct(F.shiftright("corner", 16)).alias("n")).where(F.col("n") >= MIN_VOTES)
+    kept = matches.join(saved(rough.select("a", "b")), ["a", "b"])
+    cells = kept.select("a", "b", F.explode(F.array(*map(cell, range(16)))).alias("c"), F.array("ga", "gb").alias("ends")).select("a", "b", "c", F.explode("ends").alias("corner"))
+    agreed = cells.groupBy("a", "b", "c").agg(F.count_distinct(F.shiftright("corner", 16)).alias("n")).where(F.col("n") >= MIN_VOTES)
+    return agreed.select("a", "b").distinct()
+
+
+def _agreeing(candidates: DataFrame) -> DataFrame:
+    """MATCH rows of the candidates (a, b and two doublets) that agree; a narrow map."""
+
+    def run(batches):
+        for batch in batches:
+            yield from _matches(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)).to_batches()
 
-def _apart():
-    return F.bit_count(F.col("d1").bitwiseXOR(F.col("e1"))) + F.bit_count(F.col("d2").bitwiseXOR(F.col("e2")))
+    return arrow_map(candidates, run, MATCH)
 
 
-def _block_matches(group: pa.Table, max_bits: int) -> pa.Table:
+def _block_matches(group: pa.Table) -> pa.Table:
     """Matches between two blocks of a bucket, or within one, of pictures that are not linked yet."""
-    key, root, geo, d1, d2 = (group.column(n).to_numpy() for n in ("id", "root", "geo", "d1", "d2"))
-    i, j, own = (group.column(n).to_numpy() for n in ("i", "j", "own"))
+    name, root, ga, gb, i, j, own = (group.column(n).to_numpy() for n in ("id", "root", "ga", "gb", "i", "j", "own"))
     u, v = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
-    bits = sum(np.bitwise_count((d[u][:, None] ^ d[v][None, :]).view(np.uint64)).astype(np.int16) for d in (d1, d2))
-    x, y = np.nonzero((bits <= max_bits) & (root[u][:, None] != root[v][None, :]))
-    x, y = u[x], v[y]
-    x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
-    return pa.table({"a": key[x], "b": key[y], "geo_a": geo[x], "geo_b": geo[y]})
-
-
-def _rest_matches(entries: DataFrame, linked: DataFrame, max_bits: int, block: int) -> DataFrame:
-    """(a, b, geo_a, geo_b) of every pair in a bucket whose pictures ``linked`` does not join already."""
-    roots = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rooted = entries.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "geo", "d1", "d2", F.coalesce("root", "id").alias("root"))
-    rooted = saved(rooted)
-    shared = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    sized = saved(rooted.join(shared.select("key", "size"), "key"))
+    out = [_MATCH.empty_table()]
+    for low in range(0, len(u), 64):
+        x, y = np.nonzero((root[u[low : low + 64]][:, None] != root[v][None, :]) & (name[u[low : low + 64]][:, None] < name[v][None, :]))
+        x, y = u[low + x], v[y]
+        out.append(_matches(name[x], name[y], ga[x], gb[x], ga[y], gb[y]))
+        if i[0] != j[0]:  # blocks meet once, so both orders of ids are due
+            x, y = np.nonzero((root[u[low : low + 64]][:, None] != root[v][None, :]) & (name[u[low : low + 64]][:, None] > name[v][None, :]))
+            x, y = v[y], u[low + x]
+            out.append(_matches(name[x], name[y], ga[x], gb[x], ga[y], gb[y]))
+    return pa.concat_tables(out)
+
+
+def _rest_matches(entries: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """MATCH rows of every pair in a bucket whose pictures ``roots`` does not join already."""
+    rooted = saved(entries.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "ga", "gb", F.coalesce("root", "id").alias("root")))
+    shared = saved(rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "size"))
+    sized = saved(rooted.join(shared, "key"))
     few = sized.where(F.col("size") <= FEW)
-    left = few.select("key", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("geo").alias("geo_a"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
-    right = few.select(F.col("key").alias("_key"), F.col("id").alias("b"), "root", F.col("geo").alias("geo_b"), "d1", "d2")
-    met = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root")) & (_apart() <= max_bits)
-    cold = left.join(right, met).select("a", "b", "geo_a", "geo_b")
+    one = few.select("key", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("ga").alias("ra"), F.col("gb").alias("rb"))
+    other = few.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("root").alias("root_b"), "ga", "gb")
+    met = one.join(other, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
+    cold = _agreeing(met.select("a", "b", "ra", "rb", "ga", "gb"))
     # a larger bucket is cut into blocks, each of which meets itself and every other block once
     many = sized.where(F.col("size") > FEW).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("id", "geo"), F.col("blocks")).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("id", "ga", "gb"), F.col("blocks")).cast("int"))
     dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "geo", "d1", "d2"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "ga", "gb"
     )
+    return cold.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(_block_matches, MATCH))
 
-    def compare(group: pa.Table) -> pa.Table:
-        return _block_matches(group, max_bits)
 
-    hot = dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, geo_a long, geo_b long")
-    # what cannot reach MIN_VOTES at its scale and turn goes before shifts are voted on
-    met = F.collect_set(F.struct("geo_a", "geo_b")).alias("met")
-    agreed = cold.unionByName(hot).groupBy("a", "b", *_grow_and_turn()).agg(met).where(F.size("met") >= MIN_VOTES)
-    return agreed.select("a", "b", F.inline("met"))
-
-
-def links(found: DataFrame, max_bits: int = MAX_BITS, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def links(found: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v) links whose closure is that of all pairs of pictures with geometric consensus."""
-    entries = saved(_tables(found))
-    linked = saved(_first_links(entries, max_bits, rounds))
-    rest = _votes(_rest_matches(entries, linked, max_bits, block))
+    shared = saved(
+        found.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
+    )
+    entries = saved(found.join(shared, "key"))  # two written tables, so a hot key is split
+    # first every picture with the first one of its buckets: some of all links, at linear cost
+    firsts = entries.where("id = least").select("key", F.col("id").alias("a"), F.col("ga").alias("ra"), F.col("gb").alias("rb"))
+    met = entries.where("id > least").join(firsts, "key").select("a", "id", "ra", "rb", "ga", "gb")
+    linked = saved(_votes(saved(_agreeing(met).distinct())))
+    roots = saved(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    rest = _votes(saved(_rest_matches(entries, roots, block).distinct()))
     return linked.unionByName(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def classes(pictures: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """(id, class_id, members, n_corners) of every picture with an id; class_id is the smallest id linked."""
     rows = pictures.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
-    digests = saved(rows.select("id", F.coalesce(F.sha2("content", 256), F.concat(F.lit("null:"), F.col("id").cast("string"))).alias("digest")))
-    same = digests.groupBy("digest").agg(F.min("id").alias("rep"))
-    named = saved(digests.join(same, "digest").select("id", "rep"))
-    apart = named.where("id <> rep").select("id")
-    found = saved(corners(rows.join(apart, "id", "left_anti").dropDuplicates(["id"]) if apart.count() else rows))
-    roots = components(links(found))
-    counts = found.groupBy("id").agg(F.count("*").alias("n_corners"))
-    whole = named.join(roots, named.rep == roots.node, "left").select("id", "rep", F.coalesce("root", "rep").alias("class_id"))
-    sizes = whole.groupBy("class_id").agg(F.count("*").alias("members"))
-    return whole.join(sizes, "class_id").join(counts.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "id", "class_id", "members", F.coalesce("n_corners", F.lit(0)).cast("long").alias("n_corners")
-    )
+    rows = rows.withColumn("digest", F.unhex(F.coalesce(F.sha2("content", 256), F.sha2(F.concat(F.lit("null:"), F.col("id").cast("string")).cast("binary"), 256))))
+    digests = saved(rows.select("id", "digest"))
+    # each content is a node with a number of its own, whatever ids it has
+    nodes = saved(digests.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    small = nodes.count() <= SENT_CONTENTS
+    first = (F.broadcast(nodes) if small else nodes).withColumnRenamed("digest", "of")
+    found = saved(corners(rows.join(first, (F.col("digest") == F.col("of")) & (F.col("id") == F.col("rep"))).select("node", "content"), "node").distinct())
+    roots = saved(components(links(found)).withColumnRenamed("node", "member"))
+    counts = found.where("key is null").select(F.col("id").alias("counted"), F.col("ga").alias("n_corners"))
+    known = nodes.join(roots, F.col("node") == F.col("member"), "left").join(counts, F.col("node") == F.col("counted"), "left")
+    known = saved(known.select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("n_corners", F.lit(0)).cast("long").alias("n_corners")))
+    whole = saved(digests.join(known, "digest").select("id", "root", "n_corners"))
+    sizes = saved(whole.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("members")))
+    return whole.join(sizes, "root").select("id", "class_id", "members", "n_corners")
+
+
+def from_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of picture files that the JVM reads (JPEG, PNG, GIF, BMP), as PPM or PGM bytes."""
+    schema = schema_of("path string, content binary")
+
+    def run(paths, heights, widths, channels, data):
+        out = []
+        for h, w, n, raw in zip(heights, widths, channels, data):
+            px = np.frombuffer(raw, np.uint8).reshape(h, w, n)
+            out.append(b"P5 %d %d 255\n" % (w, h) + px[:, :, 0].tobytes() if n == 1 else b"P6 %d %d 255\n" % (w, h) + px[:, :, 2::-1].tobytes())
+        return {"path": paths, "content": out}
+
+    image = spark.read.format("image").option("dropInvalid", True).load(path)
+    return map_docs(image, ["image.origin", "image.height", "image.width", "image.nChannels", "image.data"], run, schema)
 
 
 def draw_vector(vector, side: int = 64) -> bytes | None:

@@ -47,7 +47,7 @@ def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_copy, plain_id = F.col("id").bitwiseAND(1) == 1, F.shiftright("id", 1).alias("id")
     copies = found.where(is_copy).select(plain_id, F.col("class_id").alias("copy_class"))
     # a class is named by the smallest id of a picture that is not a copy
-    names = found.where(~is_copy).groupBy("class_id").agg(F.min(plain_id).alias("name"), F.count("*").alias("members"))
+    names = saved(found.where(~is_copy).groupBy("class_id").agg(F.min(plain_id).alias("name"), F.count("*").alias("members")))
     return found.where(~is_copy).select(plain_id, "class_id", "n_corners").join(names, "class_id").join(copies, "id", "left").select(
         F.col("id").alias("vec_id"), F.col("name").alias("class_id"), "members", "n_corners",
         F.when(F.col("copy_class").isNotNull(), F.col("copy_class") == F.col("class_id")).alias("copy_found"),
