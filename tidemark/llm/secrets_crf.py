@@ -6,9 +6,10 @@ code; its weights are fitted by stochastic gradient on the exact sequence likeli
 are generated here from templates with a fixed seed (``TRAINING_TEXTS`` of them), so no row of the
 corpus is learnt from. Texts are decoded by Viterbi.
 
-The chain is constrained: a plain word (no digit or inner symbol, no run of 24 letters) or a mark can
-only be outside. The best path of a text therefore splits at every such token, and Viterbi over the
-stretches of other tokens, with the transitions at their edges, gives the best path of the whole text.
+The chain is constrained: a mark can only be outside, and so can a plain word (no digit or inner symbol, no run
+of 24 letters) unless it has eight letters or more and a cue (a word such as key, auth or credential) stands
+within three tokens before it. The best path of a text therefore splits at every such token, and Viterbi over
+the stretches of other tokens, with the transitions at their edges, gives the best path of the whole text.
 
 Defined results: null or empty text has no spans; repeated rows give one row each; spans count code
 points, ends exclusive. Extra columns are ignored.
@@ -58,7 +59,10 @@ def _order(span):
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.~-]+={0,2}|[^\sA-Za-z0-9+/_.~-]")
 _ODD_CHAR = re.compile(r"[0-9+/_~]+")
 _LONG_WORD = re.compile(r"[A-Za-z]{24,}")
-_CUES = re.compile(r"(?i)pass|pwd|secret|token|key|auth|bearer|credential|private|login|api")
+_CUES = re.compile(r"(?i)pass|pwd|secret|token|key|auth|bearer|credential|private|login|api", re.A)
+_CUE_WORDS = "pass pwd secret token key auth bearer credential private login api".split()
+#: Letters of a plain word that may be a secret behind a cue, and tokens behind a cue in which it may stand.
+MIN_WORD, BEHIND = 8, 3
 
 
 def is_odd(token: str) -> bool:
@@ -66,13 +70,18 @@ def is_odd(token: str) -> bool:
     return bool(_ODD_CHAR.search(token) or _LONG_WORD.search(token))
 
 
+def is_free(tokens: list[str], k: int) -> bool:
+    """Whether a token may be part of a secret where it stands."""
+    return is_odd(tokens[k]) or len(tokens[k]) >= MIN_WORD and any(_CUES.search(t) for t in tokens[max(0, k - BEHIND) : k])
+
+
 def shape(token: str) -> list[str]:
     """Features of a token by itself."""
     n = len(token)
     lower, upper = sum("a" <= c <= "z" for c in token), sum("A" <= c <= "Z" for c in token)
     digit = sum("0" <= c <= "9" for c in token)
     sym = n - lower - upper - digit
-    out = ["bias", f"len{min(n.bit_length(), 7)}"]
+    out = ["bias", f"len{min(n.bit_length(), 7)}", f"size{min(n // 3, 12)}"]
     if n >= 16:
         out.append("long")
     kinds = (lower > 0) + (upper > 0) + (digit > 0)
@@ -85,6 +94,8 @@ def shape(token: str) -> list[str]:
         out.append("number")
     if not digit and not sym:
         out.append("word")
+        turns = sum(a.islower() and b.isupper() for a, b in zip(token, token[1:]))
+        out.append(f"word{min(n // 3, 8)}|{'upper' if upper == n else 'camel' if turns > 1 else 'plain'}")
     if "." in token and digit + token.count(".") == n:
         out.append("dotted")
     if n >= 12:
@@ -126,6 +137,10 @@ def features(tokens: list[str], k: int, file: list[str]) -> list[str]:
     solid = "solid" if len(tokens[k]) >= 8 and ("word" not in own or len(tokens[k]) > 24) else "light"
     one, two = near(at(k - 1)), near(at(k - 2))
     beside = [f"p1{one}", f"p2{two}", f"p3{near(at(k - 3))}", f"n1{near(at(k + 1))}", f"{solid}|p1{one}", f"{solid}|p2{two}"]
+    if "word" in own:
+        cue = [j for j in range(max(0, k - BEHIND), k) if _CUES.search(tokens[j])]
+        size = min(len(tokens[k]) // 3, 8)
+        beside += [f"word{size}|p1{one}", f"word|cue{k - cue[-1] if cue else 0}", f"word{size}|p1{one}|p2{two}"]
     return own + beside + [f"{f}|{solid}" for f in file]
 
 
@@ -150,11 +165,27 @@ def training_texts(count: int = TRAINING_TEXTS, seed: int = 7):
             lambda: "xoxb-" + draw("0123456789", 8, 12) + "-" + draw(b62, 16, 24), lambda: draw(b62 + "-_", 20, 40),
         ])()
 
+    def phrase():
+        """A secret of letters alone: words run together, or letters at random."""
+        return rnd.choice([
+            lambda: "".join(rnd.choice(syll) for _ in range(rnd.randint(8, 13))), lambda: draw("abcdefghijklmnopqrstuvwxyz", 15, 30),
+            lambda: "".join(plain().capitalize() for _ in range(rnd.randint(3, 5))), lambda: draw("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 16, 30),
+        ])()
+
+    def plain(low=1, high=6):
+        return "".join(rnd.choice(syll) for _ in range(rnd.randint(low, high)))
+
+    def talk():
+        """A cue in prose or in a form, with ordinary words behind it."""
+        cue = rnd.choice("key password token login auth credential private api secret bearer passage monkey author capital".split())
+        words = " ".join(plain(2, 6) if rnd.random() < 0.8 else plain(6, 10) for _ in range(rnd.randint(1, 4)))
+        return rnd.choice([f"the {cue} {words}", f"{cue}: {plain(2, 6)}", f"{cue.capitalize()}s are {words}", f"{cue} = {plain(2, 5)}", f"a {cue} of {words},", f"{cue}.{plain(2, 5)}()", f"no {cue}; {words}"])
+
     def harmless():
         num = lambda n: draw("0123456789", n, n)
         return rnd.choice([
             lambda: num(rnd.randint(1, 16)), lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)),
-            lambda: f"{word().strip('.,;!?#$%').lower()}.{num(2)}@mail{num(1)}.example.com", lambda: f"+1 ({num(3)}) {num(3)}-{num(4)}",
+            lambda: f"{plain(2, 8)}.{num(2)}@mail{num(1)}.example.com", lambda: f"+1 ({num(3)}) {num(3)}-{num(4)}",
             lambda: f"20{num(2)}-0{rnd.randint(1, 9)}-1{num(1)}", lambda: f"http://{word().strip('.,;!?#$%').lower()}.example.com/{num(3)}?page={num(1)}",
             lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{word().strip('.,;!?#$%').lower()}_{word().strip('.,;!?#$%').lower()}",
             lambda: f"{num(2)}:{num(2)}", lambda: f"COVID-{num(2)}", lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}", lambda: f"A{num(2)}", lambda: "self.token",
@@ -167,14 +198,16 @@ def training_texts(count: int = TRAINING_TEXTS, seed: int = 7):
         for _ in range(rnd.randint(3, 14)):
             roll = rnd.random()
             if roll < 0.22:
-                name = rnd.choice(["key", "auth", "pwd", "credential", "access_key", "client_secret", "private_key", "api-token", "Authorization", "login", "value", "id_key", "token"])
-                before = rnd.choice([f'{name} = "', f"{name}: ", f"{name}=", f'"{name}": "', f"{name} := '", "Bearer ", f"my {name} is ", "", ""])
+                name = rnd.choice(["key", "auth", "pwd", "passphrase", "Credential", "credential", "access_key", "client_secret", "private_key", "api-token", "Authorization", "login", "value", "id_key", "token"])
+                before = rnd.choice([f'{name} = "', f"{name}: ", f"{name}=", f'"{name}": "', f"{name} := '", "Bearer ", "Authorization: Bearer ", f"my {name} is ", "", ""])
                 text += before
-                s = secret()
+                s = phrase() if _CUES.search(before) and rnd.random() < 0.4 else secret()
                 spans.append((len(text), len(text) + len(s)))
                 text += s + ('"' if before.endswith('"') else "'" if before.endswith("'") else "")
-            elif roll < 0.5:
+            elif roll < 0.45:
                 text += harmless()
+            elif roll < 0.6:
+                text += talk()
             if code and rnd.random() < 0.7:
                 text += rnd.choice([";", " {", "}", " = ", "();", ": "]) + rnd.choice(["\n", "\n    "])
             else:
@@ -203,10 +236,12 @@ class Crf:
             labels = []
             for m in found:
                 inside = next((s for s in spans if s[0] < m.end() and m.start() < s[1]), None)
-                labels.append(O if inside is None or not is_odd(m[0]) else B if m.start() <= inside[0] else I)
+                labels.append(O if inside is None else B if m.start() <= inside[0] else I)
             if tokens:
-                held = np.array([[0.0, 0.0, 0.0] if is_odd(t) else [-1e4, -1e4, 0.0] for t in tokens])
-                data.append(([features(tokens, k, file) if is_odd(t) else [] for k, t in enumerate(tokens)], labels, held))
+                free = [is_free(tokens, k) for k in range(len(tokens))]
+                labels = [x if f else O for x, f in zip(labels, free)]
+                held = np.array([[0.0, 0.0, 0.0] if f else [-1e4, -1e4, 0.0] for f in free])
+                data.append(([features(tokens, k, file) if f else [] for k, f in enumerate(free)], labels, held))
         rnd = random.Random(11)
         for epoch in range(epochs):
             rnd.shuffle(data)
@@ -299,10 +334,28 @@ def odd_tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def cued_words(text: str) -> list[tuple[int, int]]:
+    """Places of the plain words that a cue makes free."""
+    low = text.lower()
+    if not any(c in low for c in _CUE_WORDS):
+        return []
+    out = set()
+    for cue in _CUES.finditer(text):
+        at = _INNER.match(text, cue.start()).end()
+        for _ in range(BEHIND):
+            m = _TOKEN.search(text, at)
+            if not m:
+                break
+            at = m.end()
+            if len(m[0]) >= MIN_WORD and not is_odd(m[0]):
+                out.add(m.span())
+    return sorted(out)
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Runs of odd tokens with no other token between them."""
+    """Runs of tokens that may be secret with no other token between them."""
     out: list[list[int]] = []
-    for a, b in odd_tokens(text):
+    for a, b in sorted(odd_tokens(text) + cued_words(text)):
         if out and not text[out[-1][1] : a].strip():
             out[-1][1] = b
         else:
@@ -311,11 +364,11 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 
 def context(text: str, start: int, end: int) -> tuple[int, int]:
-    """A cut around a stretch with three whole tokens before it and one behind it, where there are any."""
+    """A cut around a stretch with six whole tokens before it and one behind it, where there are any."""
     low, width = start, 64
     while low > 0:
         low = max(0, start - width)
-        if len(_TOKEN.findall(text[low:start])) > 3:
+        if len(_TOKEN.findall(text[low:start])) > 2 * BEHIND:
             break
         width *= 4
     high, width = end, 64
