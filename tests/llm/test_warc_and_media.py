@@ -189,11 +189,11 @@ def test_pairs_against_brute_force(spark):
                 root = {n: low if r == high else r for n, r in root.items()}
     docs = spark.createDataFrame(rows, "id long, content binary").repartition(3)
     for few, block in ((64, 512), (2, 3)):
-        m.FEW, m.links.__defaults__ = few, (block,)
+        m.FEW, m.links.__defaults__ = few, (block, False)
         try:
             assert {r["id"]: r["class_id"] for r in m.classes(docs).collect()} == root
         finally:
-            m.FEW, m.links.__defaults__ = 64, (m.BLOCK,)
+            m.FEW, m.links.__defaults__ = 64, (m.BLOCK, False)
 
 
 def test_an_id_with_two_contents(spark):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_map, map_docs, saved, schema_of, slices
+from .common import arrow_map, dropped, map_docs, saved, schema_of, slices
 from .components import components
 
 #: Sizes of the pyramid's levels by that of the picture.
@@ -381,10 +381,9 @@ def _votes(matches: DataFrame) -> DataFrame:
             F.floor(F.col("sx") / CELL + i / 2).alias("cx"), F.floor(F.col("sy") / CELL + j / 2).alias("cy"),
         )
 
-    # a pair of pictures with fewer corners than have to agree is let go before its matches are multiplied
-    ends = F.explode(F.array("ga", "gb")).alias("corner")
-    rough = matches.select("a", "b", ends).groupBy("a", "b").agg(F.count_distinct(F.shiftright("corner", 16)).alias("n")).where(F.col("n") >= MIN_VOTES)
-    kept = matches.join(saved(rough.select("a", "b")), ["a", "b"])
+    # two doublets have four corners at most, so a pair of pictures with fewer than MIN_VOTES / 2 is let go at once
+    enough = saved(matches.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= -(-MIN_VOTES // 2)).select("a", "b"))
+    kept = matches.join(F.broadcast(enough) if enough.count() <= SENT_CONTENTS else enough, ["a", "b"])
     cells = kept.select("a", "b", F.explode(F.array(*map(cell, range(16)))).alias("c"), F.array("ga", "gb").alias("ends")).select("a", "b", "c", F.explode("ends").alias("corner"))
     agreed = cells.groupBy("a", "b", "c").agg(F.count_distinct(F.shiftright("corner", 16)).alias("n")).where(F.col("n") >= MIN_VOTES)
     return agreed.select("a", "b").distinct()
@@ -421,6 +420,7 @@ def _rest_matches(entries: DataFrame, roots: DataFrame, block: int) -> DataFrame
     rooted = saved(entries.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "ga", "gb", F.coalesce("root", "id").alias("root")))
     shared = saved(rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "size"))
     sized = saved(rooted.join(shared, "key"))
+    dropped(rooted)
     few = sized.where(F.col("size") <= FEW)
     one = few.select("key", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("ga").alias("ra"), F.col("gb").alias("rb"))
     other = few.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("root").alias("root_b"), "ga", "gb")
@@ -435,18 +435,23 @@ def _rest_matches(entries: DataFrame, roots: DataFrame, block: int) -> DataFrame
     return cold.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(_block_matches, MATCH))
 
 
-def links(found: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(u, v) links whose closure is that of all pairs of pictures with geometric consensus."""
+def links(found: DataFrame, block: int = BLOCK, spent: bool = False) -> DataFrame:
+    """(u, v) links whose closure is that of all pairs of pictures with geometric consensus.
+
+    ``spent`` tells that the table ``found`` may be deleted as soon as it is not needed here.
+    """
     shared = saved(
         found.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
     )
     entries = saved(found.join(shared, "key"))  # two written tables, so a hot key is split
+    if spent:
+        dropped(found)
     # first every picture with the first one of its buckets: some of all links, at linear cost
     firsts = entries.where("id = least").select("key", F.col("id").alias("a"), F.col("ga").alias("ra"), F.col("gb").alias("rb"))
     met = entries.where("id > least").join(firsts, "key").select("a", "id", "ra", "rb", "ga", "gb")
-    linked = saved(_votes(saved(_agreeing(met).distinct())))
+    linked = saved(_votes(saved(_agreeing(met))))
     roots = saved(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    rest = _votes(saved(_rest_matches(entries, roots, block).distinct()))
+    rest = _votes(saved(_rest_matches(entries, roots, block)))
     return linked.unionByName(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -459,9 +464,9 @@ def classes(pictures: DataFrame, id_col: str = "id", content_col: str = "content
     nodes = saved(digests.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
     small = nodes.count() <= SENT_CONTENTS
     first = (F.broadcast(nodes) if small else nodes).withColumnRenamed("digest", "of")
-    found = saved(corners(rows.join(first, (F.col("digest") == F.col("of")) & (F.col("id") == F.col("rep"))).select("node", "content"), "node").distinct())
-    roots = saved(components(links(found)).withColumnRenamed("node", "member"))
-    counts = found.where("key is null").select(F.col("id").alias("counted"), F.col("ga").alias("n_corners"))
+    found = saved(corners(rows.join(first, (F.col("digest") == F.col("of")) & (F.col("id") == F.col("rep"))).select("node", "content"), "node"))
+    counts = saved(found.where("key is null").select(F.col("id").alias("counted"), F.col("ga").alias("n_corners")).distinct())
+    roots = saved(components(links(found, spent=True)).withColumnRenamed("node", "member"))
     known = nodes.join(roots, F.col("node") == F.col("member"), "left").join(counts, F.col("node") == F.col("counted"), "left")
     known = saved(known.select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("n_corners", F.lit(0)).cast("long").alias("n_corners")))
     whole = saved(digests.join(known, "digest").select("id", "root", "n_corners"))
