@@ -98,3 +98,93 @@ def test_calibration_is_on_all_rows(spark):
         ce = found.model.cross_entropies([k.symbols(t) for _, t, x in rows if x == lang])[:, place]
         assert abs(found.mean[place] - np.median(ce)) < 0.002
         assert abs(found.spread[place] - max(0.1, np.percentile(ce, 95) - np.median(ce))) < 0.003
+
+
+class Naive:
+    """Interpolated Kneser-Ney by the definition, in dictionaries."""
+
+    def __init__(self, texts):
+        counts: dict = {}
+        for text in texts:
+            syms = tuple(k.symbols(text).tolist())
+            for i in range(len(syms) - 3):
+                counts[syms[i : i + 4]] = counts.get(syms[i : i + 4], 0) + 1
+        self.n = {4: counts}
+        for order in (3, 2, 1):
+            self.n[order] = {}
+            for g in self.n[order + 1]:
+                self.n[order][g[1:]] = self.n[order].get(g[1:], 0) + 1
+        self.d, self.total, self.kinds = {}, {}, {}
+        for order, table in self.n.items():
+            once, twice = (sum(v == x for v in table.values()) for x in (1, 2))
+            self.d[order] = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+            for g, v in table.items():
+                self.total[g[:-1], order] = self.total.get((g[:-1], order), 0) + v
+                self.kinds[g[:-1], order] = self.kinds.get((g[:-1], order), 0) + 1
+
+    def p(self, g):
+        if not g:
+            return 1 / (1 << 16)
+        lower, order = self.p(g[1:]), len(g)
+        total = self.total.get((g[:-1], order), 0)
+        if not total:
+            return lower
+        back = self.d[order] * self.kinds[g[:-1], order] / total
+        return max(self.n[order].get(g, 0) - self.d[order], 0) / total + back * lower
+
+    def cross_entropy(self, text):
+        syms = tuple(k.symbols(text).tolist())
+        if len(syms) < 4:
+            return -math.log(self.p(syms))
+        return -sum(math.log(self.p(syms[i : i + 4])) for i in range(len(syms) - 3)) / (len(syms) - 3)
+
+
+def test_query_against_a_naive_model(spark):
+    """Cross-entropies and the language told, of every document, by dictionaries and recursion."""
+    from tidemark.llm.common import held_out
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = k.fit(docs.where(~held_out("doc_id", 4, 2)))
+    train: dict = {}
+    for r in docs.where(~held_out("doc_id", 4, 2)).collect():
+        if r["lang"] is not None and r["text"] is not None:
+            train.setdefault(r["lang"], []).append(r["text"])
+    naive = {lang: Naive(texts) for lang, texts in train.items()}
+    texts = dict(docs.select("doc_id", "text").collect())
+    told = {r["doc_id"]: r["lang_pred"] for r in queries.op8_langid_kn(spark, SF).collect()}
+    for doc_id, text in texts.items():
+        if not len(k.symbols(text)):
+            assert told[doc_id] == k.UND
+            continue
+        text = text[:3000] if len(text) > 3000 else text
+        want = {lang: m.cross_entropy(text) for lang, m in naive.items()}
+        got = dict(zip(found.model.langs, found.model.cross_entropies([k.symbols(text)])[0]))
+        assert all(abs(got[x] - want[x]) < 1e-3 for x in want)
+        if len(text) < 3000:
+            assert told[doc_id] == min(want, key=want.get)
+
+
+def test_groups_of_languages_give_the_same(spark, odd_docs):
+    """A pass for each language, or for two, tells what one pass for all tells, rejected rows included."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = k.fit(docs)
+    key = lambda r: (str(r["doc_id"]), r["lang_pred"], round(r["score"], 9))
+    want = sorted(map(key, k.identify(docs, one).collect()))
+    odd = sorted(map(key, k.identify(odd_docs, one).collect()))
+    for entries in (1, 20_000):
+        many = k.fit(docs, group_entries=entries)
+        assert len(many.groups) > 1 and many.langs == one.langs and np.allclose(many.mean, one.mean) and np.allclose(many.spread, one.spread)
+        assert sorted(map(key, k.identify(docs, many).collect())) == want
+        assert sorted(map(key, k.identify(odd_docs, many).collect())) == odd
+        assert sorted(str(r["doc_id"]) for r in k.accepted(docs, many).collect()) == sorted(str(r["doc_id"]) for r in k.accepted(docs, one).collect())
+
+
+def test_symbols_beyond_the_first_plane_stay_apart():
+    assert len({tuple(k.symbols(c).tolist()) for c in "\U00020000\U00010400\u0400\u0001x"}) >= 4
+
+
+def test_a_column_of_something_else_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(k, "MOST_LANGS", 3)
+    docs = spark.createDataFrame([(i, "some words", f"lang{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        k.fit(docs)

@@ -124,18 +124,6 @@ def map_docs(
     return arrow_map(docs.select(*columns), run, schema)
 
 
-def filter_docs(docs: DataFrame, text_col: str, keep: Callable[[list], list]) -> DataFrame:
-    """Rows whose text ``keep`` accepts, every column untouched; no shuffle."""
-    names = docs.columns
-    at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
-
-    return arrow_map(docs, run, docs.schema)
-
-
 def rewrite_docs(docs: DataFrame, text_col: str, change: Callable[[list], list]) -> DataFrame:
     """Same rows and columns with ``text_col`` replaced by ``change`` of it; no shuffle."""
     names = docs.columns

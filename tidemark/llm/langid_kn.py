@@ -4,13 +4,16 @@ Training counts all character 4-grams of all training rows: each task adds up it
 sums the shares by (language, 4-gram). Lower orders use continuation counts, which follow from the
 distinct higher-order types. N-grams are kept exactly, packed in a long, so no two share a count and what
 was never seen has none. A model has, for each language and order, the sorted n-grams with their discounted
-counts (12 bytes each) and the sorted contexts (16 bytes each). It is gathered by the driver and sent to the
-tasks, and grows with the distinct n-grams of the corpus, not with its rows.
+counts (12 bytes each) and the sorted contexts (16 bytes each). It grows with the distinct n-grams of the corpus,
+not with its rows: all counts are a table in the shared folder, of which languages up to GROUP_ENTRIES n-grams
+in all are gathered by the driver and sent to the tasks at once. More languages take more passes over the
+texts, each of which carries on the lowest cross-entropies, so results do not depend on the number of passes.
 
 A text is scored by its cross-entropy per character under every language; the lowest wins. The
 confidence is a calibrated logistic of how far the text lies from the winner's own training texts.
 
-Text is lower-cased; every run of characters that are not letters becomes one space.
+Text is lower-cased; every run of characters that are not letters becomes one space. Symbols are UTF-16 units, so
+a letter beyond the first plane is two of them.
 
 Defined results: null or letterless text is ``und`` with score 0; ties go to the alphabetically first
 language; rows without a language do not train; without any training row everything is ``und``;
@@ -19,6 +22,7 @@ repeated rows give one row each. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -27,12 +31,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import arrow_map, filter_docs, map_docs, saved, schema_of, slices
+from .common import arrow_map, map_docs, saved, schema_of, slices
 
 ORDER = 4
-#: Characters are counted 16 bits each, so a 4-gram is one long; code points beyond are folded.
+#: Symbols have 16 bits each, so a 4-gram is one long.
 _CHAR = 16
+#: N-grams and contexts of the languages that are gathered and sent at once, some 14 bytes each; a language
+#: with more goes by itself.
+GROUP_ENTRIES = 8_000_000
+#: Languages that a model may have. No labelled corpus has as many; a column of something else ends with an error.
+MOST_LANGS = 10_000
 UND = "und"
 #: Steps of a nat in which the cross-entropies of training rows are counted to calibrate the rejection.
 CALIBRATION_STEPS = 1_000
@@ -48,8 +58,7 @@ def symbols(text: str | None) -> np.ndarray:
     plain = _NOT_LETTER.sub(" ", text.lower()).strip() if text else ""
     if not plain or not _LETTER.search(plain):
         return np.zeros(0, np.uint64)
-    codes = np.frombuffer(f" {plain} ".encode("utf-32-le"), "<u4")
-    return ((codes ^ (codes >> 16)) & 0xFFFF).astype(np.uint64)
+    return np.frombuffer(f" {plain} ".encode("utf-16-le"), "<u2").astype(np.uint64)
 
 
 def grams(sym: np.ndarray, order: int) -> np.ndarray:
@@ -200,97 +209,159 @@ def _quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
 
 
 class Identifier:
-    """A model with its calibration: per language the mean and spread of its own texts' cross-entropy."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.mean = np.zeros(len(model.langs))
-        self.spread = np.ones(len(model.langs))
-
-    def calibrate(self, cells: list[tuple[int, int, int]]) -> None:
-        """``cells`` are (place of the language, cross-entropy in CALIBRATION_STEPS, rows) over all training rows."""
-        for k in range(len(self.model.langs)):
-            own = np.array(sorted((step, n) for lang, step, n in cells if lang == k), np.int64).reshape(-1, 2)
-            if len(own):
-                middle, high = (_quantile(own[:, 0], own[:, 1], q) / CALIBRATION_STEPS for q in (0.5, 0.95))
-                self.mean[k] = middle
-                self.spread[k] = max(0.1, high - middle)
+    """Models of groups of languages with their calibration: per language the middle and spread of its own texts'
+    cross-entropy. ``groups`` has the languages of each group; ``build`` makes the model of one."""
+
+    def __init__(self, groups: list[list[str]], build: Callable[[list[str]], Model]):
+        self.groups, self._build = groups, build
+        self.langs = [x for g in groups for x in g]
+        self._held: tuple[int, Model] | None = None
+        self.mean, self.spread = np.zeros(len(self.langs)), np.ones(len(self.langs))
+
+    @property
+    def model(self) -> Model:
+        return self.group(0)
+
+    def group(self, k: int) -> Model:
+        """The model of a group; the last one that was asked for is held."""
+        if self._held is None or self._held[0] != k:
+            self._held = k, self._build(self.groups[k] if self.groups else [])
+        return self._held[1]
+
+    def scorer(self, k: int) -> Scorer:
+        first = sum(map(len, self.groups[:k]))
+        return Scorer(self.group(k), first, self.langs, self.mean, self.spread)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Languages and scores of a few texts, by all groups in turn."""
+        state = None
+        for k in range(max(1, len(self.groups))):
+            state = self.scorer(k).step(texts, state)
+        return [r["lang"] for r in state], [r["score"] for r in state]
+
+
+class Scorer:
+    """One group of languages, and what is needed to name and score the best of all."""
+
+    def __init__(self, model: Model, first: int, langs: list[str], mean: np.ndarray, spread: np.ndarray):
+        self.model, self.first, self.langs, self.mean, self.spread = model, first, langs, mean, spread
+
+    def step(self, texts: list[str | None], before: list[dict] | None) -> list[dict]:
+        """For each text the lowest and the second cross-entropy so far, whose the lowest is, and what follows."""
         syms = [symbols(t) for t in texts]
-        langs, scores = [UND] * len(texts), [0.0] * len(texts)
+        out = before or [{"place": -1, "best": np.inf, "second": np.inf, "lang": UND, "score": 0.0} for _ in texts]
         have = [k for k, s in enumerate(syms) if len(s)]
         if not have or not self.model.langs:
-            return langs, scores
+            return out
         ce = self.model.cross_entropies([syms[k] for k in have])
-        best = ce.argmin(axis=1)
-        apart = np.sort(ce, axis=1)
-        for k, row, b, two in zip(have, ce, best, apart):
-            langs[k] = self.model.langs[b]
+        for k, row in zip(have, ce):
+            held = out[k]
+            order = np.argsort(row, kind="stable")[:2]
+            place, best, second = held["place"], held["best"], held["second"]
+            if row[order[0]] < best:  # ties go to the language before, groups are in alphabetical order
+                place, second, best = self.first + int(order[0]), min(best, second), float(row[order[0]])
+                second = min(second, float(row[order[1]])) if len(order) > 1 else second
+            else:
+                second = min(second, float(row[order[0]]))
+            size = len(syms[k])
             # how much dearer than usual for the language, in its own spreads, allowing short texts more
-            dear = (row[b] - self.mean[b]) / (self.spread[b] * (1 + 4 / np.sqrt(len(syms[k]))))
+            dear = (best - self.mean[place]) / (self.spread[place] * (1 + 4 / np.sqrt(size)))
             fit = 1 / (1 + np.exp(min(50.0, dear - 6)))
-            lead = (two[1] - two[0]) * len(syms[k]) if len(two) > 1 else 50.0
-            scores[k] = float(np.clip(fit * (1 - 0.5 * np.exp(-min(50.0, lead))), 0, 1))
-        return langs, scores
-
-
-def _calibration(rows: DataFrame, model: Model, text_col: str, lang_col: str) -> list[tuple[int, int, int]]:
-    """Rows of each language by the cross-entropy under their own language, a few thousand cells a language."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def own(texts, labels):
-        model, out = shared.value, [None] * len(texts)
-        places = {lang: k for k, lang in enumerate(model.langs)}
-        by_lang: dict = {}
-        for at, (text, label) in enumerate(zip(texts, labels)):
-            if label in places and len(s := symbols(text)):
-                by_lang.setdefault(places[label], []).append((at, s))
-        for k, found in by_lang.items():
-            ce = model.cross_entropies([s for _, s in found], [k])[:, 0]
-            for (at, _), step in zip(found, np.rint(ce * CALIBRATION_STEPS).astype(int).tolist()):
-                out[at] = step
-        return {"lang": [places.get(x) for x in labels], "step": out}
-
-    cells = map_docs(rows, [text_col, lang_col], own, "lang int, step int").where("step is not null")
-    return [tuple(r) for r in cells.groupBy("lang", "step").count().collect()]
+            lead = (second - best) * size if np.isfinite(second) else 50.0
+            score = float(np.clip(fit * (1 - 0.5 * np.exp(-min(50.0, lead))), 0, 1))
+            out[k] = {"place": place, "best": best, "second": second, "lang": self.langs[place], "score": score}
+        return out
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
+def _calibrated(found: Identifier, rows: DataFrame, text_col: str, lang_col: str) -> None:
+    """Sets middle and spread of every language from the cross-entropies of all its training rows under it."""
+    for k, langs in enumerate(found.groups):
+        shared = rows.sparkSession.sparkContext.broadcast(found.group(k))
+
+        def own(texts, labels, shared=shared):
+            model, out = shared.value, [None] * len(texts)
+            places = {lang: k for k, lang in enumerate(model.langs)}
+            by_lang: dict = {}
+            for at, (text, label) in enumerate(zip(texts, labels)):
+                if label in places and len(s := symbols(text)):
+                    by_lang.setdefault(places[label], []).append((at, s))
+            for k, texts_ in by_lang.items():
+                ce = model.cross_entropies([s for _, s in texts_], [k])[:, 0]
+                for (at, _), step in zip(texts_, np.rint(ce * CALIBRATION_STEPS).astype(int).tolist()):
+                    out[at] = step
+            return {"lang": [places.get(x) for x in labels], "step": out}
+
+        some = rows.where(F.col(lang_col).isin(langs)) if len(found.groups) > 1 else rows
+        cells = map_docs(some, [text_col, lang_col], own, "lang int, step int").where("step is not null").groupBy("lang", "step").count().collect()
+        first = sum(map(len, found.groups[:k]))
+        for place in range(len(langs)):  # a few thousand cells a language
+            mine = np.array(sorted((r["step"], r["count"]) for r in cells if r["lang"] == place), np.int64).reshape(-1, 2)
+            if len(mine):
+                middle, high = (_quantile(mine[:, 0], mine[:, 1], q) / CALIBRATION_STEPS for q in (0.5, 0.95))
+                found.mean[first + place], found.spread[first + place] = middle, max(0.1, high - middle)
+
+
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", group_entries: int = GROUP_ENTRIES) -> Identifier:
     """Count all rows of ``train``, then calibrate the rejection on all of them."""
     folded = saved(folded_counts(saved(gram_counts(train, text_col, lang_col))))
-    sums = folded.where("kind").groupBy("lang", "ord").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).collect()
-    langs = sorted({r["lang"] for r in sums})
-    place = F.array_position(F.array(*map(F.lit, langs)) if langs else F.array(F.lit("")), F.col("lang")) - 1
-    small = folded.select(
-        place.cast("tinyint").alias("lang") if len(langs) < 128 else place.cast("int").alias("lang"), F.col("ord").cast("tinyint"), "kind", "slot",
-        F.col("n").cast("float"), F.col("types").cast("int"),
-    ).toArrow()
-    table = {n: small.column(n).to_numpy(zero_copy_only=False) for n in small.column_names}
-    found = Identifier(Model(langs, table, {(r["lang"], r["ord"]): (r["once"], r["twice"]) for r in sums}))
-    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found.calibrate(_calibration(rows, found.model, text_col, lang_col))
+    sums = (
+        folded.groupBy("lang", "ord").agg(F.sum(F.when(F.col("kind"), F.col("once"))).alias("once"), F.sum(F.when(F.col("kind"), F.col("twice"))).alias("twice"), F.count("*").alias("entries"))
+        .limit(MOST_LANGS * ORDER + 1).collect()
+    )
+    if len(sums) > MOST_LANGS * ORDER:
+        raise ValueError(f"more than {MOST_LANGS} languages in {lang_col}")
+    ones = {(r["lang"], r["ord"]): (r["once"], r["twice"]) for r in sums}
+    groups: list[list[str]] = []
+    held = 0
+    for lang in sorted({r["lang"] for r in sums}):
+        size = sum(r["entries"] for r in sums if r["lang"] == lang)
+        if not groups or held + size > group_entries:
+            groups.append([])
+            held = 0
+        groups[-1].append(lang)
+        held += size
+
+    def build(langs: list[str]) -> Model:
+        place = F.array_position(F.array(*map(F.lit, langs)) if langs else F.array(F.lit("")), F.col("lang")) - 1
+        rows = folded.where(F.col("lang").isin(langs)) if len(groups) > 1 else folded
+        small = rows.select(place.cast("smallint").alias("lang"), F.col("ord").cast("tinyint"), "kind", "slot", F.col("n").cast("float"), F.col("types").cast("int")).toArrow()
+        return Model(langs, {n: small.column(n).to_numpy(zero_copy_only=False) for n in small.column_names}, ones)
+
+    found = Identifier(groups, build)
+    _calibrated(found, train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), text_col, lang_col)
     return found
 
 
-def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+STATE = "struct<place: int, best: double, second: double, lang: string, score: double>"
 
-    def run(ids, texts):
-        langs, scores = shared.value.predict(texts)
-        return {"doc_id": ids, "lang_pred": langs, "score": scores}
 
-    return map_docs(docs, [F.col(id_col).alias("doc_id"), text_col], run, "doc_id long, lang_pred string, score double")
+def _told(rows: DataFrame, text_at: int, model: Identifier) -> tuple[DataFrame, str]:
+    """``rows`` with a last column of STATE, and its name: a pass for each group of languages."""
+    spark, width, name = rows.sparkSession, len(rows.columns), "told"
+    while name in rows.columns:
+        name += "_"
+    schema = StructType([*rows.schema.fields, *schema_of(f"{name} {STATE}").fields])
+    arrow = to_arrow_schema(schema)
+    for k in range(max(1, len(model.groups))):
+        shared = spark.sparkContext.broadcast(model.scorer(k))
 
+        def run(batches, shared=shared, first=k == 0):
+            for part in slices(batches):
+                before = None if first else part.column(width).to_pylist()
+                state = shared.value.step(part.column(text_at).to_pylist(), before)
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(state, arrow[width].type)], names=arrow.names)
+
+        rows = arrow_map(saved(rows) if k else rows, run, schema)
+    return rows, name
 
-def accepted(docs: DataFrame, model: Identifier, text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """Rows whose language is told with a score of ``reject`` or more, all columns kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(texts):
-        langs, scores = shared.value.predict(texts)
-        return [x != UND and s >= reject for x, s in zip(langs, scores)]
+def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every row."""
+    out, told = _told(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), 1, model)
+    return out.select("doc_id", F.col(f"{told}.lang").alias("lang_pred"), f"{told}.score")
 
-    return filter_docs(docs, text_col, keep)
 
+def accepted(docs: DataFrame, model: Identifier, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """Rows whose language is told with a score of ``reject`` or more, all columns kept."""
+    out, told = _told(docs, docs.columns.index(text_col), model)
+    return out.where((F.col(f"{told}.lang") != UND) & (F.col(f"{told}.score") >= reject)).select(docs.columns)
