@@ -61,7 +61,26 @@ print('rows', queries.op2_secrets_crf(spark, {SF!r}).count())
 
 
 def test_empty_and_odd_documents(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        for _, stage in c.STAGES:
-            docs = saved(stage(spark, docs, SF))
-        assert docs.count() == docs.select("doc_id").count()
+    docs, seen = odd_docs, {}
+    for name, stage in c.STAGES:
+        before, docs = docs, saved(stage(spark, docs, SF))
+        if name != c.STAGES[-1][0]:
+            assert docs.dtypes == before.dtypes
+        seen[name] = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in docs.collect())
+    letterless = {(True, 2), (True, 3), (True, 5), (True, 6)}
+    assert not letterless & set(seen["language_id"]) and seen["language_id"].count((True, 1)) == 2
+    assert seen["near_dedup"].count((True, 1)) == 1 and seen["near_dedup"].count((False, 0)) == seen["language_id"].count((False, 0)) == 1
+    assert seen["decontamination"] == seen["secrets"] == seen["byte_bpe"] == seen["near_dedup"]
+    assert all(r["n_tokens"] == len(r["token_ids"]) > 0 for r in docs.collect())
+    docs = no_docs
+    for _, stage in c.STAGES:
+        docs = saved(stage(spark, docs, SF))
+        assert docs.count() == 0
+
+
+def test_run_is_the_stages_in_turn(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in c.STAGES:
+        docs = saved(stage(spark, docs, SF))
+    one, other = (sorted(map(tuple, d.select("doc_id", "n_tokens").collect())) for d in (docs, c.run(spark, SF)))
+    assert one == other and one
