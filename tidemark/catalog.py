@@ -246,6 +246,28 @@ def two_streams(rows: DataFrame) -> DataFrame:
     return measurements.read_table(spark, f"{path}/table").drop("batch_id", "dt")
 
 
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def stream_without_repeats(rows: DataFrame) -> DataFrame:
+    """A stream that brings every row twice, in two files: the state of keys lets each through once."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(f"{path}/source")
+    source = landing.stream(spark, f"{path}/source", files_at_once=1)
+    landing.appended(landing.once(source, ["event_id"], "60 days"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(measurements.SCHEMA).parquet(f"{path}/out")
+
+
+@query(f"""SELECT event_type, time_bucket(interval '1 day', ts) AS bucket_start, count(value) AS n, {_TOTAL} AS total FROM events
+WHERE ts < (SELECT time_bucket(interval '1 day', max(ts) - interval '1 hour') FROM events) GROUP BY 1, 2""")
+def closed_days_of_a_stream(rows: DataFrame) -> DataFrame:
+    """Days that were over for an hour when a stream's last row came, each sent once."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    rows.coalesce(1).write.parquet(f"{path}/source")
+    source = landing.stream(spark, f"{path}/source")
+    landing.appended(landing.closed_buckets(source, "1 day", "1 hour", ["event_type"]), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("bucket_start timestamp_ntz, event_type string, n bigint, total decimal(38,2)").parquet(f"{path}/out")
+
+
 @query("""SELECT CAST(date_trunc('day', timestamp '2024-01-01' + to_seconds(i * 30)) AS TIMESTAMP) AS bucket_start, count(*) AS n
 FROM range(100000) t(i) GROUP BY 1""")
 def generated_load(rows: DataFrame) -> DataFrame:

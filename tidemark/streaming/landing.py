@@ -1,6 +1,7 @@
 """Streams land raw rows only; aggregates are made from the landed table by batch queries, so they are exact.
 
-A watermark would drop late rows; here none is set, and a late row shows in the next batch query.
+A watermark would drop late rows; landing sets none, and a late row shows in the next batch query. ``once`` and
+``closed_buckets`` do set one, for sources whose lateness is known.
 """
 
 from __future__ import annotations
@@ -8,10 +9,11 @@ from __future__ import annotations
 import json
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.buckets import SCALE, exact_sum
+from ..session import unused
 from ..sources.measurements import SCHEMA, checked, write_batch, write_rejects
 
 
@@ -46,3 +48,38 @@ def running_counts(rows: DataFrame, width: str, keys=(), scale: int = SCALE):
     return rows.groupBy(F.window("ts", width).alias("w"), *keys).agg(
         F.count("value").alias("n"), exact_sum("value", scale).alias("total")
     ).select(F.col("w.start").alias("bucket_start"), *keys, "n", "total")
+
+
+def instant(ts: str) -> Column:
+    """A timestamp_ntz in UTC as an instant, which watermarks ask for; the session's zone plays no part."""
+    c = F.col(ts)
+    seconds = F.unix_date(c.cast("date")).cast("bigint") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return F.timestamp_micros(seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint"))
+
+
+def once(rows: DataFrame, key: list[str], within: str) -> DataFrame:
+    """Rows of a stream without those whose key has come before, if no more than ``within`` lies between their times.
+
+    The state holds keys for that long. A row with a null time has no place in it and goes.
+    """
+    kept = rows.columns
+    name = unused(rows, "at")
+    return rows.where("ts is not null").withColumn(name, instant("ts")).withWatermark(name, within).dropDuplicatesWithinWatermark(key).select(*kept)
+
+
+def closed_buckets(rows: DataFrame, width: str, late: str, keys=(), scale: int = SCALE) -> DataFrame:
+    """Exact aggregates of buckets that are over for ``late`` and longer, each sent once, for a sink in append mode.
+
+    What comes even later is dropped by the watermark: only a source that is never later may be read this way,
+    for others land the rows and ask the table.
+    """
+    name = unused(rows, "at")
+    timed = rows.withColumn(name, instant("ts")).withWatermark(name, late)
+    out = timed.groupBy(F.window(name, width).alias("w"), *keys).agg(F.count("value").alias("n"), exact_sum("value", scale).alias("total"))
+    start = F.expr("timestamp_ntz '1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.unix_seconds("w.start").cast("decimal(18,6)"))
+    return out.select(start.alias("bucket_start"), *keys, "n", "total")
+
+
+def appended(rows: DataFrame, path: str, checkpoint: str):
+    """Write what a stream has brought to a table and stop; the sink's log makes each micro-batch count once."""
+    return rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
