@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -49,7 +51,9 @@ def shipped(spark: SparkSession) -> None:
     sc = spark.sparkContext
     package = Path(__file__).resolve().parents[1]
     if sc.applicationId not in _SHIPPED and package.is_dir():
-        path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder) / f"{package.name}.zip"
         with zipfile.ZipFile(path, "w") as out:
             for f in sorted(package.rglob("*.py")):
                 out.write(f, f.relative_to(package.parent))
