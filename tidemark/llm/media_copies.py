@@ -45,11 +45,11 @@ TILE = 1024
 #: Corners that a corner is paired with, and the pixels of its level that they are apart at least.
 NEIGHBOURS, NEAREST = 4, 3
 #: Bits of each of the two descriptors in a key, and ways to choose them.
-KEY_BITS, TABLES = 24, 1
+KEY_BITS, TABLES = 28, 1
 #: Contents, of some 100 bytes, that are broadcast at most; more are joined by a shuffle.
 SENT_CONTENTS = 100_000
 #: Differences of growth (log2) and turn (radians) of a doublet and its corners up to which they agree.
-MAX_GROW, MAX_TURN = 0.4, 0.3
+MAX_GROW, MAX_TURN = 0.3, 0.15
 #: Matched corners that must agree on growth, turn and shift.
 MIN_VOTES = 5
 #: Pixels within which the shifts of agreeing corners lie, or half of it; cells of a whole turn.
@@ -369,24 +369,55 @@ def _matches(a, b, ga, gb, ha, hb) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _MATCH)], schema=_MATCH)
 
 
-def _votes(matches: DataFrame) -> DataFrame:
-    """(a, b) pairs of pictures of which MIN_VOTES corners agree on growth, turn and shift."""
-    # two grids for each number, half a cell apart, so that no cell border splits an agreement
-    turns = F.pmod(F.col("turn") / (2 * np.pi), F.lit(1.0)) * TURN_CELLS
+def _grouped(rows: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """``run`` of tables that hold whole groups of equal keys, in order; a task holds a batch and the group at its end."""
 
-    def cell(bits):
+    def stream(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            cols = [held.column(k).to_numpy() for k in keys]
+            edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) if held.num_rows > 1 else []
+            if len(edges):
+                cut = int(edges[-1]) + 1
+                yield from run(held.slice(0, cut)).to_batches()
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from run(held).to_batches()
+
+    return arrow_map(rows.repartition(*keys).sortWithinPartitions(*keys), stream, schema)
+
+
+def _agreed(table: pa.Table) -> pa.Table:
+    """(a, b) of the pairs of pictures, whose matches are whole and in order, of which MIN_VOTES corners agree."""
+    a, b, ga, gb, grow, turn, sx, sy = (table.column(n).to_numpy() for n in _MATCH.names)
+    pair = np.cumsum(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]) - 1
+    some = np.bincount(pair)[pair] >= -(-MIN_VOTES // 2) if len(a) else np.zeros(0, bool)  # a doublet has two corners
+    pair, ga, gb, grow, turn, sx, sy = (v[some] for v in (pair, ga, gb, grow, turn, sx, sy))
+    found = np.zeros(0, np.int64)
+    corner, of = np.concatenate([ga >> 16, gb >> 16]), np.concatenate([pair, pair])
+    turns = turn / (2 * np.pi) % 1.0 * TURN_CELLS
+    # two grids for each number, half a cell apart, so that no cell border splits an agreement
+    for bits in range(16):
         up, t, i, j = (bits >> k & 1 for k in range(4))
-        return F.struct(
-            F.lit(bits).alias("grid"), F.floor(F.col("grow") * 2 + up / 2).alias("cg"), F.pmod(F.floor(turns + t / 2), F.lit(TURN_CELLS)).alias("ct"),
-            F.floor(F.col("sx") / CELL + i / 2).alias("cx"), F.floor(F.col("sy") / CELL + j / 2).alias("cy"),
-        )
+        cells = np.floor(grow * 2 + up / 2), np.floor(turns + t / 2) % TURN_CELLS, np.floor(sx / CELL + i / 2), np.floor(sy / CELL + j / 2)
+        cols = [corner, *(np.concatenate([c, c]) for c in cells), of]
+        order = np.lexsort(cols)
+        cols = [c[order] for c in cols]
+        if not len(order):
+            break
+        fresh = np.append(True, np.any([c[1:] != c[:-1] for c in cols[1:]], axis=0))  # the first of its cell
+        other = fresh | np.append(True, cols[0][1:] != cols[0][:-1])  # a corner that its cell has not had
+        votes = np.bincount(np.cumsum(fresh) - 1, other)
+        found = np.union1d(found, cols[-1][fresh][votes >= MIN_VOTES])
+    first = np.searchsorted(np.cumsum(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]) - 1, found)
+    return pa.table({"a": pa.array(a[first], pa.int64()), "b": pa.array(b[first], pa.int64())})
 
-    # two doublets have four corners at most, so a pair of pictures with fewer than MIN_VOTES / 2 is let go at once
-    enough = saved(matches.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= -(-MIN_VOTES // 2)).select("a", "b"))
-    kept = matches.join(F.broadcast(enough) if enough.count() <= SENT_CONTENTS else enough, ["a", "b"])
-    cells = kept.select("a", "b", F.explode(F.array(*map(cell, range(16)))).alias("c"), F.array("ga", "gb").alias("ends")).select("a", "b", "c", F.explode("ends").alias("corner"))
-    agreed = cells.groupBy("a", "b", "c").agg(F.count_distinct(F.shiftright("corner", 16)).alias("n")).where(F.col("n") >= MIN_VOTES)
-    return agreed.select("a", "b").distinct()
+
+def _votes(matches: DataFrame) -> DataFrame:
+    """(a, b) pairs of pictures of which MIN_VOTES corners agree on growth, turn and shift."""
+    return _grouped(matches, ["a", "b"], _agreed, "a long, b long")
 
 
 def _agreeing(candidates: DataFrame) -> DataFrame:
@@ -422,10 +453,18 @@ def _rest_matches(entries: DataFrame, roots: DataFrame, block: int) -> DataFrame
     sized = saved(rooted.join(shared, "key"))
     dropped(rooted)
     few = sized.where(F.col("size") <= FEW)
-    one = few.select("key", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("ga").alias("ra"), F.col("gb").alias("rb"))
-    other = few.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("root").alias("root_b"), "ga", "gb")
-    met = one.join(other, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
-    cold = _agreeing(met.select("a", "b", "ra", "rb", "ga", "gb"))
+
+    def compare_few(table: pa.Table) -> pa.Table:
+        key, name, root, ga, gb = (table.column(n).to_numpy() for n in ("key", "id", "root", "ga", "gb"))
+        out = [_MATCH.empty_table()]
+        for step in range(1, FEW):  # each row with the one so many places behind it
+            x = np.flatnonzero((key[:-step] == key[step:]) & (root[:-step] != root[step:])) if step < len(key) else []
+            if len(x):
+                low, high = np.where(name[x] < name[x + step], x, x + step), np.where(name[x] < name[x + step], x + step, x)
+                out.append(_matches(name[low], name[high], ga[low], gb[low], ga[high], gb[high]))
+        return pa.concat_tables(out)
+
+    cold = _grouped(few.select("key", "id", "root", "ga", "gb"), ["key"], compare_few, MATCH)
     # a larger bucket is cut into blocks, each of which meets itself and every other block once
     many = sized.where(F.col("size") > FEW).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64("id", "ga", "gb"), F.col("blocks")).cast("int"))
