@@ -219,7 +219,7 @@ def union_distinct(t: Tables) -> DataFrame:
     return t.supplier.select(F.col("s_nationkey").alias("k")).union(t.customer.where("c_acctbal < 0").select("c_nationkey")).distinct()
 
 
-@query("""SELECT user_id, CAST(coalesce(m['click'], 0) AS BIGINT) AS clicks, CAST(len(map_keys(m)) AS BIGINT) AS kinds, list_sort(map_keys(m)) AS names,
+@query("""SELECT user_id, CAST(coalesce(m['click'], 0) AS BIGINT) AS clicks, CAST(len(map_keys(m)) AS BIGINT) AS kinds, array_to_string(list_sort(map_keys(m)), ',') AS names,
 CAST(list_sum(map_values(m)) AS BIGINT) AS events
 FROM (SELECT user_id, map_from_entries(list((event_type, n))) AS m FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1)""")
 def map_functions(t: Tables) -> DataFrame:
@@ -229,5 +229,5 @@ def map_functions(t: Tables) -> DataFrame:
     total = F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return maps.select(
         "user_id", F.coalesce(F.element_at("m", "click"), F.lit(0).cast("bigint")).alias("clicks"), F.size(F.map_keys("m")).cast("bigint").alias("kinds"),
-        F.sort_array(F.map_keys("m")).alias("names"), total.alias("events"),
+        F.array_join(F.sort_array(F.map_keys("m")), ",").alias("names"), total.alias("events"),
     )
