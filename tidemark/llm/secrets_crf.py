@@ -237,39 +237,53 @@ class Crf:
             for m in found:
                 inside = next((s for s in spans if s[0] < m.end() and m.start() < s[1]), None)
                 labels.append(O if inside is None else B if m.start() <= inside[0] else I)
-            if tokens:
-                free = [is_free(tokens, k) for k in range(len(tokens))]
-                labels = [x if f else O for x, f in zip(labels, free)]
-                held = np.array([[0.0, 0.0, 0.0] if f else [-1e4, -1e4, 0.0] for f in free])
-                data.append(([features(tokens, k, file) if f else [] for k, f in enumerate(free)], labels, held))
+            free = [is_free(tokens, k) for k in range(len(tokens))]
+            parts, k = [], 0
+            while k < len(tokens):
+                # all other tokens are outside for certain, so a text falls into runs of free tokens between them
+                if free[k]:
+                    stop = next((j for j in range(k, len(tokens)) if not free[j]), len(tokens))
+                    own = [B if labels[k] == I else labels[k], *labels[k + 1 : stop]]  # nothing is inside what has not begun
+                    parts.append(([features(tokens, j, file) for j in range(k, stop)], own, k > 0, stop < len(tokens)))
+                    k = stop
+                k += 1
+            data.append(parts)
         rnd = random.Random(11)
         for epoch in range(epochs):
             rnd.shuffle(data)
-            step = rate / (1 + epoch)
-            for feats, labels, held in data:
-                self._learn(feats, labels, held, step, decay)
+            for parts in data:
+                for feats, labels, before, after in parts:
+                    self._learn(feats, labels, before, after, rate / (1 + epoch), decay)
         self.weights = dict(self.weights)
         return self
 
-    def _learn(self, feats, labels, held, step, decay):
-        e = self.scores(feats) + held
-        n = len(labels)
+    def _learn(self, feats, labels, before, after, step, decay):
+        """One step up the likelihood of the labels of a run of free tokens; ``before`` and ``after`` tell of outside
+        tokens at its edges."""
+        e, n = self.scores(feats), len(labels)
         fwd, bwd = np.zeros((n, 3)), np.zeros((n, 3))
-        start = np.array([0.0, -1e4, 0.0])
-        fwd[0] = e[0] + start
+        fwd[0] = e[0] + (self.moves[O] if before else np.array([0.0, -1e4, 0.0]))
+        bwd[-1] = self.moves[:, O] if after else 0.0
         for t in range(1, n):
             fwd[t] = e[t] + np.logaddexp.reduce(fwd[t - 1][:, None] + self.moves, axis=0)
         for t in range(n - 2, -1, -1):
             bwd[t] = np.logaddexp.reduce(self.moves + (e[t + 1] + bwd[t + 1])[None, :], axis=1)
-        total = np.logaddexp.reduce(fwd[-1])
-        gap = -np.exp(fwd + bwd - total)
-        gap[np.arange(n), labels] += 1
+        total = np.logaddexp.reduce(fwd[-1] + bwd[-1])
+        chance = np.exp(fwd + bwd - total)
+        pull = np.zeros((3, 3))
         for t in range(1, n):
-            pair = np.exp(fwd[t - 1][:, None] + self.moves + (e[t] + bwd[t])[None, :] - total)
-            pair[labels[t - 1], labels[t]] -= 1
-            move = step * -pair
-            move[O, I] = 0
-            self.moves += move
+            pull -= np.exp(fwd[t - 1][:, None] + self.moves + (e[t] + bwd[t])[None, :] - total)
+            pull[labels[t - 1], labels[t]] += 1
+        if before:
+            pull[O] -= chance[0]
+            pull[O, labels[0]] += 1
+        if after:
+            pull[:, O] -= chance[-1]
+            pull[labels[-1], O] += 1
+        pull[O, I] = 0
+        self.moves += step * pull
+        gap = -chance
+        gap[np.arange(n), labels] += 1
         for fs, g in zip(feats, gap):
             if np.abs(g).max() > 1e-4:
                 for f in fs:
