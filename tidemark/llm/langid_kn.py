@@ -335,21 +335,24 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 STATE = "struct<place: int, best: double, second: double, lang: string, score: double>"
 
 
-def _told(rows: DataFrame, text_at: int, model: Identifier) -> tuple[DataFrame, str]:
-    """``rows`` with a last column of STATE, and its name: a pass for each group of languages."""
+def _told(rows: DataFrame, text_at: int, model: Identifier, texts: bool = True) -> tuple[DataFrame, str]:
+    """``rows``, without their texts if ``texts`` is false, with a last column of STATE, and its name: a pass for
+    each group of languages."""
     spark, width, name = rows.sparkSession, len(rows.columns), "told"
     while name in rows.columns:
         name += "_"
-    schema = StructType([*rows.schema.fields, *schema_of(f"{name} {STATE}").fields])
-    arrow = to_arrow_schema(schema)
-    for k in range(max(1, len(model.groups))):
+    fields, passes = rows.schema.fields, max(1, len(model.groups))
+    for k in range(passes):
         shared = spark.sparkContext.broadcast(model.scorer(k))
+        kept = [c for c in range(width) if texts or c != text_at or k + 1 < passes]
+        schema = StructType([*(fields[c] for c in kept), *schema_of(f"{name} {STATE}").fields])
+        arrow = to_arrow_schema(schema)
 
-        def run(batches, shared=shared, first=k == 0):
+        def run(batches, shared=shared, first=k == 0, kept=kept, arrow=arrow):
             for part in slices(batches):
                 before = None if first else part.column(width).to_pylist()
                 state = shared.value.step(part.column(text_at).to_pylist(), before)
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(state, arrow[width].type)], names=arrow.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(state, arrow[len(kept)].type)], names=arrow.names)
 
         rows = arrow_map(saved(rows) if k else rows, run, schema)
     return rows, name
@@ -357,7 +360,7 @@ def _told(rows: DataFrame, text_at: int, model: Identifier) -> tuple[DataFrame,
 
 def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
-    out, told = _told(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), 1, model)
+    out, told = _told(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), 1, model, texts=False)
     return out.select("doc_id", F.col(f"{told}.lang").alias("lang_pred"), f"{told}.score")
 
 
