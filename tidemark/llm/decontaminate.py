@@ -170,8 +170,8 @@ def _compiled(name: str, items: list[tuple], window: int) -> Scanner:
     return _BUILT[name]
 
 
-def _searched(rows: DataFrame, text_at: int, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, part_bytes: int) -> tuple[DataFrame, str]:
-    """``rows`` with a last column of what all parts find, and its name: n_words, n_hit, the spans of hit words
+def _searched(rows: DataFrame, text_at: int, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, part_bytes: int, texts: bool = True) -> tuple[DataFrame, str]:
+    """``rows``, without their texts if ``texts`` is false, with a last column of what all parts find, and its name: n_words, n_hit, the spans of hit words
     (firsts and behind the lasts in turn), the sorted items and whether that is contamination."""
     spark = rows.sparkSession
     pieces = saved(_pieces(benchmark, item_col, item_text_col, window))
@@ -181,26 +181,28 @@ def _searched(rows: DataFrame, text_at: int, benchmark: DataFrame, item_col: str
     while name in rows.columns:
         name += "_"
     kind = "struct<n_words: long, n_hit: long, spans: array<int>, items: array<string>, contaminated: boolean>"
-    schema = StructType([*rows.schema.fields, *schema_of(f"{name} {kind}").fields])
-    arrow = to_arrow_schema(schema)
+    fields = rows.schema.fields
     for k in range(count):
+        kept = [c for c in range(width) if texts or c != text_at or k + 1 < count]
+        schema = StructType([*(fields[c] for c in kept), *schema_of(f"{name} {kind}").fields])
+        arrow = to_arrow_schema(schema)
         items = [tuple(r) for r in pieces.where(part == k).select("item", "text").collect()]  # about part_bytes
         digest = hashlib.sha256(repr((window, sorted(map(repr, items)))).encode()).hexdigest()
         shared = spark.sparkContext.broadcast(items)
 
-        def run(batches, shared=shared, digest=digest, first=k == 0):
+        def run(batches, shared=shared, digest=digest, first=k == 0, kept=kept, arrow=arrow):
             for batch in slices(batches):
-                texts = batch.column(text_at).to_pylist()
-                before = [None] * len(texts) if first else batch.column(width).to_pylist()
+                own = batch.column(text_at).to_pylist()
+                before = [None] * len(own) if first else batch.column(width).to_pylist()
                 scanner, out = _compiled(digest, shared.value, window), []
-                for text, held in zip(texts, before):
+                for text, held in zip(own, before):
                     words = words_of(text)
                     hit, found = scanner.scan(words)
                     spans = _spans(hit, held["spans"] if held else [])
                     n, n_hit = len(words), sum(spans[1::2]) - sum(spans[::2])
                     items = sorted(found.union(held["items"]) if held else found)
                     out.append({"n_words": n, "n_hit": n_hit, "spans": spans, "items": items, "contaminated": n_hit > 0 and 20 * n_hit >= n})
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, arrow[width].type)], names=arrow.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, arrow[len(kept)].type)], names=arrow.names)
 
         rows = arrow_map(saved(rows) if k else rows, run, schema)
     return rows, name
@@ -228,7 +230,7 @@ def scan_documents(
 ) -> DataFrame:
     """Per document: words, hit words, the items hit (sorted array) and the contamination verdict."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out, found = _searched(rows, 1, benchmark, item_col, item_text_col, window, part_bytes)
+    out, found = _searched(rows, 1, benchmark, item_col, item_text_col, window, part_bytes, texts=False)
     return out.select("doc_id", *(f"{found}.{c}" for c in ("n_words", "n_hit", "items", "contaminated")))
 
 
