@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -299,7 +300,7 @@ def database_round_trip(rows: DataFrame) -> DataFrame:
     An embedded database lives in one JVM, so this query is for a local master; the operators are not.
     """
     url, driver = "jdbc:derby:memory:tidemark;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    name = f"events_{abs(hash(scratch(rows.sparkSession))) % 10**9}"
+    name = f"events_{uuid.uuid4().hex[:12]}"
     mine = rows.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "user_id", "value").coalesce(2)
     even = mine.where("event_id % 2 = 0")
     measurements.write_jdbc(even, url, name, "even", **driver)
