@@ -175,6 +175,17 @@ def test_recall_of_large_pictures():
     assert all(linked([pgm(a), pgm(a[700:1300, 500:1400] * 0.7 + 40), pgm(np.rot90(a[:900, :900]))]))
 
 
+def test_nearest_against_brute_force():
+    rng = np.random.default_rng(4)
+    for n, size in ((0, 10), (1, 10), (2, 300), (40, 60), (700, 900), (300, 3000)):
+        x, y = rng.uniform(0, size, (2, n))
+        i, j = m.nearest(x, y)
+        apart = np.hypot(x[:, None] - x, y[:, None] - y)
+        for k in range(n):
+            near = np.sort([d for d in apart[k] if m.NEAREST <= d <= m.FARTHEST])[: m.NEIGHBOURS]
+            assert np.allclose(np.sort(apart[k][j[i == k]]), near)
+
+
 def test_pairs_against_brute_force(spark):
     """The operator's classes of copies of copies are those of all pairs, in small buckets and in blocks."""
     rows = []

@@ -42,8 +42,8 @@ MARGIN = 3
 FLOOR = 4.0
 #: Pixels of a side of the tiles in which a level is searched.
 TILE = 1024
-#: Corners that a corner is paired with, and the pixels of its level that they are apart at least.
-NEIGHBOURS, NEAREST = 4, 3
+#: Corners that a corner is paired with, and the pixels of its level that they are apart at least and at most.
+NEIGHBOURS, NEAREST, FARTHEST = 4, 3, 96
 #: Bits of each of the two descriptors in a key, and ways to choose them.
 KEY_BITS, TABLES = 28, 1
 #: Contents, of some 100 bytes, that are broadcast at most; more are joined by a shuffle.
@@ -254,6 +254,32 @@ def describe(stack: np.ndarray, tile: int = TILE) -> list[list[tuple[np.ndarray,
     return out
 
 
+def nearest(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, low: float = NEAREST, high: float = FARTHEST) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of each place with the ``k`` nearest ones from ``low`` to ``high`` away; time grows with the area.
+
+    Places are gone through in bands of height ``high``, in which what may be near is a stretch of three bands.
+    """
+    band = np.floor(y / high).astype(np.int64)
+    by_band = np.argsort(band, kind="stable")
+    edges = np.searchsorted(band[by_band], [np.arange(band.max() + 2) + d for d in (-1, 0, 1, 2)]) if len(x) else np.zeros((4, 0), int)
+    first, second = [], []
+    for b in range(max(0, edges.shape[1] - 1)):
+        own, around = by_band[edges[1, b] : edges[2, b]], by_band[edges[0, b] : edges[3, b]]
+        own, around = own[np.argsort(x[own], kind="stable")], around[np.argsort(x[around], kind="stable")]
+        for at in range(0, len(own), 128):
+            some = own[at : at + 128]
+            a, z = np.searchsorted(x[around], [x[some[0]] - high, x[some[-1]] + high + 1])
+            there = around[a:z]
+            apart = (x[some][:, None] - x[there]) ** 2 + (y[some][:, None] - y[there]) ** 2
+            apart[(apart < low * low) | (apart > high * high)] = np.inf
+            many = min(k, len(there))
+            best = np.argpartition(apart, many - 1, axis=1)[:, :many]
+            row, col = np.nonzero(np.take_along_axis(apart, best, axis=1) < np.inf)
+            first.append(some[row])
+            second.append(there[best[row, col]])
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (first, second))
+
+
 def doublets(levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(keys, first corner, second corner, number of corners) of a picture: each corner with its nearest ones of the same level.
 
@@ -265,17 +291,7 @@ def doublets(levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, i
         count += n
         if n < 2:
             continue
-        at = np.stack([x, y], axis=1)
-        near = []
-        for low in range(0, n, 512):  # rows of the distance table at once
-            apart = ((at[low : low + 512, None] - at[None]) ** 2).sum(axis=2)
-            apart[apart < (NEAREST * scale) ** 2] = np.inf
-            k = min(NEIGHBOURS, n - 1)
-            best = np.argpartition(apart, k - 1, axis=1)[:, :k]
-            best[np.take_along_axis(apart, best, axis=1) == np.inf] = -1
-            near.append(best)
-        i, col = np.nonzero((near := np.concatenate(near)) >= 0)
-        j = near[i, col]
+        i, j = nearest(x / scale, y / scale)
         packed = _pack(x, y, scale, turn)
         bits = np.unpackbits(code, axis=1)
         for t, (one, two) in enumerate(_KEY_BITS):
