@@ -8,12 +8,12 @@ come back into step right after an insertion. From every cut a chunk runs to the
 whole one wherever its edges fall. Chunks are deduplicated by a 128-bit digest of their words.
 
 Chunks that other documents hold too are merged into stretches, those with the same first holder by
-themselves. Chunks end inside what is shared, so the
-edges are found by comparison of windows of ``SPAN`` words that overlap the first or the last words of a
-stretch, or in the first holder any part of it; of NEIGHBOURS windows in a row the one of least digest is kept.
-Windows that another document holds widen a stretch, and a stretch without one is no repeat. So a run of 51
-words or more that two documents share is found, and none of less than 45. Each span has the smallest doc_id that holds one of its parts, which keeps
-its copy; the others may drop theirs.
+themselves. Chunks end inside what is shared, so the edges are found by comparison of windows of ``SPAN``
+words that overlap the first or the last words of a stretch, or in the first holder any part of it; of
+NEIGHBOURS windows in a row the one of least digest is kept. Windows that another document holds widen a
+stretch, and a stretch without one is no repeat. So a run of 51 words or more that two documents share is found,
+if it holds a whole chunk, and none of less than 45. Each span has the smallest doc_id that holds one of its
+parts, which keeps its copy; the others may drop theirs.
 
 A document is an id with a text: rows with the same id and other texts are other documents, rows with equal
 id and text are one. Where the smallest id that holds something has several texts with it, all of them keep
