@@ -230,6 +230,8 @@ def test_quantiles_against_numpy(spark):
     shares = (0.0, 0.25, 0.5, 0.99, 1.0)
     got = {r["key"]: list(r)[1:] for r in ops.quantiles(rows, "key", shares).collect()}
     assert got["d"] == [None] * 5
+    odd = spark.createDataFrame([("a", float(v)) for v in ("inf", "-inf", "nan", 1, 2)] + [("b", -0.0), ("b", 0.0)], "key string, value double")
+    assert str(sorted(map(tuple, ops.quantiles(odd, "key", (0.0, 0.5, 0.75, 1.0)).collect()))) == "[('a', -inf, 2.0, inf, nan), ('b', 0.0, 0.0, 0.0, 0.0)]"
     for k, vs in data.items():
         assert np.allclose(got[k], [np.quantile(vs, p) for p in shares], rtol=1e-12, atol=1e-9), k
 
