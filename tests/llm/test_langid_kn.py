@@ -165,15 +165,16 @@ def test_query_against_a_naive_model(spark):
 
 
 def test_groups_of_languages_give_the_same(spark, odd_docs):
-    """A pass for each language, or for two, tells what one pass for all tells, rejected rows included."""
+    """A pass for each language, or for two, or for each shard of one, tells what one pass for all tells."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one = k.fit(docs)
     key = lambda r: (str(r["doc_id"]), r["lang_pred"], round(r["score"], 9))
     want = sorted(map(key, k.identify(docs, one).collect()))
     odd = sorted(map(key, k.identify(odd_docs, one).collect()))
-    for entries in (1, 20_000):
+    size = max(len(v[0]) + len(one.model.contexts[key][0]) for key, v in one.model.grams.items())
+    for entries, shards in ((5 * size, 1), (size // 2, 3)):
         many = k.fit(docs, group_entries=entries)
-        assert len(many.groups) > 1 and many.langs == one.langs and np.allclose(many.mean, one.mean) and np.allclose(many.spread, one.spread)
+        assert len(many.groups) > 1 and max(g.shards for g in many.groups) >= shards and many.langs == one.langs and np.allclose(many.mean, one.mean) and np.allclose(many.spread, one.spread)
         assert sorted(map(key, k.identify(docs, many).collect())) == want
         assert sorted(map(key, k.identify(odd_docs, many).collect())) == odd
         assert sorted(str(r["doc_id"]) for r in k.accepted(docs, many).collect()) == sorted(str(r["doc_id"]) for r in k.accepted(docs, one).collect())

@@ -7,7 +7,10 @@ was never seen has none. A model has, for each language and order, the sorted n-
 counts (12 bytes each) and the sorted contexts (16 bytes each). It grows with the distinct n-grams of the corpus,
 not with its rows: all counts are a table in the shared folder, of which languages up to GROUP_ENTRIES n-grams
 in all are gathered by the driver and sent to the tasks at once. More languages take more passes over the
-texts, each of which carries on the lowest cross-entropies, so results do not depend on the number of passes.
+texts, each of which carries on the lowest cross-entropies, and a language that is larger by itself is cut into
+shards with a pass for each: by the character before the last of an n-gram, which is the last one of its
+context, so all that a 4-gram asks for but the unigrams is in one shard, and the shards' shares of a
+cross-entropy add up. Results do not depend on the number of passes.
 
 A text is scored by its cross-entropy per character under every language; the lowest wins. The
 confidence is a calibrated logistic of how far the text lies from the winner's own training texts.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,7 @@ from .common import arrow_map, map_docs, saved, schema_of, slices
 ORDER = 4
 #: Symbols have 16 bits each, so a 4-gram is one long.
 _CHAR = 16
-#: N-grams and contexts of the languages that are gathered and sent at once, some 14 bytes each; a language
-#: with more goes by itself.
+#: N-grams and contexts that are gathered and sent at once, some 14 bytes each.
 GROUP_ENTRIES = 8_000_000
 #: Languages that a model may have. No labelled corpus has as many; a column of something else ends with an error.
 MOST_LANGS = 10_000
@@ -74,6 +77,11 @@ def slot(packed: np.ndarray) -> np.ndarray:
     return packed.view(np.int64)
 
 
+def shard_of(character, shards: int):
+    """The shard of an n-gram by its character before the last: of numbers or of a column."""
+    return character * 40_503 % 65_521 % shards
+
+
 def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n) of every 4-gram in all rows; each task sends each of its 4-grams once."""
     schema = schema_of("lang string, gram long, n long")
@@ -183,23 +191,30 @@ class Model:
             out[:, col] = count[self._find(keys, wanted)] / np.maximum(total[ctx], 1.0) + back[ctx] * out[:, col]
         return out
 
-    def cross_entropies(self, texts: list[np.ndarray], of: list[int] | None = None) -> np.ndarray:
-        """A row for each text, a column for each language or those in ``of``; equal 4-grams of all texts are looked up once."""
+    def cross_entropies(self, texts: list[np.ndarray], of: list[int] | None = None, shard: int = 0, shards: int = 1) -> np.ndarray:
+        """A row for each text, a column for each language or those in ``of``; equal 4-grams of all texts are looked up
+        once. Of several shards, the share that the n-grams of ``shard`` have in the cross-entropy."""
         packed = [grams(s, min(ORDER, len(s))) for s in texts]
         out = np.zeros((len(texts), len(self.langs if of is None else of)))
         whole = [k for k, s in enumerate(texts) if len(s) >= ORDER]
         if whole:
             flat, at = np.unique(np.concatenate([packed[k] for k in whole]), return_inverse=True)
-            logs = -np.log(self.probability(flat, ORDER, of))
+            logs = -np.log(self.probability(flat, ORDER, of)) * _within(flat, shard, shards)
             ends = np.cumsum([0] + [len(packed[k]) for k in whole])
             for k, a, b in zip(whole, ends, ends[1:]):
                 out[k] = logs[at[a:b]].sum(axis=0) / (b - a)
         for k, s in enumerate(texts):
             if 0 < len(s) < ORDER:
-                out[k] = -np.log(self.probability(grams(s, len(s)), len(s), of))[0]
+                out[k] = (-np.log(self.probability(packed[k], len(s), of)) * _within(packed[k], shard, shards))[0]
         return out
 
 
+def _within(packed: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    """A column of one where an n-gram is the shard's, of zero elsewhere."""
+    before = (packed >> np.uint64(_CHAR)).astype(np.int64) & ((1 << _CHAR) - 1)
+    return (shard_of(before, shards) == shard)[:, None].astype(float)
+
+
 def _quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
     """Of sorted values with their counts, between ranks as numpy's percentile."""
     ends = np.cumsum(counts)
@@ -208,13 +223,21 @@ def _quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
     return float(low + (high - low) * (rank % 1))
 
 
+class Group(NamedTuple):
+    """Languages that are gathered at once, or one shard of a large language."""
+
+    langs: list[str]
+    shard: int = 0
+    shards: int = 1
+
+
 class Identifier:
     """Models of groups of languages with their calibration: per language the middle and spread of its own texts'
-    cross-entropy. ``groups`` has the languages of each group; ``build`` makes the model of one."""
+    cross-entropy. ``build`` makes the model of a group."""
 
-    def __init__(self, groups: list[list[str]], build: Callable[[list[str]], Model]):
-        self.groups, self._build = groups, build
-        self.langs = [x for g in groups for x in g]
+    def __init__(self, groups: list[Group], build: Callable[[Group], Model]):
+        self.groups, self._build = groups or [Group([])], build
+        self.langs = [x for g in groups if not g.shard for x in g.langs]
         self._held: tuple[int, Model] | None = None
         self.mean, self.spread = np.zeros(len(self.langs)), np.ones(len(self.langs))
 
@@ -225,17 +248,17 @@ class Identifier:
     def group(self, k: int) -> Model:
         """The model of a group; the last one that was asked for is held."""
         if self._held is None or self._held[0] != k:
-            self._held = k, self._build(self.groups[k] if self.groups else [])
+            self._held = k, self._build(self.groups[k])
         return self._held[1]
 
     def scorer(self, k: int) -> Scorer:
-        first = sum(map(len, self.groups[:k]))
-        return Scorer(self.group(k), first, self.langs, self.mean, self.spread)
+        first = self.langs.index(self.groups[k].langs[0]) if self.langs else 0
+        return Scorer(self.group(k), self.groups[k], first, self.langs, self.mean, self.spread)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores of a few texts, by all groups in turn."""
         state = None
-        for k in range(max(1, len(self.groups))):
+        for k in range(len(self.groups)):
             state = self.scorer(k).step(texts, state)
         return [r["lang"] for r in state], [r["score"] for r in state]
 
@@ -243,19 +266,23 @@ class Identifier:
 class Scorer:
     """One group of languages, and what is needed to name and score the best of all."""
 
-    def __init__(self, model: Model, first: int, langs: list[str], mean: np.ndarray, spread: np.ndarray):
-        self.model, self.first, self.langs, self.mean, self.spread = model, first, langs, mean, spread
+    def __init__(self, model: Model, group: Group, first: int, langs: list[str], mean: np.ndarray, spread: np.ndarray):
+        self.model, self.group, self.first, self.langs, self.mean, self.spread = model, group, first, langs, mean, spread
 
     def step(self, texts: list[str | None], before: list[dict] | None) -> list[dict]:
         """For each text the lowest and the second cross-entropy so far, whose the lowest is, and what follows."""
         syms = [symbols(t) for t in texts]
-        out = before or [{"place": -1, "best": np.inf, "second": np.inf, "lang": UND, "score": 0.0} for _ in texts]
+        out = before or [{"place": -1, "best": np.inf, "second": np.inf, "part": 0.0, "lang": UND, "score": 0.0} for _ in texts]
         have = [k for k, s in enumerate(syms) if len(s)]
         if not have or not self.model.langs:
             return out
-        ce = self.model.cross_entropies([syms[k] for k in have])
+        ce = self.model.cross_entropies([syms[k] for k in have], None, self.group.shard, self.group.shards)
         for k, row in zip(have, ce):
             held = out[k]
+            row = row + held["part"]
+            if self.group.shard + 1 < self.group.shards:
+                held["part"] = float(row[0])
+                continue
             order = np.argsort(row, kind="stable")[:2]
             place, best, second = held["place"], held["best"], held["second"]
             if row[order[0]] < best:  # ties go to the language before, groups are in alphabetical order
@@ -269,36 +296,44 @@ class Scorer:
             fit = 1 / (1 + np.exp(min(50.0, dear - 6)))
             lead = (second - best) * size if np.isfinite(second) else 50.0
             score = float(np.clip(fit * (1 - 0.5 * np.exp(-min(50.0, lead))), 0, 1))
-            out[k] = {"place": place, "best": best, "second": second, "lang": self.langs[place], "score": score}
+            out[k] = {"place": place, "best": best, "second": second, "part": 0.0, "lang": self.langs[place], "score": score}
         return out
 
 
 def _calibrated(found: Identifier, rows: DataFrame, text_col: str, lang_col: str) -> None:
     """Sets middle and spread of every language from the cross-entropies of all its training rows under it."""
-    for k, langs in enumerate(found.groups):
+    texts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.lit(0.0).alias("ce"))
+    part = texts
+    for k, group in enumerate(found.groups if found.langs else []):
         shared = rows.sparkSession.sparkContext.broadcast(found.group(k))
 
-        def own(texts, labels, shared=shared):
+        def own(texts, labels, before, shared=shared, group=group):
+            """Adds to each text's cross-entropy under its own language; null without a letter or in another group."""
             model, out = shared.value, [None] * len(texts)
             places = {lang: k for k, lang in enumerate(model.langs)}
             by_lang: dict = {}
             for at, (text, label) in enumerate(zip(texts, labels)):
                 if label in places and len(s := symbols(text)):
                     by_lang.setdefault(places[label], []).append((at, s))
-            for k, texts_ in by_lang.items():
-                ce = model.cross_entropies([s for _, s in texts_], [k])[:, 0]
-                for (at, _), step in zip(texts_, np.rint(ce * CALIBRATION_STEPS).astype(int).tolist()):
-                    out[at] = step
-            return {"lang": [places.get(x) for x in labels], "step": out}
-
-        some = rows.where(F.col(lang_col).isin(langs)) if len(found.groups) > 1 else rows
-        cells = map_docs(some, [text_col, lang_col], own, "lang int, step int").where("step is not null").groupBy("lang", "step").count().collect()
-        first = sum(map(len, found.groups[:k]))
-        for place in range(len(langs)):  # a few thousand cells a language
-            mine = np.array(sorted((r["step"], r["count"]) for r in cells if r["lang"] == place), np.int64).reshape(-1, 2)
+            for k, mine in by_lang.items():
+                ce = model.cross_entropies([s for _, s in mine], [k], group.shard, group.shards)[:, 0]
+                for (at, _), x in zip(mine, ce.tolist()):
+                    out[at] = before[at] + x
+            # texts are wanted again by the next shard alone
+            return {"text": [None] * len(texts) if group.shard + 1 == group.shards else texts, "lang": labels, "ce": out}
+
+        part = part if group.shard else texts if len(found.groups) == 1 else texts.where(F.col("lang").isin(group.langs))
+        part = map_docs(part, ["text", "lang", "ce"], own, "text string, lang string, ce double").where("ce is not null")
+        if group.shard + 1 < group.shards:
+            part = saved(part)
+            continue
+        cells = part.groupBy("lang", F.round(F.col("ce") * CALIBRATION_STEPS).cast("long").alias("step")).count().collect()
+        for lang in group.langs:  # a few thousand cells a language
+            mine = np.array(sorted((r["step"], r["count"]) for r in cells if r["lang"] == lang), np.int64).reshape(-1, 2)
             if len(mine):
+                place = found.langs.index(lang)
                 middle, high = (_quantile(mine[:, 0], mine[:, 1], q) / CALIBRATION_STEPS for q in (0.5, 0.95))
-                found.mean[first + place], found.spread[first + place] = middle, max(0.1, high - middle)
+                found.mean[place], found.spread[place] = middle, max(0.1, high - middle)
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", group_entries: int = GROUP_ENTRIES) -> Identifier:
@@ -311,28 +346,37 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     if len(sums) > MOST_LANGS * ORDER:
         raise ValueError(f"more than {MOST_LANGS} languages in {lang_col}")
     ones = {(r["lang"], r["ord"]): (r["once"], r["twice"]) for r in sums}
-    groups: list[list[str]] = []
-    held = 0
+    groups: list[Group] = []
+    held = group_entries
     for lang in sorted({r["lang"] for r in sums}):
         size = sum(r["entries"] for r in sums if r["lang"] == lang)
-        if not groups or held + size > group_entries:
-            groups.append([])
-            held = 0
-        groups[-1].append(lang)
-        held += size
-
-    def build(langs: list[str]) -> Model:
-        place = F.array_position(F.array(*map(F.lit, langs)) if langs else F.array(F.lit("")), F.col("lang")) - 1
-        rows = folded.where(F.col("lang").isin(langs)) if len(groups) > 1 else folded
+        if size > group_entries:
+            shards = -(-size // group_entries)
+            groups += [Group([lang], k, shards) for k in range(shards)]
+            held = group_entries  # what comes next begins a group
+        elif held + size > group_entries:
+            groups.append(Group([lang]))
+            held = size
+        else:
+            groups[-1].langs.append(lang)
+            held += size
+
+    def build(group: Group) -> Model:
+        place = F.array_position(F.array(*map(F.lit, group.langs)) if group.langs else F.array(F.lit("")), F.col("lang")) - 1
+        rows = folded.where(F.col("lang").isin(group.langs)) if len(groups) > 1 else folded
+        if group.shards > 1:
+            slot_ = F.col("slot")
+            before = F.when(F.col("kind"), F.shiftrightunsigned(slot_, _CHAR)).otherwise(slot_).bitwiseAND((1 << _CHAR) - 1)
+            rows = rows.where((F.col("ord") == 1) | (shard_of(before, group.shards) == group.shard))
         small = rows.select(place.cast("smallint").alias("lang"), F.col("ord").cast("tinyint"), "kind", "slot", F.col("n").cast("float"), F.col("types").cast("int")).toArrow()
-        return Model(langs, {n: small.column(n).to_numpy(zero_copy_only=False) for n in small.column_names}, ones)
+        return Model(group.langs, {n: small.column(n).to_numpy(zero_copy_only=False) for n in small.column_names}, ones)
 
     found = Identifier(groups, build)
     _calibrated(found, train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), text_col, lang_col)
     return found
 
 
-STATE = "struct<place: int, best: double, second: double, lang: string, score: double>"
+STATE = "struct<place: int, best: double, second: double, part: double, lang: string, score: double>"
 
 
 def _told(rows: DataFrame, text_at: int, model: Identifier, texts: bool = True) -> tuple[DataFrame, str]:
@@ -341,7 +385,7 @@ def _told(rows: DataFrame, text_at: int, model: Identifier, texts: bool = True)
     spark, width, name = rows.sparkSession, len(rows.columns), "told"
     while name in rows.columns:
         name += "_"
-    fields, passes = rows.schema.fields, max(1, len(model.groups))
+    fields, passes = rows.schema.fields, len(model.groups)
     for k in range(passes):
         shared = spark.sparkContext.broadcast(model.scorer(k))
         kept = [c for c in range(width) if texts or c != text_at or k + 1 < passes]
