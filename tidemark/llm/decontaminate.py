@@ -170,9 +170,14 @@ def _compiled(name: str, items: list[tuple], window: int) -> Scanner:
     return _BUILT[name]
 
 
-def _searched(rows: DataFrame, text_at: int, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, part_bytes: int, texts: bool = True) -> tuple[DataFrame, str]:
-    """``rows``, without their texts if ``texts`` is false, with a last column of what all parts find, and its name: n_words, n_hit, the spans of hit words
-    (firsts and behind the lasts in turn), the sorted items and whether that is contamination."""
+def _searched(
+    rows: DataFrame, text_at: int, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, part_bytes: int, texts: bool = True
+) -> tuple[DataFrame, str]:
+    """``rows``, without their texts if ``texts`` is false, with a last column of what all parts find, and its name.
+
+    The column has n_words, n_hit, the spans of hit words (firsts and behind the lasts in turn), the sorted items
+    and whether that is contamination.
+    """
     spark = rows.sparkSession
     pieces = saved(_pieces(benchmark, item_col, item_text_col, window))
     count = 1 + int(pieces.agg(F.sum("bytes")).first()[0] or 0) // part_bytes

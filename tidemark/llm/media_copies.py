@@ -294,8 +294,9 @@ def doublets(levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, i
         i, j = nearest(x / scale, y / scale)
         packed = _pack(x, y, scale, turn)
         bits = np.unpackbits(code, axis=1)
+        place = 1 << np.arange(KEY_BITS, dtype=np.int64)
         for t, (one, two) in enumerate(_KEY_BITS):
-            keys.append((bits[i][:, one] @ (1 << np.arange(KEY_BITS, dtype=np.int64))) << KEY_BITS | bits[j][:, two] @ (1 << np.arange(KEY_BITS, dtype=np.int64)) | t << 2 * KEY_BITS)
+            keys.append(t << 2 * KEY_BITS | (bits[i][:, one] @ place) << KEY_BITS | bits[j][:, two] @ place)
             first.append(packed[i])
             second.append(packed[j])
     if not keys:
