@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 import xxhash
 
 from tidemark.llm import simhash_golay as s
@@ -114,7 +115,12 @@ def test_hot_components_can_be_split(spark):
             spark.conf.set(k, v)
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("last", [0, 30, 100_000])
+def test_components_of_paths_and_stars(spark, monkeypatch, last):
+    """In rounds to the end, in rounds until few edges are left, and in one task."""
+    from tidemark.llm import components as c
+
+    monkeypatch.setattr(c, "LAST_EDGES", last)
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(200, 201), (7, 7)]
     out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
     assert out == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200}

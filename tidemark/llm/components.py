@@ -12,6 +12,8 @@ from .common import arrow_map, dropped, saved
 
 #: Edges that a task folds into a forest at once; bounds its memory.
 FOLD_EDGES = 500_000
+#: Edges, some 300 bytes each in Python, that one task folds to the end; more go on in rounds.
+LAST_EDGES = 100_000
 
 
 def forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -65,7 +67,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``edges`` has long columns u and v. Every join key may be hot: aggregations are pre-aggregated and
     written before they are joined, so that both sides of a join have a shuffle of their own and adaptive
     execution can split a hot key. Each round's edges are written to the shared folder, so a lost executor
-    costs one round at most. Empty edges give an empty table.
+    costs one round at most. Once LAST_EDGES or fewer are left, one task of bounded size folds them to the end.
+    Empty edges give an empty table.
     """
 
     def star(edges, larger):
@@ -89,7 +92,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = saved(_fold(edges.where("u != v")))
     seen = state(edges)
     for _ in range(rounds):
-        if not seen[0]:
+        if seen[0] <= LAST_EDGES:
+            old, edges = edges, saved(_fold(edges.coalesce(1))) if seen[0] else edges
+            if old is not edges:
+                dropped(old)
             break
         old, edges = edges, saved(star(star(edges, True), False))
         for done in (old, *helpers):
