@@ -44,9 +44,9 @@ MIN_SHARE = 0.5
 MIN_FAMILIES, ENOUGH_FAMILIES = 5, 24
 #: An exception's share of toxic rows is at most this part of the lexicon's own, by this z-score at least.
 EXEMPT_SHARE, EXEMPT_Z = 0.25, 3.0
-#: A lexicon and its exceptions go to every worker, some 200 bytes an entry. No entry is dropped: beyond so
+#: A lexicon and its exceptions pass the driver (1 kB an entry) and go to every worker (200 bytes). No entry is dropped: beyond so
 #: many, which no labelled corpus should come to, fitting stops with an error.
-MOST_ENTRIES = 2_000_000
+MOST_ENTRIES = 500_000
 THRESHOLD = 0.7
 #: Hits count by this many words of text; texts shorter than the second number count as that long.
 PER_WORDS, SHORT_TEXT = 200, 60
