@@ -209,7 +209,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.symbols = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.tails: dict[str, bytes] = {}
@@ -222,11 +222,16 @@ class WordEncoder(dict):
         return [b"".join(map(get, t.encode().split())) if t else b"" for t in texts]
 
     def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone, as most words are
+            ids = struct_ids([t.id for t in self.tokenize(word.lower().decode())])
+            if len(word) <= MEMO_WORD:
+                self[word] = ids
+            return ids
         text = word.decode()
         m = _SIMPLE.fullmatch(text)
         if m:
             letters = m[1].lower()
-            ids = struct_ids([t.id for t in self.model.tokenize(letters if letters.isascii() else letters.translate(self.symbols))])
+            ids = struct_ids([t.id for t in self.tokenize(letters if letters.isascii() else letters.translate(self.symbols))])
             if m[2]:
                 ids += self._tail(m[2])
         else:
@@ -246,8 +251,11 @@ class WordEncoder(dict):
         return self.tails[marks]
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def struct_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKERS[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
