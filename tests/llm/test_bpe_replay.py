@@ -42,7 +42,7 @@ def test_round_trip(text):
 def test_memo_starts_afresh(monkeypatch, library):
     model = bpe_replay.MergeReplay(bpe_replay.compiled(PATH, PATTERN).ranks, PATTERN)
     monkeypatch.setattr(bpe_replay, "MEMO_PIECES", 3)
-    for text in ("one two three", "two three four five", "one"):
+    for text in ("one two three", "two three four five", "one", "two four", "x" * 400 + " three", "x" * 400, "five one"):
         assert ids(model.encode_texts([text])[0]) == library.encode_ordinary(text)
 
 

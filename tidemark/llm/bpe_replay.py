@@ -3,8 +3,8 @@
 All distinct pieces of a slice of the corpus are laid out as one linked list of byte symbols. An
 inverted index holds, for every merge rank, the positions whose two neighbouring symbols join into
 that token. Ranks are replayed lowest first; a merge touches its two neighbours only, whose new
-pairs enter the index. Pieces already encoded by this worker come from a bounded memo, so each
-distinct piece is replayed once, not once an occurrence.
+pairs enter the index. Pieces already encoded by this worker come from bounded memos, so a distinct piece
+is replayed once in a while, not once an occurrence.
 
 Defined results: null text is empty; an empty text has no ids; ids decode to the exact bytes of
 the text; repeated rows give one row each. Extra columns are ignored.
@@ -26,9 +26,9 @@ from .common import map_docs
 
 #: Pairs of ids whose rank a worker remembers.
 PAIRS = 500_000
-#: Pieces that a worker remembers, and the characters of one at most; beyond them the memo starts afresh,
-#: and longer pieces are forgotten after their slice. So a memo has at most some 150 bytes a piece and
-#: 5 bytes a character of them.
+#: Pieces that a worker remembers afresh, and the characters of one at most. A memo that is full becomes the
+#: old one, of which pieces that come again are taken over, and longer pieces are forgotten after their slice.
+#: So the two memos have at most some 150 bytes a piece and 5 bytes a character of them.
 MEMO_PIECES, MEMO_PIECE = 400_000, 128
 
 
@@ -41,6 +41,7 @@ class MergeReplay:
             raise ValueError("a byte has no rank")
         self.token = {i: t for t, i in ranks.items()}
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pair_rank: dict[int, int] = {}
 
     def rank(self, key: int) -> int:
@@ -141,14 +142,20 @@ class MergeReplay:
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        memo, ranks = self.memo, self.ranks
+        ranks = self.ranks
         split = [self.pieces(t) if t else [] for t in texts]
         new = {p for ps in split for p in ps}
-        if len(memo) + len(new) > MEMO_PIECES:
-            memo.clear()
-        new = [p for p in new if p not in memo]
+        if len(self.memo) + len(new) > MEMO_PIECES:
+            self.old, self.memo = self.memo, {}
+        memo, known = self.memo, self.old.get
         todo = []
         for p in new:
+            if p in memo:
+                continue
+            ids = known(p)
+            if ids is not None:
+                memo[p] = ids
+                continue
             whole = ranks.get(p.encode())
             if whole is None:
                 todo.append(p)
@@ -160,7 +167,7 @@ class MergeReplay:
         out = [b"".join(map(get, ps)) for ps in split]
         for p in new:
             if len(p) > MEMO_PIECE:
-                del memo[p]
+                memo.pop(p, None)
         return out
 
     def decode(self, ids: bytes) -> bytes:
