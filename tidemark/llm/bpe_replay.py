@@ -28,8 +28,8 @@ from .common import map_docs
 PAIRS = 500_000
 #: Pieces that a worker remembers afresh, and the characters of one at most. A memo that is full becomes the
 #: old one, of which pieces that come again are taken over, and longer pieces are forgotten after their slice.
-#: So the two memos have at most some 150 bytes a piece and 5 bytes a character of them.
-MEMO_PIECES, MEMO_PIECE = 400_000, 128
+#: So the two memos have at most some 600 bytes a piece, as measured in the check.
+MEMO_PIECES, MEMO_PIECE = 250_000, 128
 
 
 class MergeReplay:
