@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, langid_kn, media_copies, secrets_crf, simhash_golay, substring_dedup, toxicity, warc_merkle, wavelet_store
+from . import (
+    bpe_replay, decontaminate, fim_events, langid_kn, line_dedup, media_copies, merkle_manifest, secrets_crf, simhash_golay, substring_dedup, toxicity, warc_merkle,
+    wavelet_store,
+)
 from .common import held_out, map_docs, saved, table
 
 
@@ -109,11 +112,36 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim_events.rewrite(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim_events.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Somebody holds a copy in which every row whose id's crc32 is a multiple of 7 counts one character too many."""
+    docs = table(spark, sf_dir, "documents")
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    claimed = [F.col("n_chars") + touched.cast("int") if c == "n_chars" else c for c in merkle_manifest.FIELDS]
+    found = merkle_manifest.manifest(docs, claimed=claimed)
+    proof = F.sha2(F.array_join(merkle_manifest.siblings("path"), ""), 256)
+    found = found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), merkle_manifest.folded("claim", "path").alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_frequent(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_secrets_crf, op3_media_copies, op4_simhash_golay, op5_warc_merkle,
-        op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate,
+        op6_wavelet_store, op7_bpe_replay, op8_langid_kn, op9_toxicity, op10_decontaminate, op11_fim_events, op12_merkle_manifest,
+        op13_line_dedup,
     )
 }
 
@@ -140,4 +168,30 @@ SELECT CAST(coalesce(a.page_id, b.page_id) AS BIGINT) AS page_id, CAST(coalesce(
   CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'added' ELSE 'changed' END AS kind
 FROM {_LAID.format(pages="pages")} a FULL JOIN {_LAID.format(pages="replica")} b ON a.page_id = b.page_id AND a.again = b.again
 WHERE a.digest IS DISTINCT FROM b.digest""",
+    "op11_fim_events": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS one, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS two,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units
+), cut AS (
+  SELECT *, array_to_string(u[1:least(one, two)], '') AS prefix, array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS middle,
+    array_to_string(u[greatest(one, two) + 1:], '') AS suffix FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut""",
+    "op13_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, k, part, translate(trim(part, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
+  FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), frequent AS (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 10),
+judged AS (SELECT l.*, f.line IS NOT NULL AS gone FROM lines l LEFT JOIN frequent f ON l.line = f.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(part, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
 }
