@@ -325,7 +325,7 @@ def probed(
                 probes[0] = Probe(*sent.value)
             return run([texts, *rest], _flags(texts, shortest, least, probes[0].counts))
 
-        return map_docs(docs, [F.col(f"`{c}`") for c in (text_col, *columns)], flagged, ddl)
+        return map_docs(docs, [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate((text_col, *columns))], flagged, ddl)
     gone = _routed(docs, text_col, shards, n_shards, least, shortest, slice_hashes)
     keyed = docs.select(F.col(text_col).alias("_t"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)), *_text_key(text_col))
     met = keyed.join(gone, ["k1", "k2"], "left")
