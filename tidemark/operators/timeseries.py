@@ -3,7 +3,7 @@
 Unless an operator says otherwise: keys may be null, and null is a key like any other; rows with a null time
 are in no bucket; rows with a null value count nothing and add nothing; repeated rows count as often as they
 come; an empty table gives an empty result; columns that an operator does not name are ignored. Columns that
-operators add for themselves get names that the rows do not have.
+operators add for themselves get names that the rows do not have; a key that is called like a result is refused by name.
 """
 
 from __future__ import annotations
@@ -16,9 +16,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
-from ..functions.buckets import SCALE, TOTAL, exact, exact_mean, exact_sum
-from ..session import unused
+from ..functions.buckets import SCALE, exact, exact_mean, exact_sum
+from ..session import scratch, unused
+
+
+def distinct_names(keys: Sequence[str], *results: str) -> None:
+    """Refuse keys that are called like a result: two columns of one name cannot be told apart."""
+    if clash := sorted(set(keys) & set(results)):
+        raise ValueError(f"keys cannot be called like results: {clash}")
 
 
 def exact_aggregates(value: str = "value", scale: int = SCALE) -> list[Column]:
@@ -30,6 +37,7 @@ def exact_aggregates(value: str = "value", scale: int = SCALE) -> list[Column]:
 
 def bucketed(rows: DataFrame, start: Column, keys: Sequence[str] = (), aggregates: Sequence[Column] | None = None) -> DataFrame:
     """One shuffle: partial sums by key and bucket, then their totals."""
+    distinct_names(keys, "bucket_start")
     return rows.groupBy(*keys, start.alias("bucket_start")).agg(*(aggregates or exact_aggregates()))
 
 
@@ -43,9 +51,20 @@ def coarser(fine: DataFrame, start: Column, keys: Sequence[str] = ()) -> DataFra
     return out.select(*keys, F.col(name).alias("bucket_start"), "n", "total", mean, "lo", "hi")
 
 
-def reconciled(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Rows that only one side has, as often as it has them more, with the side; empty where both agree."""
-    return one.exceptAll(other).withColumn("side", F.lit("one")).unionByName(other.exceptAll(one).withColumn("side", F.lit("other")))
+def reconciled(one: DataFrame, other: DataFrame, side: str = "side") -> DataFrame:
+    """Rows that only one side has, as often as it has them more, with the side; empty where both agree.
+
+    Each side is read once: rows count +1 or -1, and what does not add up to 0 differs. ``side`` names the column
+    that is added, which the rows must not have.
+    """
+    distinct_names(one.columns, side)
+    more, run, at = unused(one, "more"), 4096, unused(one, "at")
+    signed = one.withColumn(more, F.lit(1).cast("bigint")).unionByName(other.withColumn(more, F.lit(-1).cast("bigint")))
+    apart = signed.groupBy(*one.columns).agg(F.sum(more).alias(more)).where(F.col(more) != 0)
+    size = F.abs(F.col(more))
+    runs = apart.withColumn(at, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((size - 1) / run))))
+    copies = runs.withColumn(at, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(size - F.col(at) * run, F.lit(run)))))
+    return copies.select(*one.columns, F.when(F.col(more) > 0, "one").otherwise("other").alias(side))
 
 
 _SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
@@ -90,16 +109,52 @@ def gap_filled(buckets: DataFrame, first: str, last: str, width: str, keys: Data
     return met.select(*(F.col(f"c.{n}") for n in on), *(F.coalesce("b.n", F.lit(0)).alias("n") if c == "n" else F.col(f"b.{c}") for c in rest))
 
 
-def sliding(rows: DataFrame, width: str, step: str, keys: Sequence[str] = ()) -> DataFrame:
+def sliding(rows: DataFrame, width: str, step: str, keys: Sequence[str] = (), scale: int = SCALE) -> DataFrame:
     """Aggregates of windows of ``width`` that begin at every ``step``."""
-    return bucketed(rows, F.window("ts", width, step).start, keys)
+    return bucketed(rows, F.window("ts", width, step).start, keys, exact_aggregates(scale=scale))
+
+
+def micros(ts: str | Column) -> Column:
+    """Microseconds from 1970 to a timestamp_ntz; the session's zone plays no part."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000_000 + (
+        (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    )
+
+
+def sessions(rows: DataFrame, gap: str, keys: Sequence[str], scale: int = SCALE, block: str = "1 hour") -> DataFrame:
+    """Rows of a key with less than ``gap`` between neighbours: one row a session. Null keys are one key.
 
+    A key is cut into blocks of time, so a hot key is many tasks. Sessions are made within each block; only the first and
+    the last one of a block may go on beyond its border, and these alone are stitched, by a scan over a key's borders:
+    two rows at most for each of its blocks.
+    """
+    distinct_names(keys, "session_start", "last_ts", "n", "total")
+    names = [f"k{i}" for i in range(len(keys))]
+    wide, far = seconds_of(block) * 1_000_000, seconds_of(gap) * 1_000_000
+    at = micros("ts")
+    timed = rows.where(F.col("ts").isNotNull()).select(
+        *(F.col(k).alias(n) for k, n in zip(keys, names)), F.floor(at / wide).alias("block"), at.alias("at"), "ts", exact("value", scale).alias("v")
+    )
+
+    def numbered(rows, w, first, last):
+        """Each row with the number of its session within a window."""
+        apart = F.coalesce(F.col(first) - F.lag(last).over(w) >= far, F.lit(True))
+        return rows.withColumn("fresh", apart.cast("bigint")).withColumn("s", F.sum("fresh").over(w))
 
-def sessions(rows: DataFrame, gap: str, keys: Sequence[str]) -> DataFrame:
-    """Rows of a key with less than ``gap`` between neighbours: one row a session. Null keys are one key."""
-    w = F.session_window("ts", gap)
-    out = rows.groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n"), exact_sum("value").alias("total"), F.max("ts").alias("last_ts"))
-    return out.select(*keys, F.col("w.start").alias("session_start"), "last_ts", "n", "total")
+    def summed(rows, n, total, *by):
+        return rows.groupBy(*names, *by).agg(
+            F.min("at").alias("at"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), n.alias("n"), total.cast(f"decimal(38,{scale})").alias("total")
+        )
+
+    inside = numbered(timed, W.partitionBy(*names, "block").orderBy("at"), "at", "at")
+    inside = inside.withColumn("of", F.sum("fresh").over(W.partitionBy(*names, "block"))).select("*", F.col("at").alias("last"), F.col("ts").alias("start"), F.col("ts").alias("end"))
+    # the number of sessions in a block is one for all its rows, so it may go into the key
+    parts = summed(inside, F.count("*"), F.sum("v"), "block", "s", "of")
+    border = (F.col("s") == 1) | (F.col("s") == F.col("of"))
+    stitched = numbered(parts.where(border).drop("s"), W.partitionBy(*names).orderBy("at"), "at", "last")
+    whole = summed(stitched, F.sum("n"), F.sum("total"), "s").unionByName(parts.where(~border).drop("block", "of"))
+    return whole.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), F.col("start").alias("session_start"), F.col("end").alias("last_ts"), "n", "total")
 
 
 def first_last(rows: DataFrame, start: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -112,25 +167,63 @@ def moving_total(buckets: DataFrame, days_before: int, keys: Sequence[str] = ())
     """Total over each bucket's day and the days before it, by time and not by rows.
 
     Each day adds to the days that it counts for, and their sums meet the buckets again: a partial sum and a join
-    by key and day, so no key is sorted in one task. A bucket without a time has no moving total.
+    by key and day, so no key is sorted in one task. A bucket without a time has no moving total. The total keeps
+    the decimals of the buckets' totals.
     """
+    given = buckets.schema["total"].dataType
+    kind = f"decimal(38,{given.scale})" if isinstance(given, DecimalType) else given
     day, to, moving = (unused(buckets, n) for n in ("day", "to", "moving_total"))
     dated = buckets.withColumn(day, F.unix_date(F.col("bucket_start").cast("date")))
     daily = dated.groupBy(*keys, day).agg(F.sum("total").alias("total"))
     reach = daily.withColumn(to, F.explode(F.sequence(F.col(day), F.col(day) + days_before)))
-    sums = reach.groupBy(*keys, to).agg(F.sum("total").cast(TOTAL).alias(moving))
+    sums = reach.groupBy(*keys, to).agg(F.sum("total").cast(kind).alias(moving))
     on = _same([F.col(f"b.{k}") for k in (*keys, day)], [F.col(f"s.{k}") for k in (*keys, to)])
     return dated.alias("b").join(sums.alias("s"), on, "left").select(*(F.col(f"b.{c}") for c in buckets.columns), F.col(f"s.{moving}"))
 
 
+def moving(rows: DataFrame, back: str, keys: Sequence[str] = (), scale: int = SCALE, block: str = "1 hour") -> DataFrame:
+    """Each row with ``moving_n`` and ``moving_total`` of its key's rows from ``back`` before its time up to it, rows at
+    either end included: a RANGE frame over raw rows.
+
+    A row adds its value at its time and takes it back once ``back`` has passed, so a frame is a running sum of what came
+    and went, which is linear however many rows a frame holds. Sums run within blocks of time and start from what
+    the blocks before leave, a row a block: a hot key is many tasks, and sums are exact in whatever order. A row
+    without a time has no frame.
+    """
+    distinct_names(rows.columns, "moving_n", "moving_total")
+    wide, far = seconds_of(block) * 1_000_000, seconds_of(back) * 1_000_000
+    names = [f"k{i}" for i in range(len(keys))]
+    at, value = micros("ts"), exact("value", scale)
+    row = F.struct(*rows.columns)
+    based = rows.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), at.alias("at"), value.alias("v"), row.alias("row"))
+    came = based.select(*names, "at", F.lit(0).alias("gone"), "v", F.col("v").isNotNull().cast("bigint").alias("one"), "row")
+    went = came.where("at is not null and one = 1").select(
+        *names, (F.col("at") + far).alias("at"), F.lit(1).alias("gone"), (-F.col("v")).alias("v"), F.lit(-1).cast("bigint").alias("one"), F.lit(None).cast(based.schema["row"].dataType).alias("row")
+    )
+    # rows without a time have no frame: a block of their own for each, below all others
+    spread = -F.lit(1 << 60) - F.monotonically_increasing_id()
+    steps = came.unionByName(went).withColumn("block", F.coalesce(F.floor(F.col("at") / wide), spread))
+    left = steps.where("at is not null").groupBy(*names, "block").agg(F.sum("one").alias("bn"), F.sum("v").alias("bv"))
+    before = W.partitionBy(*names).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = left.select(*(F.col(n).alias(f"c{n}") for n in names), F.col("block").alias("cblock"), F.sum("bn").over(before).alias("cn"), F.sum("bv").over(before).alias("cv"))
+    here = W.partitionBy(*names, "block").orderBy("at", "gone").rangeBetween(W.unboundedPreceding, W.currentRow)
+    run = steps.select("*", F.sum("one").over(here).alias("rn"), F.sum("v").over(here).alias("rv")).where("gone = 0")
+    met = run.join(carried, _same([F.col(n) for n in (*names, "block")], [F.col(f"c{n}") for n in (*names, "block")]), "left")
+    kind, none = f"decimal(38,{scale})", F.lit(0)
+    n = F.coalesce("cn", none) + F.coalesce("rn", none)
+    total = (F.coalesce("cv", none).cast(kind) + F.coalesce("rv", none).cast(kind)).cast(kind)
+    timed = F.col("at").isNotNull()
+    return met.select("row.*", F.when(timed, n).alias("moving_n"), F.when(timed & (n > 0), total).alias("moving_total"))
+
+
 def top_k(rows: DataFrame, key: str, k: int) -> DataFrame:
     """The ``k`` keys with most rows; ties go to the smaller key, null before all."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
 
 
-def rolled_up(rows: DataFrame, *keys: Column) -> DataFrame:
+def rolled_up(rows: DataFrame, *keys: Column, scale: int = SCALE) -> DataFrame:
     """Counts and totals of the keys and of each shorter list of them; ``level`` tells a null key from none."""
-    return rows.rollup(*keys).agg(F.count("*").alias("n"), exact_sum("value").alias("total"), F.grouping_id().cast("bigint").alias("level"))
+    return rows.rollup(*keys).agg(F.count("*").alias("n"), exact_sum("value", scale).alias("total"), F.grouping_id().cast("bigint").alias("level"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, values: Sequence[str], ts: str = "ts", prefix: str = "r_") -> DataFrame:
@@ -174,9 +267,18 @@ def quantiles(rows: DataFrame, key: str, shares: Sequence[float], value: str = "
 
     Values are counted, then counted by cells (256 for each doubling); running sums over a key's cells tell which
     of them hold the ranks asked for, and the values of these alone are put in order. Null values do not count; a
-    key without a value has nulls; NaN is the largest value.
+    key without a value has nulls; NaN is the largest value. A share of 0.995 is called ``p99_5``. The rows are read
+    once: their counts are written, and all else is made from them.
     """
-    counts = rows.groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).where("v is not null")
+    names = [f"p{float(p) * 100:.10g}".replace(".", "_").replace("-", "_") for p in shares]
+    if len({*names, key}) != len(names) + 1 or any(not 0 <= p <= 1 for p in shares):
+        raise ValueError(f"shares have to be different and from 0 to 1, and the key called otherwise: {names}")
+    spark = rows.sparkSession
+    tallied = rows.groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    path = f"{scratch(spark)}/counts"
+    tallied.write.parquet(path)
+    written = spark.read.schema(tallied.schema).parquet(path)
+    counts = written.where("v is not null")
     size = F.floor(F.log2(1 + F.abs("v") * 100) * 256)
     cell = F.when(F.isnan("v"), F.lit(1 << 40)).when(F.col("v") < 0, -1 - size).otherwise(F.least(size, F.lit(1 << 39))).cast("bigint")
     counts = counts.withColumn("cell", F.greatest(cell, F.lit(-(1 << 39)).cast("bigint")))
@@ -197,11 +299,11 @@ def quantiles(rows: DataFrame, key: str, shares: Sequence[float], value: str = "
         F.max(F.when(F.col("e") == 0, F.col("v"))).alias("low"), F.max(F.when(F.col("e") == 1, F.col("v"))).alias("high"), F.max(F.col("rank") - F.floor("rank")).alias("part")
     )
     found = picked.groupBy("k").agg(*(
-        F.round(F.max(F.when(F.col("i") == i, F.col("low") + F.when(F.col("part") > 0, (F.col("high") - F.col("low")) * F.col("part")).otherwise(0.0))), 9).alias(f"p{round(p * 100)}")
-        for i, p in enumerate(shares)
+        F.round(F.max(F.when(F.col("i") == i, F.col("low") + F.when(F.col("part") > 0, (F.col("high") - F.col("low")) * F.col("part")).otherwise(0.0))), 9).alias(name)
+        for i, name in enumerate(names)
     ))
-    every = rows.select(F.col(key).alias("key")).distinct()
-    return every.join(found, F.col("key").eqNullSafe(F.col("k")), "left").select(F.col("key").alias(key), *(f"p{round(p * 100)}" for p in shares))
+    every = written.select(F.col("k").alias("key")).distinct()
+    return every.join(found, F.col("key").eqNullSafe(F.col("k")), "left").select(F.col("key").alias(key), *names)
 
 
 def spread(rows: DataFrame, key: str, scale: int = SCALE) -> DataFrame:

@@ -37,6 +37,9 @@ class BucketQuery:
         return replace(self, keys=keys)
 
     def where(self, column: str, *values) -> BucketQuery:
+        """Rows whose column has one of the values; None stands for null."""
+        if not values:
+            raise ValueError("no value to look for")
         return replace(self, only=(*self.only, (column, values)))
 
     def decimals(self, scale: int) -> BucketQuery:
@@ -55,7 +58,13 @@ class BucketQuery:
                 out.append(F.col("ts") >= at if sign == ">=" else F.col("ts") < at)
                 if "dt" in columns:
                     out.append(F.col("dt") >= at.cast("date") if sign == ">=" else F.col("dt") <= at.cast("date"))
-        return out + [F.col(c).isin(*v) if len(v) > 1 else F.col(c) == v[0] for c, v in self.only]
+        return out + [self._one_of(F.col(c), v) for c, v in self.only]
+
+    @staticmethod
+    def _one_of(column: Column, values: tuple) -> Column:
+        known = [v for v in values if v is not None]
+        found = column.isin(*known) if len(known) > 1 else column == known[0] if known else F.lit(False)
+        return found | column.isNull() if len(known) < len(values) else found
 
     def selected(self, rows: DataFrame) -> DataFrame:
         for f in self.filters(rows.columns):

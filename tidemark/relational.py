@@ -12,6 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.buckets import TOTAL, calendar_bucket, exact, exact_sum, hour_number
+from .operators import intervals
+from .session import scratch
+from .sources import clustered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -231,3 +234,34 @@ def map_functions(t: Tables) -> DataFrame:
         "user_id", F.coalesce(F.element_at("m", "click"), F.lit(0).cast("bigint")).alias("clicks"), F.size(F.map_keys("m")).cast("bigint").alias("kinds"),
         F.array_join(F.sort_array(F.map_keys("m")), ",").alias("names"), total.alias("events"),
     )
+
+
+@query("""WITH spans AS (SELECT o_orderkey, o_custkey, o_orderdate AS opened, o_orderdate + to_seconds(CASE o_orderkey % 7 WHEN 0 THEN 86400 * 300 WHEN 1 THEN 86400 * 20 WHEN 2 THEN 3600 ELSE 86400 * (o_orderkey % 5) END) AS closed FROM orders)
+SELECT a.o_orderkey, b.o_orderkey AS r_o_orderkey, a.o_custkey FROM spans a JOIN spans b ON a.o_custkey = b.o_custkey AND a.opened < b.closed AND b.opened < a.closed
+WHERE a.opened < a.closed AND b.opened < b.closed AND a.o_orderkey < b.o_orderkey""")
+def orders_open_together(t: Tables) -> DataFrame:
+    """Pairs of a customer's orders that were open at one moment; orders stay open from no time at all to 300 days."""
+    key = F.col("o_orderkey")
+    days = F.when(key % 7 == 0, 86_400 * 300).when(key % 7 == 1, 86_400 * 20).when(key % 7 == 2, 3600).otherwise(86_400 * (key % 5))
+    spans = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("opened"), (F.col("o_orderdate") + F.make_dt_interval(secs=days.cast("decimal(18,6)"))).alias("closed"))
+    pairs = intervals.overlapping(spans, spans, "opened", "closed", ["o_custkey"])
+    return pairs.where("o_orderkey < r_o_orderkey").select("o_orderkey", "r_o_orderkey", "o_custkey")
+
+
+@query("""SELECT o_orderkey, o_orderpriority, count(*) AS lines, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS pieces
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2""")
+def joined_by_buckets(t: Tables) -> DataFrame:
+    """Orders and their lines, both written in buckets of the key: joined and summed without a shuffle."""
+    path = scratch(t._spark)
+    orders = clustered.bucketed_table(t.orders.select("o_orderkey", "o_orderpriority"), f"{path}/orders", "o_orderkey", 16)
+    lines = clustered.bucketed_table(t.lineitem.select("l_orderkey", "l_quantity"), f"{path}/lines", "l_orderkey", 16)
+    met = orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return met.groupBy("o_orderkey", "o_orderpriority").agg(F.count("*").alias("lines"), exact_sum("l_quantity").alias("pieces"))
+
+
+@query("""SELECT n_nationkey, c_custkey, c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey
+ORDER BY c_acctbal DESC, c_custkey LIMIT 3)""")
+def lateral_subquery(t: Tables) -> DataFrame:
+    """The same three customers as ``lateral_top``, by a correlated subquery: Spark plans it as a window over the inner rows and a join."""
+    inner = t.customer.where(F.col("c_nationkey") == F.col("n_nationkey").outer()).select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(3)
+    return t.nation.lateralJoin(inner).select("n_nationkey", "c_custkey", "c_acctbal")

@@ -25,9 +25,14 @@ def session(app: str = "tidemark", **extra: str) -> SparkSession:
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share, deleted when the application ends.
 
-    It lies in spark.checkpoint.dir, or else in the warehouse, which a cluster shares too.
+    It lies in spark.checkpoint.dir. Where that is not set a local master takes the warehouse; a cluster has no folder
+    that is known to be shared then, and raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from urllib.parse import quote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,22 +63,55 @@ def deduplicated(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
     """
     rest = sorted(c for c in rows.columns if c not in key and c != "ts")
     keyless = F.greatest(*(F.col(k).isNull() for k in key)) if len(key) > 1 else F.col(key[0]).isNull()
-    spread = F.when(keyless, F.xxhash64(*rows.columns))  # else all rows without a key would be one task
-    n = unused(rows, "_n")
-    w = W.partitionBy(*key, spread).orderBy(F.desc_nulls_last("ts"), *(F.desc_nulls_last(c) for c in rest))
-    return rows.withColumn(n, F.row_number().over(w)).where((F.col(n) == 1) | keyless).drop(n)
+    n, own = unused(rows, "_n"), unused(rows, "_own")
+    # each row without a key is a key of its own, so that first rows alone are asked for and the others go before the shuffle
+    spread = F.when(keyless, F.monotonically_increasing_id())
+    w = W.partitionBy(*key, own).orderBy(F.desc_nulls_last("ts"), *(F.desc_nulls_last(c) for c in rest))
+    return rows.withColumn(own, spread).withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n, own)
+
+
+#: The characters that Spark escapes in a folder of a partition.
+_ESCAPED = "\"#%'*/:=?\\\x7f{[]^" + "".join(map(chr, range(1, 32)))
+
+
+def folder_of(batch_id: str) -> str:
+    """The folder of a batch, as Spark names one and reads it back: any id comes back as the text it was."""
+    if not batch_id or "\0" in batch_id or batch_id == "__HIVE_DEFAULT_PARTITION__":
+        raise ValueError(f"no id of a batch: {batch_id!r}")
+    return "batch_id=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in batch_id)
+
+
+def _restored(fs, path, folder: str) -> None:
+    """Undo or finish what a writer left that ended between its renames: a batch that was moved aside and whose
+    new rows never came is put back."""
+    if not fs.exists(path):
+        return
+    at = path.suffix(f"/{folder}")
+    for found in fs.listStatus(path):
+        kind, _, whose = found.getPath().getName().partition("-")
+        if whose[33:] != _bare(folder):
+            continue
+        if kind == "_old" and not fs.exists(at):
+            if not fs.rename(found.getPath(), at):
+                raise OSError(f"{found.getPath()} could not be put back")
+        elif kind in ("_old", "_fresh"):
+            fs.delete(found.getPath(), True)
+
+
+def _bare(folder: str) -> str:
+    """The batch's part of a hidden name; one with an equals sign would not be hidden."""
+    return folder.removeprefix("batch_id=")
 
 
 def _replaced(out: DataFrame, path: str, batch_id: str, by: list[str]) -> None:
     """Write a batch's folder of a table beside it, then put it in place of what the folder held before."""
-    if not batch_id:
-        raise ValueError("a batch needs an id")
-    spark = out.sparkSession
-    fresh, old = (f"{path.rstrip('/')}/_{kind}-{uuid.uuid4().hex}" for kind in ("fresh", "old"))
+    folder, spark, run = folder_of(batch_id), out.sparkSession, uuid.uuid4().hex
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    _restored(fs, top, folder)
+    staged, aside, at = (top.suffix(f"/{name}") for name in (f"_fresh-{run}-{_bare(folder)}", f"_old-{run}-{_bare(folder)}", folder))
     writer = out.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(fresh)
-    at, staged, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path.rstrip('/')}/batch_id={quote(batch_id, safe='')}", fresh, old))
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    (writer.partitionBy(*by) if by else writer).parquet(staged.toString())
     before = fs.exists(at)
     if before and not fs.rename(at, aside):
         raise OSError(f"{at} could not be moved")
@@ -96,7 +127,8 @@ def write_batch(rows: DataFrame, path: str, batch_id: str) -> None:
     """Write a batch as its own folder of a table, split by day; writing it again replaces all of it.
 
     The rows are written under a hidden name first, so a failed write leaves the batch as it was, and put in
-    place by a rename. Writers of one batch must not overlap. Days are rebalanced by size: a large day is several
+    place by a rename; what a writer left that ended between the renames is put right by the next one. Writers of
+    one batch must not overlap. Days are rebalanced by size: a large day is several
     tasks and files, small ones share a task. Each file is sorted by time, so that row groups tell their range.
     """
     out = rows.drop("dt", "batch_id").withColumn("dt", F.to_date("ts"))
@@ -124,6 +156,21 @@ def _connection(spark: SparkSession, url: str, properties: dict[str, str]):
     return jvm.java.sql.DriverManager.getConnection(url, known)
 
 
+def _has_table(spark: SparkSession, url: str, dbtable: str, properties: dict[str, str]) -> bool:
+    """Whether the database knows a table, by its catalog; a failure of the database is an error, not an answer."""
+    *schema, name = dbtable.replace('"', "").split(".")
+    link = _connection(spark, url, properties)
+    try:
+        found = link.getMetaData().getTables(None, None, "%", None)
+        while found.next():
+            same_schema = not schema or str(found.getString("TABLE_SCHEM")).lower() == schema[-1].lower()
+            if same_schema and found.getString("TABLE_NAME").lower() == name.lower():
+                return True
+        return False
+    finally:
+        link.close()
+
+
 def write_jdbc(rows: DataFrame, url: str, dbtable: str, batch_id: str, **properties: str) -> None:
     """Write a batch to a database table with a column ``batch_id``; writing it again replaces it.
 
@@ -134,10 +181,7 @@ def write_jdbc(rows: DataFrame, url: str, dbtable: str, batch_id: str, **propert
     out = rows.drop("batch_id").withColumn("batch_id", F.lit(batch_id))
     fresh = f"{dbtable}_fresh"
     out.write.format("jdbc").options(url=url, dbtable=fresh, **properties).mode("overwrite").save()
-    probe = rows.sparkSession.read.format("jdbc").options(url=url, **properties)
-    try:
-        probe.option("dbtable", dbtable).load()
-    except Exception:  # there is none
+    if not _has_table(rows.sparkSession, url, dbtable, properties):
         out.limit(0).write.format("jdbc").options(url=url, dbtable=dbtable, **properties).mode("append").save()
     names = ", ".join(f'"{c}"' for c in out.columns)
     link = _connection(rows.sparkSession, url, properties)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.buckets import SCALE, exact_sum
+from ..operators.timeseries import distinct_names
 from ..session import unused
 from ..sources.measurements import SCHEMA, checked, write_batch, write_rejects
 
@@ -45,9 +46,11 @@ def land(rows: DataFrame, table: str, rejects: str, checkpoint: str, scale: int
 
 def running_counts(rows: DataFrame, width: str, keys=(), scale: int = SCALE):
     """Counts and exact totals of all that a stream has brought, for a sink in complete mode."""
-    return rows.groupBy(F.window("ts", width).alias("w"), *keys).agg(
+    distinct_names(keys, "bucket_start", "n", "total")
+    w = unused(rows, "w")
+    return rows.groupBy(F.window("ts", width).alias(w), *keys).agg(
         F.count("value").alias("n"), exact_sum("value", scale).alias("total")
-    ).select(F.col("w.start").alias("bucket_start"), *keys, "n", "total")
+    ).select(F.col(f"{w}.start").alias("bucket_start"), *keys, "n", "total")
 
 
 def instant(ts: str) -> Column:
@@ -73,10 +76,11 @@ def closed_buckets(rows: DataFrame, width: str, late: str, keys=(), scale: int =
     What comes even later is dropped by the watermark: only a source that is never later may be read this way,
     for others land the rows and ask the table.
     """
-    name = unused(rows, "at")
+    distinct_names(keys, "bucket_start", "n", "total")
+    name, w = unused(rows, "at"), unused(rows, "w")
     timed = rows.withColumn(name, instant("ts")).withWatermark(name, late)
-    out = timed.groupBy(F.window(name, width).alias("w"), *keys).agg(F.count("value").alias("n"), exact_sum("value", scale).alias("total"))
-    start = F.expr("timestamp_ntz '1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.unix_seconds("w.start").cast("decimal(18,6)"))
+    out = timed.groupBy(F.window(name, width).alias(w), *keys).agg(F.count("value").alias("n"), exact_sum("value", scale).alias("total"))
+    start = F.expr("timestamp_ntz '1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.unix_seconds(f"{w}.start").cast("decimal(18,6)"))
     return out.select(start.alias("bucket_start"), *keys, "n", "total")
 
 
