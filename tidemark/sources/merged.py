@@ -155,7 +155,7 @@ def _marked(ids: DataFrame, version: Version) -> DataFrame:
     one, two = F.xxhash64("event_id"), F.xxhash64(F.lit(7), "event_id")
     # bits are taken from one more hash, 15 at a time, so that an id needs one bitmap only
     marks = F.array(*(F.shiftrightunsigned(two, 15 * k).bitwiseAND(BITS - 1).cast("int") for k in range(MARKS)))
-    bitmap = F.pmod(F.floor(one / version.buckets), F.lit(version.bitmaps)).cast("int")
+    bitmap = F.pmod(F.shiftright(one, 32), F.lit(version.bitmaps)).cast("int")
     return ids.select("*", F.pmod(one, F.lit(version.buckets)).cast("int").alias("bucket"), bitmap.alias("bitmap"), marks.alias("marks"))
 
 
