@@ -17,8 +17,8 @@ from .operators import distinct, intervals
 from .operators import timeseries as ts_ops
 from .plans.query import BucketQuery
 from .session import scratch
-from .sources import clustered, measurements, merged
-from .streaming import landing
+from .sources import clustered, log, measurements, merged
+from .streaming import corrections, landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -422,6 +422,29 @@ def closed_days_of_a_stream(rows: DataFrame) -> DataFrame:
     return spark.read.schema("bucket_start timestamp_ntz, event_type string, n bigint, total decimal(38,2)").parquet(f"{path}/out")
 
 
+@query(f"SELECT event_type, time_bucket(interval '1 day', ts) AS bucket_start, count(value) AS n, {_TOTAL} AS total FROM events GROUP BY 1, 2")
+def corrected_buckets_of_a_stream(rows: DataFrame) -> DataFrame:
+    """Bucket totals of a stream of which every third row comes after all others: the change log, added up."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    late = F.col("event_id") % 3 == 0
+    for k, part in enumerate((rows.where(~late), rows.where(late))):
+        part.write.parquet(f"{path}/source/{k}")
+        source = landing.stream(spark, f"{path}/source/*")
+        changes = corrections.corrected_buckets(source, "1 day", "60 days", ["event_type"], slices=2)
+        corrections.logged(changes, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return corrections.folded(corrections.read_log(spark, f"{path}/log", changes), ["event_type"]).select("event_type", "bucket_start", "n", "total")
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def through_the_log(rows: DataFrame) -> DataFrame:
+    """Rows written to the log in two batches and streamed out of it, with a restart between them: each row once."""
+    spark, path = log.registered(rows.sparkSession), scratch(rows.sparkSession)
+    for k in (0, 1):
+        rows.where(F.col("event_id") % 2 == k).write.format(log.FORMAT).mode("append").save(f"{path}/log")
+        landing.appended(spark.readStream.format(log.FORMAT).load(f"{path}/log"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(measurements.SCHEMA).parquet(f"{path}/out")
+
+
 @query("""SELECT time_bucket(interval '1 day', ts) AS bucket_start, count(*) AS rows, CAST((SELECT count(*) FROM events) - sum(count(*)) OVER (ORDER BY time_bucket(interval '1 day', ts)) AS BIGINT) AS left_over
 FROM (SELECT timestamp '2024-01-01' + to_seconds(event_id * 30) AS ts FROM events WHERE event_id < (SELECT count(*) FROM events)) GROUP BY 1""")
 def generated_load(rows: DataFrame) -> DataFrame:
