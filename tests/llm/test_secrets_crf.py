@@ -144,3 +144,55 @@ def test_the_corpus_has_no_spans_but_the_base_ones():
     model = s.fitted()
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
     assert sum(any(k == "crf" for *_, k in s.find_secrets(t, model)[1]) for t in texts) <= 1
+
+
+# Written by hand as well: passwords in addresses, and ids, digests and public keys, which are no secrets.
+IN_ADDRESSES = """postgres://user:<hunter2secretpw>@db.example.com/main
+DATABASE_URL=mysql://root:<s3cr3tPassw0rd>@127.0.0.1:3306/app
+clone it from https://deploy:<gT7xQ2mLp9Zr4Wk8>@git.example.org/repo.git today
+amqp://guest:<winterfellcastle>@rabbit:5672/vhost
+redis://default:<p4ssw0rd99>@cache.internal:6379
+mongodb+srv://admin:<correcthorsebattery>@cluster0.mongo.net/test
+ftp://anna:<Blumenwiese77>@files.example.net""".split("\n")
+PUBLIC = """request 6F9619FF-8B86-D011-B42D-00C04FC964FF was served in 12 ms
+trace_id: 550e8400-e29b-41d4-a716-446655440000
+the key 123e4567-e89b-12d3-a456-426614174000 names the order
+sha1 of the file: DA39A3EE5E6B4B0D3255BFEF95601890AFD80709
+SHA256 (image.iso) = 9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B2B0B822CD15D6C15B0F00A08
+md5: D41D8CD98F00B204E9800998ECF8427E
+integrity="sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU="
+checksum of the archive is 5EB63BBBE01EEED093CB22BB8F5ACDC3 as published
+commit 2FD4E1C67A2D28FCED849EE1BB76E7391B93EB12 fixes it
+ssh-rsa AAAAB3NzaC1yc2EAAAADAQABAAABAQC7vbqajDhA8k3Zr9sT1Qw2 anna@laptop
+ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAIOMqqnkVzrm0SdG6UOoqKLsabgH5C9okWi0dh2l9GKJl build@ci
+public key: MFkwEwYHKoZIzj0CAQYIKoZIzj0DAQcDQgAE8xOUetsCa8EfOlDEBAfREhJqspDo
+see ftp://mirror.example.org:21/pub for the files
+mail anna@example.com or call http://intranet:8080/status""".split("\n")
+
+
+def test_passwords_in_addresses_and_what_is_public():
+    model, found, added = s.fitted(), 0, []
+    for text in IN_ADDRESSES:
+        start, end = text.index("<"), text.index(">") - 1
+        found += (start, end) in model.tag(text.replace("<", "").replace(">", ""))
+    for text in PUBLIC:
+        added += [text[a:b] for a, b in model.tag(text)]
+    assert found >= 6 and len(added) <= 1, (found, added)
+
+
+def test_time_follows_the_length_of_a_token_and_the_number_of_spans():
+    import time
+
+    model = s.fitted()
+    for text in ("key" * 350_000, "key9" * 250_000, "//a:" * 40_000, "x" * 1_000_000, "AKIA" * 250_000):
+        began = time.perf_counter()
+        s.find_secrets(text, model)
+        assert time.perf_counter() - began < 6
+    pairs = "".join(f"token={k:08d}z\nAuth-Key: 9f8Kx02mQpLz77TrVb{k:04d}\n" for k in range(6000))
+    began = time.perf_counter()
+    base, spans = s.find_secrets(pairs[: len(pairs) // 4], model)
+    quarter, began = time.perf_counter() - began, time.perf_counter()
+    base, spans = s.find_secrets(pairs, model)
+    assert time.perf_counter() - began < 8 * quarter + 1 and len(base) == 6000 <= len(spans)
+    brute = [x for x in model.tag(pairs[:4000]) if not any(x[0] < b and a < x[1] for a, b, _ in s.base_spans(pairs[:4000]))]
+    assert sorted(x[:2] for x in s.find_secrets(pairs[:4000], model)[1] if x[2] == "crf") == brute

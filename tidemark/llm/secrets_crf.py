@@ -8,7 +8,7 @@ corpus is learnt from. Texts are decoded by Viterbi.
 
 The chain is constrained: a mark can only be outside, and so can a plain word (no digit or inner symbol, no run
 of 24 letters) unless it has eight letters or more and a cue (a word such as key, auth or credential) stands
-within three tokens before it. The best path of a text therefore splits at every such token, and Viterbi over
+within three tokens before it, or it stands where an address has a password (``//name:word@``). The best path of a text therefore splits at every such token, and Viterbi over
 the stretches of other tokens, with the transitions at their edges, gives the best path of the whole text.
 
 Defined results: null or empty text has no spans; repeated rows give one row each; spans count code
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -65,6 +66,15 @@ _CUE_WORDS = "pass pwd secret token key auth bearer credential private login api
 MIN_WORD, BEHIND = 8, 3
 
 
+# Words that say that what follows is a digest, kinds of public keys, the form of a UUID.
+_DIGEST = re.compile(r"(?i)sha-?\d*|md5|crc\d*|digest|checksum|commit|hash|fingerprint|etag|integrity|revision", re.A)
+_PUBLIC = re.compile(r"(?i)ssh-(?:rsa|dss|ed25519)|ecdsa-\S+|public|pubkey|certificate", re.A)
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: Tokens before a token in which such a word tells of it.
+TOLD = 6
+_IN_ADDRESS = re.compile(r"(?<![A-Za-z0-9+/_.~-])//[A-Za-z0-9+/_.~-]*={0,2}\s*:\s*([A-Za-z0-9+/_.~-]+={0,2})\s*@")
+
+
 def is_odd(token: str) -> bool:
     """Whether a token may be part of a secret; other tokens are outside by constraint."""
     return bool(_ODD_CHAR.search(token) or _LONG_WORD.search(token))
@@ -72,7 +82,12 @@ def is_odd(token: str) -> bool:
 
 def is_free(tokens: list[str], k: int) -> bool:
     """Whether a token may be part of a secret where it stands."""
-    return is_odd(tokens[k]) or len(tokens[k]) >= MIN_WORD and any(_CUES.search(t) for t in tokens[max(0, k - BEHIND) : k])
+    return is_odd(tokens[k]) or len(tokens[k]) >= MIN_WORD and (in_address(tokens, k) or any(_CUES.search(t) for t in tokens[max(0, k - BEHIND) : k]))
+
+
+def in_address(tokens: list[str], k: int) -> bool:
+    """Whether a token stands where an address has its password."""
+    return 2 <= k < len(tokens) - 1 and tokens[k - 1] == ":" and tokens[k - 2].startswith("//") and tokens[k + 1] == "@" and len(tokens[k]) > 1
 
 
 def shape(token: str) -> list[str]:
@@ -102,6 +117,8 @@ def shape(token: str) -> list[str]:
         counts = Counter(token)
         bits = -sum(c / n * math.log2(c / n) for c in counts.values())
         out.append(f"bits{int(bits)}")
+    if n == 36 and _UUID.fullmatch(token):
+        out.append("uuid")
     if "//" in token or token.startswith(("www.", "http")):
         out.append("link")
     if _CUES.search(token):
@@ -115,6 +132,8 @@ def near(token: str | None) -> str:
         return "edge"
     if token in (":", "=", '"', "'", "`", "(", ")", ",", ";", "@", "<", ">", "{", "}"):
         return token
+    if _PUBLIC.match(token):
+        return "public"
     if _CUES.search(token):
         return "cue"
     if token[-1:] in "=:":
@@ -141,6 +160,10 @@ def features(tokens: list[str], k: int, file: list[str]) -> list[str]:
         cue = [j for j in range(max(0, k - BEHIND), k) if _CUES.search(tokens[j])]
         size = min(len(tokens[k]) // 3, 8)
         beside += [f"word{size}|p1{one}", f"word|cue{k - cue[-1] if cue else 0}", f"word{size}|p1{one}|p2{two}"]
+    if in_address(tokens, k):
+        beside += ["address", f"address|{solid}"]
+    before = tokens[max(0, k - TOLD) : k]
+    beside += [f"{name}|{solid}" for name, kind in (("digest", _DIGEST), ("public", _PUBLIC)) if any(kind.match(t) for t in before)]
     return own + beside + [f"{f}|{solid}" for f in file]
 
 
@@ -181,6 +204,27 @@ def training_texts(count: int = TRAINING_TEXTS, seed: int = 7):
         words = " ".join(plain(2, 6) if rnd.random() < 0.8 else plain(6, 10) for _ in range(rnd.randint(1, 4)))
         return rnd.choice([f"the {cue} {words}", f"{cue}: {plain(2, 6)}", f"{cue.capitalize()}s are {words}", f"{cue} = {plain(2, 5)}", f"a {cue} of {words},", f"{cue}.{plain(2, 5)}()", f"no {cue}; {words}"])
 
+    def public():
+        """Ids, digests and public keys, which look like secrets."""
+        hexes, upper = "0123456789abcdef", "0123456789ABCDEF"
+        uuid = "-".join(draw(rnd.choice([hexes, hexes, upper]), n, n) for n in (8, 4, 4, 4, 12))
+        size = rnd.choice([8, 32, 40, 64])
+        digest = rnd.choice([draw(upper, size, size), draw(hexes, min(size, 20), min(size, 20)), draw(b62 + "+/", 43, 43) + "="])
+        name = rnd.choice(["sha1", "SHA256", "sha-512", "md5", "MD5", "digest", "checksum", "commit", "hash", "fingerprint", "etag", "integrity", "revision"])
+        body = draw(b62 + "+/", 60, 64)
+        return rnd.choice([
+            lambda: uuid, lambda: f"{plain(1, 3)}_id = {uuid}", lambda: f'"id": "{uuid}"', lambda: f"{plain(1, 3)}: {uuid}", lambda: f"key {uuid}", lambda: f"/{plain(2, 4)}/{uuid}",
+            lambda: f"{name} of the {plain(1, 3)}: {digest}", lambda: f"{name}: {digest}", lambda: f"{name}={digest}", lambda: f'"{name}": "{digest}"', lambda: f"{name} {digest} {plain(1, 4)}", lambda: f"{name} ({plain(1, 3)}) = {digest}",
+            lambda: f"{rnd.choice(['ssh-rsa', 'ssh-ed25519', 'ecdsa-sha2-nistp256'])} AAAA{draw(b62 + '+/', 40, 200)}{rnd.choice(['', '=', '=='])} {plain(1, 3)}@{plain(2, 4)}",
+            lambda: f"-----BEGIN PUBLIC KEY-----\n{body}\n{draw(b62 + '+/', 30, 60)}==\n-----END PUBLIC KEY-----", lambda: f"public key: {draw(b62, 30, 50)}", lambda: f"public_key = {draw(b62 + '+/', 40, 60)}=",
+        ])()
+
+    def address():
+        """(before, password, behind) of an address with a name and a password."""
+        s = rnd.choice([lambda: secret().replace("/", "x").replace("+", "y").rstrip("="), lambda: plain(2, 4) + draw("0123456789", 1, 4), lambda: plain(2, 3) + draw(b62, 3, 8), lambda: plain(4, 7)])()
+        kind = rnd.choice("postgres postgresql mysql mongodb redis amqp ftp https http ssh mongodb+srv".split())
+        return f"{rnd.choice(['', 'url = ', 'DATABASE_URL='])}{kind}://{plain(1, 3)}:", s, f"@{plain(1, 3)}.{plain(1, 2)}{rnd.choice(['', ':5432', '/' + plain(1, 3)])}"
+
     def harmless():
         num = lambda n: draw("0123456789", n, n)
         return rnd.choice([
@@ -189,7 +233,7 @@ def training_texts(count: int = TRAINING_TEXTS, seed: int = 7):
             lambda: f"20{num(2)}-0{rnd.randint(1, 9)}-1{num(1)}", lambda: f"http://{word().strip('.,;!?#$%').lower()}.example.com/{num(3)}?page={num(1)}",
             lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{word().strip('.,;!?#$%').lower()}_{word().strip('.,;!?#$%').lower()}",
             lambda: f"{num(2)}:{num(2)}", lambda: f"COVID-{num(2)}", lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}", lambda: f"A{num(2)}", lambda: "self.token",
-            lambda: "key = value", lambda: f"size = {num(3)}", lambda: "path/to/" + word().strip(".,;!?#$%").lower(), lambda: f"{num(3)}px",
+            *[public] * 3, lambda: "key = value", lambda: f"size = {num(3)}", lambda: "path/to/" + word().strip(".,;!?#$%").lower(), lambda: f"{num(3)}px",
         ])()
 
     for _ in range(count):
@@ -204,7 +248,13 @@ def training_texts(count: int = TRAINING_TEXTS, seed: int = 7):
                 s = phrase() if _CUES.search(before) and rnd.random() < 0.4 else secret()
                 spans.append((len(text), len(text) + len(s)))
                 text += s + ('"' if before.endswith('"') else "'" if before.endswith("'") else "")
-            elif roll < 0.45:
+            elif roll < 0.26:
+                before, s, behind = address()
+                spans.append((len(text) + len(before), len(text) + len(before) + len(s)))
+                text += before + s + behind
+                if len(s) < MIN_WORD and not is_odd(s):
+                    spans.pop()  # too short for a plain word
+            elif roll < 0.47:
                 text += harmless()
             elif roll < 0.6:
                 text += talk()
@@ -350,12 +400,14 @@ def odd_tokens(text: str) -> list[tuple[int, int]]:
 
 def cued_words(text: str) -> list[tuple[int, int]]:
     """Places of the plain words that a cue makes free."""
-    low = text.lower()
-    if not any(c in low for c in _CUE_WORDS):
-        return []
-    out = set()
-    for cue in _CUES.finditer(text):
-        at = _INNER.match(text, cue.start()).end()
+    low, out = text.lower(), set()
+    if "//" in text:
+        out |= {m.span(1) for m in _IN_ADDRESS.finditer(text) if len(m[1]) >= MIN_WORD and not is_odd(m[1])}
+    done = 0
+    for cue in _CUES.finditer(text) if any(c in low for c in _CUE_WORDS) else ():
+        if cue.start() < done:  # another cue of a token that is read
+            continue
+        done = at = _INNER.match(text, cue.start()).end()
         for _ in range(BEHIND):
             m = _TOKEN.search(text, at)
             if not m:
@@ -409,8 +461,18 @@ def find_secrets(text: str | None, model: Crf) -> tuple[list, list]:
     if not text:
         return [], []
     base = base_spans(text)
-    taken = [(a, b) for a, b, _ in base]
-    added = [(a, b, "crf") for a, b in model.tag(text) if not any(a < y and x < b for x, y in taken)]
+    starts, ends = [], []  # base spans without their overlaps, in order
+    for a, b, _ in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    added = []
+    for a, b in model.tag(text):
+        k = bisect_left(starts, b) - 1  # the last base span that begins before this one ends
+        if k < 0 or ends[k] <= a:
+            added.append((a, b, "crf"))
     return base, sorted(base + added, key=_order)
 
 
