@@ -8,7 +8,9 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import bpe_replay
+from tidemark.llm import bpe_replay, queries
+
+from .conftest import SF
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -46,6 +48,24 @@ def test_memo_starts_afresh(monkeypatch, library):
         assert ids(model.encode_texts([text])[0]) == library.encode_ordinary(text)
 
 
+def test_query_against_the_library(spark, library):
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    for r in queries.op7_bpe_replay(spark, SF).collect():
+        text = texts.pop(r["doc_id"]) or ""
+        want = library.encode_ordinary(text)
+        assert tuple(r)[1:] == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert not texts
+
+
+def test_ids_of_other_types_and_tokens_of_none(spark):
+    rows = spark.createDataFrame([("a", [1, 2]), ("b", [1, None]), ("c", [50_000, 99_999_999]), ("d", [-1]), (None, None), ("e", [])], "doc_id string, token_ids array<int>")
+    got = {r["doc_id"]: r["decoded"] for r in bpe_replay.decode(rows, PATH, PATTERN).collect()}
+    assert got["a"] and (got["b"], got["c"], got["d"]) == (None, None, None) and got[None] == got["e"] == b""
+    texts = spark.createDataFrame([("x", "hello"), (None, None)], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["n_tokens"]) for r in bpe_replay.encode(texts, PATH, PATTERN).collect()) == [("", 0), ("x", 1)]
+    assert {r["doc_id"] for r in bpe_replay.round_trip(texts, PATH, PATTERN).collect()} == {"x", None}
+
+
 def test_operator(spark, odd_docs, no_docs, library):
     rows = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe_replay.round_trip(odd_docs, PATH, PATTERN).collect()}
     want = set()

@@ -148,3 +148,21 @@ def test_one_id_with_two_texts_keeps_the_same_row(spark):
         assert sorted(r["doc_id"] for r in out) == [1, 2]
         kept.add(next(r["text"] for r in out if r["doc_id"] == 1))
     assert len(kept) == 1
+
+
+def test_the_same_row_of_an_id_stays_in_any_order(spark):
+    """Rows of one id and text that differ in other columns, nulls and maps among them."""
+    rows = [(1, "a b c d", 3, "x", {"k": 1}), (1, "a b c d", 2, "x", {"k": 1}), (1, "a b c d", None, "y", {"k": 2}), (1, "a b c d", 2, None, None), (1, "a b c d", 2, "x", {"k": 1})]
+    kept = set()
+    for k in range(len(rows)):
+        for parts in (1, 3):
+            docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, n long, s string, m map<string, int>").repartition(parts)
+            kept.add(repr(s.keep_one(docs).collect()))
+    assert len(kept) == 1
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for run in (s.keep_one, s.near_duplicates):
+        with pytest.raises(ValueError, match="whole numbers"):
+            run(docs)

@@ -114,3 +114,7 @@ def test_exceptions_by_rate_and_families(spark):
     rows += [(f"{copied} trash heap {copied}", 0) for _ in range(20)]
     lexicon = t.fit(spark.createDataFrame(rows, "text string, toxic int"))
     assert "trash" in lexicon.weights and "trash bin" in lexicon.exceptions and "trash heap" not in lexicon.exceptions
+
+
+def test_format_characters_hide_no_word():
+    assert t.fold("idi\u200bot i\u00addiot \ufeffid\u2060iot") == "idiot idiot idiot"

@@ -173,6 +173,11 @@ class MergeReplay:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decoded(self, ids: list | None) -> bytes | None:
+        """The bytes of a list of ids; None where it holds a null or an id of no token, which stand for no text."""
+        found = [self.token.get(i) for i in ids or ()]
+        return None if None in found else b"".join(found)
+
 
 _COMPILED: dict[tuple, MergeReplay] = {}
 
@@ -186,6 +191,11 @@ def compiled(path: str, pattern: str) -> MergeReplay:
     return _COMPILED[path, pattern]
 
 
+def _kind(rows: DataFrame, id_col: str) -> str:
+    """Ids keep their type."""
+    return rows.schema[id_col].dataType.simpleString()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, token_ids array<int>) of every document."""
 
@@ -199,17 +209,18 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             "token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
         }
 
-    return map_docs(docs, [F.col(id_col).alias("doc_id"), text_col], run, "doc_id long, n_tokens long, token_ids array<int>")
+    return map_docs(docs, [F.col(id_col).alias("doc_id"), text_col], run, f"doc_id {_kind(docs, id_col)}, n_tokens long, token_ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """(doc_id, decoded binary) of every array of ids."""
+    """(doc_id, decoded binary) of every array of ids; null where one of them is null or has no token. A null or empty
+    array decodes to nothing."""
 
     def run(ids, arrays):
         model = compiled(path, pattern)
-        return {"doc_id": ids, "decoded": [model.decode(np.array(a or [], "<u4").tobytes()) for a in arrays]}
+        return {"doc_id": ids, "decoded": [model.decoded(a) for a in arrays]}
 
-    return map_docs(tokens, [F.col(id_col).alias("doc_id"), ids_col], run, "doc_id long, decoded binary")
+    return map_docs(tokens, [F.col(id_col).alias("doc_id"), ids_col], run, f"doc_id {_kind(tokens, id_col)}, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,5 +238,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     return map_docs(
         docs, [F.col(id_col).alias("doc_id"), text_col], run,
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        f"doc_id {_kind(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

@@ -19,8 +19,8 @@ compared in one bounded task that emits a spanning forest.
 
 Defined results: null or empty text has fingerprint zero and links like any other; repeated rows give
 one row each; a row with a null id gets its fingerprint and the component of its fingerprint, whose id
-is the smallest non-null one. A document that is kept is an id: of rows with the same id but other texts the one
-whose text hashes lowest stays. Extra columns are ignored.
+is the smallest non-null one. A document that is kept is an id: of rows with the same id the one whose text hashes
+lowest stays, then the one whose columns do. Ids that are no whole numbers are refused. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ from itertools import combinations, permutations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import AtomicType, IntegralType
 
 from .common import arrow_map, map_docs, parts, saved, schema_of
 from .components import components, forest
@@ -262,15 +263,34 @@ def classes(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id, members) of every row."""
+    _whole_ids(docs, id_col)
     prints = saved(fingerprints(docs, id_col, text_col))
     return prints.join(saved(classes(prints, bits)), "fp").select("doc_id", "fp", "component_id", "members")
 
 
+def _order(docs: DataFrame, text_col: str) -> Column:
+    """What tells rows of one id apart: hashes of the text and of all columns, and then the columns themselves.
+
+    Columns that cannot be compared, such as maps, are taken as JSON, which holds all that they hold.
+    """
+    plain = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    rest = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("c"))) for f in docs.schema if f.name not in plain]
+    # nulls have to be told from what hashes alike, and a struct with a null is still compared
+    columns = [*(F.col(f"`{c}`") for c in plain), *rest]
+    return F.struct(F.xxhash64(text_col).alias("t"), F.xxhash64(*columns).alias("h"), *(c.isNull().alias(f"n{i}") for i, c in enumerate(columns)), *(c.alias(f"c{i}") for i, c in enumerate(columns)))
+
+
+def _whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Components are named by their smallest id, a whole number; other ids are refused before anything runs."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} has to be of whole numbers, it is {docs.schema[id_col].dataType.simpleString()}")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """One document of each group of near copies, all columns kept: the one with the smallest id.
 
-    Rows with the same id count as one document, of which one row stays: the one whose text hashes lowest.
-    Rows with a null id stay. Texts are not shuffled unless there are many documents to drop, or ids that repeat.
+    Rows with the same id count as one document, of which one row stays: the one whose text hashes lowest, of those the
+    one whose columns do, so it is the same in any order; rows that are equal in all are one. Rows with a null id stay. Texts are not shuffled unless there are many documents to drop, or ids that repeat.
     """
     rows = near_duplicates(docs, id_col, text_col, bits).where("doc_id is not null")
     found = saved(rows.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("leads"), F.count("*").alias("n")))
@@ -278,7 +298,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     gone, again = found.where("not leads").select(ids), found.where("leads and n > 1").select(ids)
     out = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, id_col, "left_anti")
     if again.count():
-        repeated = out.join(again, id_col, "left_semi").select(F.col(id_col).alias("key"), F.struct(*docs.columns).alias("row"), F.xxhash64(text_col).alias("order"))
+        repeated = out.join(again, id_col, "left_semi").select(F.col(id_col).alias("key"), F.struct(*docs.columns).alias("row"), _order(docs, text_col).alias("order"))
         once = repeated.groupBy("key").agg(F.min_by("row", "order").alias("row")).select("row.*")
         out = out.join(again, id_col, "left_anti").unionByName(once)
     return out.select(docs.columns)

@@ -72,6 +72,8 @@ _WORDS = regex.compile(r"[a-z\p{L}]+")
 
 def _plain(ch: str) -> str:
     low = ch.lower()
+    if unicodedata.category(ch) == "Cf":  # a format character, such as a space without width, would cut a word in two
+        return ""
     if low in HOMOGLYPHS:
         return HOMOGLYPHS[low]
     parts = [c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c)]
