@@ -126,3 +126,52 @@ def test_both_joins_agree_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert {r[0] for r in one} == set(range(0, 200, 3))
     assert s.repeated_spans(odd_docs).count() == 0 and s.repeated_spans(no_docs).count() == 0
     assert s.without_repeats(odd_docs).count() == odd_docs.count()
+
+
+def made_of(rnd, alphabet, n):
+    return "".join(rnd.choice(alphabet) for _ in range(n))
+
+
+def test_scripts_without_spaces_and_runs_of_letters(spark):
+    """Shared runs in Chinese, Japanese and Thai, apart by wide spaces, and in text without any white space."""
+    rnd = random.Random(8)
+    han, kana, thai = [chr(c) for c in range(0x4E00, 0x4E00 + 900)], [chr(c) for c in range(0x3041, 0x3090)], [chr(c) for c in range(0x0E01, 0x0E2F)]
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    wide = "\u3000".join(prose(rnd, 70).split())
+    shared = {"han": made_of(rnd, han, 2000), "kana": made_of(rnd, kana, 300), "thai": made_of(rnd, thai, 300), "wide": wide, "letters": made_of(rnd, letters, 3000)}
+    rows, k = [], 0
+    for name, passage in shared.items():
+        for _ in range(2):
+            source = {"han": han, "kana": kana, "thai": thai}.get(name, letters)
+            around = [made_of(rnd, source, rnd.randint(50, 400)) for _ in range(2)] if name != "wide" else [prose(rnd, 30) for _ in range(2)]
+            rows.append((k, around[0] + ("\u3000" if name == "wide" else "") + passage + ("\u3000" if name == "wide" else "") + around[1]))
+            k += 1
+    rows += [(k, made_of(rnd, han, 500)), (k + 1, made_of(rnd, letters, 5000)), (k + 2, "x" * 5000), (k + 3, "中"), (k + 4, "\u3000\xa0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = s.repeated_spans(docs).collect()
+    assert {r["doc_id"] for r in found} == set(range(10))
+    for r in found:
+        text = rows[r["doc_id"]][1]
+        words, _ = s.words_of(text)
+        other = s.words_of(rows[r["first_doc"]][1])[0]
+        mine = words[r["start"] : r["stop"]]
+        assert any(other[j : j + len(mine)] == mine for j in range(len(other))) and len(mine) >= s.SPAN
+        passage = [*shared.values()][r["doc_id"] // 2]
+        assert len(b"".join(mine)) > 0.8 * len(passage.replace("\u3000", "").encode())
+    clean = {r["doc_id"]: r["text"] for r in s.without_repeats(docs).collect()}
+    for i, text in rows:
+        if i % 2 == 0 or i >= 10:
+            assert clean[i] == text
+        else:
+            assert len(clean[i]) < len(text) - 0.7 * len([*shared.values()][i // 2])
+    assert " " not in clean[1].strip().replace(" ", "", 1)  # one cut, and no spaces between its characters otherwise
+
+
+def test_words_of_mixed_text():
+    assert s.words_of("ab\u3000c中文d e")[0] == [x.encode() for x in ("ab", "c", "中", "文", "d", "e")]
+    assert s.words_of("ab\u3000c中文d e")[1] == [False, False, True, True, True, False]
+    assert s.words_of("naïve café") == ([x.encode() for x in ("naïve", "café")], None)
+    long = "é1" * 500
+    words, glued = s.words_of(f"a {long}")
+    assert b"".join(words[1:]) == long.encode() and glued[:2] == [False, False] and all(glued[2:]) and [w.decode() for w in words]
+    assert s.words_of("a\x1cb \x0b c")[0] == [b"a\x1cb", b"c"]

@@ -51,6 +51,47 @@ def test_one_missing_record_of_600_gives_one_row(spark):
     assert [(r["record_id"], r["kind"]) for r in wm.audit(one, other).collect()] == [(3, "missing")]
 
 
+def test_a_clean_audit_looks_at_roots_alone(spark):
+    one = wm.saved(wm.records(pages(spark, 9000)))
+    bounds = wm.saved(wm.manifest(one))
+    assert bounds.count() == -(-9000 // wm.LEAF)
+    trees = [wm.saved(wm.tree(wm.ranged(one, bounds)), by="level") for _ in range(2)]
+    levels = {r["level"]: r["count"] for r in trees[0].groupBy("level").count().collect()}
+    assert levels == {0: 563, 1: 36, 2: 3}
+    assert wm.differing(*trees) is None
+    lost = wm.saved(wm.tree(wm.ranged(wm.saved(one.where("record_id != 5000")), bounds), 16), by="level")
+    assert [tuple(r) for r in wm.differing(trees[0], lost).collect()] == [(1, (5000 - 4096) // wm.LEAF)]
+
+
+def test_audit_against_brute_force_on_repeated_ids(spark, monkeypatch):
+    """Ids that repeat over many ranges, null ids, partitions and runs of a few rows."""
+    monkeypatch.setattr(wm, "PART_ROWS", 50)
+    monkeypatch.setattr(wm, "RUN", 7)
+    rnd = random.Random(6)
+
+    def made():
+        return [(rnd.choice([None, 5, 5, 5, *range(-3, 60)]), None, f"{rnd.randint(0, 3)}") for _ in range(300)]
+
+    base = made()
+    for other in (made(), base[:290] + made()[:5]):
+        one, two = (wm.records(spark.createDataFrame([(*r, "x") for r in rows], PAGES).repartition(3)) for rows in (base, other))
+        got = sorted(repr((r["record_id"], r["other_record_id"], r["digest"], r["other_digest"], r["kind"])) for r in wm.audit(one, two).collect())
+        lists = []
+        for layout in (one, two):
+            by = {}
+            for r in layout.collect():
+                by.setdefault(r["record_id"], []).append(r["digest"])
+            lists.append({k: sorted(v) for k, v in by.items()})
+        want = []
+        for k in {*lists[0], *lists[1]}:
+            a, b = (side.get(k, []) for side in lists)
+            for j in range(max(len(a), len(b))):
+                x, y = (v[j] if j < len(v) else None for v in (a, b))
+                if x != y:
+                    want.append(repr((k if x else None, k if y else None, x, y, "missing" if y is None else "added" if x is None else "changed")))
+        assert got == sorted(want)
+
+
 def test_warc_query_against_duckdb(spark, tmp_path):
     con = duckdb.connect()
     many = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("page_id", "url", "html", "explode(sequence(0, 180)) k")

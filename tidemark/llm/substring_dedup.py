@@ -19,13 +19,18 @@ A document is an id with a text: rows with the same id and other texts are other
 id and text are one. Where the smallest id that holds something has several texts with it, all of them keep
 their copy if other ids hold it too, else the one whose text hashes lowest.
 
+Words are runs without white space, that of other scripts included. In scripts that put no spaces between words (Chinese,
+Japanese, Thai, Lao, Khmer, Burmese) each character counts as a word, and a run of more than LONG_WORD bytes is cut into
+words where its own gear hash says, some 16 bytes each, so that text without any white space is compared as well.
+
 Defined results: null or empty text has no spans; repeats inside one document alone are not reported; rows
-with a null id are not compared; words are runs without ASCII white space, so a text without it has one word.
-Extra columns are ignored, and stay where rows are returned.
+with a null id are not compared. Extra columns are ignored, and stay where rows are returned.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,6 +51,13 @@ SENT_STRETCHES = 1_000_000
 #: Digests of 40 bytes that are broadcast at most; more are joined by a shuffle.
 SENT_DIGESTS = 20_000
 WINDOW = 16
+#: Bytes of a run above which it is cut into words by its content, and the mask of the hash that cuts it.
+LONG_WORD, LONG_MASK = 200, 15
+# White space beyond ASCII, and the letters of scripts that are written without it.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNSPACED = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_OTHER = re.compile(f"[{_UNSPACED}{_SPACES[4:]}]")
+_WORD = re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}{_SPACES}]+")
 _GEAR_SEED = 20_240_607
 
 CHUNKS = "doc_id long, t long, start int, stop int, d1 long, d2 long"
@@ -82,9 +94,39 @@ def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.nonzero(ok)[0]
 
 
+def _cut_long(word: bytes) -> list[bytes]:
+    """A long run cut behind bytes whose hash ends in zeros, between characters: where depends on the 16 bytes before."""
+    data = np.frombuffer(word, np.uint8)
+    last = (gear_hash(data) & np.uint32(LONG_MASK)) == 0
+    last[:-1] &= (data[1:] & 0xC0) != 0x80
+    last[-1] = True
+    stops = (np.nonzero(last)[0] + 1).tolist()
+    return [word[a:b] for a, b in zip([0, *stops], stops)]
+
+
+def words_of(text: str | None) -> tuple[list[bytes], list[bool] | None]:
+    """The words of a text, and whether each follows the one before without white space; None if none does."""
+    if not text:
+        return [], None
+    if text.isascii() or not _OTHER.search(text):
+        words, glued = text.encode().split(), None
+    else:
+        found = list(_WORD.finditer(text))
+        words, ends = [m[0].encode() for m in found], [-1, *(m.end() for m in found)]
+        glued = [m.start() == e for m, e in zip(found, ends)]
+    if words and max(map(len, words)) > LONG_WORD:
+        out, more = [], []
+        for k, word in enumerate(words):
+            parts = _cut_long(word) if len(word) > LONG_WORD else [word]
+            out += parts
+            more += [bool(glued and glued[k])] + [True] * (len(parts) - 1)
+        words, glued = out, more
+    return words, glued
+
+
 def _laid(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Words joined by single spaces, and where each begins and ends."""
-    words = text.encode().split() if text else []
+    words, _ = words_of(text)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     return b" ".join(words), ends - size, ends
@@ -237,6 +279,17 @@ def repeated_spans(
     return spans.select("doc_id", "t", "start", "stop", (F.col("stop") - F.col("start")).cast("long").alias("n_words"), "first_doc", "keep")
 
 
+def _joined(words: list[bytes], glued: list[bool] | None, keep: np.ndarray) -> bytes:
+    """Words that stay, with single spaces where there was white space between them or a cut."""
+    if glued is None:
+        return b" ".join(w for w, k in zip(words, keep) if k)
+    parts, before = [], -2
+    for k in np.nonzero(keep)[0].tolist():
+        parts += [words[k]] if not parts or glued[k] and before == k - 1 else [b" ", words[k]]
+        before = k
+    return b"".join(parts)
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Documents with the spans cut that an earlier document holds; all columns kept.
 
@@ -255,11 +308,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             cols, out = list(part.columns), []
             for text, spans_ in zip(cols[at].to_pylist(), cols[-1].to_pylist()):
                 if spans_:
-                    words = text.encode().split()
+                    words, glued = words_of(text)
                     keep = np.ones(len(words), bool)
                     for s in spans_:
                         keep[s["start"] : s["stop"]] = False
-                    text = b" ".join(w for w, k in zip(words, keep) if k).decode()
+                    text = _joined(words, glued, keep).decode()
                 out.append(text)
             cols[at] = pa.array(out, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols[:-1], names=arrow.names)

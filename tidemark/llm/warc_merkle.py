@@ -1,15 +1,17 @@
 """Merkle fixity audit of WARC replicas.
 
 A table of pages is laid out as WARC/1.1 response records, in order of page_id, over volumes of a set
-number of records. Each record has an offset and a length in its volume. A volume's tree has the digests of
-its records as leaves; a node covers an ordered range of ``FANOUT`` children and hashes their digests in
-order. For an audit the other replica is laid out on the places of the reference, record by record_id and
-repeat number, so a lost, added or lengthened record shifts no other. The roots of the two are compared, and
-only the children of nodes that differ are compared further, level by level down to the records; each level of
-a tree is a folder of its own, so no other level is read for it.
+number of records. Each record has an offset and a length in its volume. The reference writes a manifest: the ids at
+which its ranges of ``LEAF`` records begin. By the manifest, and by nothing else of the reference, each replica builds its
+trees alone: a leaf hashes the ordered records of a range, a node the digests of ``FANOUT`` children in order, up to the root
+of a volume. So a lost, added or lengthened record changes the range that it lies in and shifts no other.
 
-Everything is DataFrame work: a node gathers at most FANOUT digests, a volume is addressed by its
-number, and positions come from range partitions and their counts, so nothing is sorted in one task.
+An audit joins the roots. Where they differ, the children of differing nodes alone are compared, level by level down
+to the ranges; each level of a tree is a folder of its own, so no other level is read for it. Records are compared
+within differing ranges only, by id and repeat number. Where all roots agree nothing else is read.
+
+Everything is DataFrame work: a node gathers at most FANOUT digests, a range hashes its records in runs of RUN, and
+positions and ranges come from range partitions and what each of them hands on, so nothing is sorted in one task.
 
 Defined results: null url or html are empty; repeated page_ids are ordered by record digest; null page_ids
 come first; an empty table has no volumes and audits clean; a record that the other replica lacks is
@@ -29,8 +31,12 @@ from pyspark.sql import functions as F
 from .common import parts, saved
 
 FANOUT = 16
-#: Records of a volume; its tree has two levels of nodes above 256 records, then a root.
-VOLUME_RECORDS = 4096
+#: Records of a volume and of a range, which is a leaf: 256 leaves, 16 nodes above them, a root.
+VOLUME_RECORDS, LEAF = 4096, 16
+#: Records of a range that are hashed at once; a range has more if an id is repeated as often.
+RUN = 4096
+#: Records of a range partition.
+PART_ROWS = 200_000
 _CRLF = "\r\n"
 
 
@@ -52,7 +58,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     whole = record_bytes(F.col(url_col), F.col(html_col))
     rows = pages.select(F.col(id_col).alias("record_id"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("digest"))
     rows = saved(rows)  # the texts are read once; what follows handles a hundred bytes a record
-    ordered = rows.repartitionByRange(parts(rows.count(), 200_000), "record_id", "digest").sortWithinPartitions("record_id", "digest")
+    ordered = rows.repartitionByRange(parts(rows.count(), PART_ROWS), "record_id", "digest").sortWithinPartitions("record_id", "digest")
     inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's place in its partition
     ordered = saved(ordered.select("*", F.spark_partition_id().alias("part"), inside.alias("_n")))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -66,14 +72,42 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
 
 
-def tree(layout: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(volume, level, node, digest): level 0 are the records, the highest level of a volume is its root.
+def manifest(layout: DataFrame, leaf: int = LEAF, volume_records: int = VOLUME_RECORDS) -> DataFrame:
+    """(range, first_id): where the ranges of a layout begin; all that another replica has to know of it."""
+    first = layout.where(F.col("slot") % leaf == 0)
+    return first.select((F.col("volume") * (volume_records // leaf) + F.floor(F.col("slot") / leaf)).cast("long").alias("range"), F.col("record_id").alias("first_id"))
+
+
+def ranged(layout: DataFrame, bounds: DataFrame) -> DataFrame:
+    """A layout with the range of each record: the last one that begins at its id or before, or else the first.
 
-    A leaf hashes the record's length and digest, not its offset, which any longer record before it moves.
+    Bounds and records are put in order together; a partition hands on the last bound that it has seen.
     """
-    leaf = F.sha2(F.concat_ws(":", F.col("length").cast("string"), "digest"), 256)
-    level = layout.select("volume", F.lit(0).alias("level"), F.col("slot").alias("node"), leaf.alias("digest"))
-    levels, size, k = [level], VOLUME_RECORDS, 0
+    marks = bounds.select(F.col("first_id").alias("record_id"), "range", *(F.lit(None).cast(layout.schema[c].dataType).alias(c) for c in layout.columns if c != "record_id"))
+    both = layout.withColumn("range", F.lit(None).cast("long")).unionByName(marks)
+    order = ["record_id", F.col("range").isNull(), "digest", "slot"]  # a bound comes before the records of its id
+    cut = both.repartitionByRange(parts(layout.count(), PART_ROWS), *order).sortWithinPartitions(*order)
+    cut = saved(cut.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_n")))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    handed = cut.groupBy("_part").agg(F.max("range").alias("_last")).select("_part", F.max("_last").over(before).alias("_handed"))  # a row a partition
+    here = W.partitionBy("_part").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)  # bounds ascend, so the largest so far is the last
+    filled = cut.withColumn("_seen", F.max("range").over(here)).where("digest is not null").join(F.broadcast(handed), "_part")
+    return filled.select(*layout.columns, F.coalesce("_seen", "_handed", F.lit(0)).cast("long").alias("range"))
+
+
+def tree(records_: DataFrame, fanout: int = FANOUT, leaves: int = VOLUME_RECORDS // LEAF) -> DataFrame:
+    """(volume, level, node, digest) of records with their ranges: level 0 are ranges, the highest level of a volume is its root.
+
+    A leaf hashes ids, lengths and digests, not offsets, which any longer record before them moves.
+    """
+    in_order = W.partitionBy("range").orderBy("record_id", "digest", "length")
+    runs = records_.withColumn("_run", F.floor((F.row_number().over(in_order) - 1) / RUN))
+    line = F.concat_ws(":", F.coalesce(F.col("record_id").cast("string"), F.lit("-")), F.col("length").cast("string"), "digest")
+    ordered = F.sort_array(F.collect_list(F.struct("record_id", "digest", "length", line.alias("line"))))
+    hashed = runs.groupBy("range", "_run").agg(F.sha2(F.array_join(F.transform(ordered, lambda r: r.line), ","), 256).alias("digest"))
+    whole = hashed.groupBy("range").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", "digest"))), lambda r: r.digest), ","), 256).alias("digest"))
+    level = whole.select(F.floor(F.col("range") / leaves).alias("volume"), F.lit(0).alias("level"), (F.col("range") % leaves).cast("int").alias("node"), "digest")
+    levels, size, k = [level], leaves, 0
     while size > 1:
         size, k = -(-size // fanout), k + 1
         children = F.transform(F.sort_array(F.collect_list(F.struct("node", "digest"))), lambda c: F.concat_ws(":", c.node.cast("string"), c.digest))
@@ -84,18 +118,17 @@ def tree(layout: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def depth(fanout: int = FANOUT, records_: int = VOLUME_RECORDS) -> int:
+def depth(fanout: int = FANOUT, leaves: int = VOLUME_RECORDS // LEAF) -> int:
     k = 0
-    while records_ > 1:
-        records_, k = -(-records_ // fanout), k + 1
+    while leaves > 1:
+        leaves, k = -(-leaves // fanout), k + 1
     return k
 
 
-def differing(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(volume, slot) of the leaves that differ, found from the roots down.
+def differing(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame | None:
+    """(volume, node) of the leaves that differ, found from the roots down; None where all roots agree.
 
-    A level is joined only with the children of the nodes above that differ; where all roots agree, no
-    lower level is looked at.
+    A level is joined only with the children of the nodes above that differ.
     """
     top = depth(fanout)
 
@@ -108,42 +141,37 @@ def differing(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFra
         return both.where(~F.col("digest").eqNullSafe(F.col("_other"))).select("volume", "node")
 
     bad = saved(unequal(top))
+    if bad.isEmpty():
+        return None
     for level in range(top - 1, -1, -1):
         bad = saved(unequal(level, bad))
-    return bad.select("volume", F.col("node").alias("slot"))
-
-
-def _repeats(layout: DataFrame) -> DataFrame:
-    """The layout with each record's number among those of the same id, as ``repeat``."""
-    per = (layout.agg(F.max("slot")).first()[0] or 0) + 1
-    row = F.col("volume") * per + F.col("slot")
-    firsts = layout.groupBy(F.col("record_id").alias("_id")).agg(F.min(row).alias("_first"))
-    return layout.join(firsts, F.col("record_id").eqNullSafe(F.col("_id"))).withColumn("repeat", row - F.col("_first")).drop("_id", "_first")
-
-
-def aligned(one: DataFrame, other: DataFrame) -> DataFrame:
-    """``other`` on the places of ``one``; records that ``one`` lacks keep their slot, in volume -1 - their own."""
-    places = _repeats(one).select(
-        F.col("record_id").alias("_id"), F.col("repeat").alias("_repeat"), F.col("volume").alias("_volume"), F.col("slot").alias("_slot")
-    )
-    met = F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("repeat") == F.col("_repeat"))
-    return _repeats(other).join(places, met, "left").select(
-        "record_id", F.coalesce("_volume", -1 - F.col("volume")).alias("volume"), F.coalesce("_slot", "slot").alias("slot"), "offset", "length", "digest"
-    )
+    return bad
 
 
 def audit(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Located differences of two layouts: (volume, slot, record_id, offset, length, digest, and the other's).
 
-    ``one`` is the reference, on whose layout the other is compared.
+    ``one`` is the reference, by whose manifest both build their trees.
     """
-    one = saved(one)
-    other = saved(aligned(one, saved(other)))
-    bad = saved(differing(saved(tree(one, fanout), by="level"), saved(tree(other, fanout), by="level"), fanout))
+    one, other = saved(one), saved(other)
+    bounds = saved(manifest(one))
+    mine, theirs = saved(ranged(one, bounds)), saved(ranged(other, bounds))
+    bad = differing(saved(tree(mine, fanout), by="level"), saved(tree(theirs, fanout), by="level"), fanout)
     names = ["record_id", "offset", "length", "digest"]
-    found = bad.join(one, ["volume", "slot"], "left").join(
-        other.select("volume", "slot", *(F.col(n).alias(f"other_{n}") for n in names)), ["volume", "slot"], "left"
-    )
+    if bad is None:
+        bad = one.sparkSession.createDataFrame([], "volume long, node int")
+    ranges = bad.select((F.col("volume") * (VOLUME_RECORDS // LEAF) + F.col("node")).alias("range"))
+
+    def within(records_):
+        """Records of differing ranges, numbered among those of their id."""
+        repeat = F.row_number().over(W.partitionBy("range", "record_id").orderBy("digest", "slot"))
+        return records_.join(ranges, "range", "left_semi").withColumn("repeat", repeat)
+
+    a = within(mine).select("range", "repeat", "volume", "slot", *names)
+    b = within(theirs).select(*(F.col(n).alias(f"other_{n}") for n in ("range", "repeat", "volume", "slot", *names)))
+    same = (F.col("range") == F.col("other_range")) & F.col("record_id").eqNullSafe(F.col("other_record_id")) & (F.col("repeat") == F.col("other_repeat"))
+    found = a.join(b, same, "full").where(~F.col("digest").eqNullSafe(F.col("other_digest")))
     kind = F.when(F.col("other_digest").isNull(), "missing").when(F.col("digest").isNull(), "added").otherwise("changed")
-    volume = F.when(F.col("volume") < 0, -1 - F.col("volume")).otherwise(F.col("volume")).alias("volume")
-    return found.select(volume, "slot", *names, *(f"other_{n}" for n in names), kind.alias("kind"))
+    return found.select(
+        F.coalesce("volume", "other_volume").alias("volume"), F.coalesce("slot", "other_slot").alias("slot"), *names, *(f"other_{n}" for n in names), kind.alias("kind")
+    )
