@@ -1,8 +1,8 @@
 """Copies of pictures, cropped or edited, found by local image descriptors.
 
 Pictures (PGM, PPM or PNG bytes in a binary column) become grey pyramids. Corners are all maxima of the
-Harris response over a floor of noise, at five scales; each gets an orientation from the centroid of its
-neighbourhood and 128 binary tests of smoothed pixels, turned by that orientation. A corner and each of its
+Harris response over a floor of noise, at five scales, small pictures at two larger ones too; each gets an orientation from the centroid of its
+neighbourhood and 128 binary tests of smoothed pixels, turned by exactly that orientation and read between pixels. A corner and each of its
 nearest corners of the same level make a doublet. Doublets meet in Hamming tables: a key is a choice of bits of
 both descriptors, so that one which flips few bits is met in some of its doublets, and descriptors that are
 common in pictures that have nothing else in common rarely meet. Two doublets match if the growth and turn
@@ -36,6 +36,8 @@ from .components import components
 
 #: Sizes of the pyramid's levels by that of the picture.
 SCALES = (1.0, 0.8409, 0.7071, 0.5946, 0.5)
+#: Further levels of pictures with a side below SMALL, whose margins would leave few corners.
+ENLARGED, SMALL = (1.4142, 1.1892), 128
 RADIUS = 9
 MARGIN = 3
 #: Harris response, in grey levels to the fourth power, below which nothing is a corner but noise.
@@ -43,22 +45,34 @@ FLOOR = 4.0
 #: Pixels of a side of the tiles in which a level is searched.
 TILE = 1024
 #: Corners that a corner is paired with, and the pixels of its level that they are apart at least and at most.
-NEIGHBOURS, NEAREST, FARTHEST = 4, 3, 96
+NEIGHBOURS, NEAREST, FARTHEST = 4, 5, 96
 #: Bits of each of the two descriptors in a key, and ways to choose them.
-KEY_BITS, TABLES = 28, 1
+KEY_BITS, TABLES = 36, 1
 #: Contents, of some 100 bytes, that are broadcast at most; more are joined by a shuffle.
 SENT_CONTENTS = 100_000
 #: Differences of growth (log2) and turn (radians) of a doublet and its corners up to which they agree.
 MAX_GROW, MAX_TURN = 0.3, 0.15
 #: Matched corners that must agree on growth, turn and shift.
-MIN_VOTES = 5
+MIN_VOTES = 6
 #: Pixels within which the shifts of agreeing corners lie, or half of it; cells of a whole turn.
 CELL, TURN_CELLS = 12, 16
 #: Buckets of more entries are compared in blocks of about so many.
 FEW, BLOCK = 64, 512
-_TURNS = 32
 _SEED = 31
-_KEY_BITS = [np.random.default_rng(_SEED + t).permutation(128)[: 2 * KEY_BITS].reshape(2, KEY_BITS) for t in range(TABLES)]
+
+
+def _key_weights(bits: int = KEY_BITS, tables: int = TABLES) -> np.ndarray:
+    """For each table and each descriptor of a doublet a random number of 64 bits for each bit in the key, 0 for others."""
+    out = np.zeros((tables, 2, 128), np.uint64)
+    for t in range(tables):
+        rng = np.random.default_rng(_SEED + t)
+        places = rng.permutation(128)[: 2 * bits].reshape(2, bits)
+        for k in range(2):
+            out[t, k, places[k]] = rng.integers(0, 2**64, bits, dtype=np.uint64)
+    return out
+
+
+_KEY_WEIGHTS = _key_weights()
 
 
 def read_picture(content: bytes | None) -> np.ndarray | None:
@@ -180,16 +194,10 @@ def _resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def _tests() -> np.ndarray:
-    """Pairs of points for the binary tests, for each of the turns: (turn, test, two ends, y and x)."""
+    """Pairs of points for the binary tests: (test, two ends, x and y)."""
     rng = np.random.default_rng(_SEED)
     pts = np.clip(rng.normal(0, RADIUS / 2, (128, 2, 2)), -RADIUS * 0.9, RADIUS * 0.9)
-    out = []
-    for k in range(_TURNS):
-        a = 2 * np.pi * k / _TURNS
-        turn = np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])  # acts on (x, y)
-        xy = pts[:, :, ::-1] @ turn.T
-        out.append(np.rint(xy[:, :, ::-1]))
-    return np.clip(np.array(out), -RADIUS, RADIUS).astype(int)
+    return (pts * np.minimum(1, RADIUS / np.hypot(pts[..., :1], pts[..., 1:]))).astype(np.float32)  # so that no turn leaves the margin
 
 
 _TESTS = _tests()
@@ -217,11 +225,23 @@ def _corners(level: np.ndarray, core: tuple[int, int, int, int]) -> tuple[np.nda
     which, ys, xs = which[own], ys[own], xs[own]
     around = level[which[:, None], ys[:, None] + _DISC[:, 0], xs[:, None] + _DISC[:, 1]]
     turn = np.arctan2(around @ _DISC[:, 0], around @ _DISC[:, 1])
-    step = np.rint(turn / (2 * np.pi) * _TURNS).astype(int) % _TURNS
-    soft = _box(level, 1)
-    ends = _TESTS[step]
-    value = soft[which[:, None, None], ys[:, None, None] + ends[..., 0], xs[:, None, None] + ends[..., 1]]
-    return which, ys, xs, turn, np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
+    return which, ys, xs, turn, _codes(_box(level, 1), which, ys, xs, turn)
+
+
+def _codes(soft: np.ndarray, which: np.ndarray, ys: np.ndarray, xs: np.ndarray, turn: np.ndarray, room: int = 2048) -> np.ndarray:
+    """Descriptors of corners: the tests turned by each corner's own angle, between pixels."""
+    out = [np.zeros((0, 16), np.uint8)]
+    for low in range(0, len(which), room):
+        k, y, x, a = (v[low : low + room, None, None] for v in (which, ys, xs, turn))
+        cos, sin = np.cos(a).astype(np.float32), np.sin(a).astype(np.float32)
+        px, py = x + cos * _TESTS[..., 0] - sin * _TESTS[..., 1], y + sin * _TESTS[..., 0] + cos * _TESTS[..., 1]
+        x0, y0 = np.floor(px).astype(np.int64), np.floor(py).astype(np.int64)
+        fx, fy = px - x0, py - y0
+        above = soft[k, y0, x0] * (1 - fx) + soft[k, y0, x0 + 1] * fx
+        below = soft[k, y0 + 1, x0] * (1 - fx) + soft[k, y0 + 1, x0 + 1] * fx
+        value = above * (1 - fy) + below * fy
+        out.append(np.packbits(value[:, :, 0] < value[:, :, 1], axis=1))
+    return np.concatenate(out)
 
 
 def describe(stack: np.ndarray, tile: int = TILE) -> list[list[tuple[np.ndarray, ...]]]:
@@ -230,7 +250,7 @@ def describe(stack: np.ndarray, tile: int = TILE) -> list[list[tuple[np.ndarray,
     picture itself."""
     n, height, width = stack.shape
     out: list[list] = [[] for _ in range(n)]
-    for scale in SCALES:
+    for scale in (*(ENLARGED if min(height, width) < SMALL else ()), *SCALES):
         h, w = round(height * scale), round(width * scale)
         edge = RADIUS + 1
         if min(h, w) < 2 * edge + 4:
@@ -294,9 +314,9 @@ def doublets(levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, i
         i, j = nearest(x / scale, y / scale)
         packed = _pack(x, y, scale, turn)
         bits = np.unpackbits(code, axis=1)
-        place = 1 << np.arange(KEY_BITS, dtype=np.int64)
-        for t, (one, two) in enumerate(_KEY_BITS):
-            keys.append(t << 2 * KEY_BITS | (bits[i][:, one] @ place) << KEY_BITS | bits[j][:, two] @ place)
+        for weights in _KEY_WEIGHTS:
+            # bits that are not in the key weigh nothing; others add up to a number of 64 bits that tells them apart
+            keys.append((bits @ weights[0])[i].view(np.int64) + (bits @ weights[1])[j].view(np.int64))
             first.append(packed[i])
             second.append(packed[j])
     if not keys:
@@ -516,8 +536,9 @@ def classes(pictures: DataFrame, id_col: str = "id", content_col: str = "content
     rows = pictures.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(content_col).alias("content"))
     rows = rows.withColumn("digest", F.unhex(F.coalesce(F.sha2("content", 256), F.sha2(F.concat(F.lit("null:"), F.col("id").cast("string")).cast("binary"), 256))))
     digests = saved(rows.select("id", "digest"))
-    # each content is a node with a number of its own, whatever ids it has
-    nodes = saved(digests.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    # each content is a node, whatever ids it has; its number comes from its digest, so that a pair is compared the same way round
+    # in every run, and a task that is run again makes the same rows
+    nodes = saved(digests.groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.xxhash64("digest")))
     small = nodes.count() <= SENT_CONTENTS
     first = (F.broadcast(nodes) if small else nodes).withColumnRenamed("digest", "of")
     found = saved(corners(rows.join(first, (F.col("digest") == F.col("of")) & (F.col("id") == F.col("rep"))).select("node", "content"), "node"))
