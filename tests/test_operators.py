@@ -225,27 +225,11 @@ def test_pages_by_place(spark, tmp_path):
     deep = clustered.page(table, ["a", "b"], 10, (4900, 5))
     assert "GreaterThanOrEqual(a,4900)" in plan(deep)
     deep.collect()
-    read = deep._jdf.queryExecution().executedPlan()
-    seen = int("".join(c for c in str(_metric(read, "numOutputRows")) if c.isdigit()))
-    assert 0 < seen <= 20_000 // 4
+    assert 0 < clustered.scanned(deep)["rows"] <= 20_000 // 4
     with pytest.raises(ValueError):
         clustered.behind(["a", "b"], (1,))
 
 
-def _metric(node, name):
-    """A metric of the scan of a plan."""
-    if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-        return _metric(node.executedPlan(), name)
-    if "FileSourceScan" in node.getClass().getSimpleName():
-        return node.metrics().apply(name).value()
-    for k in range(node.children().size()):
-        if (found := _metric(node.children().apply(k), name)) is not None:
-            return found
-    if hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
-        return _metric(node.plan(), name)
-    return None
-
-
 def test_dedupe_asks_for_first_rows_alone(spark):
     rows = spark.createDataFrame([(1, 1.0), (1, 2.0), (None, 1.0), (None, 1.0)], "event_id long, value double").withColumn("ts", F.lit(START).cast("timestamp_ntz"))
     out = measurements.deduplicated(rows)

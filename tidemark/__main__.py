@@ -1,8 +1,9 @@
-"""Commands: ``python -m tidemark load|ingest|query|reconcile ...``; each prints one JSON line."""
+"""Commands: ``python -m tidemark load|ingest|query|reconcile|layouts ...``; each prints one JSON line."""
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 import time
 
@@ -12,7 +13,7 @@ from .functions.buckets import bucket
 from .operators.timeseries import coarser, reconciled
 from .plans.query import BucketQuery
 from .session import session
-from .sources import generator
+from .sources import clustered, generator
 from .sources import measurements as m
 
 
@@ -32,11 +33,31 @@ def arguments() -> argparse.ArgumentParser:
     query.add_argument("--until")
     query.add_argument("--by", nargs="*", default=[])
     check = commands.add_parser("reconcile", help="compare days from raw rows with days from hours")
-    for command in (load, ingest, query, check):
+    layouts = commands.add_parser("layouts", help="what a query of some hours reads of rows as they came, sorted by time, and split by day")
+    layouts.add_argument("--rows", type=int, default=1_000_000)
+    layouts.add_argument("--hours", type=int, default=2)
+    for command in (load, ingest, query, check, layouts):
         command.add_argument("--table", required=True)
     return top
 
 
+def _layouts(spark, path: str, rows: int, hours: int) -> dict:
+    """For each layout of the same generated rows: rows and files that the scan of one range hands on, and seconds."""
+    made = generator.load(spark, rows, seconds=5)
+    made.repartition(8, F.rand(3)).write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(f"{path}/as_it_came")
+    clustered.sorted_table(made, f"{path}/sorted", ["ts"], 8, 1 << 20)
+    m.write_batch(made, f"{path}/by_day", "all")
+    tables = {"as_it_came": m.read(spark, f"{path}/as_it_came"), "sorted": m.read(spark, f"{path}/sorted"), "by_day": m.read_table(spark, f"{path}/by_day")}
+    start = dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rows * 5 // 2)
+    ask = BucketQuery("15 minutes").between(str(start), str(start + dt.timedelta(hours=hours)))
+    out = {}
+    for name, table in tables.items():
+        began, found = time.perf_counter(), ask.run(table)
+        buckets = len(found.collect())
+        out[name] = {"buckets": buckets, "seconds": round(time.perf_counter() - began, 2)} | clustered.scanned(found)
+    return out
+
+
 def main(words: list[str] | None = None) -> dict:
     given = arguments().parse_args(words)
     spark, began = session(), time.perf_counter()
@@ -49,6 +70,8 @@ def main(words: list[str] | None = None) -> dict:
         m.write_batch(m.deduplicated(good), given.table, given.batch)
         m.write_rejects(bad, f"{given.table.rstrip('/')}-rejects", given.batch)
         out["refused"] = bad.count()
+    elif given.command == "layouts":
+        out |= _layouts(spark, given.table, given.rows, given.hours)
     elif given.command == "query":
         found = BucketQuery(given.width).between(given.since, given.until).by(*given.by).run(m.read_table(spark, given.table))
         out |= found.agg(F.count("*").alias("buckets"), F.sum("n").alias("rows"), F.sum("total").cast("string").alias("total")).first().asDict()

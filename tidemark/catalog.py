@@ -435,6 +435,21 @@ def corrected_buckets_of_a_stream(rows: DataFrame) -> DataFrame:
     return corrections.folded(corrections.read_log(spark, f"{path}/log", changes), ["event_type"]).select("event_type", "bucket_start", "n", "total")
 
 
+@query(f"""WITH gaps AS (
+  SELECT *, CASE WHEN ts < lag(ts) OVER w + interval '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM gaps)
+SELECT user_id, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS n, {_TOTAL} AS total FROM numbered GROUP BY user_id, s
+HAVING max(ts) + interval '30 minutes' <= (SELECT max(ts) - interval '2 days' FROM events)""")
+def closed_sessions_of_a_stream(rows: DataFrame) -> DataFrame:
+    """Sessions that were over for two days when a stream's last row came; within a file rows come in any order."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    rows.write.parquet(f"{path}/source")
+    source = landing.stream(spark, f"{path}/source")
+    made = landing.closed_sessions(source, "30 minutes", "2 days", ["user_id"])
+    landing.appended(made, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{path}/out")
+
+
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def through_the_log(rows: DataFrame) -> DataFrame:
     """Rows written to the log in two batches and streamed out of it, with a restart between them: each row once."""
@@ -472,7 +487,7 @@ def file_formats(rows: DataFrame) -> DataFrame:
     return first.join(same, first.columns).select(F.col("copies").cast("int").alias("copies"), "event_id", "ts", "value")
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, value, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch_id FROM events WHERE event_id % 2 = 1 OR event_id < 500")
+@query("SELECT event_id, ts, user_id, value, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch_id FROM events WHERE event_id % 2 = 1 OR event_id < 500")
 def database_round_trip(rows: DataFrame) -> DataFrame:
     """Two batches in a database in memory, one of them written again with fewer rows; read back in four ranges.
 
@@ -480,13 +495,14 @@ def database_round_trip(rows: DataFrame) -> DataFrame:
     """
     url, driver = "jdbc:derby:memory:tidemark;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     name = f"events_{uuid.uuid4().hex[:12]}"
-    mine = rows.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "user_id", "value").coalesce(2)
+    mine = rows.select("event_id", "ts", "user_id", "value")
     even = mine.where("event_id % 2 = 0")
     measurements.write_jdbc(even, url, name, "even", **driver)
     measurements.write_jdbc(mine.where("event_id % 2 = 1"), url, name, "odd", **driver)
     measurements.write_jdbc(even.where("event_id < 500"), url, name, "even", **driver)
-    back = measurements.read_jdbc(rows.sparkSession, url, name, "event_id", (0, 10_000), 4, **driver)
-    return back.select("event_id", F.col("ts").cast("string").alias("ts"), "user_id", "value", F.col("batch_id").cast("string").alias("batch_id"))
+    low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    back = measurements.read_jdbc(rows.sparkSession, url, name, "event_id", (low, high), 4, **driver)
+    return back.select("event_id", "ts", "user_id", "value", F.col("batch_id").cast("string").alias("batch_id"))
 
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_id % 2 = 0")

@@ -55,3 +55,20 @@ def place_of(page_rows: DataFrame, order: list[str]) -> tuple | None:
     """Where the next page starts: the order's values of a page's last row, None of an empty page."""
     found = page_rows.orderBy(*(F.desc(c) for c in order)).select(*order).first()
     return None if found is None else tuple(found)
+
+
+def scanned(run: DataFrame) -> dict[str, int]:
+    """Rows that the file scans of a frame that has run have handed on, after row groups were left out, and the files they opened."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if "QueryStageExec" in kind:
+            return walk(node.plan())
+        if kind == "FileSourceScanExec":
+            return {name: int(node.metrics().apply(metric).value()) for name, metric in (("rows", "numOutputRows"), ("files", "numFiles"))}
+        below = [walk(node.children().apply(k)) for k in range(node.children().size())]
+        return {name: sum(b[name] for b in below) for name in ("rows", "files")}
+
+    return walk(run._jdf.queryExecution().executedPlan())

@@ -201,8 +201,8 @@ def write_jdbc(rows: DataFrame, url: str, dbtable: str, batch_id: str, **propert
 
 
 def read_jdbc(spark: SparkSession, url: str, dbtable: str, column: str | None = None, bounds: tuple | None = None, parts: int = 16, **properties) -> DataFrame:
-    """Scan a database table, in parallel ranges of ``column`` where bounds are given."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=dbtable, **properties)
+    """Scan a database table, in parallel ranges of ``column`` where bounds are given; times without a zone stay without one."""
+    reader = spark.read.format("jdbc").options(**({"preferTimestampNTZ": "true"} | properties), url=url, dbtable=dbtable)
     if column and bounds:
         reader = reader.options(partitionColumn=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
     return reader.load()

@@ -84,6 +84,20 @@ def closed_buckets(rows: DataFrame, width: str, late: str, keys=(), scale: int =
     return out.select(start.alias("bucket_start"), *keys, "n", "total")
 
 
+def closed_sessions(rows: DataFrame, gap: str, late: str, keys, scale: int = SCALE) -> DataFrame:
+    """Sessions of keys, rows with less than ``gap`` between neighbours, that are over for ``late`` and longer, each sent once,
+    for a sink in append mode.
+
+    The state holds a key's open sessions, and rows that come late join or bridge them. What comes even later is dropped by
+    the watermark, as are rows without a time; for sources of unknown lateness land the rows and ask ``sessions``.
+    """
+    distinct_names(keys, "session_start", "last_ts", "n", "total")
+    name, w = unused(rows, "at"), unused(rows, "w")
+    timed = rows.where("ts is not null").withColumn(name, instant("ts")).withWatermark(name, late)
+    out = timed.groupBy(F.session_window(name, gap).alias(w), *keys).agg(F.count("*").alias("n"), exact_sum("value", scale).alias("total"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return out.select(*keys, F.col("first").alias("session_start"), F.col("last").alias("last_ts"), "n", "total")
+
+
 def appended(rows: DataFrame, path: str, checkpoint: str):
     """Write what a stream has brought to a table and stop; the sink's log makes each micro-batch count once."""
     return rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
