@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from tidemark.llm import decontaminate as d
 from tidemark.llm import queries
 
@@ -50,12 +53,12 @@ def test_query_against_brute_force(spark):
 KEY = lambda r: (str(r["doc_id"]), r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"])
 
 
-def test_any_number_of_parts_and_odd_rows(spark, odd_docs, no_docs):
+def test_either_search_and_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame(
         [(1, "the quick brown fox"), (1, "the quick brown fox"), (2, "jumps over the lazy dog"), (None, "naïve"), (3, None), (4, "")], "item_id long, text string"
     )
     one = sorted(map(KEY, d.scan_documents(odd_docs, bench).collect()))
-    for size in (100, 200):
+    for size in (0, 100):
         assert one == sorted(map(KEY, d.scan_documents(odd_docs, bench, part_bytes=size).collect()))
     assert len(one) == odd_docs.count() and ("8", 4, 1, ("null",), True) in one
     assert d.scan_documents(no_docs, bench).count() == 0
@@ -68,7 +71,7 @@ def test_any_number_of_parts_and_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_rows_are_judged_by_themselves(spark):
-    """Rows without an id, and rows that share one, go or stay by their own texts, in one pass or in several."""
+    """Rows without an id, and rows that share one, go or stay by their own texts, in either search."""
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     docs = spark.createDataFrame(
         [(1, f"x {item}", "a"), (None, f"{item} y", "b"), (2, "nothing of it", "c"), (2, f"{item}", "d"), (None, "clean", "e"), (3, None, "f")], "n long, body string, found string"
@@ -81,7 +84,9 @@ def test_rows_are_judged_by_themselves(spark):
         assert sorted(r["found"] for r in short.collect()) == ["c", "e", "f"]
 
 
-def test_long_items_are_cut_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("bounds", [{}, {"MOST_BLOCKS": 0}, {"MOST_BITS": 8}])
+def test_long_items_are_searched_alike_by_hashes(spark, monkeypatch, bounds):
+    """With the shift table and the bitmap, without the table, and with a bitmap that rules out next to nothing."""
     rnd = random.Random(6)
     words_ = [f"w{rnd.randint(0, 400)}" for _ in range(900)]
     bench = spark.createDataFrame([(1, " ".join(words_)), (2, "same " * 300), (3, " ".join(words_[100:140]))], "item_id long, text string")
@@ -93,15 +98,37 @@ def test_long_items_are_cut_without_loss(spark, monkeypatch):
     for k, t in enumerate(texts):
         hit, found = whole.scan(d.words_of(t))
         want.append((str(k), len(words(t)), hit.count(1) if hit else 0, tuple(sorted(found))))
-    monkeypatch.setattr(d, "PIECE_WORDS", 50)
-    for size in (1 << 20, 9000):
+    for bound, value in bounds.items():
+        monkeypatch.setattr(d, bound, value)
+    for size in (9000,) if bounds else (1 << 20, 9000):
         assert sorted(want) == sorted(KEY(r)[:4] for r in d.scan_documents(docs, bench, part_bytes=size).collect())
     n, hit, found = brute(texts[3], items)
     assert want[3][1:] == (n, hit, tuple(found))
 
 
+def test_skips_lose_no_candidate():
+    """Whatever windows a text has, the shift table leaves their places; short patterns and single words too."""
+    rnd = random.Random(9)
+    for _ in range(300):
+        alphabet = "a b c d e f".split()[: rnd.randint(2, 6)]
+        items = [[rnd.choice(alphabet).encode() for _ in range(rnd.choice((1, 2, 3, 5, 8)))] for _ in range(3)]
+        windows = [(m := min(len(w), 4), w[k : k + m], w) for w in items for k in range(len(w) - min(len(w), 4) + 1)]
+        shifts = {}
+        for m, _, w in windows:
+            for j, b in enumerate(d._blocks(d._hashes(w), m).tolist()):
+                if j >= min(1, m - 1):
+                    shifts[b] = min(shifts.get(b, 99), max(0, m - 1 - j))
+        table = np.array(sorted(shifts), np.uint64)
+        skip = d.Skipper(sorted({m for m, *_ in windows}), table, np.array([shifts[b] for b in table.tolist()]), np.full(1, 255, np.uint8))
+        text = [rnd.choice([*alphabet, "x"]).encode() for _ in range(rnd.randint(0, 40))]
+        found = {(start, m): words for start, m, _, words in skip.candidates(text)}
+        for m, pattern, _ in windows:
+            for k in range(len(text) - m + 1):
+                assert text[k : k + m] != pattern or found[k, m] == b" ".join(pattern)
+
+
 def test_compiled_size_is_bounded():
-    """A part takes less than fifty times its text."""
+    """A benchmark takes less than fifty times its text here, where words repeat."""
     import tracemalloc
 
     rnd = random.Random(8)

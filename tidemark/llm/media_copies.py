@@ -47,13 +47,13 @@ TILE = 1024
 #: Corners that a corner is paired with, and the pixels of its level that they are apart at least and at most.
 NEIGHBOURS, NEAREST, FARTHEST = 4, 5, 96
 #: Bits of each of the two descriptors in a key, and ways to choose them.
-KEY_BITS, TABLES = 36, 1
+KEY_BITS, TABLES = 40, 1
 #: Contents, of some 100 bytes, that are broadcast at most; more are joined by a shuffle.
 SENT_CONTENTS = 100_000
 #: Differences of growth (log2) and turn (radians) of a doublet and its corners up to which they agree.
 MAX_GROW, MAX_TURN = 0.3, 0.15
 #: Matched corners that must agree on growth, turn and shift.
-MIN_VOTES = 6
+MIN_VOTES = 5
 #: Pixels within which the shifts of agreeing corners lie, or half of it; cells of a whole turn.
 CELL, TURN_CELLS = 12, 16
 #: Buckets of more entries are compared in blocks of about so many.
