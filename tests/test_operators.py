@@ -256,3 +256,23 @@ def test_batch_names_and_writers_that_end_between_renames(spark, tmp_path):
         measurements.write_batch(rows.withColumn("value", F.raise_error(F.lit("no such")).cast("double")), str(tmp_path / "t"), "a")
     assert measurements.read_table(spark, str(tmp_path / "t")).where("batch_id = 'a'").count() == 1
     assert not (tmp_path / "t" / f"_old-{run}-a").exists() and not (tmp_path / "t" / f"_fresh-{run}-a").exists() and (tmp_path / "t" / f"_old-{run}-x-a").exists()
+
+
+def test_a_range_of_hours_leaves_out_row_groups(spark, tmp_path):
+    rows = spark.range(60_000).select(F.col("id").alias("event_id"), (F.lit(START) + F.make_dt_interval(secs=F.col("id"))).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("bigint").alias("user_id"),
+                                      F.sha2(F.col("id").cast("string"), 256).alias("event_type"), F.lit(0.5).alias("value"), F.sha2(F.col("id").cast("string"), 512).alias("props"))
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "262144")
+    try:
+        measurements.write_batch(rows.where("event_id != 5"), str(tmp_path / "t"), "a")
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    ask = BucketQuery("1 hour").between("2024-01-01 03:00:00", "2024-01-01 05:00:00")
+    found = {indexed: ask.run(measurements.read_table(spark, str(tmp_path / "t"), indexed=indexed)) for indexed in (True, False)}
+    assert found[True].orderBy("bucket_start").collect() == found[False].orderBy("bucket_start").collect() != []
+    for run in found.values():
+        run.collect()
+    assert clustered.scanned(found[True])["rows"] < 20_000 < clustered.scanned(found[False])["rows"] == 59_999
+    # files without the number are read in whole, not lost
+    rows.where("event_id = 5").withColumn("dt", F.to_date("ts")).write.partitionBy("dt").parquet(str(tmp_path / "t" / "batch_id=b"))
+    early = BucketQuery("1 hour").between("2024-01-01", "2024-01-01 00:01:00").run(measurements.read_table(spark, str(tmp_path / "t"), indexed=True))
+    assert early.collect()[0]["n"] == 60

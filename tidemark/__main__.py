@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from .functions.buckets import bucket
+from .functions.buckets import bucket, micros
 from .operators.timeseries import coarser, reconciled
 from .plans.query import BucketQuery
 from .session import session
@@ -43,11 +43,13 @@ def arguments() -> argparse.ArgumentParser:
 
 def _layouts(spark, path: str, rows: int, hours: int) -> dict:
     """For each layout of the same generated rows: rows and files that the scan of one range hands on, and seconds."""
-    made = generator.load(spark, rows, seconds=5)
+    made = generator.load(spark, rows, seconds=5).withColumn(m.INDEX, micros("ts"))
     made.repartition(8, F.rand(3)).write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(f"{path}/as_it_came")
     clustered.sorted_table(made, f"{path}/sorted", ["ts"], 8, 1 << 20)
     m.write_batch(made, f"{path}/by_day", "all")
-    tables = {"as_it_came": m.read(spark, f"{path}/as_it_came"), "sorted": m.read(spark, f"{path}/sorted"), "by_day": m.read_table(spark, f"{path}/by_day")}
+    number = f"{m.SCHEMA}, {m.INDEX} bigint"
+    tables = {"as_it_came": m.read(spark, f"{path}/as_it_came", schema=number), "sorted": m.read(spark, f"{path}/sorted", schema=number)}
+    tables |= {"sorted, by the timestamp alone": m.read(spark, f"{path}/sorted"), "by_day": m.read_table(spark, f"{path}/by_day"), "by_day, with the number": m.read_table(spark, f"{path}/by_day", indexed=True)}
     start = dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rows * 5 // 2)
     ask = BucketQuery("15 minutes").between(str(start), str(start + dt.timedelta(hours=hours)))
     out = {}
@@ -73,7 +75,7 @@ def main(words: list[str] | None = None) -> dict:
     elif given.command == "layouts":
         out |= _layouts(spark, given.table, given.rows, given.hours)
     elif given.command == "query":
-        found = BucketQuery(given.width).between(given.since, given.until).by(*given.by).run(m.read_table(spark, given.table))
+        found = BucketQuery(given.width).between(given.since, given.until).by(*given.by).run(m.read_table(spark, given.table, indexed=True))
         out |= found.agg(F.count("*").alias("buckets"), F.sum("n").alias("rows"), F.sum("total").cast("string").alias("total")).first().asDict()
     else:
         rows = m.read_table(spark, given.table)

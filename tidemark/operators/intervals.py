@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .timeseries import micros
+from ..functions.buckets import micros
 
 #: Each width of the grid is so many times the one before.
 STEP = 8

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from ..functions.buckets import SCALE, exact, exact_mean, exact_sum
+from ..functions.buckets import SCALE, exact, exact_mean, exact_sum, micros
 from ..session import scratch, unused
 
 
@@ -114,14 +114,6 @@ def sliding(rows: DataFrame, width: str, step: str, keys: Sequence[str] = (), sc
     return bucketed(rows, F.window("ts", width, step).start, keys, exact_aggregates(scale=scale))
 
 
-def micros(ts: str | Column) -> Column:
-    """Microseconds from 1970 to a timestamp_ntz; the session's zone plays no part."""
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000_000 + (
-        (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint") * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
-    )
-
-
 def sessions(rows: DataFrame, gap: str, keys: Sequence[str], scale: int = SCALE, block: str = "1 hour") -> DataFrame:
     """Rows of a key with less than ``gap`` between neighbours: one row a session. Null keys are one key.
 
@@ -226,11 +218,11 @@ def rolled_up(rows: DataFrame, *keys: Column, scale: int = SCALE) -> DataFrame:
     return rows.rollup(*keys).agg(F.count("*").alias("n"), exact_sum("value", scale).alias("total"), F.grouping_id().cast("bigint").alias("level"))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, values: Sequence[str], ts: str = "ts", prefix: str = "r_") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, values: Sequence[str], ts: str = "ts", prefix: str = "r_", block: str = "1 hour") -> DataFrame:
     """Each left row with the latest right row of its key at or before its time, as ``prefix`` and its columns.
 
-    A key is cut by days: each day of a key that left rows have gets the last right row of the days before, and
-    is a task's share by itself, so a hot key is no single task. Of right rows at one time the one with the largest
+    A key is cut by blocks of time: each block of a key that left rows have gets the last right row of the blocks before,
+    and is a task's share by itself, so a hot key is no single task, nor is its day. Of right rows at one time the one with the largest
     values counts. A null key or time matches nothing. A left column that is called like a result is an error.
     """
     results = [f"{prefix}{c}" for c in (ts, *values)]
@@ -238,12 +230,14 @@ def as_of(left: DataFrame, right: DataFrame, key: str, values: Sequence[str], ts
         raise ValueError(f"left side has {sorted(clash)} already")
     last = F.struct(F.col(ts).alias("t"), *(F.col(v).alias(f"v{i}") for i, v in enumerate(values)))
 
-    def day(c):
-        return F.unix_date(F.col(c).cast("date"))
+    wide = seconds_of(block) * 1_000_000
+
+    def number(c):
+        return F.floor(micros(c) / wide)
 
-    known = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("k"), day(ts).alias("d"), F.col(ts).alias("t"), last.alias("r"))
-    asking = left.select(F.col(key).alias("k"), day(ts).alias("d"), F.col(ts).alias("t"), F.struct(*left.columns).alias("row"))
-    # what each day of a key hands on, carried to the days that are asked for: a row for each key and day
+    known = right.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias("k"), number(ts).alias("d"), F.col(ts).alias("t"), last.alias("r"))
+    asking = left.select(F.col(key).alias("k"), number(ts).alias("d"), F.col(ts).alias("t"), F.struct(*left.columns).alias("row"))
+    # what each block of a key hands on, carried to the blocks that are asked for: a row for each key and block
     days = known.groupBy("k", "d").agg(F.max("r").alias("r")).withColumn("asked", F.lit(False))
     asked = asking.where("k is not null and d is not null").select("k", "d").distinct().select("k", "d", F.lit(None).cast(days.schema["r"].dataType).alias("r"), F.lit(True).alias("asked"))
     daily = days.unionByName(asked).groupBy("k", "d").agg(F.max("r").alias("r"), F.max("asked").alias("asked"))

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import SCALE, bucket, calendar_bucket
 from ..operators.timeseries import bucketed, exact_aggregates
+from ..sources.measurements import in_range
 
 
 @dataclass(frozen=True)
 class BucketQuery:
     """Exact aggregates of [since, until) in buckets, for some series, by some keys.
 
-    The range goes on the raw time column, where Parquet can prune row groups, and on ``dt`` too where
-    the table is partitioned by day; a filter on the bucket itself would reach neither.
+    The range goes on the raw time column, on ``dt`` too where the table is partitioned by day, and on the time as a number
+    where the table has it, by which Parquet leaves out row groups and pages; a filter on the bucket itself would reach none.
     """
 
     width: str = "1 hour"
@@ -51,14 +52,7 @@ class BucketQuery:
         return replace(self, ordered=True)
 
     def filters(self, columns: list[str]) -> list[Column]:
-        out = []
-        for edge, sign in ((self.since, ">="), (self.until, "<")):
-            if edge is not None:
-                at = F.lit(edge).cast("timestamp_ntz")
-                out.append(F.col("ts") >= at if sign == ">=" else F.col("ts") < at)
-                if "dt" in columns:
-                    out.append(F.col("dt") >= at.cast("date") if sign == ">=" else F.col("dt") <= at.cast("date"))
-        return out + [self._one_of(F.col(c), v) for c, v in self.only]
+        return in_range(self.since, self.until, columns) + [self._one_of(F.col(c), v) for c, v in self.only]
 
     @staticmethod
     def _one_of(column: Column, values: tuple) -> Column:

@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.buckets import SCALE, fits
+from ..functions.buckets import SCALE, fits, micros
 from ..session import unused
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 KEY = ["event_id"]
+#: The time as a number, kept beside it in tables: filters on a timestamp without a zone are handed to the Parquet reader,
+#: which leaves out no row group for them; for whole numbers it does.
+INDEX = "ts_us"
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = SCHEMA, **options) -> DataFrame:
@@ -129,9 +132,10 @@ def write_batch(rows: DataFrame, path: str, batch_id: str) -> None:
     The rows are written under a hidden name first, so a failed write leaves the batch as it was, and put in
     place by a rename; what a writer left that ended between the renames is put right by the next one. Writers of
     one batch must not overlap. Days are rebalanced by size: a large day is several
-    tasks and files, small ones share a task. Each file is sorted by time, so that row groups tell their range.
+    tasks and files, small ones share a task. Each file is sorted by time, and has it as a number too (INDEX), by whose range
+    row groups and pages are left out.
     """
-    out = rows.drop("dt", "batch_id").withColumn("dt", F.to_date("ts"))
+    out = rows.drop("dt", "batch_id", INDEX).withColumn(INDEX, micros("ts")).withColumn("dt", F.to_date("ts"))
     _replaced(out.hint("rebalance", "dt").sortWithinPartitions("dt", "ts"), path, batch_id, ["dt"])
 
 
@@ -140,9 +144,30 @@ def write_rejects(rows: DataFrame, path: str, batch_id: str) -> None:
     _replaced(rows, path, batch_id, [])
 
 
-def read_table(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
-    """All batches of a table; ``dt`` and ``batch_id`` are partition columns, and an id stays the text it is."""
-    return spark.read.schema(f"{schema}, batch_id string, dt date").parquet(path)
+def read_table(spark: SparkSession, path: str, schema: str = SCHEMA, indexed: bool = False) -> DataFrame:
+    """All batches of a table; ``dt`` and ``batch_id`` are partition columns, and an id stays the text it is.
+
+    With ``indexed`` the time comes as a number too, by which ``BucketQuery`` leaves out row groups.
+    """
+    return spark.read.schema(f"{schema}, {f'{INDEX} bigint, ' if indexed else ''}batch_id string, dt date").parquet(path)
+
+
+def in_range(since: str | None, until: str | None, columns: list[str]) -> list[Column]:
+    """Filters for [since, until) on the time, and on what a table has beside it: its day and its number.
+
+    Files that were written without the number have nulls there, which stay.
+    """
+    out = []
+    for edge, low in ((since, True), (until, False)):
+        if edge is not None:
+            at = F.lit(edge).cast("timestamp_ntz")
+            out.append(F.col("ts") >= at if low else F.col("ts") < at)
+            if "dt" in columns:
+                out.append(F.col("dt") >= at.cast("date") if low else F.col("dt") <= at.cast("date"))
+            if INDEX in columns:
+                number = micros(at)
+                out.append(F.col(INDEX).isNull() | (F.col(INDEX) >= number if low else F.col(INDEX) < number))
+    return out
 
 
 def _connection(spark: SparkSession, url: str, properties: dict[str, str]):

@@ -29,9 +29,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.buckets import SCALE, bucket
+from ..functions.buckets import SCALE, bucket, micros
 from ..operators.timeseries import bucketed, coarser, exact_aggregates, seconds_of
-from .measurements import SCHEMA
+from .measurements import INDEX, SCHEMA, in_range
 
 #: Buckets of ids, and bitmaps of a bucket's filter, each of BITS bits; good for a tenth as many ids.
 BUCKETS, BITMAPS, BITS = 64, 1, 32_768
@@ -126,10 +126,10 @@ def rows(spark: SparkSession, path: str, version: Version | None = None, since:
     """Rows of a version, the latest if none is given; only days from ``since`` up to, not including, ``until`` are listed."""
     version = version or latest(spark, path)
     days = only if only is not None else [d for d in version.days if (since is None or d >= since[:10]) and (until is None or d <= until[:10])]
-    out = _read(spark, schema, [f"{path}/{folder}" for d in sorted(days) for folder in version.days.get(d, [])])
-    for edge, keep in ((since, F.col("ts") >= F.lit(since).cast("timestamp_ntz")), (until, F.col("ts") < F.lit(until).cast("timestamp_ntz"))):
-        out = out.where(keep) if edge is not None else out
-    return out
+    out = _read(spark, f"{schema}, {INDEX} bigint", [f"{path}/{folder}" for d in sorted(days) for folder in version.days.get(d, [])])
+    for keep in in_range(since, until, out.columns):
+        out = out.where(keep)
+    return out.drop(INDEX)
 
 
 def _rollup_schema(spec: list, schema: str) -> str:
@@ -240,6 +240,7 @@ def land(batch: DataFrame, path: str, batch_id: str | None = None, schema: str =
 
     def written(frame: DataFrame, kind: str) -> dict[str, str]:
         """Rows by day, each day in files sorted by time and rebalanced by size; the folder of each day."""
+        frame = frame.withColumn(INDEX, micros("ts"))
         frame.hint("rebalance", "dt").sortWithinPartitions("dt", "ts").write.partitionBy("dt").parquet(f"{path}/rows/{run}-{kind}")
         return {n.removeprefix("dt="): f"rows/{run}-{kind}/{n}" for n in _names(spark, f"{path}/rows/{run}-{kind}") if n.startswith("dt=")}
 
