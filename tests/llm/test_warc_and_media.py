@@ -242,12 +242,12 @@ def test_pairs_against_brute_force(spark):
                 low, high = sorted((root[i], root[j]))
                 root = {n: low if r == high else r for n, r in root.items()}
     docs = spark.createDataFrame(rows, "id long, content binary").repartition(3)
-    for few, block in ((64, 512), (2, 3)):
-        m.FEW, m.links.__defaults__ = few, (block, False)
+    for few, block, sent in ((64, 512, 10**6), (2, 3, 0)):
+        m.FEW, m.links.__defaults__, m.SENT_KEYS = few, (block, False), sent
         try:
             assert {r["id"]: r["class_id"] for r in m.classes(docs).collect()} == root
         finally:
-            m.FEW, m.links.__defaults__ = 64, (m.BLOCK, False)
+            m.FEW, m.links.__defaults__, m.SENT_KEYS = 64, (m.BLOCK, False), 1_000_000
 
 
 def test_an_id_with_two_contents(spark):

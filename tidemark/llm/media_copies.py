@@ -45,11 +45,13 @@ FLOOR = 4.0
 #: Pixels of a side of the tiles in which a level is searched.
 TILE = 1024
 #: Corners that a corner is paired with, and the pixels of its level that they are apart at least and at most.
-NEIGHBOURS, NEAREST, FARTHEST = 4, 5, 96
+NEIGHBOURS, NEAREST, FARTHEST = 3, 5, 96
 #: Bits of each of the two descriptors in a key, and ways to choose them.
-KEY_BITS, TABLES = 40, 1
+KEY_BITS, TABLES = 36, 1
 #: Contents, of some 100 bytes, that are broadcast at most; more are joined by a shuffle.
 SENT_CONTENTS = 100_000
+#: Keys of 16 bytes, of those that pictures share, that are broadcast at most; more are joined by a shuffle.
+SENT_KEYS = 1_000_000
 #: Differences of growth (log2) and turn (radians) of a doublet and its corners up to which they agree.
 MAX_GROW, MAX_TURN = 0.3, 0.15
 #: Matched corners that must agree on growth, turn and shift.
@@ -519,7 +521,8 @@ def links(found: DataFrame, block: int = BLOCK, spent: bool = False) -> DataFram
     shared = saved(
         found.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
     )
-    entries = saved(found.join(shared, "key"))  # two written tables, so a hot key is split
+    # few shared keys go to the entries, most of which need no shuffle then; else two written tables, so a hot key is split
+    entries = saved(found.join(F.broadcast(shared) if shared.count() <= SENT_KEYS else shared, "key"))
     if spent:
         dropped(found)
     # first every picture with the first one of its buckets: some of all links, at linear cost
