@@ -233,17 +233,18 @@ def land(batch: DataFrame, path: str, batch_id: str | None = None, schema: str =
         accepted = new.join(lost.where("not _old").select("event_id"), "event_id", "left_anti")
         taken = lost.where("_old").select("event_id", "dt")
 
-    come = _days_of(accepted)
-    crowded = [d for d in come if len(now.days.get(d, [])) >= MOST_FOLDERS]
-    rewritten = sorted({*(_days_of(taken) if taken is not None else []), *crowded})
-    days = {d: list(f) for d, f in now.days.items()}
-
     def written(frame: DataFrame, kind: str) -> dict[str, str]:
         """Rows by day, each day in files sorted by time and rebalanced by size; the folder of each day."""
         frame = frame.withColumn(INDEX, micros("ts"))
         frame.hint("rebalance", "dt").sortWithinPartitions("dt", "ts").write.partitionBy("dt").parquet(f"{path}/rows/{run}-{kind}")
         return {n.removeprefix("dt="): f"rows/{run}-{kind}/{n}" for n in _names(spark, f"{path}/rows/{run}-{kind}") if n.startswith("dt=")}
 
+    new_days = written(accepted, "new")
+    come = sorted(new_days)
+    crowded = [d for d in come if len(now.days.get(d, [])) >= MOST_FOLDERS]
+    rewritten = sorted({*(_days_of(taken) if taken is not None else []), *crowded})
+    days = {d: list(f) for d, f in now.days.items()}
+
     if rewritten:
         stay = rows(spark, path, now, schema=schema, only=rewritten).withColumn("dt", F.to_date("ts"))
         if taken is not None:
@@ -251,15 +252,16 @@ def land(batch: DataFrame, path: str, batch_id: str | None = None, schema: str =
         fresh = written(stay, "kept")
         for d in rewritten:
             days[d] = [fresh[d]] if d in fresh else []
-    for d, folder in (written(accepted, "new") if come else {}).items():
+    for d, folder in new_days.items():
         days.setdefault(d, []).append(folder)
     days = {d: f for d, f in days.items() if f}
     changed = sorted({*come, *rewritten})
 
     filters = now.filters
     if come:
-        arrived = _marked(accepted.select("event_id", "dt"), now)
-        arrived.select("bucket", "event_id", "dt").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/index")
+        kind = accepted.schema["event_id"].dataType.simpleString()
+        arrived = _marked(spark.read.schema(f"event_id {kind}, dt date").parquet(f"{path}/rows/{run}-new"), now)
+        arrived.select("bucket", "event_id", "dt").hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/index")
         own = _filter_of(arrived)
         if filters:
             own = spark.read.schema("bucket int, bitmap int, bits binary").parquet(f"{path}/{filters}").unionByName(own)
