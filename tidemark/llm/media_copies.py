@@ -47,7 +47,7 @@ TILE = 1024
 #: Corners that a corner is paired with, and the pixels of its level that they are apart at least and at most.
 NEIGHBOURS, NEAREST, FARTHEST = 3, 5, 96
 #: Bits of each of the two descriptors in a key, and ways to choose them.
-KEY_BITS, TABLES = 36, 1
+KEY_BITS, TABLES = 40, 1
 #: Contents, of some 100 bytes, that are broadcast at most; more are joined by a shuffle.
 SENT_CONTENTS = 100_000
 #: Keys of 16 bytes, of those that pictures share, that are broadcast at most; more are joined by a shuffle.
@@ -486,10 +486,12 @@ def _block_matches(group: pa.Table) -> pa.Table:
 
 
 def _rest_matches(entries: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """MATCH rows of every pair in a bucket whose pictures ``roots`` does not join already."""
-    rooted = saved(entries.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "ga", "gb", F.coalesce("root", "id").alias("root")))
+    """MATCH rows of every pair in a bucket whose pictures ``roots`` does not join already; ``entries`` are used up."""
+    small = F.broadcast(roots) if roots.count() <= SENT_CONTENTS else roots
+    rooted = saved(entries.join(small, F.col("id") == F.col("node"), "left").select("key", "id", "ga", "gb", F.coalesce("root", "id").alias("root")))
+    dropped(entries)  # nothing reads them any more
     shared = saved(rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "size"))
-    sized = saved(rooted.join(shared, "key"))
+    sized = saved(rooted.join(F.broadcast(shared) if shared.count() <= SENT_KEYS else shared, "key"))
     dropped(rooted)
     few = sized.where(F.col("size") <= FEW)
 
