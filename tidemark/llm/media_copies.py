@@ -59,7 +59,7 @@ MIN_VOTES = 5
 #: Pixels within which the shifts of agreeing corners lie, or half of it; cells of a whole turn.
 CELL, TURN_CELLS = 12, 16
 #: Buckets of more entries are compared in blocks of about so many.
-FEW, BLOCK = 64, 512
+FEW, BLOCK = 64, 2048
 _SEED = 31
 
 
