@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,7 +16,7 @@ from .operators import distinct, intervals
 from .operators import timeseries as ts_ops
 from .plans.query import BucketQuery
 from .session import scratch
-from .sources import clustered, log, measurements, merged
+from .sources import clustered, database, log, measurements, merged
 from .streaming import corrections, landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -489,20 +488,19 @@ def file_formats(rows: DataFrame) -> DataFrame:
 
 @query("SELECT event_id, ts, user_id, value, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS batch_id FROM events WHERE event_id % 2 = 1 OR event_id < 500")
 def database_round_trip(rows: DataFrame) -> DataFrame:
-    """Two batches in a database in memory, one of them written again with fewer rows; read back in four ranges.
+    """Two batches in a database, one of them written again with fewer rows; read back in four ranges.
 
-    An embedded database lives in one JVM, so this query is for a local master; the operators are not.
+    The database is a file in the folder that driver and executors share; one that is embedded in a JVM is another in each.
     """
-    url, driver = "jdbc:derby:memory:tidemark;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    name = f"events_{uuid.uuid4().hex[:12]}"
+    spark, name = rows.sparkSession, "measured"
+    connect = database.shared_file(f"{scratch(spark)}/rows.db")
     mine = rows.select("event_id", "ts", "user_id", "value")
     even = mine.where("event_id % 2 = 0")
-    measurements.write_jdbc(even, url, name, "even", **driver)
-    measurements.write_jdbc(mine.where("event_id % 2 = 1"), url, name, "odd", **driver)
-    measurements.write_jdbc(even.where("event_id < 500"), url, name, "even", **driver)
+    database.write(even, connect, name, "even")
+    database.write(mine.where("event_id % 2 = 1"), connect, name, "odd")
+    database.write(even.where("event_id < 500"), connect, name, "even")
     low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
-    back = measurements.read_jdbc(rows.sparkSession, url, name, "event_id", (low, high), 4, **driver)
-    return back.select("event_id", "ts", "user_id", "value", F.col("batch_id").cast("string").alias("batch_id"))
+    return database.read(spark, connect, name, "event_id bigint, ts timestamp_ntz, user_id bigint, value double, batch_id string", "event_id", (low, high), 4)
 
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE event_id % 2 = 0")
