@@ -125,3 +125,16 @@ def test_crowded_days_are_written_anew_and_a_day_may_empty(spark, tmp_path, monk
     assert list(moved.version.days) == ["2024-01-02"] and list(moved.version.rollups["hours"]) == ["2024-01-02"]
     assert [(r["event_type"], r["n"]) for r in m.rollup(spark, str(tmp_path), "hours").collect()] == [(None, 4)]
     assert m.rolled_to(spark, str(tmp_path), "hours", bucket("bucket_start", "7 days", "4 days")).collect()[0]["n"] == 4
+
+
+def test_large_landings_meet_in_parts_of_so_many_rows(spark, batches, tmp_path, monkeypatch):
+    """Beyond SENT_IDS ids nothing is sent to all tasks; parts are counted by rows, which bounds what one of them sorts."""
+    monkeypatch.setattr(m, "SENT_IDS", 4)
+    monkeypatch.setattr(m, "ROWS", 6)
+    want = rows_of(measurements.deduplicated(batches[0].unionByName(batches[1]).unionByName(batches[2])))
+    table(spark, tmp_path, *batches, batches[0])
+    assert rows_of(m.rows(spark, str(tmp_path))) == want and not list((tmp_path / "_maybe").glob("*"))
+    assert reconciled(m.rollup(spark, str(tmp_path), "hours"), rebuilt(spark, tmp_path)).count() == 0
+    some = spark.range(60).select(F.col("id").alias("event_id"))
+    met = m._met(some, some.where("event_id % 2 = 0"), ["event_id"], "left_semi")
+    assert met.count() == 30 and "REPARTITION_BY_NUM" in met._jdf.queryExecution().executedPlan().toString()

@@ -37,6 +37,9 @@ from .measurements import INDEX, SCHEMA, in_range
 BUCKETS, BITMAPS, BITS = 64, 1, 32_768
 #: Bits that an id sets in its bitmap.
 MARKS = 4
+#: Ids that are sent to every task; more are met in a shuffle, in tasks of about ROWS rows each. Parts are counted by rows, as
+#: ids pack so well that parts of so many bytes would hold any number of them.
+SENT_IDS, ROWS = 250_000, 500_000
 #: Folders of a day beyond which the next landing that touches it writes it anew.
 MOST_FOLDERS = 8
 
@@ -185,6 +188,20 @@ def _days_of(frame: DataFrame) -> list[str]:
     return sorted(r.dt for r in frame.select(F.col("dt").cast("string").alias("dt")).distinct().collect())
 
 
+def _dealt(frame: DataFrame, size: int, on: list[str]) -> DataFrame:
+    """A frame in as many parts by some columns as ``size`` rows ask for."""
+    return frame.repartition(max(1, -(-size // ROWS)), *on)
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A semi or anti join of written frames; the right side goes to every task if it is small, else both are dealt out."""
+    own = right.count()
+    if own <= SENT_IDS:
+        return left.join(F.broadcast(right), on, how)
+    size = own + left.count()
+    return _dealt(left, size, on).join(_dealt(right, size, on), on, how)
+
+
 def land(batch: DataFrame, path: str, batch_id: str | None = None, schema: str = SCHEMA) -> Landing:
     """Bring a batch into the table: afterwards one row of each id stands, whatever came before and in what order.
 
@@ -210,27 +227,29 @@ def land(batch: DataFrame, path: str, batch_id: str | None = None, schema: str =
     first = W.partitionBy("event_id").orderBy(*_order(columns))
     new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     new = kept(new.withColumn("dt", F.to_date("ts")), "_landing")
-    marked = _marked(new.select("event_id", "dt"), now)
 
     hit: list[int] = []
     read_days: list[str] = []
     taken = None
     if now.filters:
-        maybe = may_be_known(marked.drop("dt"), spark.read.schema("bucket int, bitmap int, bits binary").parquet(f"{path}/{now.filters}"))
+        filters = spark.read.schema("bucket int, bitmap int, bits binary").parquet(f"{path}/{now.filters}")
+        maybe = kept(may_be_known(_marked(new, now), filters).select(*new.columns, "bucket"), "_maybe")
         hit = sorted(r.bucket for r in maybe.select("bucket").distinct().collect())
     if hit:
-        known = known_days(spark, path, hit, schema).join(maybe.select("event_id"), "event_id", "left_semi")
-        read_days = [d for d in _days_of(known) if d in now.days]
+        read_days = [d for d in _days_of(_met(known_days(spark, path, hit, schema), maybe.select("event_id"), ["event_id"], "left_semi")) if d in now.days]
     accepted = new
     if read_days:
-        before = rows(spark, path, now, schema=schema, only=read_days).withColumn("dt", F.to_date("ts")).join(maybe.select("event_id"), "event_id", "left_semi")
-        again = new.join(before.select("event_id").distinct(), "event_id", "left_semi")
-        both = before.withColumn("_old", F.lit(True)).unionByName(again.withColumn("_old", F.lit(False)))
+        before, size = rows(spark, path, now, schema=schema, only=read_days).withColumn("dt", F.to_date("ts")), maybe.count()
+        if size <= SENT_IDS:
+            before, size = before.join(F.broadcast(maybe.select("event_id")), "event_id", "left_semi"), 2 * size
+        else:  # rows of ids that the batch does not bring meet nothing, which costs less than taking them out first
+            size += before.count()
+        both = before.withColumn("_old", F.lit(True)).unionByName(maybe.drop("bucket").withColumn("_old", F.lit(False)))
         # of equal rows the old one stands, so that a replay changes nothing
         best = W.partitionBy("event_id").orderBy(*_order(columns), F.desc("_old"))
-        contest = kept(both.withColumn("_n", F.row_number().over(best)), "_contest")
-        lost = contest.where("_n > 1").select("event_id", "dt", "_old")
-        accepted = new.join(lost.where("not _old").select("event_id"), "event_id", "left_anti")
+        contest = _dealt(both, size, ["event_id"]).withColumn("_n", F.row_number().over(best))
+        lost = kept(contest.where("_n > 1").select("event_id", "dt", "_old"), "_contest")
+        accepted = _met(new, lost.where("not _old").select("event_id"), ["event_id"], "left_anti")
         taken = lost.where("_old").select("event_id", "dt")
 
     def written(frame: DataFrame, kind: str) -> dict[str, str]:
@@ -248,7 +267,7 @@ def land(batch: DataFrame, path: str, batch_id: str | None = None, schema: str =
     if rewritten:
         stay = rows(spark, path, now, schema=schema, only=rewritten).withColumn("dt", F.to_date("ts"))
         if taken is not None:
-            stay = stay.join(taken, ["event_id", "dt"], "left_anti")
+            stay = _met(stay, taken, ["event_id", "dt"], "left_anti")
         fresh = written(stay, "kept")
         for d in rewritten:
             days[d] = [fresh[d]] if d in fresh else []
@@ -272,7 +291,7 @@ def land(batch: DataFrame, path: str, batch_id: str | None = None, schema: str =
     version = replace(now, number=_next(spark, path), days=days, filters=filters, changed=tuple(changed), batch=batch_id)
     version = replace(version, rollups={name: _recomputed(spark, path, version, name, changed, run, schema) for name in now.specs})
     _commit(spark, path, version)
-    for scratch in ("_landing", "_contest"):
+    for scratch in ("_landing", "_maybe", "_contest"):
         fs, at = _fs(spark, f"{path}/{scratch}/{run}")
         fs.delete(at, True)
     return Landing(version, hit, read_days, rewritten)
@@ -313,7 +332,7 @@ def cleared(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
             continue
         used |= {"/".join(f.split("/")[:2]) for folders in v["days"].values() for f in folders} | {v["filters"]}
         used |= {"/".join(f.split("/")[:3]) for days in v["rollups"].values() for f in days.values()}
-    found = [f"{top}/{n}" for top in ("rows", "filters", "_landing", "_contest", *(f"rollups/{r}" for r in _names(spark, f"{path}/rollups"))) for n in _names(spark, f"{path}/{top}")]
+    found = [f"{top}/{n}" for top in ("rows", "filters", "_landing", "_maybe", "_contest", *(f"rollups/{r}" for r in _names(spark, f"{path}/rollups"))) for n in _names(spark, f"{path}/{top}")]
     gone = sorted({*found} - used) + [f"manifests/{n}" for n in manifests[:-keep]]
     for name in gone:
         fs, at = _fs(spark, f"{path}/{name}")
