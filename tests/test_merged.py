@@ -138,3 +138,16 @@ def test_large_landings_meet_in_parts_of_so_many_rows(spark, batches, tmp_path,
     some = spark.range(60).select(F.col("id").alias("event_id"))
     met = m._met(some, some.where("event_id % 2 = 0"), ["event_id"], "left_semi")
     assert met.count() == 30 and "REPARTITION_BY_NUM" in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_are_asked_once(spark, batches, tmp_path, monkeypatch):
+    """What the filters let through is written, so that its readers do not ask them again."""
+    asked, may_be_known = spark.sparkContext.accumulator(0), m.may_be_known
+
+    def counted(marked, filters):
+        tell = F.udf(lambda i: asked.add(1) or i, "bigint").asNondeterministic()
+        return may_be_known(marked, filters).withColumn("event_id", tell("event_id"))
+
+    monkeypatch.setattr(m, "may_be_known", counted)
+    table(spark, tmp_path, batches[0], batches[0])
+    assert asked.value == 25

@@ -23,6 +23,8 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -169,14 +171,14 @@ def _filter_of(marked: DataFrame) -> DataFrame:
 
 
 def _is_set(bits: Column, mark: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(mark / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, F.pmod(mark, F.lit(8))).bitwiseAND(1) == 1
+    byte = F.ascii(F.decode(F.substring(bits, F.shiftright(mark, 3) + 1, F.lit(1)), "ISO-8859-1"))
+    return F.call_function("shiftright", byte, mark.bitwiseAND(7)).bitwiseAND(1) == 1
 
 
 def may_be_known(marked: DataFrame, filters: DataFrame) -> DataFrame:
     """Of marked ids those that the filters do not rule out."""
     met = marked.join(filters, ["bucket", "bitmap"])
-    return met.where(F.forall("marks", lambda m: _is_set(F.col("bits"), m))).drop("bits")
+    return met.where(reduce(and_, (_is_set(F.col("bits"), F.col("marks")[k]) for k in range(MARKS)))).drop("bits")
 
 
 def _order(columns: list[str]) -> list[Column]:
