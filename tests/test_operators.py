@@ -214,6 +214,25 @@ def test_buckets_join_without_a_shuffle(spark, tmp_path):
     assert "Exchange" not in plan(met.groupBy("a").agg(F.count("*"))) and "SortMergeJoin" in plan(met)
 
 
+def test_large_pages_are_no_single_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(clustered, "FILE_ROWS", 1500)
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 40).alias("a"), F.col("id").alias("b"))
+    table, order = clustered.sorted_table(rows, str(tmp_path / "sorted"), ["a", "b"], 2), ["a", "b"]
+    assert len(table.inputFiles()) == 14  # two would hold more rows each
+    want, got, last = [tuple(r) for r in rows.orderBy(*order).collect()], [], None
+    for size in (1, 1499, 3000, 7, 10_000, 20_000):
+        end = clustered.place_after(table, order, size, last)
+        found = clustered.between(table, order, last, end)
+        assert "TakeOrdered" not in plan(found) and "Exchange" not in plan(found)
+        got += (some := sorted(tuple(r) for r in found.collect()))
+        assert some[-1] == end and len(some) == min(size, 20_000 - len(got) + len(some))
+        last = end
+    assert got == want and clustered.place_after(table, order, 5, last) is None
+    rows.repartition(3).write.parquet(str(tmp_path / "odd"))
+    with pytest.raises(ValueError, match="overlap"):
+        clustered.place_after(spark.read.parquet(str(tmp_path / "odd")), order, 9000)
+
+
 def test_pages_by_place(spark, tmp_path):
     rows = spark.range(20_000).select((F.col("id") * 7919 % 5000).alias("a"), F.col("id").alias("b"), F.sha2(F.col("id").cast("string"), 256).alias("c"))
     table = clustered.sorted_table(rows, str(tmp_path / "sorted"), ["a", "b"], 8)

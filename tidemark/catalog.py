@@ -264,12 +264,10 @@ def pages_in_turn(rows: DataFrame) -> DataFrame:
     spark, order = rows.sparkSession, ["ts", "event_id"]
     table = clustered.sorted_table(rows, f"{scratch(spark)}/sorted", order, 8)
     size, last, pages = table.count() // 7 + 1, None, []
-    while True:
-        found = clustered.page(table, order, size, last)
-        last = clustered.place_of(found, order)
-        if last is None:
-            break
+    while (end := clustered.place_after(table, order, size, last)) is not None:
+        found = clustered.between(table, order, last, end)
         pages.append(found.select(F.lit(len(pages)).cast("bigint").alias("page"), "event_id", "ts", "value"))
+        last = end
     return reduce(DataFrame.unionByName, pages)
 
 
