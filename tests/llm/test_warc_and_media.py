@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import media_copies as m
 from tidemark.llm import queries
@@ -350,3 +351,25 @@ def test_media_query_against_brute_force(spark):
     for r in queries.op3_media_copies(spark, SF).collect():
         assert r["class_id"] * 2 == names[of[2 * r["vec_id"]]]
         assert r["copy_found"] == (of[2 * r["vec_id"] + 1] == of[2 * r["vec_id"]] if 2 * r["vec_id"] + 1 in of else None)
+
+
+def test_cells_hold_every_pair_that_agrees_once(spark):
+    """Entries of one key by cells give the matches of all its pairs; those in large cells alone are dealt to blocks."""
+    rng = np.random.default_rng(3)
+    n = 1200
+    ga, gb = (m._pack(rng.uniform(20, 40, n), rng.uniform(20, 40, n), 1.0, rng.uniform(-3, 3, n)) for _ in range(2))
+    gb[:20] = ga[:20]  # of no length
+    i, j = np.triu_indices(n, 1)
+    ok = m.agreeing(ga[i], gb[i], ga[j], gb[j])[0]
+    want = sorted(zip(i[ok].tolist(), j[ok].tolist()))
+    rows = spark.createDataFrame([(k, 7, int(a), int(b)) for k, (a, b) in enumerate(zip(ga, gb))], m.ENTRY).repartition(3)
+    roots = spark.createDataFrame([], "node long, root long")
+    cells = m._celled(rows.withColumn("root", F.col("id"))).cache()
+    assert cells.count() < 4 * n and cells.groupBy("key", "cell").count().agg(F.max("count")).first()[0] < n // 20
+    for few, block in ((2, 2048), (2, 5), (64, 2048)):
+        m.FEW, before = few, m.FEW
+        try:
+            found = m._rest_matches(m.saved(rows), roots, block).select("a", "b").collect()
+        finally:
+            m.FEW = before
+        assert len(want) > 100 and sorted(map(tuple, found)) == want

@@ -11,9 +11,9 @@ consensus: matched doublets vote for growth, turn and shift, and enough differen
 are closed to classes.
 
 In a bucket every picture is first compared with the one of smallest number, which joins most copies at linear
-cost. Then every pair of pictures of a bucket that are not joined yet is compared, in tasks of at most two
-blocks, and votes anew with all its matches. So the classes are those of all pairs that meet in a bucket; a
-bucket of pictures that stay apart costs the square of its size in comparisons, and rows only for matches.
+cost. Then every pair of pictures of a bucket that are not joined yet is compared and votes anew with all its matches;
+in a large bucket, those whose doublets lie in one cell of what has to agree, in tasks of at most two blocks. So the classes
+are those of all pairs that meet in a bucket; a cell of pictures that stay apart costs the square of its size in comparisons.
 
 Defined results: null or unreadable content (JPEG bytes among them, see from_files) has no corners and is a
 class of its own, as is a picture without corners; equal pictures are one class even so; repeated ids count as
@@ -58,7 +58,9 @@ MAX_GROW, MAX_TURN = 0.3, 0.15
 MIN_VOTES = 5
 #: Pixels within which the shifts of agreeing corners lie, or half of it; cells of a whole turn.
 CELL, TURN_CELLS = 12, 16
-#: Buckets of more entries are compared in blocks of about so many.
+#: Cells of a whole turn in which doublets of large buckets meet; each is wider than MAX_TURN.
+AGREE_CELLS = 20
+#: Buckets of more entries than FEW are compared by cells, and those of more than BLOCK in blocks of about so many.
 FEW, BLOCK = 64, 2048
 _SEED = 31
 
@@ -469,17 +471,53 @@ def _agreeing(candidates: DataFrame) -> DataFrame:
     return arrow_map(candidates, run, MATCH)
 
 
+def _celled(rows: DataFrame) -> DataFrame:
+    """Rows of buckets in the cells where doublets that can agree meet: a row for its own cell and each it is a guest of.
+
+    Doublets agree if three numbers of theirs do: the line's length by the scale, and its direction by the turn of either
+    corner. Cells are twice as wide as those may differ. A doublet is in the cell of its number, and if it lies near the lower
+    border a guest (a bit of ``guest`` for each number) of the one below too; two of which one is no guest meet in one cell.
+    """
+    made = schema_of("key long, cell int, guest int, id long, root long, ga long, gb long")
+    arrow = to_arrow_schema(made)
+
+    def run(batches):
+        for batch in batches:
+            key, name, root, ga, gb = (batch.column(n).to_numpy() for n in ("key", "id", "root", "ga", "gb"))
+            (xa, ya, scale, ta), (xb, yb, _, tb) = unpacked(ga), unpacked(gb)
+            with np.errstate(divide="ignore"):
+                length = np.log2(np.hypot(xb - xa, yb - ya)) - scale
+            line = np.arctan2(yb - ya, xb - xa)
+            fit = np.isfinite(length)  # others agree with none
+            places = [np.where(fit, length, 0) / (2 * MAX_GROW), *((line - t) % (2 * np.pi) / (2 * np.pi) * AGREE_CELLS for t in (ta, tb))]
+            near = [0.5, MAX_TURN * AGREE_CELLS / (2 * np.pi), MAX_TURN * AGREE_CELLS / (2 * np.pi)]
+            for guest in range(8):
+                here, cell = fit.copy(), np.zeros(len(key), np.int64)
+                for k, (place, width) in enumerate(zip(places, near)):
+                    own = np.floor(place).astype(np.int64)
+                    if guest >> k & 1:
+                        here &= place - own <= width + 1e-6
+                        own = own - 1
+                    cell = cell * AGREE_CELLS + (own % AGREE_CELLS if k else own + 64)
+                cols = [key, cell.astype(np.int32), np.full(len(key), guest, np.int32), name, root, ga, gb]
+                yield pa.RecordBatch.from_arrays([pa.array(c[here]) for c in cols], schema=arrow)
+
+    return arrow_map(rows, run, made)
+
+
 def _block_matches(group: pa.Table) -> pa.Table:
-    """Matches between two blocks of a bucket, or within one, of pictures that are not linked yet."""
-    name, root, ga, gb, i, j, own = (group.column(n).to_numpy() for n in ("id", "root", "ga", "gb", "i", "j", "own"))
+    """Matches between two blocks of a cell, or within one, of pictures that are not linked yet."""
+    name, root, guest, ga, gb, i, j, own = (group.column(n).to_numpy() for n in ("id", "root", "guest", "ga", "gb", "i", "j", "own"))
     u, v = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
     out = [_MATCH.empty_table()]
     for low in range(0, len(u), 64):
-        x, y = np.nonzero((root[u[low : low + 64]][:, None] != root[v][None, :]) & (name[u[low : low + 64]][:, None] < name[v][None, :]))
+        some = u[low : low + 64]
+        meets = (root[some][:, None] != root[v][None, :]) & (guest[some][:, None] & guest[v][None, :] == 0)
+        x, y = np.nonzero(meets & (name[some][:, None] < name[v][None, :]))
         x, y = u[low + x], v[y]
         out.append(_matches(name[x], name[y], ga[x], gb[x], ga[y], gb[y]))
         if i[0] != j[0]:  # blocks meet once, so both orders of ids are due
-            x, y = np.nonzero((root[u[low : low + 64]][:, None] != root[v][None, :]) & (name[u[low : low + 64]][:, None] > name[v][None, :]))
+            x, y = np.nonzero(meets & (name[some][:, None] > name[v][None, :]))
             x, y = v[y], u[low + x]
             out.append(_matches(name[x], name[y], ga[x], gb[x], ga[y], gb[y]))
     return pa.concat_tables(out)
@@ -496,23 +534,40 @@ def _rest_matches(entries: DataFrame, roots: DataFrame, block: int) -> DataFrame
     few = sized.where(F.col("size") <= FEW)
 
     def compare_few(table: pa.Table) -> pa.Table:
-        key, name, root, ga, gb = (table.column(n).to_numpy() for n in ("key", "id", "root", "ga", "gb"))
+        key, cell, guest, name, root, ga, gb = (table.column(n).to_numpy() for n in ("key", "cell", "guest", "id", "root", "ga", "gb"))
         out = [_MATCH.empty_table()]
         for step in range(1, FEW):  # each row with the one so many places behind it
-            x = np.flatnonzero((key[:-step] == key[step:]) & (root[:-step] != root[step:])) if step < len(key) else []
+            same = (key[:-step] == key[step:]) & (cell[:-step] == cell[step:])
+            x = np.flatnonzero(same & (root[:-step] != root[step:]) & (guest[:-step] & guest[step:] == 0)) if step < len(key) else []
             if len(x):
                 low, high = np.where(name[x] < name[x + step], x, x + step), np.where(name[x] < name[x + step], x + step, x)
                 out.append(_matches(name[low], name[high], ga[low], gb[low], ga[high], gb[high]))
         return pa.concat_tables(out)
 
-    cold = _grouped(few.select("key", "id", "root", "ga", "gb"), ["key"], compare_few, MATCH)
-    # a larger bucket is cut into blocks, each of which meets itself and every other block once
-    many = sized.where(F.col("size") > FEW).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    # a larger bucket is cut into cells of doublets that can agree, and a cell that is large even then into blocks, each of
+    # which meets itself and every other block once
+    celled = saved(_celled(sized.where(F.col("size") > FEW).select("key", "id", "root", "ga", "gb")))
+    cells = celled.groupBy("key", "cell").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    met = saved(cells.where("low < high").select(F.col("key").alias("of"), F.col("cell").alias("at"), "size"))
+    small = F.broadcast(met) if met.count() <= SENT_KEYS else met
+    celled = celled.join(small, (F.col("key") == F.col("of")) & (F.col("cell") == F.col("at"))).drop("of", "at")
+    entry = ["key", "cell", "guest", "id", "root", "ga", "gb"]
+    few = few.withColumns({"cell": F.lit(0), "guest": F.lit(0)}).select(entry).unionByName(celled.where(F.col("size") <= min(FEW, block)).select(entry))
+    cold = _grouped(few, ["key", "cell"], compare_few, MATCH)
+    whole = celled.where((F.col("size") > FEW) & (F.col("size") <= block)).select("key", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "guest", "id", "root", "ga", "gb")
+    many = celled.where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64("id", "ga", "gb"), F.col("blocks")).cast("int"))
     dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "ga", "gb"
+        "key", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "guest", "id", "root", "ga", "gb"
     )
-    return cold.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(_block_matches, MATCH))
+
+    def compare_whole(table: pa.Table) -> pa.Table:
+        key, cell = (table.column(n).to_numpy() for n in ("key", "cell"))
+        edges = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))[: len(key)])
+        return pa.concat_tables([_MATCH.empty_table(), *(_block_matches(table.slice(a, z - a)) for a, z in zip(edges, [*edges[1:], len(key)]))])
+
+    hot = _grouped(whole, ["key", "cell"], compare_whole, MATCH)
+    return cold.unionByName(hot).unionByName(dealt.groupBy("key", "cell", "i", "j").applyInArrow(_block_matches, MATCH))
 
 
 def links(found: DataFrame, block: int = BLOCK, spent: bool = False) -> DataFrame:
