@@ -231,6 +231,8 @@ def test_large_pages_are_no_single_task(spark, tmp_path, monkeypatch):
     rows.repartition(3).write.parquet(str(tmp_path / "odd"))
     with pytest.raises(ValueError, match="overlap"):
         clustered.place_after(spark.read.parquet(str(tmp_path / "odd")), order, 9000)
+    with pytest.raises(ValueError, match="null"):
+        clustered.place_after(table.withColumn("a", F.nullif("a", F.lit(3))), order, 9000)
 
 
 def test_pages_by_place(spark, tmp_path):
