@@ -373,3 +373,53 @@ def test_cells_hold_every_pair_that_agrees_once(spark):
         finally:
             m.FEW = before
         assert len(want) > 100 and sorted(map(tuple, found)) == want
+
+
+def by_chance(n, seed):
+    """Entries of n pictures: three doublets each whose keys many have, all of one form, and pairs that share three in the
+    same places, none to three of them by keys that few have."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.uniform(0, 3000, (2, n, 3))
+    key = np.argsort(rng.random((n, 30)), axis=1)[:, :3].astype(np.int64)
+    for k in range(0, n // 10 * 2, 2):
+        x[k + 1], y[k + 1], key[k + 1] = x[k], y[k], key[k]
+        key[k : k + 2, : k // 2 % 4] = 1000 + 3 * k + np.arange(k // 2 % 4)
+    name = np.repeat(rng.permutation(n), 3)
+    ga, gb = m._pack(x.ravel(), y.ravel(), 1.0, np.zeros(3 * n)), m._pack(x.ravel() + 10, y.ravel(), 1.0, np.zeros(3 * n))
+    return name, key.ravel(), ga, gb
+
+
+def closed(pairs):
+    root: dict = {}
+
+    def top(i):
+        while root.get(i, i) != i:
+            i = root[i]
+        return i
+
+    for u, v in pairs:
+        low, high = sorted((top(u), top(v)))
+        root[high] = low
+    return {i: top(i) for p in pairs for i in p}
+
+
+def test_matches_by_chance_do_not_grow_with_the_square_of_pictures(spark, monkeypatch):
+    """Links are those of all pairs, wherever their keys are frequent or rare, though few of the matches of others are made."""
+    votes, made = m._votes, []
+    monkeypatch.setattr(m, "_votes", lambda matches: made.append(matches.count()) or votes(matches))
+    most = getattr(m, "MOST_LISTED", 0)
+    for n, few, block, listed in ((300, 64, 2048, most), (900, 64, 2048, most), (300, 2, 5, most), (300, 64, 20, 2)):
+        monkeypatch.setattr(m, "FEW", few)
+        monkeypatch.setattr(m, "MOST_LISTED", listed, raising=False)
+        name, key, ga, gb = by_chance(n, n)
+        i, j = np.nonzero((key[:, None] == key) & (name[:, None] < name))
+        import pyarrow as pa
+
+        every = m._matches(name[i], name[j], ga[i], gb[i], ga[j], gb[j])
+        want = [(r["a"], r["b"]) for r in m._agreed(every.sort_by([("a", "ascending"), ("b", "ascending")])).to_pylist()]
+        assert len(want) >= n // 10
+        rows = spark.createDataFrame(pa.table([name, key, ga, gb], ["id", "key", "ga", "gb"])).repartition(3)
+        made.clear()
+        assert closed([tuple(r) for r in m.links(rows, block).collect()]) == closed(want)
+        if listed == most:  # else all are made
+            assert len(every) > 30 * n and made[1] <= 2 * n, (n, made, len(every))

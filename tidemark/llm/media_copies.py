@@ -11,9 +11,10 @@ consensus: matched doublets vote for growth, turn and shift, and enough differen
 are closed to classes.
 
 In a bucket every picture is first compared with the one of smallest number, which joins most copies at linear
-cost. Then every pair of pictures of a bucket that are not joined yet is compared and votes anew with all its matches;
-in a large bucket, those whose doublets lie in one cell of what has to agree, in tasks of at most two blocks. So the classes
-are those of all pairs that meet in a bucket; a cell of pictures that stay apart costs the square of its size in comparisons.
+cost. Then every pair of pictures of a bucket that are not joined yet is compared and votes anew with all its matches, in
+tasks of at most two blocks. Most pairs meet by chance in one bucket and could have no consensus: where more than RARE entries
+meet, matches are made only of pictures whose lists of further entries have enough in common, which leaves out no link. So the
+classes are those of all pairs that meet in a bucket; comparisons in a bucket of pictures that stay apart are the square of its size.
 
 Defined results: null or unreadable content (JPEG bytes among them, see from_files) has no corners and is a
 class of its own, as is a picture without corners; equal pictures are one class even so; repeated ids count as
@@ -60,8 +61,12 @@ MIN_VOTES = 5
 CELL, TURN_CELLS = 12, 16
 #: Cells of a whole turn in which doublets of large buckets meet; each is wider than MAX_TURN.
 AGREE_CELLS = 20
-#: Buckets of more entries than FEW are compared by cells, and those of more than BLOCK in blocks of about so many.
+#: Buckets of more entries than FEW are compared in blocks of rows, those of more than BLOCK by cells, and cells of more than that dealt to blocks of about so many.
 FEW, BLOCK = 64, 2048
+#: Entries of a rare bucket at most, all of whose matches are made: in proportion to its entries.
+RARE = 16
+#: Entries in frequent buckets of a picture that are listed at most; matches of a picture with more are made without a look at lists.
+MOST_LISTED = 256
 _SEED = 31
 
 
@@ -478,7 +483,8 @@ def _celled(rows: DataFrame) -> DataFrame:
     corner. Cells are twice as wide as those may differ. A doublet is in the cell of its number, and if it lies near the lower
     border a guest (a bit of ``guest`` for each number) of the one below too; two of which one is no guest meet in one cell.
     """
-    made = schema_of("key long, cell int, guest int, id long, root long, ga long, gb long")
+    tails = "tail" in rows.columns
+    made = schema_of("key long, cell int, guest int, id long, root long, ga long, gb long" + ", tail binary" * tails)
     arrow = to_arrow_schema(made)
 
     def run(batches):
@@ -500,74 +506,245 @@ def _celled(rows: DataFrame) -> DataFrame:
                         own = own - 1
                     cell = cell * AGREE_CELLS + (own % AGREE_CELLS if k else own + 64)
                 cols = [key, cell.astype(np.int32), np.full(len(key), guest, np.int32), name, root, ga, gb]
-                yield pa.RecordBatch.from_arrays([pa.array(c[here]) for c in cols], schema=arrow)
+                tail = [batch.column("tail").filter(pa.array(here))] if tails else []
+                yield pa.RecordBatch.from_arrays([pa.array(c[here]) for c in cols] + tail, schema=arrow)
 
     return arrow_map(rows, run, made)
 
 
-def _block_matches(group: pa.Table) -> pa.Table:
-    """Matches between two blocks of a cell, or within one, of pictures that are not linked yet."""
+def _numbers(ga: np.ndarray, gb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three numbers of doublets that agree if these do: the line's length by the scale, its direction by either corner's turn."""
+    (xa, ya, scale, ta), (xb, yb, _, tb) = unpacked(ga), unpacked(gb)
+    with np.errstate(divide="ignore"):
+        length = np.log2(np.hypot(xb - xa, yb - ya)) - scale
+    line = np.arctan2(yb - ya, xb - xa)
+    return length.astype(np.float32), ((line - ta) % (2 * np.pi)).astype(np.float32), ((line - tb) % (2 * np.pi)).astype(np.float32)
+
+
+def _tails(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, tokens) of a binary column of tokens; the length of a null is -1."""
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    null = column.is_null().to_numpy(**({} if isinstance(column, pa.ChunkedArray) else {"zero_copy_only": False}))
+    data = None if isinstance(column, pa.ChunkedArray) else column.buffers()[2]
+    if data is None or not data.size:
+        none = np.zeros(len(column), np.int64)
+        return none, none - null, np.zeros(1, np.uint32)
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    return edges[:-1], np.where(null, -1, np.diff(edges)), np.frombuffer(data, np.uint32, data.size // 4)
+
+
+def _tokens(keys: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
+    """32 bits of each entry: 14 of its key, then the numbers that have to agree by cells of which agreeing ones are two apart at most."""
+    length, one, two = _numbers(ga, gb)
+    length = np.clip(np.nan_to_num(np.floor(length / 0.16), neginf=0).astype(np.int64) + 16, 0, 63)
+    one, two = (np.minimum(n * (64 / (2 * np.pi)), 63).astype(np.int64) for n in (one, two))
+    return ((keys.view(np.uint64) % np.uint64(16382)).astype(np.int64) << 18 | length << 12 | one << 6 | two).astype(np.uint32)
+
+
+def _in_common(one: tuple, other: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many entries of row x of ``one`` may agree with some of row y of ``other``, by the tokens that _tails gave;
+    MOST_LISTED where either is null."""
+    out = np.full(len(x), MOST_LISTED, np.int64)
+    width = np.maximum(one[1][x], other[1][y])
+    order = np.flatnonzero((one[1][x] >= 0) & (other[1][y] >= 0))
+    order = order[np.argsort(width[order], kind="stable")]
+    at = 0
+    while at < len(order):
+        # rows of about the same width, of some millions of comparisons in all
+        some = order[at : at + max(1, (1 << 21) // max(1, int(width[order[at]]) ** 2))]
+        some = some[width[some] <= max(8, width[some[0]] * 5 // 4)]
+        at += len(some)
+        wide = np.arange(max(1, int(width[some].max())))
+        cols = []
+        for (start, size, tokens), rows, rest in ((one, x[some], 16382), (other, y[some], 16383)):
+            got = tokens[np.minimum(start[rows][:, None] + wide, len(tokens) - 1)]
+            cols.append((got, np.where(wide < size[rows][:, None], got >> 18, rest).astype(np.uint16)))  # the rest is no token
+        (p, kp), (q, kq) = cols
+        row, i, j = np.unravel_index(np.flatnonzero(kp[:, :, None] == kq[:, None, :]), (len(some), len(wide), len(wide)))
+        p, q = p[row, i].astype(np.int32), q[row, j].astype(np.int32)
+        turns = [np.abs((p >> k & 63) - (q >> k & 63)) for k in (6, 0)]
+        ok = (np.abs((p >> 12 & 63) - (q >> 12 & 63)) <= 2) & (np.minimum(turns[0], 64 - turns[0]) <= 2) & (np.minimum(turns[1], 64 - turns[1]) <= 2)
+        out[some] = np.bincount(np.unique(row[ok] * len(wide) + i[ok]) // len(wide), minlength=len(some))
+    return out
+
+
+def _block_matches(group: pa.Table, enough: int = 1) -> pa.Table:
+    """Matches between two blocks of a bucket or cell, or within one, of pictures that are not linked yet and can have ``enough``."""
     name, root, guest, ga, gb, i, j, own = (group.column(n).to_numpy() for n in ("id", "root", "guest", "ga", "gb", "i", "j", "own"))
     u, v = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+    numbers = _numbers(ga, gb)
+    tails = _tails(group.column("tail")) if enough > 1 else None
     out = [_MATCH.empty_table()]
     for low in range(0, len(u), 64):
         some = u[low : low + 64]
-        meets = (root[some][:, None] != root[v][None, :]) & (guest[some][:, None] & guest[v][None, :] == 0)
-        x, y = np.nonzero(meets & (name[some][:, None] < name[v][None, :]))
+        with np.errstate(invalid="ignore"):
+            meets = np.abs(numbers[0][some][:, None] - numbers[0][v]) <= MAX_GROW + 1e-4
+            for n in numbers[1:]:
+                apart = np.abs(n[some][:, None] - n[v])
+                meets &= np.minimum(apart, np.float32(2 * np.pi) - apart) <= MAX_TURN + 1e-4
+        meets &= (root[some][:, None] != root[v][None, :]) & (guest[some][:, None] & guest[v][None, :] == 0)
+        # blocks meet once, so both orders of ids are due; within a block each pair has both
+        meets &= (name[some][:, None] < name[v][None, :]) if i[0] == j[0] else (name[some][:, None] != name[v][None, :])
+        x, y = np.nonzero(meets)
         x, y = u[low + x], v[y]
-        out.append(_matches(name[x], name[y], ga[x], gb[x], ga[y], gb[y]))
-        if i[0] != j[0]:  # blocks meet once, so both orders of ids are due
-            x, y = np.nonzero(meets & (name[some][:, None] > name[v][None, :]))
-            x, y = v[y], u[low + x]
-            out.append(_matches(name[x], name[y], ga[x], gb[x], ga[y], gb[y]))
+        x, y = np.where(name[x] < name[y], x, y), np.where(name[x] < name[y], y, x)
+        out.append(_hopeful(name, ga, gb, tails, x, y, enough))
     return pa.concat_tables(out)
 
 
-def _rest_matches(entries: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """MATCH rows of every pair in a bucket whose pictures ``roots`` does not join already; ``entries`` are used up."""
+def _hopeful(name, ga, gb, tails, x, y, enough: int) -> pa.Table:
+    """Matches of rows x and y, without those of two pictures that cannot have ``enough`` from their tails."""
+    if enough > 1 and len(x):
+        ok = agreeing(ga[x], gb[x], ga[y], gb[y])[0]
+        x, y = x[ok], y[ok]
+        ok = _in_common(tails, tails, x, y) >= enough
+        x, y = x[ok], y[ok]
+    return _matches(name[x], name[y], ga[x], gb[x], ga[y], gb[y])
+
+
+PACKED = "id long, root long, closed boolean, tokens binary, keys binary, sizes binary, ga binary, gb binary"
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """One row for each picture with its entries in order of the size and key of their buckets; several that are not ``closed``
+    for a picture of more than MOST_LISTED."""
+    arrow = to_arrow_schema(schema_of(PACKED))
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = [table.column(n).to_numpy() for n in ("id", "size", "key", "root", "ga", "gb")]
+        order = np.lexsort(cols[2::-1])
+        name, size, key, root, ga, gb = (c[order] for c in cols)
+        token, out = _tokens(key, ga, gb), []
+        edges = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+        for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(name)]):
+            for at in range(a, z, MOST_LISTED):
+                part = slice(at, min(z, at + MOST_LISTED))
+                out.append((name[a], root[a], z - a <= MOST_LISTED, *(c[part].tobytes() for c in (token, key, size, ga, gb))))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow) if out else arrow.empty_table()
+
+    return _grouped(rows, ["id"], run, PACKED)
+
+
+def _spread(packed: DataFrame) -> DataFrame:
+    """The entries of pictures again, each with its ``tail``: tokens of those of its picture from its own bucket on in their order."""
+    made = schema_of("key long, size long, id long, root long, ga long, gb long, tail binary")
+    arrow = to_arrow_schema(made)
+
+    def run(batches):
+        for part in slices(batches):
+            names, roots, closed, tokens, *packs = (c.to_pylist() for c in part.columns)
+            keys, sizes, ga, gb = (np.frombuffer(b"".join(p), np.int64) for p in packs)
+            counts = [len(k) // 8 for k in packs[0]]
+            tails, at = [], 0
+            for n, whole, token in zip(counts, closed, tokens):
+                own = keys[at : at + n]
+                first = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), np.arange(n), 0)).tolist()
+                tails += [token[4 * k :] for k in first] if whole else [None] * n
+                at += n
+            cols = [keys, sizes, np.repeat(names, counts), np.repeat(roots, counts), ga, gb, tails]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return arrow_map(packed.select("id", "root", "closed", "tokens", "keys", "sizes", "ga", "gb"), run, made)
+
+
+def _completed(found: DataFrame, packed: DataFrame, enough: int) -> DataFrame:
+    """``found`` and the matches in frequent buckets of its pairs of pictures that can have ``enough`` with them."""
+    listed = packed.where("closed")
+    small = listed.count() <= SENT_CONTENTS
+    tokens = listed.select("id", "tokens")
+    sent = F.broadcast(tokens) if small else tokens
+    one, two = (sent.select(F.col("id").alias(c), F.col("tokens").alias(f"of_{c}")) for c in ("a", "b"))
+
+    def can(batches):
+        for batch in batches:
+            x = np.arange(batch.num_rows)
+            shared = _in_common(_tails(batch.column(3)), _tails(batch.column(4)), x, x)
+            ok = pa.array((shared > 0) & (shared + batch.column(2).to_numpy() >= enough))
+            yield batch.select([0, 1]).filter(ok)
+
+    pairs = saved(found.groupBy("a", "b").agg(F.count("*").alias("n")))
+    able = saved(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "of_a", "of_b"), can, "a long, b long"))
+    dropped(pairs)
+    whole = listed.select("id", "keys", "ga", "gb")
+    one, two = (whole.select(F.col("id").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in ("keys", "ga", "gb"))) for c in ("a", "b"))
+
+    def meet(batches):
+        for part in slices(batches):
+            out = [[] for _ in range(6)]
+            for a, b, *packs in zip(*(c.to_pylist() for c in part.columns)):
+                keys, ga, gb, others, ha, hb = (np.frombuffer(p, np.int64) for p in packs)
+                x, y = np.nonzero(keys[:, None] == others)
+                for held, more in zip(out, (np.full(len(x), a), np.full(len(x), b), ga[x], gb[x], ha[y], hb[y])):
+                    held.append(more)
+            if out[0]:
+                yield from _matches(*(np.concatenate(v) for v in out)).to_batches()
+
+    joined = able.join(one, "a").join(two, "b").select("a", "b", "keys_a", "ga_a", "gb_a", "keys_b", "ga_b", "gb_b")
+    return found.unionByName(arrow_map(joined, meet, MATCH))
+
+
+def _rest_matches(entries: DataFrame, roots: DataFrame, block: int, enough: int = 1) -> DataFrame:
+    """MATCH rows of every pair in a bucket whose pictures ``roots`` does not join already; ``entries`` are used up.
+
+    Pairs of pictures that have fewer than ``enough`` matches may be left out, and matches may come twice if it is above 1.
+    Most pairs meet by chance in one bucket alone, and they grow with the square of the pictures: so matches in
+    frequent buckets are given only where what their pictures have in common from that bucket on, in the order of size, is
+    enough; those of rare buckets are given all, and complete each other's pairs.
+    """
     small = F.broadcast(roots) if roots.count() <= SENT_CONTENTS else roots
     rooted = saved(entries.join(small, F.col("id") == F.col("node"), "left").select("key", "id", "ga", "gb", F.coalesce("root", "id").alias("root")))
     dropped(entries)  # nothing reads them any more
     shared = saved(rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "size"))
     sized = saved(rooted.join(F.broadcast(shared) if shared.count() <= SENT_KEYS else shared, "key"))
     dropped(rooted)
-    few = sized.where(F.col("size") <= FEW)
+    packed = None
+    rows = sized.withColumn("tail", F.lit(None).cast("binary"))
+    if enough > 1:
+        packed = saved(_packed(sized.where(F.col("size") > RARE)))
+        rows = rows.where(F.col("size") <= RARE).unionByName(_spread(packed))
 
     def compare_few(table: pa.Table) -> pa.Table:
-        key, cell, guest, name, root, ga, gb = (table.column(n).to_numpy() for n in ("key", "cell", "guest", "id", "root", "ga", "gb"))
+        key, name, root, ga, gb = (table.column(n).to_numpy() for n in ("key", "id", "root", "ga", "gb"))
+        tails = _tails(table.column("tail")) if enough > 1 else None
         out = [_MATCH.empty_table()]
         for step in range(1, FEW):  # each row with the one so many places behind it
-            same = (key[:-step] == key[step:]) & (cell[:-step] == cell[step:])
-            x = np.flatnonzero(same & (root[:-step] != root[step:]) & (guest[:-step] & guest[step:] == 0)) if step < len(key) else []
+            x = np.flatnonzero((key[:-step] == key[step:]) & (root[:-step] != root[step:])) if step < len(key) else []
             if len(x):
                 low, high = np.where(name[x] < name[x + step], x, x + step), np.where(name[x] < name[x + step], x + step, x)
-                out.append(_matches(name[low], name[high], ga[low], gb[low], ga[high], gb[high]))
+                out.append(_hopeful(name, ga, gb, tails, low, high, enough))
         return pa.concat_tables(out)
 
-    # a larger bucket is cut into cells of doublets that can agree, and a cell that is large even then into blocks, each of
-    # which meets itself and every other block once
-    celled = saved(_celled(sized.where(F.col("size") > FEW).select("key", "id", "root", "ga", "gb")))
+    def in_blocks(table: pa.Table) -> pa.Table:
+        key, cell = (table.column(n).to_numpy() for n in ("key", "cell"))
+        edges = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))[: len(key)])
+        return pa.concat_tables([_MATCH.empty_table(), *(_block_matches(table.slice(a, z - a), enough) for a, z in zip(edges, [*edges[1:], len(key)]))])
+
+    def compare(table: pa.Table) -> pa.Table:
+        few = table.column("size").to_numpy() <= FEW
+        large = table.filter(pa.array(~few))
+        for name in ("cell", "guest", "i", "j", "own"):
+            large = large.append_column(name, pa.array(np.zeros(large.num_rows, np.int64)))
+        return pa.concat_tables([compare_few(table.filter(pa.array(few))), in_blocks(large)])
+
+    whole = _grouped(rows.where(F.col("size") <= max(FEW, block)), ["key"], compare, MATCH)
+    # a bucket that is too large for a task is cut into cells of doublets that can agree, and a cell that is large even then into
+    # blocks, each of which meets itself and every other block once
+    celled = saved(_celled(rows.where(F.col("size") > max(FEW, block)).select("key", "id", "root", "ga", "gb", "tail")))
     cells = celled.groupBy("key", "cell").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     met = saved(cells.where("low < high").select(F.col("key").alias("of"), F.col("cell").alias("at"), "size"))
     small = F.broadcast(met) if met.count() <= SENT_KEYS else met
     celled = celled.join(small, (F.col("key") == F.col("of")) & (F.col("cell") == F.col("at"))).drop("of", "at")
-    entry = ["key", "cell", "guest", "id", "root", "ga", "gb"]
-    few = few.withColumns({"cell": F.lit(0), "guest": F.lit(0)}).select(entry).unionByName(celled.where(F.col("size") <= min(FEW, block)).select(entry))
-    cold = _grouped(few, ["key", "cell"], compare_few, MATCH)
-    whole = celled.where((F.col("size") > FEW) & (F.col("size") <= block)).select("key", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "guest", "id", "root", "ga", "gb")
+    entry = ["guest", "id", "root", "ga", "gb", "tail"]
+    alone = celled.where(F.col("size") <= block).select("key", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), *entry)
     many = celled.where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64("id", "ga", "gb"), F.col("blocks")).cast("int"))
     dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "guest", "id", "root", "ga", "gb"
+        "key", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *entry
     )
-
-    def compare_whole(table: pa.Table) -> pa.Table:
-        key, cell = (table.column(n).to_numpy() for n in ("key", "cell"))
-        edges = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))[: len(key)])
-        return pa.concat_tables([_MATCH.empty_table(), *(_block_matches(table.slice(a, z - a)) for a, z in zip(edges, [*edges[1:], len(key)]))])
-
-    hot = _grouped(whole, ["key", "cell"], compare_whole, MATCH)
-    return cold.unionByName(hot).unionByName(dealt.groupBy("key", "cell", "i", "j").applyInArrow(_block_matches, MATCH))
+    met = _grouped(alone, ["key", "cell"], in_blocks, MATCH)
+    dealt = dealt.groupBy("key", "cell", "i", "j").applyInArrow(lambda group: _block_matches(group, enough), MATCH)
+    found = whole.unionByName(met).unionByName(dealt)
+    return found if packed is None else _completed(saved(found), packed, enough)
 
 
 def links(found: DataFrame, block: int = BLOCK, spent: bool = False) -> DataFrame:
@@ -587,7 +764,7 @@ def links(found: DataFrame, block: int = BLOCK, spent: bool = False) -> DataFram
     met = entries.where("id > least").join(firsts, "key").select("a", "id", "ra", "rb", "ga", "gb")
     linked = saved(_votes(saved(_agreeing(met))))
     roots = saved(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    rest = _votes(saved(_rest_matches(entries, roots, block)))
+    rest = _votes(saved(_rest_matches(entries, roots, block, -(-MIN_VOTES // 2))))  # a doublet has two corners
     return linked.unionByName(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
